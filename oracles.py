@@ -472,3 +472,295 @@ FROM (SELECT 'vwap' AS family, timeframe, anchor AS session, direction, signal_c
 query("exact_totals", f"""
 SELECT instrument, timeframe, CAST(horizon_s AS BIGINT) AS horizon_s, count(ret) AS n, {r('sum(ret)')} AS total, {r('avg(ret)')} AS mean
 FROM labels_long GROUP BY 1, 2, 3""")
+
+# ================================================================ signals and paths
+query("signal_grid", f"""
+SELECT instrument, benchmark_family, signal_timeframe, session, direction, lookback, threshold, at, {r('p0')} AS p0, {r('e0')} AS e0,
+       {r('d0')} AS d0, {r('z')} AS z FROM signals""")
+query("state_sides", f"""
+SELECT instrument, benchmark_family, signal_timeframe, session, direction, lookback, count(*) AS states,
+       count(*) FILTER (qualifying) AS qualifying, {r('avg(z)')} AS mean_z FROM sides GROUP BY 1, 2, 3, 4, 5, 6""")
+query("rearmed_events", f"""
+SELECT candidate_event_id, instrument, benchmark_family, signal_timeframe, session, direction, lookback, at, {r('p0')} AS p0,
+       {r('e0')} AS e0, {r('d0')} AS d0, {r('z')} AS z, signal_threshold FROM cands""")
+
+
+def pathed(name, src, ident, steps):
+    cte(name, f"""
+SELECT s.*, (b.at - s.at) // 3600 AS m, b.high AS ph, b.low AS pl, b.close AS pc
+FROM {src} s JOIN bars b ON b.instrument = s.instrument AND b.at > s.at AND b.at <= s.at + {steps} * 3600""")
+
+
+cte("sig", "SELECT *, row_number() OVER () AS rid FROM signals")
+pathed("sigp", "sig", "rid", 24)
+_snap = ", ".join(f"max(CASE WHEN m = {h} THEN pc END) AS c{h}" for h in (1, 2, 4, 8, 24))
+_lvl = ", ".join(f"min(CASE WHEN direction * (CASE WHEN direction > 0 THEN ph ELSE pl END - p0) / abs(d0) >= {v} THEN m END) AS t{round(v*100)}"
+                 for v in (0.25, 0.5, 0.75, 1.0))
+cte("sigd", f"""
+SELECT s.*, coalesce(a.n, 0) = 24 AS full_path, a.* EXCLUDE (rid, n), p.x1, p.x2, p.x4, greatest(0, mf) AS mfe0, greatest(0, ma) AS mae0,
+       array_to_string(list_filter(range(1, 25), lambda q: NOT list_contains(coalesce(a.ms, []), q)), ',') AS missing
+FROM sig s LEFT JOIN (
+ SELECT rid, count(*) AS n, list(m) AS ms, {_snap}, {_lvl}, max(f) AS mf, max(a) AS ma, arg_min(m, (-f, m)) AS tf, arg_min(m, (-a, m)) AS ta
+ FROM (SELECT *, direction * (CASE WHEN direction > 0 THEN ph ELSE pl END - p0) AS f,
+              -direction * (CASE WHEN direction > 0 THEN pl ELSE ph END - p0) AS a FROM sigp) GROUP BY rid) a USING (rid)
+LEFT JOIN (SELECT s.rid, max(CASE WHEN s.at - b.at = 3600 THEN b.close END) AS x1, max(CASE WHEN s.at - b.at = 7200 THEN b.close END) AS x2,
+                  max(CASE WHEN s.at - b.at = 14400 THEN b.close END) AS x4
+           FROM sig s JOIN bars b ON b.instrument = s.instrument AND b.at IN (s.at - 3600, s.at - 7200, s.at - 14400) GROUP BY 1) p USING (rid)""")
+_cols = []
+for h in (1, 2, 4, 8, 24):
+    _cols += [f"direction * (c{h} - p0) AS move_h{h}", f"direction * (c{h} / p0 - 1) * 10000 AS bps_h{h}",
+              f"direction * (c{h} - p0) / pip AS pips_h{h}", f"direction * (c{h} - p0) / abs(d0) AS reversion_h{h}"]
+_cols += [f"CASE WHEN full_path THEN t{v} END AS t{v}" for v in (25, 50, 75, 100)]
+_cols += ["CASE WHEN full_path THEN mf / abs(d0) END AS max_reversion"]
+for n, t in (("mae", "ta"), ("mfe", "tf")):
+    _cols += [f"CASE WHEN full_path THEN {n}0 END AS {n}", f"CASE WHEN full_path THEN {n}0 / pip END AS {n}_pips",
+              f"CASE WHEN full_path THEN {n}0 / p0 * 10000 END AS {n}_bps", f"CASE WHEN full_path THEN {n}0 / abs(d0) END AS {n}_fraction",
+              f"CASE WHEN full_path THEN CASE WHEN {'ma' if n == 'mae' else 'mf'} = {n}0 THEN {t} ELSE 0 END END AS time_to_{n}"]
+for h in (1, 2, 4):
+    _cols += [f"p0 - x{h} AS pre_raw_h{h}", f"direction * (p0 - x{h}) AS pre_signed_h{h}", f"abs(p0 - x{h}) / abs(d0) AS impulse_h{h}"]
+SETUP = "instrument, benchmark_family, signal_timeframe, session, direction, lookback, threshold"
+cte("sigx", f"SELECT {SETUP}, at, pip, full_path AS path_complete, missing, " + ", ".join(_cols) + " FROM sigd")
+_names = [c.rsplit(" AS ", 1)[1] for c in _cols]
+_ints = {"t25", "t50", "t75", "t100", "time_to_mae", "time_to_mfe"}
+query("path_diagnostics", f"SELECT {SETUP}, at, path_complete, missing, "
+      + ", ".join(n if n in _ints else f"{r(n)} AS {n}" for n in _names) + " FROM sigx")
+cte("dirp", "SELECT s.* , (b.at - s.at) // 3600 AS m, b.high AS ph, b.low AS pl, b.close AS pc FROM cands s JOIN bars b ON b.instrument = s.instrument AND b.at > s.at AND b.at <= s.at + 43200")
+_d = []
+for h in (3, 6, 12):
+    c = f"max(CASE WHEN m = {h} THEN pc END)"
+    _d += [(f"any_value(direction) * ({c} - any_value(p0))", f"move_h{h}"), (f"any_value(direction) * ({c} / any_value(p0) - 1) * 10000", f"bps_h{h}"),
+           (f"any_value(direction) * ({c} - any_value(p0)) / any_value(pip)", f"pips_h{h}")]
+for n, v in (("mae", "a"), ("mfe", "f")):
+    _d += [(f"CASE WHEN count(*) = 12 THEN max({v}) END", n), (f"CASE WHEN count(*) = 12 THEN max({v}) / any_value(pip) END", f"{n}_pips")]
+_d += [("CASE WHEN count(*) = 12 THEN max(f) / any_value(p0) * 10000 END", "mfe_bps")]
+query("directional_paths", f"""
+SELECT c.candidate_event_id, coalesce(path_complete, false) AS path_complete, d.* EXCLUDE (candidate_event_id, path_complete)
+FROM cands c LEFT JOIN (
+SELECT candidate_event_id, count(*) = 12 AS path_complete, {", ".join(f"{r(a)} AS {b}" for a, b in _d)},
+       CASE WHEN count(*) = 12 THEN arg_min(m, (-a, m)) END AS time_to_mae, CASE WHEN count(*) = 12 THEN arg_min(m, (-f, m)) END AS time_to_mfe
+FROM (SELECT *, greatest(0, direction * (ph - p0), direction * (pl - p0)) AS f,
+             greatest(0, -direction * (ph - p0), -direction * (pl - p0)) AS a FROM dirp) GROUP BY 1) d USING (candidate_event_id)""")
+_m = ["count(*) AS observations", "count(*) FILTER (path_complete) AS complete_paths",
+      f"{r('count(*) FILTER (path_complete) / count(*)::DOUBLE')} AS complete_fraction"]
+for h in (1, 2, 4, 8, 24):
+    _m.append(f"count(pips_h{h}) AS n_h{h}")
+    for k in ("bps", "pips", "reversion"):
+        _m += [f"{r(f'avg({k}_h{h})')} AS mean_{k}_h{h}", f"{r(f'median({k}_h{h})')} AS {k}_h{h}_median"]
+for v in (25, 50, 75, 100):
+    _m += [f"count(t{v}) AS hit{v}_count", f"{r(f'avg(t{v})')} AS mean_t{v}", f"{r(f'median(t{v})')} AS t{v}_median",
+           f"CASE WHEN count(*) FILTER (path_complete) > 0 THEN {r(f'count(t{v}) / (count(*) FILTER (path_complete))::DOUBLE')} END AS hit{v}_rate"]
+for k in ("mae_bps", "mfe_bps", "time_to_mae", "time_to_mfe"):
+    _m.append(f"{r(f'median({k})')} AS {k}_median")
+for h in (1, 2, 4):
+    _m += [f"count(impulse_h{h}) AS n_presignal_h{h}", f"{r(f'median(pre_raw_h{h} / pip)')} AS pre_raw_pips_h{h}_median",
+           f"{r(f'median(pre_signed_h{h} / pip)')} AS pre_signed_pips_h{h}_median"]
+    _m += [f"{r(f'quantile_cont(impulse_h{h}, {p})')} AS impulse_h{h}_{n}" for n, p in (("p25", .25), ("median", .5), ("p75", .75))]
+for k in ("mae_pips", "mae_fraction", "mfe_pips", "mfe_fraction", "max_reversion"):
+    _m += [f"{r(f'quantile_cont({k}, {p})')} AS {k}_{n}" for n, p in (("median", .5), ("p75", .75), ("p90", .9))]
+query("path_matrix", f"SELECT {SETUP}, " + ", ".join(_m) + " FROM sigx GROUP BY 1, 2, 3, 4, 5, 6, 7")
+
+# ================================================================ entries, races, outcomes
+pathed("candp", "cands", "candidate_event_id", 32)
+cte("candx", """
+SELECT *, direction * (ph - p0) / abs(d0) AS f1, direction * (pl - p0) / abs(d0) AS f2,
+       greatest(direction * (ph - p0) / abs(d0), direction * (pl - p0) / abs(d0)) AS fv,
+       least(direction * (ph - p0) / abs(d0), direction * (pl - p0) / abs(d0)) AS av,
+       direction * (pc - p0) > 0 AS reclaim FROM candp""")
+cte("ext", "SELECT candidate_event_id, min(m) AS em FROM candx WHERE m <= 8 AND av <= -0.25 GROUP BY 1")
+cte("waits", """
+SELECT c.candidate_event_id, 'reclaim' AS entry_mode, 4 AS lim, (SELECT min(m) FROM candx x WHERE x.candidate_event_id = c.candidate_event_id AND m <= 4 AND reclaim) AS wait, NULL AS em FROM cands c
+UNION ALL
+SELECT c.candidate_event_id, 'extension-reclaim', 8, (SELECT min(m) FROM candx x WHERE x.candidate_event_id = c.candidate_event_id AND m <= 8 AND reclaim AND m >= e.em), e.em
+FROM cands c LEFT JOIN ext e USING (candidate_event_id)""")
+cte("ents", """
+SELECT c.*, 'immediate' AS entry_mode, true AS executed, 0 AS wait, p0 AS entry_price, 0::DOUBLE AS r_at_entry,
+       0::DOUBLE AS pre_entry_favorable, 0::DOUBLE AS pre_entry_adverse, NULL::BIGINT AS time_to_extension, NULL::BIGINT AS extension_to_entry
+FROM cands c
+UNION ALL BY NAME
+SELECT c.*, w.entry_mode, w.wait IS NOT NULL AS executed, w.wait, e.pc AS entry_price, c.direction * (e.pc - c.p0) / abs(c.d0) AS r_at_entry,
+       greatest(0, coalesce(x.fv, 0)) AS pre_entry_favorable, least(0, coalesce(x.av, 0)) AS pre_entry_adverse,
+       CASE WHEN w.em <= coalesce(w.wait, w.lim) THEN w.em END AS time_to_extension, w.wait - w.em AS extension_to_entry
+FROM cands c JOIN waits w USING (candidate_event_id)
+LEFT JOIN candx e ON e.candidate_event_id = c.candidate_event_id AND e.m = w.wait
+LEFT JOIN (SELECT w.candidate_event_id, w.entry_mode, max(fv) AS fv, min(av) AS av FROM waits w JOIN candx p
+           ON p.candidate_event_id = w.candidate_event_id AND p.m <= coalesce(w.wait, w.lim) GROUP BY 1, 2) x
+     ON x.candidate_event_id = c.candidate_event_id AND x.entry_mode = w.entry_mode""")
+query("entry_rules", f"""
+SELECT candidate_event_id, entry_mode, executed, wait, {r('entry_price')} AS entry_price, {r('r_at_entry')} AS r_at_entry,
+       {r('pre_entry_favorable')} AS pre_entry_favorable, {r('pre_entry_adverse')} AS pre_entry_adverse, time_to_extension, extension_to_entry FROM ents""")
+cte("hits", """
+SELECT c.*, h.h AS horizon, r25, e25, r50, e50 FROM cands c CROSS JOIN (VALUES (2), (4), (8)) h(h) LEFT JOIN (
+ SELECT candidate_event_id, g.h, min(CASE WHEN fv >= 0.25 THEN m END) AS r25, min(CASE WHEN av <= -0.25 THEN m END) AS e25,
+        min(CASE WHEN fv >= 0.5 THEN m END) AS r50, min(CASE WHEN av <= -0.5 THEN m END) AS e50
+ FROM candx, (VALUES (2), (4), (8)) g(h) WHERE m <= g.h GROUP BY 1, 2) x ON x.candidate_event_id = c.candidate_event_id AND x.h = h.h""")
+
+
+def ordering(t):
+    return (f"CASE WHEN r{t} IS NULL AND e{t} IS NULL THEN 'none' WHEN e{t} IS NULL OR r{t} < e{t} THEN 'reversion' "
+            f"WHEN r{t} IS NULL OR e{t} < r{t} THEN 'extension' ELSE 'ambiguous_same_minute' END")
+
+
+cte("races", f"SELECT *, {ordering(25)} AS o25, {ordering(50)} AS o50 FROM hits")
+query("barrier_race", """
+SELECT candidate_event_id, horizon, r25 AS time_to_reversion25, e25 AS time_to_extension25, o25 AS ordering_25,
+       r50 AS time_to_reversion50, e50 AS time_to_extension50, o50 AS ordering_50 FROM races""")
+REG = "instrument, benchmark_family, signal_timeframe, session, direction, lookback"
+
+
+def nearest(x, p):
+    return f"list_sort(list({x}) FILTER ({x} IS NOT NULL))[greatest(1, CAST(ceil({p}::DOUBLE * count({x})) AS INTEGER))]"
+
+
+QS = (("p10", 0.1), ("p25", 0.25), ("median", 0.5), ("p75", 0.75), ("p90", 0.9), ("p95", 0.95))
+_rr = ["count(*) AS candidates"]
+for t in (25, 50):
+    for side, c in (("reversion", f"r{t}"), ("extension", f"e{t}")):
+        _rr += [f"{r(f'count({c}) / count(*)::DOUBLE')} AS {side}{t}_hit_fraction", f"{nearest(c, 0.5)}::DOUBLE AS time_to_{side}{t}_median"]
+    for o in ("reversion", "extension", "ambiguous_same_minute", "none"):
+        inner = f"count(*) FILTER (o{t} = '{o}') / count(*)::DOUBLE"
+        _rr.append(f"{r(inner)} AS order{t}_{o}")
+query("race_report", f"SELECT {REG}, horizon, " + ", ".join(_rr) + " FROM races GROUP BY 1, 2, 3, 4, 5, 6, 7")
+cte("barr", f"""
+SELECT {REG}, unnest(['R>=+0.25', 'R>=+0.50', 'R<=-0.25', 'R<=-0.50']) AS barrier, unnest([r25, r50, e25, e50]) AS steps FROM races WHERE horizon = 8""")
+query("first_passage_report", f"""
+SELECT {REG}, barrier, count(*) AS candidates, count(steps) AS hits, {r('count(steps) / count(*)::DOUBLE')} AS hit_fraction,
+       {r('avg(steps)')} AS mean_steps, """ + ", ".join(
+    f"{r(f'count(*) FILTER (steps <= {m}) / count(*)::DOUBLE')} AS hit_by_{m}" for m in (2, 4, 8)) + ", "
+    + ", ".join(f"{nearest('steps', p)}::DOUBLE AS {n}" for n, p in QS[:5]) + " FROM barr GROUP BY 1, 2, 3, 4, 5, 6, 7")
+query("hazard_report", f"""
+SELECT {REG}, barrier, lo, hi, count(*) FILTER (steps IS NULL OR steps > lo) AS at_risk,
+       count(*) FILTER (steps > lo AND steps <= hi) AS new_hits,
+       {r('coalesce(count(*) FILTER (steps > lo AND steps <= hi) / nullif(count(*) FILTER (steps IS NULL OR steps > lo), 0)::DOUBLE, 0)')} AS conditional_hit
+FROM barr, (VALUES (0, 2), (2, 4), (4, 8)) i(lo, hi) GROUP BY ALL""")
+_ew = ["count(*) AS candidates", "count(*) FILTER (executed) AS executed", "count(*) FILTER (NOT executed) AS no_entry",
+       f"{r('count(*) FILTER (NOT executed) / count(*)::DOUBLE')} AS no_entry_fraction"]
+for k, c in (("wait", "w1"), ("ext", "w2"), ("reclaim", "w3")):
+    _ew.append(f"{r(f'avg({c})')} AS mean_{k}")
+    _ew += [f"{nearest(c, p)}::DOUBLE AS {k}_{n}" for n, p in QS[:5]]
+_ew += [f"{r(f'count(*) FILTER (w1 <= {m}) / count(*)::DOUBLE')} AS entry_by_{m}" for m in (1, 2, 4)]
+_ew.append(f"{r('coalesce(count(*) FILTER (w3 = 0) / nullif(count(*) FILTER (executed), 0)::DOUBLE, 0)')} AS same_step_fraction")
+query("entry_wait_report", f"SELECT {REG}, entry_mode, " + ", ".join(_ew) + """
+FROM (SELECT *, CASE WHEN executed THEN wait END AS w1, CASE WHEN executed THEN time_to_extension END AS w2,
+             CASE WHEN executed THEN extension_to_entry END AS w3 FROM ents WHERE entry_mode <> 'immediate')
+GROUP BY 1, 2, 3, 4, 5, 6, 7""")
+cte("entp", """
+SELECT e.*, x.m - e.wait AS k, x.pc, x.fv, x.av,
+       greatest(0, e.direction * (x.ph - e.entry_price), e.direction * (x.pl - e.entry_price)) AS fm,
+       greatest(0, -e.direction * (x.ph - e.entry_price), -e.direction * (x.pl - e.entry_price)) AS am
+FROM ents e JOIN candx x ON x.candidate_event_id = e.candidate_event_id AND x.m > e.wait AND x.m <= e.wait + 24 WHERE e.executed""")
+cte("grid_cells", """
+SELECT tp, sl, stop FROM (VALUES (0.25::DOUBLE), (0.5::DOUBLE), (0.75::DOUBLE), (1::DOUBLE)) a(tp),
+ (VALUES (NULL::DOUBLE), (0.25::DOUBLE), (0.5::DOUBLE), (1::DOUBLE)) b(sl), (VALUES (6), (12), (24)) c(stop)""")
+cte("touch", """
+SELECT candidate_event_id, entry_mode, tp, sl, stop, min(CASE WHEN fv >= tp THEN k END) AS tpk, min(CASE WHEN av <= -sl THEN k END) AS slk,
+       max(CASE WHEN k = stop THEN pc END) AS dc
+FROM entp, grid_cells WHERE k <= stop GROUP BY ALL""")
+cte("cellx", """
+SELECT e.*, g.tp, g.sl, g.stop, t.tpk, t.slk, t.dc, least(t.tpk, t.slk) AS tk,
+       CASE WHEN NOT e.executed THEN 'no_entry' WHEN e.r_at_entry >= g.tp THEN 'passed' ELSE 'executed' END AS status
+FROM ents e CROSS JOIN grid_cells g LEFT JOIN touch t ON t.candidate_event_id = e.candidate_event_id AND t.entry_mode = e.entry_mode
+  AND t.tp = g.tp AND t.sl IS NOT DISTINCT FROM g.sl AND t.stop = g.stop""")
+cte("prior", """
+SELECT c.candidate_event_id, c.entry_mode, c.tp, c.sl, c.stop, max(p.fm) AS f, max(p.am) AS a, arg_min(p.k, (-p.fm, p.k)) AS tf, arg_min(p.k, (-p.am, p.k)) AS ta
+FROM cellx c JOIN entp p ON p.candidate_event_id = c.candidate_event_id AND p.entry_mode = c.entry_mode AND p.k < coalesce(c.tk, c.stop + 1)
+WHERE c.status = 'executed' GROUP BY ALL""")
+cte("outs", """
+SELECT *, CASE WHEN complete THEN direction * (adv - entry_price) / pip END AS pips_adverse,
+       CASE WHEN complete THEN direction * (fav - entry_price) / pip END AS pips_favorable,
+       CASE WHEN complete THEN direction * (adv - entry_price) / entry_price * 10000 END AS bp_adverse,
+       CASE WHEN complete THEN direction * (adv - entry_price) / abs(d0) END AS fraction_adverse,
+       CASE WHEN status = 'executed' THEN greatest(a0, xa) END AS mae, CASE WHEN status = 'executed' THEN greatest(f0, xf) END AS mfe,
+       CASE WHEN complete THEN greatest(a0, xa, coalesce(fa, 0)) END AS mae_bound, CASE WHEN complete THEN greatest(f0, xf, coalesce(ff, 0)) END AS mfe_bound,
+       CASE WHEN status = 'executed' THEN CASE WHEN xa > a0 THEN tk ELSE ta0 END END AS time_to_mae,
+       CASE WHEN status = 'executed' THEN CASE WHEN xf > f0 THEN tk ELSE tf0 END END AS time_to_mfe,
+       coalesce(exit_reason = 'ambiguous', false) AS ambiguous, CASE WHEN complete THEN coalesce(tk, stop) END AS holding
+FROM (SELECT *, CASE WHEN complete THEN CASE WHEN tk IS NULL THEN 'time_stop' WHEN tpk = slk THEN 'ambiguous' WHEN tpk = tk THEN 'tp' ELSE 'sl' END END AS exit_reason,
+  CASE WHEN slk = tk THEN slp WHEN tpk = tk THEN tpp ELSE dc END AS adv, CASE WHEN tpk = tk THEN tpp WHEN slk = tk THEN slp ELSE dc END AS fav,
+  CASE WHEN tpk = tk AND tpk IS DISTINCT FROM slk THEN greatest(0, direction * (tpp - entry_price)) ELSE 0 END AS xf,
+  CASE WHEN slk = tk AND tpk IS DISTINCT FROM slk THEN greatest(0, -direction * (slp - entry_price)) ELSE 0 END AS xa
+ FROM (SELECT c.*, c.status = 'executed' AND (c.tk IS NOT NULL OR c.dc IS NOT NULL) AS complete, c.p0 + c.direction * c.tp * abs(c.d0) AS tpp,
+        c.p0 - c.direction * c.sl * abs(c.d0) AS slp, coalesce(p.f, 0) AS f0, coalesce(p.a, 0) AS a0,
+        CASE WHEN coalesce(p.f, 0) > 0 THEN p.tf ELSE 0 END AS tf0, CASE WHEN coalesce(p.a, 0) > 0 THEN p.ta ELSE 0 END AS ta0, b.fm AS ff, b.am AS fa
+  FROM cellx c LEFT JOIN prior p ON p.candidate_event_id = c.candidate_event_id AND p.entry_mode = c.entry_mode AND p.tp = c.tp
+       AND p.sl IS NOT DISTINCT FROM c.sl AND p.stop = c.stop
+  LEFT JOIN entp b ON b.candidate_event_id = c.candidate_event_id AND b.entry_mode = c.entry_mode AND b.k = c.tk))""")
+_oc = ["pips_adverse", "pips_favorable", "bp_adverse", "fraction_adverse", "mae", "mfe", "mae_bound", "mfe_bound"]
+query("barrier_outcomes", "SELECT candidate_event_id, entry_mode, tp, sl, stop, status, complete, exit_reason, holding, "
+      + ", ".join(f"{r(c)} AS {c}" for c in _oc) + ", time_to_mae, time_to_mfe FROM outs")
+CONFIG = "instrument, benchmark_family, signal_timeframe, direction, entry_mode, tp, sl, stop"
+N = "count(*) FILTER (complete)"
+
+
+def frac(cond, whole=N):
+    return r(f"coalesce(count(*) FILTER ({cond}) / nullif({whole}, 0)::DOUBLE, 0)")
+
+
+_om = ["count(DISTINCT candidate_event_id) AS candidates", "count(*) FILTER (status = 'executed') AS executed",
+       "count(*) FILTER (status = 'no_entry') AS no_entry", "count(*) FILTER (status = 'passed') AS passed",
+       f"{N} AS complete_trades", "count(*) FILTER (status = 'executed' AND NOT complete) AS incomplete_trades",
+       "count(*) FILTER (ambiguous) AS ambiguous_count", f"{frac('ambiguous')} AS ambiguous_fraction"]
+for n, cond in (("tp", "exit_reason = 'tp'"), ("sl", "exit_reason IN ('sl', 'ambiguous')"), ("time_stop", "exit_reason = 'time_stop'")):
+    _om += [f"count(*) FILTER ({cond}) AS {n}_count", f"{frac(cond)} AS {n}_fraction"]
+_om += [f"{r('avg(pips_adverse)')} AS mean_pips", f"{r('avg(pips_favorable)')} AS mean_pips_favorable", f"{r('avg(bp_adverse)')} AS mean_bp",
+        f"{frac('pips_adverse > 0')} AS win_fraction", f"{frac('pips_adverse < 0')} AS loss_fraction", f"{frac('pips_adverse = 0')} AS zero_fraction"]
+_om += [f"{r('avg(CASE WHEN complete THEN mae / pip END)')} AS mean_mae_pips", f"{r('avg(CASE WHEN complete THEN mfe / pip END)')} AS mean_mfe_pips",
+        f"{r('avg(CASE WHEN complete THEN wait END)')} AS mean_wait"]
+for k, x in (("pips_adverse", "pips_adverse"), ("bp_adverse", "bp_adverse"), ("mae_pips", "q_mae"), ("mfe_pips", "q_mfe"), ("holding", "holding"),
+             ("wait", "q_wait"), ("r_at_entry", "q_r"), ("pre_entry_adverse", "q_pre")):
+    _om += [f"{r(nearest(x, p))} AS {k}_{n}" for n, p in QS]
+OUTQ = """(SELECT *, CASE WHEN complete THEN mae / pip END AS q_mae, CASE WHEN complete THEN mfe / pip END AS q_mfe,
+ CASE WHEN complete THEN wait END AS q_wait, CASE WHEN complete THEN r_at_entry END AS q_r, CASE WHEN complete THEN pre_entry_adverse END AS q_pre FROM outs)"""
+query("outcome_matrix", f"SELECT {CONFIG}, " + ", ".join(_om) + f" FROM {OUTQ} GROUP BY 1, 2, 3, 4, 5, 6, 7, 8")
+cte("odist", f"""
+SELECT {CONFIG}, unnest(['gross_pips', 'mae_pips', 'mfe_pips', 'holding']) AS metric, unnest([pips_adverse, mae / pip, mfe / pip, holding::DOUBLE]) AS x
+FROM outs WHERE complete""")
+query("outcome_distributions", f"SELECT {CONFIG}, metric, sample_count, unnest(['p10','p25','median','p75','p90','p95']) AS quantile, unnest(v) AS value FROM (SELECT {CONFIG}, metric, count(x) AS sample_count, ["
+      + ", ".join(r(nearest("x", p)) for _, p in QS) + "] AS v FROM odist GROUP BY 1, 2, 3, 4, 5, 6, 7, 8, 9)")
+query("run_totals", """
+SELECT instrument, count(DISTINCT candidate_event_id) AS candidates, count(*) FILTER (status = 'no_entry') AS no_entry,
+ count(*) FILTER (status = 'passed') AS passed, count(*) FILTER (status = 'executed') AS executed,
+ count(*) FILTER (status = 'executed' AND NOT complete) AS incomplete, count(*) FILTER (ambiguous) AS ambiguous FROM outs GROUP BY 1""")
+
+# ================================================================ costs
+cte("costs", f"""
+SELECT instrument, session, st AS statistic, sl.s AS slippage, v / {PIP} AS spread,
+       CASE WHEN split_part(instrument, '.', 1) IN ('purchase', 'signup') THEN CASE WHEN session = 'asia' THEN 0.6::DOUBLE ELSE 0.5::DOUBLE END ELSE 0.07::DOUBLE END AS commission
+FROM (SELECT instrument, session, unnest(['mean', 'p75', 'p90', 'p95']) AS st, unnest([mean, p75, p90, p95]) AS v FROM spreads),
+     (VALUES (0::DOUBLE), (0.1::DOUBLE), (0.2::DOUBLE), (0.5::DOUBLE)) sl(s)""")
+
+
+def net(g):
+    v = f"({g} - spread - slippage)"
+    return f"CASE WHEN converted AND {v} > 0 THEN {v} * 0.993::DOUBLE WHEN converted AND {v} < 0 THEN {v} * 1.007::DOUBLE ELSE {v} END - commission"
+
+
+cte("priced", f"""
+SELECT *, {net('pips_adverse')} AS net_adverse, {net('pips_favorable')} AS net_favorable
+FROM (SELECT o.*, c.statistic, c.slippage, c.spread, c.commission FROM outs o JOIN costs c ON c.instrument = o.instrument AND c.session = coalesce(o.session, 'overall')
+      WHERE o.complete)""")
+query("cost_coverage", """
+SELECT instrument, CASE WHEN instrument IN (SELECT c.instrument FROM cands c LEFT JOIN
+   (SELECT DISTINCT instrument, session FROM costs WHERE NOT (session = 'asia' AND instrument LIKE 'signup%')) k
+   ON k.instrument = c.instrument AND k.session = coalesce(c.session, 'overall') WHERE k.session IS NULL) THEN 'blocked' ELSE 'covered' END AS cost_status,
+   count(*) AS candidates FROM cands GROUP BY 1, 2""")
+query("priced_scenarios", f"""
+SELECT instrument, session, statistic, slippage, count(*) AS rows, {r('sum(net_adverse)')} AS net_adverse, {r('sum(net_favorable)')} AS net_favorable,
+       {r('avg(spread + slippage + commission)')} AS modeled_cost, {r('max(spread)')} AS spread, {r('max(commission)')} AS commission
+FROM priced WHERE entry_mode = 'immediate' GROUP BY 1, 2, 3, 4""")
+CC = "instrument, benchmark_family, session, entry_mode, tp, sl, stop, statistic, slippage"
+cte("ccells", f"""
+SELECT {CC}, count(*) AS trades, avg(net_adverse) AS mean_net, avg(net_favorable) AS mean_net_favorable,
+ avg(CASE WHEN net_adverse > 0 THEN 1::DOUBLE ELSE 0::DOUBLE END) AS win_fraction, avg(CASE WHEN net_adverse < 0 THEN 1::DOUBLE ELSE 0::DOUBLE END) AS loss_fraction,
+ avg(CASE WHEN net_adverse = 0 THEN 1::DOUBLE ELSE 0::DOUBLE END) AS zero_fraction,
+ coalesce(sum(CASE WHEN net_adverse > 0 THEN net_adverse END), 0) AS gains, coalesce(-sum(CASE WHEN net_adverse < 0 THEN net_adverse END), 0) AS losses,
+ avg(pips_adverse) AS mean_gross, avg(spread + slippage + commission) AS mean_cost, max(spread + commission) AS fixed0, """
+    + ", ".join(f"{nearest('net_adverse', p)} AS {n}" for n, p in QS[:5]) + " FROM priced GROUP BY 1, 2, 3, 4, 5, 6, 7, 8, 9")
+PF = "CASE WHEN losses > 0 THEN round(gains / losses, 6) WHEN gains > 0 THEN 'inf'::DOUBLE ELSE 0::DOUBLE END"
+query("cost_cells", f"SELECT {CC}, trades, " + ", ".join(f"{r(c)} AS {c}" for c in (
+    "mean_net", "mean_net_favorable", "win_fraction", "loss_fraction", "zero_fraction", "mean_gross", "mean_cost", *[n for n, _ in QS[:5]]))
+      + f", {PF} AS profit_factor, {r('mean_gross - fixed0 - slippage')} AS headroom FROM ccells")
+query("regime_breadth", f"""
+SELECT instrument, benchmark_family, session, statistic, slippage, count(*) AS cells, count(*) FILTER (mean_net > 0) AS net_positive,
+ {r('count(*) FILTER (mean_net > 0) / count(*)::DOUBLE')} AS net_positive_fraction, count(*) FILTER (mean_gross > 0) AS gross_positive,
+ {r('coalesce(count(*) FILTER (mean_gross > 0 AND mean_net > 0) / nullif(count(*) FILTER (mean_gross > 0), 0)::DOUBLE, 0)')} AS surviving_fraction
+FROM ccells GROUP BY 1, 2, 3, 4, 5""")

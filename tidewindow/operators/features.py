@@ -1,8 +1,9 @@
 """Gap-safe rolling and session-anchored features.
 
-Bars of one series never overlap, so ``n`` rows inside a RANGE of ``(n - 1) * tf`` seconds are
+Bars of one series never overlap, so ``n`` rows whose bar numbers ``k`` span ``n - 1`` are
 exactly ``n`` adjacent bars.  That one fact replaces every gap bookkeeping: a look-back that
-meets a gap simply counts fewer rows and yields NULL.
+meets a gap simply counts fewer rows and yields NULL.  Frames are RANGE frames over ``k``, so
+all timeframes go through one plan; ``width`` is the chunk size in bars.
 """
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
@@ -14,22 +15,21 @@ from tidewindow.operators.chunks import core_only, halo
 SERIES = ("instrument", "timeframe")
 
 
-def _frame(tf_s: int, rows: int):
-    return Window.partitionBy(*SERIES, "_chunk").orderBy("t").rangeBetween(-(rows - 1) * tf_s, 0)
+def _frame(rows: int):
+    return Window.partitionBy(*SERIES, "_chunk").orderBy("k").rangeBetween(-(rows - 1), 0)
 
 
-def _lag_adjacent(column: Column, tf_s: int) -> Column:
-    step = Window.partitionBy(*SERIES, "_chunk").orderBy("t").rangeBetween(-tf_s, -tf_s)
-    return F.first(column).over(step)
+def _lag_adjacent(column: Column) -> Column:
+    return F.first(column).over(Window.partitionBy(*SERIES, "_chunk").orderBy("k").rangeBetween(-1, -1))
 
 
-def band_features(obs: DataFrame, tf_s: int, lookbacks, width: int) -> DataFrame:
+def band_features(obs: DataFrame, lookbacks, width: int) -> DataFrame:
     """Rolling mean and sample deviation of exactly N adjacent active closes, long by lookback."""
-    spread = halo(obs, F.col("t"), width, back=max(lookbacks) * tf_s)
+    spread = halo(obs, F.col("k"), width, back=max(lookbacks))
     usable = F.when(F.col("active"), F.col("close"))
     cells = {}
     for n in lookbacks:
-        w = _frame(tf_s, n)
+        w = _frame(n)
         full = F.count(usable).over(w) == n
         spreadless = F.max(usable).over(w) == F.min(usable).over(w)
         cells[f"_mid_{n}"] = F.when(full, F.avg(usable).over(w))
@@ -49,14 +49,14 @@ def band_features(obs: DataFrame, tf_s: int, lookbacks, width: int) -> DataFrame
     return out.select(*obs.columns, F.explode(items).alias("_i")).select(*obs.columns, "_i.*")
 
 
-def return_volatility(obs: DataFrame, tf_s: int, lookbacks, width: int) -> DataFrame:
+def return_volatility(obs: DataFrame, lookbacks, width: int) -> DataFrame:
     """Adds ``vol_<n>``: sample deviation of exactly N adjacent active returns (0 -> NULL)."""
-    spread = halo(obs, F.col("t"), width, back=(max(lookbacks) + 1) * tf_s)
+    spread = halo(obs, F.col("k"), width, back=max(lookbacks) + 1)
     usable = F.when(F.col("active"), F.col("close"))
-    spread = spread.withColumn("_r", usable / _lag_adjacent(usable, tf_s) - 1.0)
+    spread = spread.withColumn("_r", usable / _lag_adjacent(usable) - 1.0)
     cells = {}
     for n in lookbacks:
-        w = _frame(tf_s, n)
+        w = _frame(n)
         flat = F.max("_r").over(w) == F.min("_r").over(w)
         cells[f"vol_{n}"] = F.when((F.count("_r").over(w) == n) & ~flat, F.stddev_samp("_r").over(w))
     return core_only(spread.withColumns(cells)).drop("_r")
@@ -102,18 +102,18 @@ def _deviations(rows: DataFrame, lookbacks) -> DataFrame:
     return rows.select(*keep, F.explode(items).alias("_i")).select(*keep, "_i.*")
 
 
-def vwap_features(obs: DataFrame, tf_s: int, lookbacks, width: int) -> DataFrame:
-    vol = return_volatility(obs, tf_s, lookbacks, width)
+def vwap_features(obs: DataFrame, lookbacks, width: int) -> DataFrame:
+    vol = return_volatility(obs, lookbacks, width)
     return _deviations(session_vwap(by_session(vol)), lookbacks)
 
 
-def fine_vwap_features(fine: DataFrame, obs: DataFrame, tf_s: int, lookbacks, width: int) -> DataFrame:
+def fine_vwap_features(fine: DataFrame, obs: DataFrame, lookbacks, width: int) -> DataFrame:
     """Session VWAP accumulated on fine bars, sampled at each coarse bar's availability.
 
     As-of by union: fine rows sort before coarse rows of the same instant, and the running
     sums stop at the session instance, so nothing is carried across a reset.
     """
-    vol = return_volatility(obs, tf_s, lookbacks, width)
+    vol = return_volatility(obs, lookbacks, width)
     coarse = by_session(vol)
     weight = F.when(F.col("active"), F.col("volume"))
     source = by_session(fine).select(
@@ -158,17 +158,17 @@ def signal_side(active: Column, z: Column, threshold) -> Column:
 
 
 def trend_features(
-    obs: DataFrame, tf_s: int, width: int, trend: int = 8, tail: int = 4, atr: int = 20
+    obs: DataFrame, width: int, trend: int = 8, tail: int = 4, atr: int = 20
 ) -> DataFrame:
     """Inputs of the exhaustion rule, only where trend+tail+ATR history is gap-free."""
     need = atr + tail + 1
-    spread = halo(obs, F.col("t"), width, back=need * tf_s)
-    order = Window.partitionBy(*SERIES, "_chunk").orderBy("t")
+    spread = halo(obs, F.col("k"), width, back=need)
+    order = Window.partitionBy(*SERIES, "_chunk").orderBy("k")
     c = F.col
     rows = spread.withColumns(
         {
             "_prev": F.lag("close").over(order),
-            "_have": F.count("*").over(_frame(tf_s, need)),
+            "_have": F.count("*").over(_frame(need)),
             "_vprev": F.lag("volume").over(order),
         }
     ).withColumns(
@@ -224,10 +224,10 @@ def exhausted(threshold, min_efficiency=0.60, min_extension=0.25, max_retained=0
     return F.coalesce(rule & (c("atr") > 0) & (c("trend_direction") != 0), F.lit(False))
 
 
-def episode_starts(rows: DataFrame, tf_s: int, width: int, flag: Column, keys=SERIES) -> DataFrame:
+def episode_starts(rows: DataFrame, width: int, flag: Column, keys=SERIES) -> DataFrame:
     """Rows where ``flag`` turns true; a false row, a gap or missing history re-arms."""
     tagged = rows.withColumn("_f", flag)
-    spread = halo(tagged, F.col("t"), width, back=tf_s)
-    step = Window.partitionBy(*keys, "_chunk").orderBy("t").rangeBetween(-tf_s, -tf_s)
+    spread = halo(tagged, F.col("k"), width, back=1)
+    step = Window.partitionBy(*keys, "_chunk").orderBy("k").rangeBetween(-1, -1)
     before = F.coalesce(F.first("_f").over(step), F.lit(False))
     return core_only(spread.withColumn("_b", before)).where(F.col("_f") & ~F.col("_b")).drop("_f", "_b")

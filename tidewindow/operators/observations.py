@@ -3,16 +3,21 @@
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from tidewindow.functions import sessions as S
-from tidewindow.functions.scalars import is_flat_inactive, seconds
+from tidewindow.functions.scalars import is_flat_inactive, seconds, timeframe_seconds
 from tidewindow.operators.chunks import core_only, halo
 
 
 def observe(bars: DataFrame, major=S.MAJOR_SESSIONS) -> DataFrame:
-    """Add the activity flag, the open clock ``t`` and the availability clock ``at``."""
+    """Add the activity flag, the open clock ``t``, its bar number ``k`` and the clock ``at``.
+
+    Bars are epoch aligned, so ``k = t / timeframe`` numbers them on one scale for every
+    timeframe: adjacent bars differ by exactly one.
+    """
     c = F.col
-    return bars.withColumns(
+    return bars.withColumn("tf_s", timeframe_seconds(c("timeframe"))).withColumns(
         {
             "t": seconds(c("open_time")),
+            "k": F.floor(seconds(c("open_time")) / c("tf_s")).cast("long"),
             "at": seconds(c("available_at")),
             "active": ~is_flat_inactive(c("open"), c("high"), c("low"), c("close"), c("volume")),
             "active_sessions": S.active_names(c("open_time"), major),

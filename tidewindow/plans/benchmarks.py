@@ -5,57 +5,34 @@ from pyspark.sql import functions as F
 from tidewindow.operators import features as FE, observations as OB, stats as SS, summaries as SU
 from tidewindow.plans import study as ST
 from tidewindow.plans.study import tidy
-from tidewindow.sources import driver as D
+from tidewindow.sources.staging import stage
 
 
-def _over_timeframes(fn):
-    out = None
-    for name, tf_s in ST.TIMEFRAMES.items():
-        part = fn(name, tf_s)
-        out = part if out is None else out.unionByName(part)
-    return out
-
-
-def labelled(spark, sf, name):
-    return OB.forward_labels(
-        ST.research_observations(spark, sf, name), ST.SERIES, ST.HORIZONS_S, ST.WIDTH
-    )
+def labelled(spark, sf):
+    return OB.forward_labels(ST.research_observations(spark, sf), ST.SERIES, ST.HORIZONS_S, ST.WIDTH)
 
 
 def forward_outcomes(spark, sf):
-    def part(name, tf_s):
-        rows = labelled(spark, sf, name)
-        return OB.melt_labels(rows, ST.HORIZONS_S, ["instrument", "timeframe", "t", "active"])
-
-    return tidy(_over_timeframes(part).withColumnRenamed("t", "open_s"))
+    rows = OB.melt_labels(labelled(spark, sf), ST.HORIZONS_S, ["instrument", "timeframe", "t", "active"])
+    return tidy(rows.withColumnRenamed("t", "open_s"))
 
 
 def observation_audit(spark, sf):
-    return tidy(
-        _over_timeframes(lambda name, _: OB.observation_audit(labelled(spark, sf, name), ST.SERIES, ST.HORIZONS_S))
-    )
+    return tidy(OB.observation_audit(labelled(spark, sf), ST.SERIES, ST.HORIZONS_S))
 
 
 def band_features(spark, sf):
-    rows = _over_timeframes(
-        lambda name, s: FE.band_features(ST.research_observations(spark, sf, name), s, ST.LOOKBACKS, ST.WIDTH)
-    )
+    rows = FE.band_features(ST.research_observations(spark, sf), ST.LOOKBACKS, ST.BARS)
     return tidy(rows.select("instrument", "timeframe", F.col("t").alias("open_s"), "lookback", "middle", "dispersion", "z"))
 
 
 def vwap_features(spark, sf):
-    rows = _over_timeframes(
-        lambda name, s: FE.vwap_features(ST.research_observations(spark, sf, name), s, ST.LOOKBACKS, ST.WIDTH)
-    )
-    return tidy(_vwap_columns(rows))
+    return tidy(_vwap_columns(FE.vwap_features(ST.research_observations(spark, sf), ST.LOOKBACKS, ST.BARS)))
 
 
 def fine_vwap_features(spark, sf):
-    fine = ST.observations(spark, sf)
-    rows = _over_timeframes(
-        lambda name, s: FE.fine_vwap_features(fine, ST.research_observations(spark, sf, name), s, ST.LOOKBACKS, ST.WIDTH)
-    )
-    return tidy(_vwap_columns(rows))
+    fine, obs = ST.observations(spark, sf), ST.research_observations(spark, sf)
+    return tidy(_vwap_columns(FE.fine_vwap_features(fine, obs, ST.LOOKBACKS, ST.BARS)))
 
 
 def _vwap_columns(rows):
@@ -66,47 +43,33 @@ def _vwap_columns(rows):
     )
 
 
-def _benchmark(spark, sf, features, group, contexts):
+def _benchmark(spark, sf, features, group, contexts=None):
     """Signals of every threshold joined to labels, summarised by direction incl. all."""
-    out = None
-    for name, tf_s in ST.TIMEFRAMES.items():
-        obs = labelled(spark, sf, name)
-        rows = features(obs, name, tf_s)
-        long = OB.melt_labels(
-            rows, ST.HORIZONS_S, ["instrument", "timeframe", *group, "lookback", "active", "z"]
-        )
-        months = SU.active_months(obs, ["instrument", "timeframe"])
-        part = SU.benchmark_summary(
-            long, ["instrument", "timeframe", *group, "lookback"], ST.THRESHOLDS, months, contexts
-        )
-        out = part if out is None else out.unionByName(part)
-    return out
+    obs = labelled(spark, sf)
+    keys = ["instrument", "timeframe", *group, "lookback"]
+    # Four consumers (statistics, medians, grid, months) share one pass over the bars.
+    narrow = features(obs).select(*keys, "active", "z", *[f"ret_{h}" for h in ST.HORIZONS_S])
+    long = OB.melt_labels(stage(narrow), ST.HORIZONS_S, [*keys, "active", "z"])
+    months = SU.active_months(ST.research_observations(spark, sf), ["instrument", "timeframe"])
+    return SU.benchmark_summary(long, keys, ST.THRESHOLDS, months, contexts)
 
 
 def vwap_benchmark(spark, sf):
     """Session-anchored deviations against exact-clock returns."""
-    return tidy(
-        _benchmark(spark, sf, lambda obs, _, s: FE.vwap_features(obs, s, ST.LOOKBACKS, ST.WIDTH), ["anchor"], None)
-    )
+    return tidy(_benchmark(spark, sf, lambda obs: FE.vwap_features(obs, ST.LOOKBACKS, ST.BARS), ["anchor"]))
 
 
 def band_benchmark(spark, sf):
     """Rolling bands against exact-clock returns, overall and per overlapping session."""
-
-    def features(obs, _, s):
-        return ST.with_contexts(FE.band_features(obs, s, ST.LOOKBACKS, ST.WIDTH))
-
     sessions = (None, "asia", "london", "new_york")
+    features = lambda obs: ST.with_contexts(FE.band_features(obs, ST.LOOKBACKS, ST.BARS))
     return tidy(_benchmark(spark, sf, features, ["context"], ("context", sessions)))
 
 
 def fine_vwap_benchmark(spark, sf):
     fine = ST.observations(spark, sf)
-    return tidy(
-        _benchmark(
-            spark, sf, lambda obs, _, s: FE.fine_vwap_features(fine, obs, s, ST.LOOKBACKS, ST.WIDTH), ["anchor"], None
-        )
-    )
+    features = lambda obs: FE.fine_vwap_features(fine, obs, ST.LOOKBACKS, ST.BARS)
+    return tidy(_benchmark(spark, sf, features, ["anchor"]))
 
 
 def replication_inventory(spark, sf):
@@ -126,13 +89,12 @@ def replication_inventory(spark, sf):
 
 def exact_totals(spark, sf):
     """Order-independent totals of returns (decimal accumulation) next to the plain mean."""
-    def part(name, tf_s):
-        long = OB.melt_labels(labelled(spark, sf, name), ST.HORIZONS_S, ["instrument", "timeframe"])
-        return long.groupBy("instrument", "timeframe", "horizon_s").agg(
+    long = OB.melt_labels(labelled(spark, sf), ST.HORIZONS_S, ["instrument", "timeframe"])
+    return tidy(
+        long.groupBy("instrument", "timeframe", "horizon_s").agg(
             F.count("ret").alias("n"), SS.exact_sum(F.col("ret"), 12).alias("total"), F.avg("ret").alias("mean")
         )
-
-    return tidy(_over_timeframes(part))
+    )
 
 
 QUERIES = {

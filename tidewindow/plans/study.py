@@ -13,6 +13,7 @@ from tidewindow.sources.staging import stage
 
 STEP = D.BASE_S
 WIDTH = 7 * 86400  # chunk of an ordered series, in seconds
+BARS = 168  # chunk of an ordered series, in bars
 TIMEFRAMES = {"2h": 7200, "4h": 14400}
 LOOKBACKS = (4, 8)
 THRESHOLDS = (0.75, 1.25)
@@ -31,8 +32,9 @@ def observations(spark: SparkSession, sf: str) -> DataFrame:
     return OB.observe(D.bars(spark, sf))
 
 
-def research_observations(spark: SparkSession, sf: str, timeframe: str) -> DataFrame:
-    return OB.observe(RS.resample(D.bars(spark, sf), D.BASE, timeframe))
+def research_observations(spark: SparkSession, sf: str) -> DataFrame:
+    """Both signal timeframes from one pass over the base bars."""
+    return OB.observe(RS.resample(D.bars(spark, sf), D.BASE, *TIMEFRAMES))
 
 
 def _state_columns(df: DataFrame, family: str, session, e0: str) -> DataFrame:
@@ -58,21 +60,16 @@ def with_contexts(rows: DataFrame) -> DataFrame:
 
 def states(spark: SparkSession, sf: str) -> DataFrame:
     """All valid states of three families on both signal timeframes."""
-    out = None
-    fine = observations(spark, sf)
-    for name, tf_s in TIMEFRAMES.items():
-        obs = research_observations(spark, sf, name)
-        band = FE.band_features(obs, tf_s, LOOKBACKS, WIDTH).where(F.col("z").isNotNull())
-        native = FE.vwap_features(obs, tf_s, LOOKBACKS, WIDTH).where(F.col("z").isNotNull())
-        sampled = FE.fine_vwap_features(fine, obs, tf_s, LOOKBACKS, WIDTH).where(F.col("z").isNotNull())
-        parts = (
-            _state_columns(with_contexts(band), "band", F.col("context"), "middle"),
-            _state_columns(native, "vwap", F.col("anchor"), "vwap"),
-            _state_columns(sampled, "vwap-fine", F.col("anchor"), "vwap"),
-        )
-        for part in parts:
-            out = part if out is None else out.unionByName(part)
-    return out
+    fine, obs = observations(spark, sf), research_observations(spark, sf)
+    valid = F.col("z").isNotNull()
+    band = FE.band_features(obs, LOOKBACKS, BARS).where(valid)
+    native = FE.vwap_features(obs, LOOKBACKS, BARS).where(valid)
+    sampled = FE.fine_vwap_features(fine, obs, LOOKBACKS, BARS).where(valid)
+    return (
+        _state_columns(with_contexts(band), "band", F.col("context"), "middle")
+        .unionByName(_state_columns(native, "vwap", F.col("anchor"), "vwap"))
+        .unionByName(_state_columns(sampled, "vwap-fine", F.col("anchor"), "vwap"))
+    )
 
 
 def two_sided_states(spark: SparkSession, sf: str, threshold: float = THRESHOLD) -> DataFrame:
