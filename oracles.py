@@ -9,7 +9,8 @@ QUERIES: dict[str, str] = {}
 
 
 def r(x: str) -> str:
-    return f"CASE WHEN abs({x}) < 5e-7 THEN 0::DOUBLE ELSE round({x}, 6) END"
+    return (f"CASE WHEN abs({x}) < 1e-6::DOUBLE THEN 0::DOUBLE WHEN abs({x}) < 1000 THEN round({x} + 2.71828e-7::DOUBLE, 6) "
+            f"ELSE round({x} + 2.71828e-4::DOUBLE, 3) END")
 
 
 def cte(name: str, sql: str) -> None:
@@ -755,7 +756,7 @@ SELECT {CC}, count(*) AS trades, avg(net_adverse) AS mean_net, avg(net_favorable
  coalesce(sum(CASE WHEN net_adverse > 0 THEN net_adverse END), 0) AS gains, coalesce(-sum(CASE WHEN net_adverse < 0 THEN net_adverse END), 0) AS losses,
  avg(pips_adverse) AS mean_gross, avg(spread + slippage + commission) AS mean_cost, max(spread + commission) AS fixed0, """
     + ", ".join(f"{nearest('net_adverse', p)} AS {n}" for n, p in QS[:5]) + " FROM priced GROUP BY 1, 2, 3, 4, 5, 6, 7, 8, 9")
-PF = "CASE WHEN losses > 0 THEN round(gains / losses, 6) WHEN gains > 0 THEN 'inf'::DOUBLE ELSE 0::DOUBLE END"
+PF = "CASE WHEN losses > 0 THEN " + r('gains / losses') + " WHEN gains > 0 THEN 'inf'::DOUBLE ELSE 0::DOUBLE END"
 query("cost_cells", f"SELECT {CC}, trades, " + ", ".join(f"{r(c)} AS {c}" for c in (
     "mean_net", "mean_net_favorable", "win_fraction", "loss_fraction", "zero_fraction", "mean_gross", "mean_cost", *[n for n, _ in QS[:5]]))
       + f", {PF} AS profit_factor, {r('mean_gross - fixed0 - slippage')} AS headroom FROM ccells")
@@ -764,3 +765,123 @@ SELECT instrument, benchmark_family, session, statistic, slippage, count(*) AS c
  {r('count(*) FILTER (mean_net > 0) / count(*)::DOUBLE')} AS net_positive_fraction, count(*) FILTER (mean_gross > 0) AS gross_positive,
  {r('coalesce(count(*) FILTER (mean_gross > 0 AND mean_net > 0) / nullif(count(*) FILTER (mean_gross > 0), 0)::DOUBLE, 0)')} AS surviving_fraction
 FROM ccells GROUP BY 1, 2, 3, 4, 5""")
+
+# ================================================================ families
+SCOPE = "signal_timeframe = '2h' AND session = 'london' AND direction = -1"
+cte("scands", f"SELECT * FROM cands WHERE {SCOPE}")
+
+
+def _overlap(keys, definition, lookback):
+    return f"""
+SELECT instrument, '{definition}' AS definition, {lookback} AS lookback, CAST(sum(b) AS BIGINT) AS band_clocks, CAST(sum(v) AS BIGINT) AS vwap_clocks,
+ CAST(sum(b * v) AS BIGINT) AS both_clocks, CAST(sum(b * (1 - v)) AS BIGINT) AS band_only_clocks,
+ {r('sum(b * (1 - v)) / nullif(sum(b), 0)::DOUBLE')} AS band_only_rate, {r('sum(b * v) / nullif(sum(b), 0)::DOUBLE')} AS band_overlap_rate,
+ {r('sum(b * v) / nullif(sum(v), 0)::DOUBLE')} AS vwap_overlap_rate, count(*) AS union_clocks
+FROM (SELECT {keys}, max(CASE WHEN benchmark_family = 'band' THEN 1 ELSE 0 END) AS b, max(CASE WHEN benchmark_family <> 'band' THEN 1 ELSE 0 END) AS v
+      FROM scands GROUP BY ALL) GROUP BY 1, 2, 3"""
+
+
+query("family_overlap", _overlap("instrument, lookback, at", "strict-specification", "CAST(lookback AS VARCHAR)")
+      + " UNION ALL " + _overlap("instrument, at", "execution-level", "'all'"))
+cte("imm", "SELECT * FROM outs WHERE complete AND entry_mode = 'immediate'")
+cte("classed", f"""
+SELECT t.*, unnest(CASE WHEN benchmark_family = 'band' THEN ['band-standalone', CASE WHEN v THEN 'intersection' ELSE 'band-only' END]
+                   ELSE [CASE WHEN b THEN 'intersection' ELSE 'vwap-only' END] END) AS event_class
+FROM (SELECT * FROM imm WHERE {SCOPE}) t
+JOIN (SELECT instrument, at, bool_or(benchmark_family = 'band') AS b, bool_or(benchmark_family <> 'band') AS v FROM imm WHERE {SCOPE} GROUP BY 1, 2) f
+ON f.instrument = t.instrument AND f.at = t.at""")
+
+
+def streak(src, keys, value):
+    ks = ", ".join(keys)
+    return f"""
+SELECT {ks}, max(n) AS max_losing_streak FROM (
+ SELECT {ks}, grp, sum(loss) AS n FROM (
+  SELECT {ks}, loss, row_number() OVER (PARTITION BY {ks} ORDER BY at, candidate_event_id)
+         - row_number() OVER (PARTITION BY {ks}, loss ORDER BY at, candidate_event_id) AS grp
+  FROM (SELECT *, CASE WHEN {value} < 0 THEN 1 ELSE 0 END AS loss FROM {src})) GROUP BY {ks}, grp, loss) GROUP BY {ks}"""
+
+
+ECK = ["instrument", "event_class", "benchmark_family", "tp", "sl", "stop"]
+
+
+def on(a, b, keys):
+    return " AND ".join(f"{a}.{k} IS NOT DISTINCT FROM {b}.{k}" for k in keys)
+
+
+query("event_class_metrics", f"""
+SELECT b.*, {r('m.sd')} AS monthly_std, m.pm AS positive_months, m.tm AS total_months, m.wm AS worst_month, {r('m.wv')} AS worst_month_mean,
+       CAST(s.max_losing_streak AS BIGINT) AS max_losing_streak
+FROM (SELECT {", ".join(ECK)}, count(*) AS trades, count(DISTINCT candidate_event_id) AS candidates, count(DISTINCT at) AS clocks,
+ {r('count(*) / 12::DOUBLE')} AS trades_per_month, {r('avg(pips_adverse)')} AS expectancy,
+ {r('sum(CASE WHEN pips_adverse > 0 THEN pips_adverse ELSE 0 END) / nullif(-sum(CASE WHEN pips_adverse < 0 THEN pips_adverse ELSE 0 END), 0)')} AS profit_factor,
+ {r('avg(CASE WHEN pips_adverse > 0 THEN 1::DOUBLE ELSE 0::DOUBLE END)')} AS win_rate FROM classed GROUP BY ALL) b
+JOIN (SELECT {", ".join(ECK)}, stddev_samp(v) AS sd, count(*) FILTER (v > 0) AS pm, count(*) AS tm, arg_min(mo, (v, mo)) AS wm, min(v) AS wv
+      FROM (SELECT {", ".join(ECK)}, strftime(make_timestamp(at * 1000000), '%Y-%m') AS mo, avg(pips_adverse) AS v FROM classed GROUP BY ALL) GROUP BY ALL) m
+  ON {on('m', 'b', ECK)}
+JOIN ({streak('classed', ECK, 'pips_adverse')}) s ON {on('s', 'b', ECK)}""")
+query("plateau_breadth", f"""
+SELECT instrument, event_class, benchmark_family, count(*) AS cells, count(*) FILTER (e > 0) AS net_positive,
+ {r('count(*) FILTER (e > 0) / count(*)::DOUBLE')} AS net_positive_fraction, count(*) FILTER (e > 0) AS gross_positive,
+ CASE WHEN count(*) FILTER (e > 0) > 0 THEN 1::DOUBLE ELSE 0::DOUBLE END AS surviving_fraction
+FROM (SELECT instrument, event_class, benchmark_family, lookback, tp, sl, stop, avg(pips_adverse) AS e FROM classed GROUP BY ALL) GROUP BY 1, 2, 3""")
+CORK = ["instrument", "signal_timeframe", "session", "direction", "lookback", "tp", "sl", "stop"]
+query("outcome_correlation", f"""
+SELECT {", ".join("b." + k for k in CORK)}, v.benchmark_family AS vwap_family, count(*) AS pairs,
+       CASE WHEN max(b.pips_adverse) > min(b.pips_adverse) AND max(v.pips_adverse) > min(v.pips_adverse)
+            THEN {r('corr(b.pips_adverse, v.pips_adverse)')} END AS correlation
+FROM imm b JOIN imm v ON {on('b', 'v', CORK + ['at'])} AND b.benchmark_family = 'band' AND v.benchmark_family <> 'band'
+WHERE b.session IS NOT NULL GROUP BY ALL""")
+cte("cb", "SELECT DISTINCT instrument, at FROM cands WHERE benchmark_family = 'band'")
+cte("cv", "SELECT DISTINCT instrument, at FROM cands WHERE benchmark_family = 'vwap'")
+query("clock_sets", " UNION ALL ".join(
+    f"SELECT instrument, count(*) AS clocks, '{n}' AS \"set\" FROM ({q}) GROUP BY 1" for n, q in (
+        ("band", "SELECT * FROM cb"), ("vwap", "SELECT * FROM cv"), ("union", "SELECT * FROM cb UNION SELECT * FROM cv"),
+        ("both", "SELECT * FROM cb INTERSECT SELECT * FROM cv"), ("band_only", "SELECT * FROM cb EXCEPT SELECT * FROM cv"),
+        ("vwap_only", "SELECT * FROM cv EXCEPT SELECT * FROM cb"))))
+cte("atlas", f"""
+SELECT candidate_event_id, instrument, benchmark_family, signal_timeframe, session, direction, lookback, at, tp, sl, stop, 'gross' AS scenario, pips_adverse AS value FROM imm
+UNION ALL
+SELECT candidate_event_id, instrument, benchmark_family, signal_timeframe, session, direction, lookback, at, tp, sl, stop,
+       CASE statistic WHEN 'mean' THEN 'mean+0.0' WHEN 'p75' THEN 'p75+0.1' WHEN 'p90' THEN 'p90+0.2' ELSE 'p95+0.5' END, net_adverse
+FROM priced WHERE entry_mode = 'immediate' AND ((statistic = 'mean' AND slippage = 0) OR (statistic = 'p75' AND slippage = 0.1::DOUBLE)
+  OR (statistic = 'p90' AND slippage = 0.2::DOUBLE) OR (statistic = 'p95' AND slippage = 0.5::DOUBLE))""")
+ATK = ["instrument", "benchmark_family", "session", "tp", "sl", "stop", "scenario"]
+query("atlas_cells", f"""
+SELECT b.* EXCLUDE (gains, losses), {PF} AS profit_factor, m.* EXCLUDE ({", ".join(ATK)}), CAST(s.max_losing_streak AS BIGINT) AS max_losing_streak
+FROM (SELECT {", ".join(ATK)}, count(*) AS trades, {r('count(*) / 12::DOUBLE')} AS trades_per_month, count(DISTINCT candidate_event_id) AS candidates,
+ {r('avg(value)')} AS expectancy, {r('sum(value)')} AS total, {r('avg(CASE WHEN value > 0 THEN 1::DOUBLE ELSE 0::DOUBLE END)')} AS win_rate,
+ sum(CASE WHEN value > 0 THEN value ELSE 0 END) AS gains, -sum(CASE WHEN value < 0 THEN value ELSE 0 END) AS losses FROM atlas GROUP BY ALL) b
+JOIN (SELECT {", ".join(ATK)}, count(*) FILTER (v > 0) AS positive_months, count(*) FILTER (v < 0) AS negative_months, 12 - count(v) AS no_trade_months,
+ {r('min(coalesce(v, 0))')} AS worst_month, {r('max(coalesce(v, 0))')} AS best_month, {r('avg(coalesce(v, 0))')} AS monthly_mean, {r('stddev_pop(coalesce(v, 0))')} AS monthly_std
+ FROM (SELECT {", ".join("k." + x for x in ATK)}, k.mo, x.v FROM (SELECT DISTINCT {", ".join(ATK)}, mo FROM atlas, range(1, 13) g(mo)) k
+       LEFT JOIN (SELECT {", ".join(ATK)}, month(make_timestamp(at * 1000000)) AS mo, sum(value) AS v FROM atlas GROUP BY ALL) x ON {on('x', 'k', ATK + ['mo'])})
+ GROUP BY {", ".join(ATK)}) m ON {on('m', 'b', ATK)}
+JOIN ({streak('atlas', ATK, 'value')}) s ON {on('s', 'b', ATK)}""")
+cte("acell", f"SELECT {', '.join(ATK)}, avg(value) AS expectancy, count(*) AS trades FROM atlas GROUP BY ALL")
+query("setup_families", f"""
+SELECT c.*, t.candidates, t.opportunities FROM (
+ SELECT instrument, benchmark_family, session, scenario, count(*) AS exit_cells, count(*) FILTER (expectancy > 0) AS positive_cells,
+  {r('count(*) FILTER (expectancy > 0) / count(*)::DOUBLE')} AS positive_fraction, {r('min(expectancy)')} AS min_expectancy, {r('max(expectancy)')} AS max_expectancy,
+  {r('median(expectancy)')} AS median_expectancy FROM acell GROUP BY 1, 2, 3, 4) c
+JOIN (SELECT instrument, benchmark_family, session, count(DISTINCT candidate_event_id) AS candidates, count(DISTINCT (instrument, signal_timeframe, at, direction)) AS opportunities
+      FROM imm GROUP BY 1, 2, 3) t ON {on('t', 'c', ['instrument', 'benchmark_family', 'session'])}""")
+query("execution_families", """
+SELECT instrument, session, direction, count(DISTINCT (instrument, signal_timeframe, at, direction)) AS opportunities,
+ count(DISTINCT (benchmark_family, lookback, signal_timeframe)) AS memberships,
+ array_to_string(list_sort(list(DISTINCT benchmark_family)), '|') AS variants, array_to_string(list_sort(list(DISTINCT CAST(lookback AS VARCHAR))), '|') AS lookbacks
+FROM imm GROUP BY 1, 2, 3""")
+HYK = ["benchmark_family", "session", "tp", "sl", "stop"]
+cte("hyp", f"""
+SELECT *, printf('H%04d', dense_rank() OVER (ORDER BY {", ".join(k + " NULLS FIRST" for k in HYK)})) AS hypothesis_id FROM acell""")
+query("hypotheses", f"""
+SELECT {", ".join(HYK)}, scenario, count(DISTINCT instrument) AS instruments_tested, count(*) FILTER (expectancy > 0) AS instruments_positive, hypothesis_id
+FROM hyp GROUP BY ALL""")
+query("hypothesis_support", f"SELECT hypothesis_id, scenario, instrument, {r('expectancy')} AS expectancy FROM hyp")
+query("reference_overlap", f"""
+WITH ex AS (SELECT DISTINCT instrument, benchmark_family, session, signal_timeframe, at, direction FROM imm),
+ rf AS (SELECT DISTINCT instrument, signal_timeframe, at, direction FROM imm WHERE {SCOPE} AND benchmark_family <> 'band')
+SELECT instrument, benchmark_family, session, opportunities, intersection, {r('intersection / opportunities::DOUBLE')} AS overlap_rate,
+ opportunities - intersection AS unique_to_setup, (SELECT count(*) FROM rf) - intersection AS reference_only
+FROM (SELECT e.instrument, e.benchmark_family, e.session, count(*) AS opportunities, count(f.at) AS intersection FROM ex e LEFT JOIN rf f
+ ON f.instrument = e.instrument AND f.signal_timeframe = e.signal_timeframe AND f.at = e.at AND f.direction = e.direction GROUP BY 1, 2, 3)""")

@@ -110,121 +110,132 @@ def race(candidates: DataFrame, horizons, levels=(0.25, 0.50)) -> DataFrame:
     return rows.select(*keep, F.explode(F.array(*[at(h) for h in horizons])).alias("_h")).select(*keep, "_h.*")
 
 
-def barrier_outcomes(entries: DataFrame, stops, tps=TP_FRACTIONS, sls=SL_FRACTIONS) -> DataFrame:
-    """Outcome of every grid cell for every executed entry.
-
-    The path is walked once per entry for running extremes and once per barrier level; the
-    cells then only pick.  ``status``: executed, passed (target behind the entry), no_entry.
-    """
-    c = F.col
-    d, scale, longest = c("direction"), F.abs(c("d0")), max(stops)
-    rows = entries.withColumn(
-        "_p",
-        F.transform(
-            F.filter("path", lambda x: (x["m"] > c("wait")) & (x["m"] <= c("wait") + longest)),
-            lambda x: F.struct(
-                (x["m"] - c("wait")).alias("m"),
-                x["close"].alias("close"),
-                _fav(x).alias("fr"),
-                _adv(x).alias("ar"),
-                F.greatest(F.lit(0.0), d * (x["high"] - c("entry_price")), d * (x["low"] - c("entry_price"))).alias("f"),
-                F.greatest(
-                    F.lit(0.0), -d * (x["high"] - c("entry_price")), -d * (x["low"] - c("entry_price"))
-                ).alias("a"),
-            ),
+def _excursion(sign: int, x: Column) -> Column:
+    d, entry = F.col("direction"), F.col("entry_price")
+    return F.greatest(F.lit(0.0), sign * d * (x["high"] - entry), sign * d * (x["low"] - entry))
+
+
+def _walk(entries: DataFrame, longest: int) -> DataFrame:
+    """Adds the entry's own path ``_p`` and ``_run``: certain extremes before each of its bars."""
+    wait = F.col("wait")
+    own = F.transform(
+        F.filter("path", lambda x: (x["m"] > wait) & (x["m"] <= wait + longest)),
+        lambda x: F.struct(
+            (x["m"] - wait).alias("m"),
+            x["close"].alias("close"),
+            _fav(x).alias("fr"),
+            _adv(x).alias("ar"),
+            _excursion(1, x).alias("f"),
+            _excursion(-1, x).alias("a"),
         ),
     )
-    zero = "named_struct('f', 0.0D, 'tf', 0, 'a', 0.0D, 'ta', 0)"
-    # Running certain extremes after each bar; ties keep the earlier step.
+    # Element i holds the extremes of the first i bars; ties keep the earlier step.
     running = F.expr(
-        f"""aggregate(_p, array({zero}), (s, x) -> concat(s, array(named_struct(
-              'f', greatest(element_at(s, -1).f, x.f),
-              'tf', if(x.f > element_at(s, -1).f, x.m, element_at(s, -1).tf),
-              'a', greatest(element_at(s, -1).a, x.a),
-              'ta', if(x.a > element_at(s, -1).a, x.m, element_at(s, -1).ta)))))"""
+        """aggregate(_p, array(named_struct('f', 0.0D, 'tf', 0, 'a', 0.0D, 'ta', 0)), (s, x) -> concat(s, array(
+             named_struct('f', greatest(element_at(s, -1).f, x.f),
+                          'tf', if(x.f > element_at(s, -1).f, x.m, element_at(s, -1).tf),
+                          'a', greatest(element_at(s, -1).a, x.a),
+                          'ta', if(x.a > element_at(s, -1).a, x.m, element_at(s, -1).ta)))))"""
+    )
+    walked = entries.withColumn("_p", F.when(F.col("executed"), own)).withColumn("_run", running)
+    return walked.withColumn("_m", F.transform("_p", lambda x: x["m"])).drop("path")
+
+
+def _barrier(condition) -> Column:
+    """First bar that touches: its step and extremes, and what was certain before it."""
+    bar = F.get(F.filter("_p", condition), F.lit(0))
+    before = F.get("_run", F.array_position("_m", bar["m"]).cast("int") - 1)
+    return F.when(
+        bar["m"].isNotNull(),
+        F.struct(bar["m"].alias("at"), bar["f"].alias("f"), bar["a"].alias("a"), before.alias("before")),
     )
-    hits = {}
-    for tp in tps:
-        hits[f"_tp{round(tp * 100)}"] = first_step("_p", lambda x: x["fr"] >= tp)
-    for sl in sls:
-        if sl is not None:
-            hits[f"_sl{round(sl * 100)}"] = first_step("_p", lambda x: x["ar"] <= -sl)
-    rows = rows.withColumns({"_run": running, **hits})
-
-    def cell(tp, sl, stop):
-        tp_at = F.when(c(f"_tp{round(tp * 100)}") <= stop, c(f"_tp{round(tp * 100)}"))
-        sl_at = F.lit(None).cast("int")
-        if sl is not None:
-            sl_at = F.when(c(f"_sl{round(sl * 100)}") <= stop, c(f"_sl{round(sl * 100)}"))
-        return F.struct(
-            F.lit(float(tp)).alias("tp"),
-            F.lit(sl).cast("double").alias("sl"),
-            F.lit(stop).alias("stop"),
-            tp_at.alias("tp_at"),
-            sl_at.alias("sl_at"),
-        )
 
+
+def _clock(stop: int) -> Column:
+    """Close at the deadline (NULL when that bar is missing) and the extremes up to it."""
+    bar = F.get(F.filter("_p", lambda x: x["m"] == stop), F.lit(0))
+    seen = F.size(F.filter("_m", lambda m: m <= stop))
+    return F.struct(bar["close"].alias("close"), F.get("_run", seen).alias("upto"))
+
+
+def barrier_outcomes(entries: DataFrame, stops, tps=TP_FRACTIONS, sls=SL_FRACTIONS) -> DataFrame:
+    """Outcome of every grid cell for every entry.
+
+    The path is walked once per entry, each barrier level and deadline is resolved once, and
+    the cells only combine those few structs.  ``status``: executed, passed (the target is
+    already behind the entry) or no_entry.
+    """
+    c = F.col
+    d, scale = c("direction"), F.abs(c("d0"))
+    tag = lambda v: f"{round(v * 100)}"
+    rows = _walk(entries, max(stops))
+    resolved = {f"_tp{tag(v)}": _barrier(lambda x: x["fr"] >= v) for v in tps}
+    resolved |= {f"_sl{tag(v)}": _barrier(lambda x: x["ar"] <= -v) for v in sls if v is not None}
+    resolved |= {f"_stop{v}": _clock(v) for v in stops}
     keep = [x for x in entries.columns if x != "path"]
-    cells = F.array(*[cell(tp, sl, stop) for tp in tps for sl in sls for stop in stops])
-    rows = rows.select(*keep, "_p", "_run", F.inline(cells))
-    status = (
-        F.when(~c("executed"), "no_entry").when(c("r_at_entry") >= c("tp"), "passed").otherwise("executed")
+    rows = rows.withColumns(resolved).select(*keep, *resolved)
+    no_stop = F.lit(None).cast(rows.schema[f"_tp{tag(tps[0])}"].dataType)
+    cells = F.array(
+        *[
+            F.struct(
+                F.lit(float(tp)).alias("tp"),
+                F.lit(sl).cast("double").alias("sl"),
+                F.lit(stop).alias("stop"),
+                c(f"_tp{tag(tp)}").alias("_tp"),
+                (no_stop if sl is None else c(f"_sl{tag(sl)}")).alias("_sl"),
+                c(f"_stop{stop}").alias("_clock"),
+            )
+            for tp in tps
+            for sl in sls
+            for stop in stops
+        ]
     )
-    touch = F.least("tp_at", "sl_at")
-    deadline = F.get(F.filter("_p", lambda x: x["m"] == c("stop")), F.lit(0))
-    rows = rows.withColumns({"status": status, "_touch": touch}).withColumns(
+    rows = rows.select(*keep, F.inline(cells))
+    tp_at = F.when(c("_tp.at") <= c("stop"), c("_tp.at"))
+    sl_at = F.when(c("_sl.at") <= c("stop"), c("_sl.at"))
+    status = F.when(~c("executed"), "no_entry").when(c("r_at_entry") >= c("tp"), "passed").otherwise("executed")
+    rows = rows.withColumns({"status": status, "_touch": F.least(tp_at, sl_at)})
+    touched, live = c("_touch").isNotNull(), c("status") == "executed"
+    rows = rows.withColumns(
         {
-            "_deadline_close": deadline["close"],
-            "_bars_before": F.size(F.filter("_p", lambda x: x["m"] < F.coalesce(c("_touch"), c("stop") + 1))),
+            "complete": live & (touched | c("_clock.close").isNotNull()),
+            "_by_tp": touched & F.coalesce(tp_at == c("_touch"), F.lit(False)),
+            "_by_sl": touched & F.coalesce(sl_at == c("_touch"), F.lit(False)),
+            "_tp_price": c("p0") + d * c("tp") * scale,
+            "_sl_price": c("p0") - d * c("sl") * scale,
         }
     )
-    live = c("status") == "executed"
-    timed = c("_touch").isNull() & c("_deadline_close").isNotNull()
-    complete = live & (c("_touch").isNotNull() | timed)
-    both = c("tp_at") == c("sl_at")
-    tp_first = c("_touch").isNotNull() & (c("tp_at") == c("_touch"))
-    sl_first = c("_touch").isNotNull() & (c("sl_at") == c("_touch"))
-    tp_price = c("p0") + d * c("tp") * scale
-    sl_price = c("p0") - d * c("sl") * scale
-    adverse = F.when(sl_first, sl_price).when(tp_first, tp_price).otherwise(c("_deadline_close"))
-    favorable = F.when(tp_first, tp_price).when(sl_first, sl_price).otherwise(c("_deadline_close"))
-    certain = F.get("_run", c("_bars_before"))
-    touched = F.get(F.filter("_p", lambda x: x["m"] == c("_touch")), F.lit(0))
-    alone = ~F.coalesce(both, F.lit(False))
-    exit_f = F.when(tp_first & alone, F.greatest(F.lit(0.0), d * (tp_price - c("entry_price")))).otherwise(0.0)
-    exit_a = F.when(sl_first & alone, F.greatest(F.lit(0.0), -d * (sl_price - c("entry_price")))).otherwise(0.0)
+    done, by_tp, by_sl = c("complete"), c("_by_tp"), c("_by_sl")
+    bar = F.when(by_tp, c("_tp")).when(by_sl, c("_sl"))
+    certain = F.when(touched, bar["before"]).otherwise(c("_clock.upto"))
+    gain = F.greatest(F.lit(0.0), d * (c("_tp_price") - c("entry_price")))
+    loss = F.greatest(F.lit(0.0), -d * (c("_sl_price") - c("entry_price")))
+    adverse = F.when(by_sl, c("_sl_price")).when(by_tp, c("_tp_price")).otherwise(c("_clock.close"))
+    favorable = F.when(by_tp, c("_tp_price")).when(by_sl, c("_sl_price")).otherwise(c("_clock.close"))
     rows = rows.withColumns(
         {
-            "complete": complete,
             "exit_reason": F.when(
-                complete,
-                F.when(timed, "time_stop")
-                .when(tp_first & sl_first, "ambiguous")
-                .when(tp_first, "tp")
-                .otherwise("sl"),
+                done,
+                F.when(~touched, "time_stop").when(by_tp & by_sl, "ambiguous").when(by_tp, "tp").otherwise("sl"),
             ),
-            "holding": F.when(complete, F.coalesce(c("_touch"), c("stop"))),
-            "_adverse": F.when(complete, adverse),
-            "_favorable": F.when(complete, favorable),
-            "_certain": F.when(live, certain),
-            "_exit_f": exit_f,
-            "_exit_a": exit_a,
-            "_full": touched,
+            "holding": F.when(done, F.coalesce("_touch", "stop")),
+            "ambiguous": done & by_tp & by_sl,
+            "gross_adverse": F.when(done, d * (adverse - c("entry_price"))),
+            "gross_favorable": F.when(done, d * (favorable - c("entry_price"))),
+            "_bar": bar,
+            "_certain": certain,
+            "_exit_f": F.when(by_tp & ~by_sl, gain).otherwise(0.0),
+            "_exit_a": F.when(by_sl & ~by_tp, loss).otherwise(0.0),
         }
     )
-    gross = lambda price: d * (price - c("entry_price"))
-    zero_if_none = lambda x: F.coalesce(x, F.lit(0.0))
     rows = rows.withColumns(
         {
-            "gross_adverse": gross(c("_adverse")),
-            "gross_favorable": gross(c("_favorable")),
-            "mae": F.when(live, F.greatest(c("_certain.a"), c("_exit_a"))),
-            "mfe": F.when(live, F.greatest(c("_certain.f"), c("_exit_f"))),
-            "mae_bound": F.when(complete, F.greatest(c("_certain.a"), c("_exit_a"), zero_if_none(c("_full.a")))),
-            "mfe_bound": F.when(complete, F.greatest(c("_certain.f"), c("_exit_f"), zero_if_none(c("_full.f")))),
-            "time_to_mae": F.when(live & (c("_exit_a") > c("_certain.a")), c("_touch")).otherwise(c("_certain.ta")),
-            "time_to_mfe": F.when(live & (c("_exit_f") > c("_certain.f")), c("_touch")).otherwise(c("_certain.tf")),
-            "ambiguous": F.coalesce(c("exit_reason") == "ambiguous", F.lit(False)),
+            "mae": F.when(live, F.greatest("_certain.a", "_exit_a")),
+            "mfe": F.when(live, F.greatest("_certain.f", "_exit_f")),
+            "mae_bound": F.when(done, F.greatest("_certain.a", "_exit_a", "_bar.a")),
+            "mfe_bound": F.when(done, F.greatest("_certain.f", "_exit_f", "_bar.f")),
+            "time_to_mae": F.when(live, F.when(c("_exit_a") > c("_certain.a"), c("_touch")).otherwise(c("_certain.ta"))),
+            "time_to_mfe": F.when(live, F.when(c("_exit_f") > c("_certain.f"), c("_touch")).otherwise(c("_certain.tf"))),
         }
     )
     return rows.withColumns(
@@ -238,7 +249,4 @@ def barrier_outcomes(entries: DataFrame, stops, tps=TP_FRACTIONS, sls=SL_FRACTIO
             "mae_pips": c("mae") / c("pip"),
             "mfe_pips": c("mfe") / c("pip"),
         }
-    ).drop(
-        "_p", "_run", "tp_at", "sl_at", "_touch", "_deadline_close", "_bars_before", "_adverse", "_favorable",
-        "_certain", "_exit_f", "_exit_a", "_full",
-    )
+    ).drop(*[x for x in rows.columns if x.startswith("_")])

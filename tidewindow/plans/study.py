@@ -37,6 +37,13 @@ def research_observations(spark: SparkSession, sf: str) -> DataFrame:
     return OB.observe(RS.resample(D.bars(spark, sf), D.BASE, *TIMEFRAMES))
 
 
+def staged_observations(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
+    """Base and research observations, each written once: ticks are scanned a single time."""
+    base = stage(observations(spark, sf))
+    bars = base.drop("t", "k", "at", "tf_s", "active", "active_sessions")
+    return base, stage(OB.observe(RS.resample(bars, D.BASE, *TIMEFRAMES)))
+
+
 def _state_columns(df: DataFrame, family: str, session, e0: str) -> DataFrame:
     return df.select(
         "instrument",
@@ -60,7 +67,7 @@ def with_contexts(rows: DataFrame) -> DataFrame:
 
 def states(spark: SparkSession, sf: str) -> DataFrame:
     """All valid states of three families on both signal timeframes."""
-    fine, obs = observations(spark, sf), research_observations(spark, sf)
+    fine, obs = staged_observations(spark, sf)
     valid = F.col("z").isNotNull()
     band = FE.band_features(obs, LOOKBACKS, BARS).where(valid)
     native = FE.vwap_features(obs, LOOKBACKS, BARS).where(valid)
@@ -78,7 +85,8 @@ def two_sided_states(spark: SparkSession, sf: str, threshold: float = THRESHOLD)
 
 def candidates(spark: SparkSession, sf: str, sides: DataFrame | None = None) -> DataFrame:
     """Re-armed events over the whole history, with pip and conversion flag."""
-    sides = two_sided_states(spark, sf) if sides is None else sides
+    # The carry reads its input three times (rows, chunk summaries, chunk list): write it once.
+    sides = stage(two_sided_states(spark, sf)) if sides is None else sides
     events = EV.rearmed(sides, THRESHOLD, WIDTH)
     return events.withColumns({"pip": D.pip(), "converted": D.converted()}).drop("active", "qualifying", "close")
 
@@ -125,9 +133,17 @@ def races(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def r6(x):
-    """Six decimals, never a negative zero: two engines may add in different order."""
+    """Six decimals (three from 1000 on), never a negative zero.
+
+    Two engines may add in different order, and many values here are exact decimal halves:
+    a fixed off-grid nudge keeps such ties clear of the rounding edge on both sides.
+    """
     x = F.col(x) if isinstance(x, str) else x
-    return F.when(F.abs(x) < 5e-7, F.lit(0.0)).otherwise(F.round(x, 6))
+    return (
+        F.when(F.abs(x) < 1e-6, F.lit(0.0))
+        .when(F.abs(x) < 1000, F.round(x + 2.71828e-7, 6))
+        .otherwise(F.round(x + 2.71828e-4, 3))
+    )
 
 
 def tidy(df: DataFrame, ints=()) -> DataFrame:
