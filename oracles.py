@@ -885,3 +885,245 @@ SELECT instrument, benchmark_family, session, opportunities, intersection, {r('i
  opportunities - intersection AS unique_to_setup, (SELECT count(*) FROM rf) - intersection AS reference_only
 FROM (SELECT e.instrument, e.benchmark_family, e.session, count(*) AS opportunities, count(f.at) AS intersection FROM ex e LEFT JOIN rf f
  ON f.instrument = e.instrument AND f.signal_timeframe = e.signal_timeframe AND f.at = e.at AND f.direction = e.direction GROUP BY 1, 2, 3)""")
+
+# ================================================================ process
+PRC = "instrument, benchmark_family, signal_timeframe, session, lookback"
+cte("resid", f"SELECT {PRC}, at, any_value(close) AS p0, any_value(e0) AS e0, any_value(close) - any_value(e0) AS dev FROM sides GROUP BY {PRC}, at")
+query("residual_rows", f"SELECT {PRC}, count(*) AS rows, {r('avg(dev)')} AS mean_deviation, max(at) AS last_s FROM resid GROUP BY 1, 2, 3, 4, 5")
+cte("trans", f"""
+SELECT *, count(x) OVER (PARTITION BY {PRC} ORDER BY at ROWS UNBOUNDED PRECEDING) AS transitions
+FROM (SELECT *, CASE signal_timeframe WHEN '2h' THEN 7200 ELSE 14400 END AS tf,
+             CASE WHEN at - lag(at) OVER q = CASE signal_timeframe WHEN '2h' THEN 7200 ELSE 14400 END THEN lag(dev) OVER q END AS x
+      FROM resid WINDOW q AS (PARTITION BY {PRC} ORDER BY at))""")
+cte("pairs", f"SELECT {PRC}, transitions AS rk, x, dev AS y FROM trans WHERE x IS NOT NULL")
+cte("fits", f"""
+SELECT a.*, sxy / sxx AS phi0 FROM (
+ SELECT p.instrument, p.benchmark_family, p.signal_timeframe, p.session, p.lookback, p.rk, avg(o.x) AS mx, avg(o.y) AS my,
+  sum((o.x - g.mx) * (o.x - g.mx)) AS sxx, sum((o.x - g.mx) * (o.y - g.my)) AS sxy, sum((o.y - g.my) * (o.y - g.my)) AS syy
+ FROM pairs p JOIN pairs o ON {on('o', 'p', ['instrument', 'benchmark_family', 'signal_timeframe', 'session', 'lookback'])} AND o.rk BETWEEN p.rk - 15 AND p.rk
+ JOIN (SELECT {PRC}, rk, avg(x) OVER w AS mx, avg(y) OVER w AS my FROM pairs
+       WINDOW w AS (PARTITION BY {PRC} ORDER BY rk ROWS BETWEEN 15 PRECEDING AND CURRENT ROW)) g
+   ON {on('g', 'p', ['instrument', 'benchmark_family', 'signal_timeframe', 'session', 'lookback', 'rk'])}
+ WHERE p.rk >= 16 GROUP BY ALL) a""")
+cte("ou0", f"""
+SELECT t.*, f.phi0 AS phi, f.my - f.phi0 * f.mx AS intercept, greatest(0, f.syy - f.phi0 * f.sxy) AS sse, f.sxx, f.syy
+FROM trans t LEFT JOIN fits f ON {on('f', 't', ['instrument', 'benchmark_family', 'signal_timeframe', 'session', 'lookback'])} AND f.rk = t.transitions""")
+cte("ou1", """
+SELECT *, sse / 14 AS var0, CASE WHEN transitions < 16 THEN 'insufficient_history' WHEN phi <= 0 THEN 'phi_non_positive' WHEN phi >= 1 THEN 'phi_not_below_one' END AS invalid_reason,
+ CASE WHEN transitions < 16 THEN 'unavailable' WHEN phi <= 0 OR phi >= 1 THEN 'invalid' ELSE 'valid' END AS status FROM ou0""")
+cte("ou", """
+SELECT *, CASE WHEN status = 'valid' THEN -ln(phi) / (tf / 60::DOUBLE) END AS kappa, CASE WHEN status = 'valid' THEN intercept / (1 - phi) END AS long_run_mean,
+ CASE WHEN status = 'valid' THEN sqrt(var0) / sqrt(1 - phi * phi) END AS stationary_sigma,
+ CASE WHEN status = 'valid' THEN ln(2) / (-ln(phi) / (tf / 60::DOUBLE)) END AS half_life,
+ CASE WHEN status = 'valid' THEN (dev - intercept / (1 - phi)) / (sqrt(var0) / sqrt(1 - phi * phi)) END AS score FROM ou1""")
+query("process_states", f"""
+SELECT {PRC}, at, {r('dev')} AS deviation, transitions, status, invalid_reason, {r('phi')} AS phi, {r('intercept')} AS intercept, {r('sqrt(var0 / sxx)')} AS phi_se,
+ {r('CASE WHEN phi IS NOT NULL THEN sqrt(var0) END')} AS innovation_sigma, {r('1 - sse / syy')} AS r_squared, {r('kappa')} AS kappa, {r('long_run_mean')} AS long_run_mean, {r('half_life')} AS half_life,
+ {r('stationary_sigma')} AS stationary_sigma, {r('score')} AS score FROM ou""")
+cte("aligned", f"""
+SELECT c.*, o.status, o.invalid_reason, o.half_life, o.score FROM cands c LEFT JOIN ou o
+ON {on('o', 'c', ['instrument', 'benchmark_family', 'signal_timeframe', 'session', 'lookback', 'at'])}""")
+query("candidate_alignment", f"""
+SELECT benchmark_family, coalesce(status, 'missing') AS status, invalid_reason, count(*) AS candidates, {r('avg(half_life)')} AS mean_half_life
+FROM aligned GROUP BY 1, 2, 3""")
+cte("gated", """
+SELECT *, reason = 'eligible' AS eligible FROM (
+SELECT *, score * -direction AS ds, CASE WHEN NOT coalesce(session = 'london' AND direction = -1 AND benchmark_family <> 'band', false) THEN 'outside_frozen_signal_scope'
+ WHEN status IS NULL THEN 'missing_exact_state' WHEN status <> 'valid' THEN 'ou_status_' || status
+ WHEN score * -direction <= 0.5 THEN 'directional_score_not_strictly_above_threshold' WHEN half_life > 600 THEN 'half_life_above_cap' ELSE 'eligible' END AS reason FROM aligned)""")
+query("gate_decisions", f"SELECT candidate_event_id, eligible, reason AS eligibility_reason, {r('ds')} AS directional_score, {r('half_life')} AS half_life FROM gated")
+cte("replay", """
+SELECT o.instrument, o.pips_adverse, o.mfe / o.pip AS mfe_pips, o.mae / o.pip AS mae_pips, unnest(CASE WHEN g.eligible THEN ['ungated', 'gated'] ELSE ['ungated'] END) AS variant
+FROM imm o JOIN gated g USING (candidate_event_id)
+WHERE o.session = 'london' AND o.direction = -1 AND o.benchmark_family <> 'band' AND o.stop IN (12, 24) AND o.tp IN (0.75, 1) AND o.sl IN (0.25, 0.5)""")
+query("replay_comparison", f"""
+SELECT variant, instrument, n, {r('mean')} AS mean, {r('win_rate')} AS win_rate, {PF} AS profit_factor, {r('mean_mfe')} AS mean_mfe, {r('mean_mae')} AS mean_mae, {r('med')} AS median,
+ {r("n / max(CASE WHEN variant = 'ungated' THEN n END) OVER (PARTITION BY instrument)::DOUBLE")} AS retention
+FROM (SELECT variant, coalesce(instrument, 'ALL') AS instrument, count(*) AS n, avg(pips_adverse) AS mean, avg(CASE WHEN pips_adverse > 0 THEN 1::DOUBLE ELSE 0::DOUBLE END) AS win_rate,
+ sum(CASE WHEN pips_adverse > 0 THEN pips_adverse ELSE 0 END) AS gains, -sum(CASE WHEN pips_adverse < 0 THEN pips_adverse ELSE 0 END) AS losses, avg(mfe_pips) AS mean_mfe, avg(mae_pips) AS mean_mae,
+ median(pips_adverse) AS med FROM replay GROUP BY GROUPING SETS ((variant, instrument), (variant)))""")
+cte("shk", """
+SELECT *, last_value(kind IGNORE NULLS) OVER (PARTITION BY instrument, tf_s, lookback ORDER BY at ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS prev
+FROM (SELECT *, CASE WHEN abs(z) >= 1.5 THEN 'H' WHEN abs(z) < 0.5 THEN 'L' END AS kind FROM bandf WHERE z IS NOT NULL)""")
+cte("shk2", """
+SELECT *, coalesce(coalesce(kind, prev) = 'H', false) AS active1, coalesce(kind = 'H' AND (prev IS NULL OR prev = 'L'), false) AS emitted FROM shk""")
+query("band_shocks", """
+SELECT instrument, timeframe, lookback, at, active1 AS shock_active, emitted AS event_emitted, CASE WHEN active1 THEN sg ELSE 0 END AS shock_sign,
+ -CASE WHEN active1 THEN sg ELSE 0 END AS fade_direction
+FROM (SELECT *, last_value(CASE WHEN emitted THEN CAST(sign(z) AS INTEGER) END IGNORE NULLS) OVER (PARTITION BY instrument, tf_s, lookback ORDER BY at ROWS UNBOUNDED PRECEDING) AS sg FROM shk2)""")
+
+# ================================================================ levels and breakouts
+
+
+def utc(tz, day, minutes):
+    return f"epoch_us(timezone('{tz}', CAST({day} AS TIMESTAMP) + INTERVAL {minutes} MINUTE)) // 1000000"
+
+
+cte("fxd", f"""
+SELECT instrument, h, l, known, e0 FROM (
+ SELECT instrument, d, count(DISTINCT t) AS n, max(high) AS h, min(low) AS l, max(at) AS known, any_value({utc(NY, 'd', 1020)}) AS s0, any_value({utc(NY, 'd', 2460)}) AS e0
+ FROM (SELECT *, CAST({local(NY, 't')} - INTERVAL 17 HOUR AS DATE) AS d FROM bars) GROUP BY 1, 2) WHERE n * 3600 = e0 - s0""")
+cte("anchors", f"""
+SELECT d.instrument, 'previous-day' AS fam, d.day, NULL::DOUBLE AS h, NULL::DOUBLE AS l, {utc(NY, 'd.day', 1020)} AS known, {utc(NY, 'd.day', 1020)} AS ready, {utc(NY, 'd.day', 2460)} AS expires
+FROM (SELECT instrument, CAST({local(NY, 't')} AS DATE) AS day FROM bars GROUP BY 1, 2) d JOIN (SELECT instrument, max(at) AS mx FROM bars GROUP BY 1) m USING (instrument)
+WHERE {utc(NY, 'd.day', 1020)} <= m.mx
+UNION ALL
+SELECT instrument, 'asia-session', day, h, l, known, e, {utc('Asia/Tokyo', 'day + 1', 540)} FROM (
+ SELECT instrument, day, count(DISTINCT t) AS n, max(high) AS h, min(low) AS l, max(at) AS known, any_value({utc('Asia/Tokyo', 'day', 540)}) AS s, any_value({utc('Asia/Tokyo', 'day', 1080)}) AS e
+ FROM (SELECT *, CAST({local('Asia/Tokyo', 't')} AS DATE) AS day FROM bars WHERE {inside('Asia/Tokyo', 540, 1080, 't')}) GROUP BY 1, 2) WHERE n * 3600 = e - s
+UNION ALL
+SELECT instrument, 'london-opening', day, h, l, known, s + 7200, {utc('Europe/London', 'day', 1020)} FROM (
+ SELECT instrument, day, count(DISTINCT t) AS n, max(high) AS h, min(low) AS l, max(at) AS known, any_value({utc('Europe/London', 'day', 480)}) AS s
+ FROM (SELECT *, CAST({local('Europe/London', 't')} AS DATE) AS day FROM bars WHERE {inside('Europe/London', 480, 600, 't')}) GROUP BY 1, 2) WHERE n = 2""")
+cte("lvls", """
+SELECT instrument, fam || '-' || tag || '-' || strftime(day, '%Y-%m-%d') AS level_id, fam AS anchor_family, side, CASE WHEN tag = 'high' THEN hh ELSE ll END AS price, scale,
+ available_s, expires AS expires_s
+FROM (SELECT a.instrument, a.fam, a.day, a.expires, coalesce(a.h, f.h) AS hh, coalesce(a.l, f.l) AS ll, f.h - f.l AS scale, greatest(a.ready, a.known, f.known) AS available_s
+      FROM anchors a ASOF JOIN fxd f ON a.instrument = f.instrument AND a.ready >= f.e0), (VALUES ('upper', 'high'), ('lower', 'low')) s(side, tag)
+WHERE scale > 0 AND available_s < expires""")
+query("structural_levels", f"SELECT instrument, level_id, anchor_family, side, {r('price')} AS price, {r('scale')} AS scale, available_s, expires_s FROM lvls")
+cte("fb0", """
+SELECT l.*, d.d AS md, b.at, b.close, CASE WHEN side = 'upper' THEN b.close > price ELSE b.close < price END AS o,
+ greatest(0, CASE WHEN side = 'upper' THEN b.high - price ELSE price - b.low END) / scale AS depth, coalesce(b.at - b.pa <> 3600, false) AS gap
+FROM (SELECT *, lag(at) OVER (PARTITION BY instrument ORDER BY at) AS pa FROM bars) b
+JOIN lvls l ON l.instrument = b.instrument AND b.at > l.available_s AND b.at < l.expires_s, (VALUES (0::DOUBLE), (0.05::DOUBLE), (0.1::DOUBLE)) d(d)""")
+cte("fb1", """
+SELECT *, sum(CASE WHEN rn = 1 OR gap OR po IS DISTINCT FROM o THEN 1 ELSE 0 END) OVER (PARTITION BY instrument, level_id, md ORDER BY at ROWS UNBOUNDED PRECEDING) AS run
+FROM (SELECT *, row_number() OVER w AS rn, lag(o) OVER w AS po FROM fb0 WINDOW w AS (PARTITION BY instrument, level_id, md ORDER BY at))""")
+cte("fbrun", """
+SELECT instrument, level_id, md, run, bool_and(o) AS outside, arg_min(CASE WHEN rn = 1 THEN at - available_s <= 3600 ELSE NOT gap AND NOT po END, at) AS fresh,
+ min(CASE WHEN depth >= md THEN at END) AS broke, max(at) AS last_at FROM fb1 GROUP BY 1, 2, 3, 4""")
+cte("fb", """
+SELECT r.instrument, r.level_id, x.anchor_family, r.md AS minimum_depth, x.side, x.price, x.scale, CASE WHEN x.side = 'upper' THEN -1 ELSE 1 END AS direction, r.broke AS breakout_s, x.at,
+ x.close AS p0, (SELECT depth FROM fb1 q WHERE q.instrument = r.instrument AND q.level_id = r.level_id AND q.md = r.md AND q.at = r.broke) AS initial_depth,
+ (SELECT max(depth) FROM fb1 q WHERE q.instrument = r.instrument AND q.level_id = r.level_id AND q.md = r.md AND q.at BETWEEN r.broke AND x.at) AS max_depth,
+ (SELECT count(*) FROM fb1 q WHERE q.instrument = r.instrument AND q.level_id = r.level_id AND q.md = r.md AND q.run = r.run AND q.at >= r.broke) AS outside_closes,
+ (x.at - r.broke) // 3600 AS steps_to_reclaim, greatest(0, CASE WHEN x.side = 'upper' THEN x.price - x.close ELSE x.close - x.price END) / x.scale AS reclaim_inside
+FROM fbrun r JOIN fb1 x ON x.instrument = r.instrument AND x.level_id = r.level_id AND x.md = r.md AND x.at = r.last_at + 3600
+WHERE r.outside AND r.fresh AND r.broke IS NOT NULL AND NOT x.o AND NOT x.gap AND x.at <= r.broke + 6 * 3600""")
+query("failed_breakouts", f"""
+SELECT instrument, level_id, anchor_family, minimum_depth, side, {r('price')} AS price, {r('scale')} AS scale, direction, breakout_s, at, {r('p0')} AS p0, {r('initial_depth')} AS initial_depth,
+ {r('max_depth')} AS max_depth, outside_closes, steps_to_reclaim, {r('reclaim_inside')} AS reclaim_inside FROM fb""")
+
+
+def observed(name, src):
+    """Directional paths over eight steps for any event table with instrument, at, direction, p0."""
+    hs = ", ".join(f"max(CASE WHEN m = {h} THEN pc END) AS c{h}" for h in (1, 2, 4, 8))
+    cte(name, f"""
+SELECT e.*, coalesce(a.n, 0) = 8 AS path_complete, {", ".join(f"e.direction * (a.c{h} - e.p0) / {PIP.replace('instrument', 'e.instrument')} AS pips_h{h}" for h in (1, 2, 4, 8))},
+ CASE WHEN a.n = 8 THEN a.f / {PIP.replace('instrument', 'e.instrument')} END AS mfe_pips, CASE WHEN a.n = 8 THEN a.a / {PIP.replace('instrument', 'e.instrument')} END AS mae_pips
+FROM {src} e LEFT JOIN (SELECT instrument, at, direction, p0, count(*) AS n, {hs}, max(greatest(0, direction * (ph - p0), direction * (pl - p0))) AS f,
+   max(greatest(0, -direction * (ph - p0), -direction * (pl - p0))) AS a
+ FROM (SELECT s.instrument, s.at, s.direction, s.p0, (b.at - s.at) // 3600 AS m, b.high AS ph, b.low AS pl, b.close AS pc
+       FROM (SELECT DISTINCT instrument, at, direction, p0 FROM {src}) s JOIN bars b ON b.instrument = s.instrument AND b.at > s.at AND b.at <= s.at + 28800) GROUP BY ALL) a
+ON a.instrument = e.instrument AND a.at = e.at AND a.direction = e.direction AND a.p0 = e.p0""")
+
+
+observed("fbo", "fb")
+cte("fbu", "SELECT DISTINCT ON (instrument, at, direction) * FROM fbo ORDER BY instrument, at, direction, anchor_family, level_id")
+cte("fbud", "SELECT DISTINCT ON (instrument, at, direction, minimum_depth) * FROM fbo ORDER BY instrument, at, direction, minimum_depth, anchor_family, level_id")
+
+
+def text_map(src, keys, key):
+    ks = ", ".join(keys)
+    return f"(SELECT {ks}, max(n) AS top, array_to_string(list_sort(list(kk || '=' || n)), ',') AS txt FROM (SELECT {ks}, {key} AS kk, count(*) AS n FROM {src} GROUP BY ALL) GROUP BY {ks})"
+
+
+MONTH = "strftime(make_timestamp(at * 1000000), '%Y-%m')"
+QUARTER = "year(make_timestamp(at * 1000000)) || '-Q' || quarter(make_timestamp(at * 1000000))"
+
+
+def scope(src, keys):
+    a = ["count(*) AS events", "count(DISTINCT at) AS clocks"]
+    for h in (1, 2, 4, 8):
+        x = f"pips_h{h}"
+        a += [f"count({x}) AS n_h{h}", f"{r(f'avg({x})')} AS mean_h{h}", f"{r(f'avg(CASE WHEN {x} > 0 THEN 1::DOUBLE WHEN {x} IS NOT NULL THEN 0::DOUBLE END)')} AS win_rate_h{h}",
+              f"{r(f'coalesce(sum(CASE WHEN {x} > 0 THEN {x} END), 0) / nullif(-sum(CASE WHEN {x} < 0 THEN {x} END), 0)')} AS profit_factor_h{h}"]
+        a += [f"{r(f'quantile_cont({x}, {p})')} AS {x}_{n}" for n, p in QS[:5]]
+    a += ["count(*) FILTER (path_complete) AS complete_paths"]
+    for m in ("mfe", "mae"):
+        a += [f"{r(f'avg({m}_pips)')} AS mean_{m}_pips", f"{r(f'median({m}_pips)')} AS {m}_pips_median"]
+    a += [f"{r('CASE WHEN median(mae_pips) > 0 THEN median(mfe_pips) / median(mae_pips) END')} AS mfe_to_mae"]
+    return f"""
+SELECT b.*, mo.txt AS month_counts, qu.txt AS quarter_counts, ins.txt AS instrument_counts, len(string_split(mo.txt, ',')) AS active_months,
+ {r('ins.top / b.events::DOUBLE')} AS max_instrument_share, {r('qu.top / b.events::DOUBLE')} AS max_quarter_share
+FROM (SELECT {", ".join(keys)}, {", ".join(a)} FROM {src} GROUP BY {", ".join(keys)}) b
+JOIN {text_map(src, keys, MONTH)} mo ON {on('mo', 'b', keys)} JOIN {text_map(src, keys, QUARTER)} qu ON {on('qu', 'b', keys)}
+JOIN {text_map(src, keys, 'instrument')} ins ON {on('ins', 'b', keys)}"""
+
+
+cte("fbcell", "SELECT *, instrument AS cell_instrument FROM fbo")
+cte("fbfam", "SELECT *, 'family' AS scope FROM fbu")
+query("breakout_summary", f"""
+SELECT *, 'cell' AS scope FROM ({scope('fbcell', ['anchor_family', 'minimum_depth', 'cell_instrument'])})
+UNION ALL BY NAME SELECT *, 'depth' AS scope FROM ({scope('fbud', ['minimum_depth'])})
+UNION ALL BY NAME SELECT * FROM ({scope('fbfam', ['scope'])})""")
+cte("refclk", "SELECT DISTINCT instrument, at FROM cands WHERE benchmark_family <> 'band' AND direction = -1")
+
+
+def near(src):
+    return f"(SELECT e.*, (SELECT min(abs(c.at - e.at)) FROM refclk c WHERE c.instrument = e.instrument AND abs(c.at - e.at) <= 28800) AS g FROM {src} e)"
+
+
+_ov = ["count(*) AS events"]
+for w in (0, 7200, 14400, 28800):
+    _ov += [f"count(*) FILTER (g <= {w}) AS overlap_w{w}", f"{r(f'count(*) FILTER (g <= {w}) / count(*)::DOUBLE')} AS overlap_rate_w{w}",
+            f"count(*) - count(*) FILTER (g <= {w}) AS unique_w{w}"]
+query("breakout_overlap", f"""
+SELECT anchor_family, {", ".join(_ov)} FROM {near("(SELECT DISTINCT anchor_family, instrument, at, direction FROM fbo)")} GROUP BY 1
+UNION ALL SELECT 'ALL', {", ".join(_ov)} FROM {near("(SELECT DISTINCT instrument, at, direction FROM fbo)")}""")
+query("breakout_decision", f"""
+SELECT 'family' AS scope, events, n AS n_h8, {r('m')} AS mean_h8, {r('md')} AS pips_h8_median,
+ CASE WHEN events >= 50 AND n >= 50 AND m > 0 AND md >= 0 AND (SELECT count(*) FROM (SELECT 1 FROM fbu GROUP BY instrument HAVING count(*) >= 10)) >= 2
+   AND (SELECT count(*) FROM (SELECT 1 FROM fbu GROUP BY instrument HAVING avg(pips_h8) > 0)) >= 2
+   AND (SELECT max(c) FROM (SELECT count(*) AS c FROM fbu GROUP BY instrument)) / events::DOUBLE <= 0.5 THEN 'PASS' WHEN events >= 50 AND n >= 50 THEN 'KILL' ELSE 'INCONCLUSIVE' END AS decision
+FROM (SELECT count(*) AS events, count(pips_h8) AS n, avg(pips_h8) AS m, median(pips_h8) AS md FROM fbu)""")
+
+# ================================================================ trend exhaustion
+cte("tf0", """
+SELECT *, greatest(high - low, abs(high - pc), abs(low - pc)) AS tr, abs(close - pc) AS stp
+FROM (SELECT *, lag(close) OVER w AS pc, lag(volume) OVER w AS pv, lag(t, 24) OVER w AS t24 FROM obs WINDOW w AS (PARTITION BY instrument ORDER BY t))""")
+cte("tf1", """
+SELECT *, sum(tr) OVER (PARTITION BY instrument ORDER BY t ROWS BETWEEN 23 PRECEDING AND 4 PRECEDING) / 20 AS atr,
+ sum(stp) OVER (PARTITION BY instrument ORDER BY t ROWS BETWEEN 10 PRECEDING AND 4 PRECEDING) AS chg,
+ lag(close, 4) OVER w AS te, lag(close, 11) OVER w AS ts0, max(high) OVER (PARTITION BY instrument ORDER BY t ROWS BETWEEN 3 PRECEDING AND CURRENT ROW) AS top,
+ min(low) OVER (PARTITION BY instrument ORDER BY t ROWS BETWEEN 3 PRECEDING AND CURRENT ROW) AS bot
+FROM tf0 WINDOW w AS (PARTITION BY instrument ORDER BY t)""")
+cte("tff", """
+SELECT *, CASE WHEN atr > 0 THEN abs(displacement) / atr END AS normalized_displacement, CASE WHEN chg > 0 THEN abs(displacement) / chg ELSE 0 END AS efficiency,
+ CASE WHEN up > 0 THEN top - te WHEN up < 0 THEN te - bot END AS extension, up * (close - te) AS retained, up * (close - pc) AS last_move,
+ high - greatest(open, close) AS upper_wick, least(open, close) - low AS lower_wick, abs(close - open) AS body,
+ CASE WHEN close <> open THEN (high - greatest(open, close) + least(open, close) - low) / abs(close - open) END AS wick_body_ratio, high - low AS bar_range, volume - pv AS volume_change
+FROM (SELECT *, te - ts0 AS displacement, CAST(sign(te - ts0) AS INTEGER) AS up FROM tf1 WHERE t - t24 = 24 * 3600)""")
+_tc = ["atr", "displacement", "normalized_displacement", "efficiency", "extension", "retained", "last_move", "upper_wick", "lower_wick", "body", "wick_body_ratio", "bar_range"]
+query("trend_features", "SELECT instrument, t AS open_s, up AS trend_direction, volume_change, " + ", ".join(f"{r(c)} AS {c}" for c in _tc) + " FROM tff")
+cte("tef", """
+SELECT f.*, th.th AS threshold, coalesce(normalized_displacement > th.th AND efficiency >= 0.15 AND extension >= 0.25 * atr AND retained <= 0.1 * atr AND last_move < 0 AND atr > 0 AND up <> 0, false) AS flag
+FROM tff f, (VALUES (0.4::DOUBLE), (0.6::DOUBLE), (0.8::DOUBLE)) th(th)""")
+cte("te", f"""
+SELECT *, -up AS direction, close AS p0, {session_list("at")} AS atsess FROM (
+ SELECT *, lag(flag) OVER w AS pf, lag(t) OVER w AS pt FROM tef WINDOW w AS (PARTITION BY instrument, threshold ORDER BY t))
+WHERE flag AND NOT (coalesce(pf, false) AND coalesce(pt = t - 3600, false))""")
+_sa = " ".join(f"WHEN '{n}' THEN {clock(tz, 'at')} - {lo}" for n, (tz, lo, hi) in SESSIONS.items())
+_ua = " ".join(f"WHEN '{n}' THEN {hi} - {clock(tz, 'at')}" for n, (tz, lo, hi) in SESSIONS.items())
+cte("tex", f"""
+SELECT *, CASE WHEN len(atsess) = 1 THEN atsess[1] END AS session_label,
+ 'trend-exhaustion-' || substr(sha256(concat_ws('|', instrument, CAST(at AS VARCHAR), printf('%.2f', threshold))), 1, 24) AS event_id FROM te""")
+cte("tey", f"SELECT *, CASE session_label {_sa} END AS from_open, CASE session_label {_ua} END AS to_close FROM tex")
+query("trend_exhaustion", f"""
+SELECT event_id, instrument, at, threshold, direction, {r('normalized_displacement')} AS normalized_displacement, {r('efficiency')} AS efficiency, {r('extension')} AS extension,
+ {r('retained')} AS retained, session_label, from_open, to_close FROM tey""")
+observed("teo", "tey")
+cte("tecell", "SELECT *, instrument AS cell_instrument FROM teo")
+query("exhaustion_summary", f"""
+SELECT *, 'instrument' AS scope FROM ({scope('tecell', ['threshold', 'cell_instrument'])})
+UNION ALL BY NAME SELECT *, 'threshold' AS scope FROM ({scope('teo', ['threshold'])})""")
+query("exhaustion_expectancy", f"""
+SELECT threshold, kind, key, count(*) AS events, {r('avg(pips_h8)')} AS expectancy FROM (
+ SELECT threshold, pips_h8, 'instrument' AS kind, instrument AS key FROM teo UNION ALL SELECT threshold, pips_h8, 'month', {MONTH} FROM teo
+ UNION ALL SELECT threshold, pips_h8, 'quarter', {QUARTER} FROM teo) GROUP BY 1, 2, 3""")
+query("exhaustion_overlap", f"SELECT instrument, {', '.join(_ov)} FROM {near('(SELECT * FROM teo WHERE threshold = 0.6)')} GROUP BY 1")
+query("exhaustion_plateau", f"""
+SELECT {r('p')} AS primary_mean, {r('w')} AS weakest_neighbour, coalesce(p > 0 AND w >= 0.5 * p, false) AS plateau
+FROM (SELECT max(CASE WHEN threshold = 0.6 THEN m END) AS p, min(CASE WHEN threshold <> 0.6 THEN coalesce(m, '-inf'::DOUBLE) END) AS w
+      FROM (SELECT threshold, avg(pips_h8) AS m FROM teo GROUP BY 1))""")
