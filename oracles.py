@@ -1127,3 +1127,105 @@ query("exhaustion_plateau", f"""
 SELECT {r('p')} AS primary_mean, {r('w')} AS weakest_neighbour, coalesce(p > 0 AND w >= 0.5 * p, false) AS plateau
 FROM (SELECT max(CASE WHEN threshold = 0.6 THEN m END) AS p, min(CASE WHEN threshold <> 0.6 THEN coalesce(m, '-inf'::DOUBLE) END) AS w
       FROM (SELECT threshold, avg(pips_h8) AS m FROM teo GROUP BY 1))""")
+
+# ================================================================ ranking and bootstraps
+cte("qual", f"""
+SELECT event_id, instrument, at, direction, CASE WHEN direction > 0 THEN 'long' ELSE 'short' END AS side, session_label, (at - 1704067200) // 259200 + 1 AS fold,
+ normalized_displacement, efficiency, extension / atr AS extension_atr, retained / atr AS retained_atr, upper_wick / atr AS upper_wick_atr, lower_wick / atr AS lower_wick_atr,
+ body / atr AS body_atr, bar_range / atr AS range_atr, wick_body_ratio, from_open::DOUBLE AS from_open, to_close::DOUBLE AS to_close,
+ pips_h8 * {PIP} / atr AS target, pips_h8 AS pips, mfe_pips, mae_pips FROM teo WHERE threshold = 0.6 AND pips_h8 IS NOT NULL""")
+_num = ["normalized_displacement", "efficiency", "extension_atr", "retained_atr", "upper_wick_atr", "lower_wick_atr", "body_atr", "range_atr", "wick_body_ratio", "from_open", "to_close"]
+query("quality_rows", "SELECT event_id, instrument, at, direction, side, session_label, fold, "
+      + ", ".join(f"{r(c)} AS {c}" for c in [*_num, "target", "pips", "mfe_pips", "mae_pips"]) + " FROM qual")
+cte("qlong", "SELECT event_id, target, pips, mfe_pips, mae_pips, unnest([" + ", ".join(f"'{c}'" for c in _num) + "]) AS predictor, unnest([" + ", ".join(_num) + "]) AS x FROM qual")
+query("predictor_quantiles", f"""
+SELECT predictor, count(x) AS count, count(*) - count(x) AS missing, {r('(count(*) - count(x)) / count(*)::DOUBLE')} AS missing_rate, {r('min(x)')} AS p00, {r('max(x)')} AS p100, """
+      + ", ".join(f"{r(f'quantile_cont(x, {p})')} AS {n}" for n, p in (("p10", .1), ("p25", .25), ("p50", .5), ("p75", .75), ("p90", .9))) + " FROM qlong GROUP BY 1")
+OSUM = f"""count(*) AS n, {r('avg(target)')} AS mean_target, {r('avg(pips)')} AS mean_pips,
+ {r('coalesce(sum(CASE WHEN pips > 0 THEN pips END), 0) / nullif(-sum(CASE WHEN pips < 0 THEN pips END), 0)')} AS profit_factor,
+ {r('avg(CASE WHEN pips > 0 THEN 1::DOUBLE ELSE 0::DOUBLE END)')} AS win_rate, {r('avg(mfe_pips)')} AS mean_mfe, {r('avg(mae_pips)')} AS mean_mae,
+ {r('median(target)')} AS target_median, {r('median(pips)')} AS pips_median"""
+query("predictor_quintiles", f"""
+SELECT predictor, bucket, {OSUM} FROM (SELECT *, ntile(5) OVER (PARTITION BY predictor ORDER BY x, event_id) AS bucket FROM qlong WHERE x IS NOT NULL) GROUP BY 1, 2""")
+query("category_outcomes", f"""
+SELECT category, value, {OSUM} FROM (SELECT *, unnest(['instrument', 'side', 'session_label']) AS category, unnest([instrument, side, coalesce(session_label, 'none')]) AS value FROM qual) GROUP BY 1, 2""")
+cte("scored", """
+SELECT event_id, instrument, direction, fold, target, pips, 'displacement' AS family, normalized_displacement AS score FROM qual
+UNION ALL SELECT event_id, instrument, direction, fold, target, pips, 'extension', round(extension_atr, 1) FROM qual""")
+cte("rk", """
+SELECT *, rn > n - ceil(n * 0.2::DOUBLE) AS t20, rn > n - ceil(n * 0.1::DOUBLE) AS t10 FROM (
+ SELECT *, row_number() OVER w AS rn, ntile(5) OVER w AS bucket, count(*) OVER (PARTITION BY family) AS n,
+  rank() OVER (PARTITION BY family ORDER BY score) + (count(*) OVER (PARTITION BY family, score) - 1) / 2::DOUBLE AS rs,
+  rank() OVER (PARTITION BY family ORDER BY target) + (count(*) OVER (PARTITION BY family, target) - 1) / 2::DOUBLE AS rt
+ FROM scored WINDOW w AS (PARTITION BY family ORDER BY score, event_id))""")
+
+
+def share(col):
+    return f"(SELECT max(k) / sum(k)::DOUBLE FROM (SELECT count(*) AS k FROM rk z WHERE z.family = e.family AND z.t20 GROUP BY z.{col}))"
+
+
+cte("ev0", """
+SELECT family, count(*) AS n, avg(target) AS baseline, count(*) FILTER (t20) AS top20_n, avg(target) FILTER (t20) AS top20_mean, avg(pips) FILTER (t20) AS top20_pips,
+ coalesce(sum(pips) FILTER (t20 AND pips > 0), 0) / nullif(-sum(pips) FILTER (t20 AND pips < 0), 0) AS top20_profit_factor, count(*) FILTER (t10) AS top10_n,
+ avg(target) FILTER (t10) AS top10_mean, """ + ", ".join(f"avg(target) FILTER (bucket = {q}) AS q{q}" for q in range(1, 6)) + ", corr(rs, rt) AS spearman FROM rk GROUP BY 1")
+cte("ev", f"""
+SELECT *, top20_mean - baseline AS top20_lift, top10_mean - baseline AS top10_lift, q5 - q1 AS top_minus_bottom,
+ CAST(q1 <= q2 AS INTEGER) + CAST(q2 <= q3 AS INTEGER) + CAST(q3 <= q4 AS INTEGER) + CAST(q4 <= q5 AS INTEGER) AS ordered_pairs,
+ {share('instrument')} AS max_instrument_share, {share('direction')} AS max_direction_share, {share('fold')} AS max_fold_share FROM ev0 e""")
+query("ranking_evaluation", "SELECT family, n, top20_n, top10_n, ordered_pairs, " + ", ".join(f"{r(c)} AS {c}" for c in (
+    "baseline", "top20_mean", "top20_pips", "top20_profit_factor", "top10_mean", "q1", "q2", "q3", "q4", "q5", "spearman", "top20_lift", "top10_lift", "top_minus_bottom",
+    "max_instrument_share", "max_direction_share", "max_fold_share")) + " FROM ev")
+query("ranking_decision", """
+WITH v AS (SELECT *, CASE family WHEN 'displacement' THEN 1 ELSE 2 END AS o, coalesce(top20_lift, '-inf'::DOUBLE) AS li, coalesce(spearman, '-inf'::DOUBLE) AS rh,
+ coalesce(n >= 10 AND top20_n >= 2 AND top20_pips > 0 AND top20_profit_factor >= 1.2 AND top20_lift >= 0.05 AND spearman >= 0.05 AND ordered_pairs >= 3
+  AND max_instrument_share <= 0.4 AND max_fold_share <= 0.3, false) AS ok FROM ev),
+ ld AS (SELECT * FROM v ORDER BY li DESC, rh DESC, o LIMIT 1)
+SELECT (SELECT count(*) FROM v WHERE ok) AS passing,
+ coalesce((SELECT v.family FROM v, ld WHERE v.li >= ld.li - 0.02 AND v.rh >= ld.rh - 0.01 ORDER BY v.o LIMIT 1), (SELECT family FROM ld)) AS selected,
+ CASE WHEN (SELECT bool_or(n < 10 OR top20_n < 2) FROM v) THEN 'INCONCLUSIVE' WHEN (SELECT count(*) FROM v WHERE ok) >= 2 THEN 'PROMOTE_TO_FROZEN_CANDIDATE' ELSE 'PARK' END AS decision""")
+
+
+def drawn(n, seed, a, b):
+    mix = f"(({seed} + {a} * 7919 + {b} * 104729) * 2654435761 % 4294967296)"
+    return f"(({mix} // 65536 + {mix} % 65536 * 65536) % {n})"
+
+
+cte("blk", "SELECT family, fold, row_number() OVER (PARTITION BY family ORDER BY fold) - 1 AS i, count(*) OVER (PARTITION BY family) AS k FROM (SELECT DISTINCT family, fold FROM scored)")
+cte("reps", f"""
+SELECT s.family, s.rep, f.fold FROM (SELECT b.family, g.rep, {drawn('b.k', 20, 'g.rep', 'b.i')} AS pick FROM blk b, range(200) g(rep)) s
+JOIN blk f ON f.family = s.family AND f.i = s.pick""")
+cte("boot", """
+SELECT family, rep, avg(pips) FILTER (rn > n - ceil(n * 0.2::DOUBLE)) AS top_pips, avg(target) FILTER (rn > n - ceil(n * 0.2::DOUBLE)) AS top_target,
+ avg(target) FILTER (rn > n - ceil(n * 0.2::DOUBLE)) - avg(target) FILTER (rn <= ceil(n * 0.2::DOUBLE)) AS top_minus_bottom
+FROM (SELECT r.family, r.rep, s.pips, s.target, row_number() OVER (PARTITION BY r.family, r.rep ORDER BY s.score, s.event_id) AS rn, count(*) OVER (PARTITION BY r.family, r.rep) AS n
+      FROM reps r JOIN scored s ON s.family = r.family AND s.fold = r.fold) GROUP BY 1, 2""")
+query("fold_bootstrap", "SELECT family, " + ", ".join(
+    f"{r(f'quantile_cont({c}, {p})')} AS {c}_{n}" for c in ("top_pips", "top_target", "top_minus_bottom") for n, p in (("lo", .025), ("hi", .975))) + " FROM boot GROUP BY 1")
+cte("cal", "SELECT d, row_number() OVER (ORDER BY d) - 1 AS source_day FROM (SELECT CAST(unnest(generate_series(DATE '2024-01-01', DATE '2024-01-31', INTERVAL 1 DAY)) AS DATE) AS d) WHERE isodow(d) <= 5")
+
+
+def dbl(c):
+    return f"CASE WHEN {c} = 1 THEN '1.0' ELSE CAST({c} AS VARCHAR) END"
+
+
+cte("ptr", f"""
+SELECT candidate_event_id, instrument, session, 'benchmark_family=' || benchmark_family || '|lookback=' || lookback || '|tp=' || {dbl('tp')} || '|sl=' || {dbl('sl')} || '|stop=' || stop AS policy,
+ source_day, at + wait * 3600 AS entry_s, at + (wait + holding) * 3600 AS exit_s, pips_adverse, net_adverse, stop_pips, net_adverse / stop_pips AS r
+FROM (SELECT *, abs(p0 + direction * r_at_entry * abs(d0) - (p0 - direction * sl * abs(d0))) / pip AS stop_pips,
+             direction * (p0 + direction * r_at_entry * abs(d0) - (p0 - direction * sl * abs(d0))) AS gap
+      FROM priced WHERE entry_mode = 'immediate' AND sl IS NOT NULL AND benchmark_family <> 'band' AND statistic = 'mean' AND slippage = 0.1::DOUBLE)
+JOIN cal ON cal.d = CAST(make_timestamp(at * 1000000) AS DATE) WHERE stop_pips > 0 AND gap > 0""")
+query("priced_trades", "SELECT candidate_event_id, instrument, session, policy, source_day, entry_s, exit_s, " + ", ".join(f"{r(c)} AS {c}" for c in ("pips_adverse", "net_adverse", "stop_pips", "r")) + " FROM ptr")
+cte("picks", f"""
+SELECT p.p AS path, b.b * 5 + o.o AS day, ({drawn('23', 11, 'p.p', 'b.b')} + o.o) % 23 AS source_day FROM range(40) p(p), range(4) b(b), range(5) o(o)""")
+query("bootstrap_picks", "SELECT path, day, source_day, source_day IN (SELECT source_day FROM ptr) AS has_trades FROM picks")
+query("rebased_trades", f"""
+SELECT path, policy, count(*) AS trades, {r('sum(r)')} AS total_r, min(entry_s + (day - picks.source_day) * 86400) AS first_s, max(exit_s + (day - picks.source_day) * 86400) AS last_s
+FROM ptr JOIN picks ON picks.source_day = ptr.source_day GROUP BY 1, 2""")
+cte("ptot", "SELECT policy, path, sum(r) AS total_r FROM ptr JOIN picks ON picks.source_day = ptr.source_day GROUP BY 1, 2")
+query("bootstrap_distribution", f"""
+SELECT policy, count(*) AS paths, {r('avg(total_r)')} AS mean_r, {r('avg(CASE WHEN total_r > 0 THEN 1::DOUBLE ELSE 0::DOUBLE END)')} AS positive_share, """
+      + ", ".join(f"{r(nearest('total_r', p))} AS {n}" for n, p in (("p05", .05), ("p25", .25), ("median", .5), ("p75", .75), ("p95", .95))) + " FROM ptot GROUP BY 1")
+query("policy_summary", f"""
+SELECT 'ACROSS_POLICIES' AS universe, count(*) AS policies, {r('min(m)')} AS worst, {r('avg(CASE WHEN m > 0 THEN 1::DOUBLE ELSE 0::DOUBLE END)')} AS positive_share,
+ {r(nearest('m', .25))} AS p25, {r(nearest('m', .5))} AS mid, {r(nearest('m', .75))} AS p75 FROM (SELECT policy, {nearest('total_r', .5)} AS m FROM ptot GROUP BY 1)""")
