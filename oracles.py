@@ -318,9 +318,9 @@ LEFT JOIN (SELECT instrument, count(*) FILTER (g >= 10800) AS long_gaps, max(g)
         UNION ALL SELECT instrument, 1706659200 - max(at) FROM bars GROUP BY 1) WHERE g > 0 GROUP BY 1) h USING (instrument)""")
 query("absent_days", """
 SELECT p.k AS instrument, strftime(d, '%Y-%m-%d') AS day
-FROM (SELECT DISTINCT o_orderpriority AS k FROM orders WHERE o_orderstatus = 'P') p,
+FROM (SELECT DISTINCT o_orderpriority AS k FROM orders) p,
      (SELECT unnest(generate_series(DATE '1995-01-01', DATE '1999-12-31', INTERVAL 1 DAY)) AS d)
-WHERE NOT EXISTS (SELECT 1 FROM orders WHERE o_orderstatus = 'P' AND o_orderpriority = p.k AND CAST(o_orderdate AS DATE) = CAST(d AS DATE))""")
+WHERE NOT EXISTS (SELECT 1 FROM orders WHERE o_orderpriority = p.k AND CAST(o_orderdate AS DATE) = CAST(d AS DATE))""")
 query("calendar_partition", """
 SELECT k AS instrument, count(*) AS calendar_days, CAST(sum(p) AS BIGINT) AS present_days, CAST(sum(a) AS BIGINT) AS absent_days,
        count(*) FILTER (p = 1 AND a = 1) AS conflicts, count(*) FILTER (p = 0 AND a = 0) AS unexplained,
@@ -331,17 +331,17 @@ FROM (SELECT s.k, d, CASE WHEN o.day IS NULL THEN 0 ELSE 1 END AS p,
       CROSS JOIN (SELECT CAST(unnest(generate_series(DATE '1995-01-01', DATE '1999-12-31', INTERVAL 1 DAY)) AS DATE) AS d)
       LEFT JOIN (SELECT DISTINCT o_orderstatus AS k, CAST(o_orderdate AS DATE) AS day FROM orders) o ON o.k = s.k AND o.day = d)
 GROUP BY 1""")
+cte("ub", "SELECT DISTINCT split_part(instrument, '.', 2) AS universe, split_part(instrument, '.', 1) AS member, t FROM bars")
 query("sync_audit", f"""
-WITH b AS (SELECT DISTINCT instrument, t FROM bars WHERE ends_with(instrument, '.0')),
- c AS (SELECT t, count(*) AS n FROM b GROUP BY 1),
- x AS (SELECT count(*) FILTER (n = (SELECT count(DISTINCT instrument) FROM b)) AS common_clocks, count(*) AS union_clocks FROM c)
-SELECT instrument, count(*) AS clocks, any_value(common_clocks) AS common_clocks, any_value(union_clocks) AS union_clocks,
+WITH c AS (SELECT universe, t, count(*) AS n FROM ub GROUP BY 1, 2),
+ x AS (SELECT universe, count(*) FILTER (n = 5) AS common_clocks, count(*) AS union_clocks FROM c GROUP BY 1)
+SELECT universe, member, count(*) AS clocks, any_value(common_clocks) AS common_clocks, any_value(union_clocks) AS union_clocks,
        count(*) - any_value(common_clocks) AS lost_to_sync,
        {r('any_value(common_clocks) / any_value(union_clocks)::DOUBLE')} AS common_ratio
-FROM b, x GROUP BY 1""")
+FROM ub JOIN x USING (universe) GROUP BY 1, 2""")
 query("sync_pairs", """
-SELECT a.instrument AS left_instrument, b.instrument AS right_instrument, count(*) AS common_clocks
-FROM bars a JOIN bars b ON a.t = b.t AND a.instrument < b.instrument GROUP BY 1, 2""")
+SELECT a.universe, a.member AS left_member, b.member AS right_member, count(*) AS common_clocks
+FROM ub a JOIN ub b ON a.universe = b.universe AND a.t = b.t AND a.member < b.member GROUP BY 1, 2, 3""")
 query("day_audit", f"""
 SELECT instrument, strftime(make_timestamp(t * 1000000), '%Y-%m-%d') AS day, count(*) AS bars, {r('min(low)')} AS min_low,
        {r('max(high)')} AS max_high, min(volume) AS min_volume, max(volume) AS max_volume, sum(volume) AS total_volume
@@ -403,8 +403,8 @@ query("spread_profile", f"""
 SELECT instrument, session, samples, {r('mean')} AS mean, {r('p75')} AS p75, {r('p90')} AS p90, {r('p95')} AS p95,
        {r('p99')} AS p99 FROM spreads""")
 query("panel_check", """
-SELECT count(*) AS clocks, count(*) AS distinct_clocks, 0 AS non_finite, 0 AS non_positive, min(t) AS first_s, max(t) AS last_s
-FROM (SELECT t FROM bars WHERE ends_with(instrument, '.0') GROUP BY 1 HAVING count(DISTINCT instrument) = 5)""")
+SELECT universe, count(*) AS clocks, count(*) AS distinct_clocks, 0 AS non_finite, 0 AS non_positive, min(t) AS first_s, max(t) AS last_s
+FROM (SELECT universe, t FROM ub GROUP BY 1, 2 HAVING count(*) = 5) GROUP BY 1""")
 
 # ================================================================ benchmarks
 query("forward_outcomes", f"""

@@ -5,27 +5,28 @@ from itertools import combinations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 from pyspark.sql.functions import pandas_udf
 
 from tidewindow.operators.chunks import core_only, halo, running_sum
 from tidewindow.operators.events import shock_episodes
 
 
-def synchronized_panel(bars: DataFrame, names) -> DataFrame:
-    """Wide closes on the clocks that all ``names`` share (column p0, p1, ... in that order)."""
-    wide = bars.where(F.col("instrument").isin(*names)).groupBy(F.unix_seconds("open_time").alias("t")).agg(
-        *[F.max(F.when(F.col("instrument") == n, F.col("close"))).alias(f"p{i}") for i, n in enumerate(names)]
+def synchronized_panel(bars: DataFrame, universe: Column, member: Column, members) -> DataFrame:
+    """Wide closes per universe on the clocks all members share (p0, p1, ... in member order)."""
+    rows = bars.select(universe.alias("universe"), member.alias("_member"), F.unix_seconds("open_time").alias("t"), "close")
+    wide = rows.groupBy("universe", "t").agg(
+        *[F.max(F.when(F.col("_member") == m, F.col("close"))).alias(f"p{i}") for i, m in enumerate(members)]
     )
     return wide.dropna()
 
 
-def panel_violations(panel: DataFrame, names) -> DataFrame:
-    """One row: clocks, non-finite and non-positive prices per panel."""
-    cols = [F.col(f"p{i}") for i in range(len(names))]
+def panel_violations(panel: DataFrame, members) -> DataFrame:
+    """Per universe: clocks, repeated clocks, non-finite and non-positive prices."""
+    cols = [F.col(f"p{i}") for i in range(len(members))]
     bad = reduce(lambda a, b: a | b, [F.isnan(c) | (F.abs(c) == float("inf")) for c in cols])
     low = reduce(lambda a, b: a | b, [c <= 0 for c in cols])
-    return panel.agg(
+    return panel.groupBy("universe").agg(
         F.count("*").alias("clocks"),
         F.count_distinct("t").alias("distinct_clocks"),
         F.count_if(bad).alias("non_finite"),
@@ -57,21 +58,21 @@ def _projector(size: int, components: int):
 
 
 def pca_residuals(
-    panel: DataFrame, names, window: int, components: int, normalize: int, width: int, rank_width: int = 4096
+    panel: DataFrame, members, window: int, components: int, normalize: int, width: int, rank_width: int = 4096
 ) -> DataFrame:
-    """Residual and prior-only z-score of each instrument at each clock of the panel.
+    """Residual and prior-only z-score of each member at each clock of its universe's panel.
 
     Rows are ranked once (chunked prefix count), then cut into rank chunks that carry the
     ``window + normalize`` rows both rolling frames need.  The covariance of returns that were
     standardised over the same frame is their correlation, so Spark aggregates it and Python
     only sees one small symmetric matrix per row.
     """
-    size = len(names)
+    size = len(members)
     if components >= size:
         raise ValueError("components must leave at least one residual dimension")
-    ranked = running_sum(panel.withColumn("_k", F.lit(0)), ["_k"], "t", F.col("t"), width, F.lit(1), "rank")
+    ranked = running_sum(panel, ["universe"], "t", F.col("t"), width, F.lit(1), "rank")
     placed = halo(ranked, F.col("rank"), rank_width, back=window + normalize + 2)
-    order = Window.partitionBy("_chunk").orderBy("rank")
+    order = Window.partitionBy("universe", "_chunk").orderBy("rank")
     rows = placed.withColumns(
         {f"r{i}": F.ln(f"p{i}") - F.ln(F.lag(f"p{i}").over(order)) for i in range(size)}
     )
@@ -90,7 +91,7 @@ def pca_residuals(
             "_rho": F.array(*[F.col(f"c{i}_{j}") for i, j in combinations(range(size), 2)]),
         }
     )
-    rows = rows.select("t", "rank", "_chunk", "_core", "_x", "_rho", *[f"r{i}" for i in range(size)])
+    rows = rows.select("universe", "t", "rank", "_chunk", "_core", "_x", "_rho", *[f"r{i}" for i in range(size)])
     rows = rows.withColumn("_back", _projector(size, components)("_x", "_rho")).drop("_rho")
     rows = rows.withColumns({f"e{i}": F.col("_x")[i] - F.col("_back")[i] for i in range(size)})
     history = order.rowsBetween(-normalize, -1)
@@ -107,18 +108,18 @@ def pca_residuals(
     items = F.array(
         *[
             F.struct(
-                F.lit(n).alias("instrument"),
+                F.lit(m).alias("member"),
                 F.col(f"r{i}").alias("log_return"),
                 F.col("_x")[i].alias("standardized_return"),
                 F.col("_back")[i].alias("reconstruction"),
                 F.col(f"e{i}").alias("residual"),
                 F.col(f"z{i}").alias("residual_z"),
             )
-            for i, n in enumerate(names)
+            for i, m in enumerate(members)
         ]
     )
-    return rows.select("t", F.explode(items).alias("_i")).select("t", "_i.*")
+    return rows.select("universe", "t", F.inline(items))
 
 
 def residual_shocks(residuals: DataFrame, width: int, enter: float = 2.0, leave: float = 1.0) -> DataFrame:
-    return shock_episodes(residuals, ["instrument"], "t", width, "residual_z", enter, leave)
+    return shock_episodes(residuals, ["universe", "member"], "t", width, "residual_z", enter, leave)

@@ -1,6 +1,7 @@
 """Data-quality and reconciliation operators.  All are joins and mergeable aggregates."""
 
 from functools import reduce
+from itertools import combinations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
@@ -166,20 +167,27 @@ def calendar_partition(rows: DataFrame, declared_absent: DataFrame, key: str, st
     ).withColumn("exact_partition", (F.col("conflicts") == 0) & (F.col("unexplained") == 0))
 
 
-def sync_audit(bars: DataFrame) -> DataFrame:
-    """Per instrument: own clocks, clocks common to all, loss; plus union and ratio.
+def presence(bars: DataFrame, universe: Column, member: Column, members) -> DataFrame:
+    """Per universe and clock: one 0/1 column per member (``m0``, ``m1``, ... in the given order).
 
-    The number of instruments sharing a clock decides membership of the intersection, so no
-    set of clocks is ever gathered.
+    ``members`` is the fixed list of a universe, so the width is bounded and no pairs or sets of
+    clocks are ever emitted.
     """
-    clocks = bars.select("instrument", "open_time").distinct()
-    universe = clocks.select("instrument").distinct().agg(F.count("*").alias("_all"))
-    per_clock = clocks.groupBy("open_time").agg(F.count("*").alias("_holders"))
-    totals = per_clock.crossJoin(F.broadcast(universe)).agg(
-        F.count_if(F.col("_holders") == F.col("_all")).alias("common_clocks"), F.count("*").alias("union_clocks")
+    rows = bars.select(universe.alias("universe"), member.alias("_member"), "open_time")
+    flags = [F.max((F.col("_member") == m).cast("int")).alias(f"m{i}") for i, m in enumerate(members)]
+    return rows.groupBy("universe", "open_time").agg(*flags)
+
+
+def sync_audit(clocks: DataFrame, members) -> DataFrame:
+    """Per universe and member: own clocks, clocks common to all, loss; plus union and ratio."""
+    every = reduce(lambda a, b: a * b, [F.col(f"m{i}") for i in range(len(members))])
+    wide = clocks.groupBy("universe").agg(
+        F.count("*").alias("union_clocks"),
+        F.sum(every).alias("common_clocks"),
+        *[F.sum(f"m{i}").alias(f"n{i}") for i in range(len(members))],
     )
-    own = clocks.groupBy("instrument").agg(F.count("*").alias("clocks"))
-    return own.crossJoin(F.broadcast(totals)).withColumns(
+    items = F.array(*[F.struct(F.lit(m).alias("member"), F.col(f"n{i}").alias("clocks")) for i, m in enumerate(members)])
+    return wide.select("universe", "union_clocks", "common_clocks", F.inline(items)).withColumns(
         {
             "lost_to_sync": F.col("clocks") - F.col("common_clocks"),
             "common_ratio": F.col("common_clocks") / F.col("union_clocks"),
@@ -187,15 +195,23 @@ def sync_audit(bars: DataFrame) -> DataFrame:
     )
 
 
-def sync_pairs(bars: DataFrame) -> DataFrame:
-    """Common clock counts of instrument pairs that trade together, by self equi join on the clock."""
-    clocks = bars.select("instrument", "open_time").distinct()
-    a, b = clocks.alias("a"), clocks.alias("b")
-    return (
-        a.join(b, (F.col("a.open_time") == F.col("b.open_time")) & (F.col("a.instrument") < F.col("b.instrument")))
-        .groupBy(F.col("a.instrument").alias("left_instrument"), F.col("b.instrument").alias("right_instrument"))
-        .agg(F.count("*").alias("common_clocks"))
+def sync_pairs(clocks: DataFrame, members) -> DataFrame:
+    """Common clock counts of each member pair of a universe, as sums of flag products."""
+    pairs = list(combinations(range(len(members)), 2))
+    wide = clocks.groupBy("universe").agg(
+        *[F.sum(F.col(f"m{i}") * F.col(f"m{j}")).alias(f"c{i}_{j}") for i, j in pairs]
+    )
+    items = F.array(
+        *[
+            F.struct(
+                F.lit(members[i]).alias("left_member"),
+                F.lit(members[j]).alias("right_member"),
+                F.col(f"c{i}_{j}").alias("common_clocks"),
+            )
+            for i, j in pairs
+        ]
     )
+    return wide.select("universe", F.inline(items))
 
 
 def day_audit(bars: DataFrame) -> DataFrame:

@@ -163,7 +163,7 @@ def universe_audit(spark, sf):
 
 def absent_days(spark, sf):
     """Calendar days without orders, per priority class (spine anti join)."""
-    o = D.table(spark, sf, "orders").where("o_orderstatus = 'P'")
+    o = D.table(spark, sf, "orders")
     rows = o.select(F.col("o_orderpriority").alias("instrument"), F.to_date("o_orderdate").alias("day"))
     out = Q.absent_days(rows, "instrument", "1995-01-01", "1999-12-31")
     return out.select("instrument", F.date_format("day", "yyyy-MM-dd").alias("day"))
@@ -177,13 +177,16 @@ def calendar_partition(spark, sf):
     return tidy(Q.calendar_partition(rows, declared, "instrument", "1995-01-01", "1999-12-31"))
 
 
+def _clocks(spark, sf):
+    return Q.presence(D.bars(spark, sf), D.universe(), D.member(), D.MEMBERS)
+
+
 def sync_audit(spark, sf):
-    b = D.bars(spark, sf).where(F.col("instrument").endswith(".0"))
-    return tidy(Q.sync_audit(b))
+    return tidy(Q.sync_audit(_clocks(spark, sf), D.MEMBERS))
 
 
 def sync_pairs(spark, sf):
-    return tidy(Q.sync_pairs(D.bars(spark, sf)))
+    return tidy(Q.sync_pairs(_clocks(spark, sf), D.MEMBERS))
 
 
 def day_audit(spark, sf):
@@ -296,9 +299,8 @@ def spread_profile(spark, sf):
 def panel_check(spark, sf):
     from tidewindow.operators.panel import panel_violations, synchronized_panel
 
-    b = D.bars(spark, sf).where(F.col("instrument").endswith(".0"))
-    panel = synchronized_panel(b, [f"{k}.0" for k in sorted(D.PRECISION)])
-    return tidy(panel_violations(panel, [f"{k}.0" for k in sorted(D.PRECISION)]))
+    panel = synchronized_panel(D.bars(spark, sf), D.universe(), D.member(), D.MEMBERS)
+    return tidy(panel_violations(panel, D.MEMBERS))
 
 
 QUERIES = {

@@ -90,13 +90,10 @@ def replay_comparison(spark, sf):
     return tidy(SS.attach(merged, base, ["instrument"]).withColumn("retention", F.try_divide("n", "_base")).drop("_base"))
 
 
-PANEL = [f"{k}.0" for k in sorted(D.PRECISION)]
-
-
 def residual_shocks(spark, sf):
-    """Rolling principal-component residuals of the synchronized panel, with shock episodes."""
-    panel = PN.synchronized_panel(D.bars(spark, sf).where(F.col("instrument").endswith(".0")), PANEL)
-    rows = PN.pca_residuals(stage(panel), PANEL, 48, 2, 24, ST.WIDTH, rank_width=128)
+    """Rolling principal-component residuals of each universe's panel, with shock episodes."""
+    panel = PN.synchronized_panel(D.bars(spark, sf), D.universe(), D.member(), D.MEMBERS)
+    rows = PN.pca_residuals(stage(panel), D.MEMBERS, 48, 2, 24, ST.WIDTH, rank_width=128)
     return tidy(PN.residual_shocks(stage(rows), ST.WIDTH))
 
 

@@ -88,3 +88,15 @@ def bars(spark: SparkSession, sf_dir: str, step_s: int = BASE_S, label: str = BA
         "volume",
         F.lit("quote_activity").alias("volume_semantics"),
     )
+
+
+# The members of one universe (a cohort of users), in panel order.
+MEMBERS = tuple(sorted(PRECISION))
+
+
+def universe(column="instrument") -> Column:
+    return F.substring_index(column, ".", -1)
+
+
+def member(column="instrument") -> Column:
+    return F.substring_index(column, ".", 1)

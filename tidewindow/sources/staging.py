@@ -1,5 +1,7 @@
 """Cutting lineage with a written table in the folder the cluster names."""
 
+import atexit
+import shutil
 import tempfile
 import uuid
 
@@ -13,6 +15,7 @@ def stage_root(spark) -> str:
     if not spark.sparkContext.master.startswith("local"):
         raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
     root = tempfile.mkdtemp(prefix="spark-", dir="/tmp")
+    atexit.register(shutil.rmtree, root, ignore_errors=True)
     spark.conf.set("spark.checkpoint.dir", root)
     return root
 
