@@ -19,6 +19,9 @@ CONVERTED = ("purchase", "signup")
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     spark.conf.set("spark.sql.session.timeZone", "UTC")
+    # The JIT never compiles methods above 8000 bytecodes; wide projections are better off
+    # without whole-stage code than interpreted inside one huge method.
+    spark.conf.set("spark.sql.codegen.hugeMethodLimit", "8000")
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
