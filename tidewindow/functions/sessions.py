@@ -44,8 +44,8 @@ def local_time(ts: Column, timezone: str) -> Column:
 
 
 def _clock(local: Column) -> Column:
-    """Seconds since local midnight, so that sub-minute clocks compare exactly."""
-    return F.hour(local) * 3600 + F.minute(local) * 60 + F.second(local)
+    """Seconds since local midnight (the session time zone is UTC, so this is plain arithmetic)."""
+    return F.pmod(F.unix_seconds(local), F.lit(86400))
 
 
 def _after_midnight(local: Column, w: ClockWindow) -> Column:

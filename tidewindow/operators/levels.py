@@ -11,7 +11,7 @@ from tidewindow.operators.joins import asof_backward, range_join
 def _trading_date(ts):
     """Local date on which the trading day that contains ``ts`` began."""
     local = S.local_time(ts, S.TRADING_DAY.timezone)
-    before_turn = F.hour(local) * 60 + F.minute(local) < S.TRADING_DAY.start_minute
+    before_turn = F.pmod(F.unix_seconds(local), F.lit(86400)) < S.TRADING_DAY.start_minute * 60
     return F.date_sub(F.to_date(local), F.when(before_turn, 1).otherwise(0))
 
 
