@@ -125,7 +125,13 @@ def outcomes(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def staged_outcomes(spark: SparkSession, sf: str) -> DataFrame:
-    return stage(outcomes(spark, sf))
+    """Only what the reports read: the grid multiplies every column it carries."""
+    rows = outcomes(spark, sf).select(
+        "instrument", "benchmark_family", "signal_timeframe", "session", "direction", "lookback", "entry_mode", "tp",
+        "sl", "stop", "candidate_event_id", "status", "complete", "exit_reason", "ambiguous", "holding", "wait",
+        "r_at_entry", "pre_entry_adverse", "pips_adverse", "pips_favorable", "bp_adverse", "mae_pips", "mfe_pips",
+    )
+    return stage(rows)
 
 
 def races(spark: SparkSession, sf: str) -> DataFrame:
