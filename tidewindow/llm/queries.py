@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from tidewindow.llm import exact_dedup, language_id, mixing, packing, warc
+from tidewindow.llm import exact_dedup, language_id, licenses, mixing, packing, simhash, topk, toxicity, warc
 
 
 def _documents(spark, sf_dir):
@@ -25,12 +25,34 @@ def op4_packing(spark, sf_dir):
     return packing.pack(_documents(spark, sf_dir))
 
 
+def op5_simhash(spark, sf_dir):
+    rows = simhash.near_components(_documents(spark, sf_dir))
+    return rows.select("doc_id", simhash.hex_digits("fp").alias("fingerprint"), "component_id")
+
+
+def op6_licenses(spark, sf_dir):
+    return licenses.scan_licenses(_documents(spark, sf_dir))
+
+
+def op8_topk(spark, sf_dir):
+    return topk.top_k(spark.read.parquet(f"{sf_dir}/embeddings.parquet"), F.col("vec_id") % 100 == 0)
+
+
 def op9_warc(spark, sf_dir):
     manifest = warc.write_archives(spark.read.parquet(f"{sf_dir}/pages.parquet"))
     return warc.read_archives(manifest).drop("url", "payload")
 
 
-QUERIES = {f.__name__: f for f in (op1_mixing, op2_exact_dedup, op3_language_id, op4_packing, op9_warc)}
+def op10_toxicity(spark, sf_dir):
+    return toxicity.score_toxicity(_documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
+
+
+QUERIES = {
+    f.__name__: f
+    for f in (
+        op1_mixing, op2_exact_dedup, op3_language_id, op4_packing, op5_simhash, op6_licenses, op8_topk, op9_warc, op10_toxicity,
+    )
+}
 
 EXACT_DEDUP_SQL = """
 WITH d AS (SELECT doc_id, sha256(coalesce(text, '')) AS text_sha256 FROM documents),
@@ -48,4 +70,15 @@ SELECT page_id, payload_bytes, payload_digest,
 FROM d LEFT JOIN g USING (payload_digest, payload_bytes)
 """
 
-ORACLES = {"op2_exact_dedup": EXACT_DEDUP_SQL, "op9_warc": WARC_SQL}
+TOPK_SQL = """
+WITH v AS (SELECT vec_id, [CAST(floor(1024 * CAST(x AS DOUBLE)) AS BIGINT) FOR x IN embedding] AS e FROM embeddings
+  WHERE vec_id IS NOT NULL AND embedding IS NOT NULL
+    AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+s AS (SELECT q.vec_id AS query_id, c.vec_id AS vec_id,
+    CAST(list_sum([a[1] * a[2] FOR a IN list_zip(q.e, c.e)]) AS BIGINT) AS score
+  FROM v q JOIN v c ON q.vec_id <> c.vec_id WHERE q.vec_id % 100 = 0)
+SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, score
+FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM s) WHERE rank <= 10
+"""
+
+ORACLES = {"op8_topk": TOPK_SQL, "op2_exact_dedup": EXACT_DEDUP_SQL, "op9_warc": WARC_SQL}
