@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from tidewindow.llm import exact_dedup, language_id, licenses, mixing, packing, simhash, topk, toxicity, warc
+from tidewindow.llm import exact_dedup, language_id, licenses, mixing, packing, simhash, suffix_dedup, topk, toxicity, warc
 
 
 def _documents(spark, sf_dir):
@@ -34,6 +34,11 @@ def op6_licenses(spark, sf_dir):
     return licenses.scan_licenses(_documents(spark, sf_dir))
 
 
+def op7_suffix_dedup(spark, sf_dir):
+    rows = suffix_dedup.cut_repeats(_documents(spark, sf_dir))
+    return rows.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op8_topk(spark, sf_dir):
     return topk.top_k(spark.read.parquet(f"{sf_dir}/embeddings.parquet"), F.col("vec_id") % 100 == 0)
 
@@ -50,7 +55,8 @@ def op10_toxicity(spark, sf_dir):
 QUERIES = {
     f.__name__: f
     for f in (
-        op1_mixing, op2_exact_dedup, op3_language_id, op4_packing, op5_simhash, op6_licenses, op8_topk, op9_warc, op10_toxicity,
+        op1_mixing, op2_exact_dedup, op3_language_id, op4_packing, op5_simhash, op6_licenses, op7_suffix_dedup, op8_topk, op9_warc,
+        op10_toxicity,
     )
 }
 
