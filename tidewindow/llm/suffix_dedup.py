@@ -37,8 +37,8 @@ TABLE = np.random.default_rng(7).integers(1, 2**63, 256, np.uint64)  # a number
 BASES = (0xD6E8FEB86659FD93, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB)
 # at: start << 26 | minimiser's offset << 21 | starts << 16 | mark of the text
 RUNS = "gram long, run long, doc long, at long"
-CONTEXTS = "gram long, doc long, at long, crowd boolean, bytes binary"
-MARKS = "doc long, mark long, place long"
+CONTEXTS = "gram long, run long, doc long, at long, crowd boolean, bytes binary"
+MASKS = "gram long, run long, mask long"
 
 
 class PrefixHash:
@@ -146,7 +146,7 @@ def _contexts(batches):
             data = text.as_py().encode()
             for x in found:
                 start, n = x["at"] >> 26, x["at"] >> 16 & 31
-                rows.append((x["gram"], doc, x["at"], x["crowd"], data[start : start + n + LENGTH - 1]))
+                rows.append((x["gram"], x["run"], doc, x["at"], x["crowd"], data[start : start + n + LENGTH - 1]))
                 if len(rows) == 50_000:
                     yield _table(rows)
                     rows = []
@@ -155,8 +155,9 @@ def _contexts(batches):
 
 
 def _table(rows):
-    kinds = [pa.int64(), pa.int64(), pa.int64(), pa.bool_(), pa.binary()]
-    return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], ["gram", "doc", "at", "crowd", "bytes"])
+    kinds = [pa.int64()] * 4 + [pa.bool_(), pa.binary()]
+    names = ["gram", "run", "doc", "at", "crowd", "bytes"]
+    return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], names)
 
 
 class Suffixes:
@@ -268,12 +269,6 @@ def _lost(gram, doc, at, texts, base):
     return masks
 
 
-def _marks(doc, at, masks):
-    keep = masks != 0
-    doc, at, masks = doc[keep], at[keep], masks[keep]
-    return pa.RecordBatch.from_arrays([pa.array(doc), pa.array(at & 0xFFFF), pa.array((at >> 26) << 27 | masks)], ["doc", "mark", "place"])
-
-
 def _sorted_groups(batches, most: int = 100_000):
     """Rows come sorted by gram; whole grams are compared together, many at a time."""
     held = None
@@ -291,21 +286,22 @@ def _sorted_groups(batches, most: int = 100_000):
 
 
 def _compared(t):
-    gram, doc, at = (t.column(c).to_numpy() for c in ("gram", "doc", "at"))
-    return _marks(doc, at, lost_strings(gram, doc, at, t.column("bytes").to_pylist()))
+    gram, run, doc, at = (t.column(c).to_numpy() for c in ("gram", "run", "doc", "at"))
+    masks = lost_strings(gram, doc, at, t.column("bytes").to_pylist())
+    keep = masks != 0
+    return pa.RecordBatch.from_arrays([pa.array(c[keep]) for c in (gram, run, masks)], ["gram", "run", "mask"])
 
 
 def _strings(batches):
-    """Every string of crowded runs: (bytes, doc, mark, place)."""
+    """Every string of crowded runs: (string, gram, run, doc, bit of its start)."""
     for batch in batches:
         for lo in range(0, batch.num_rows, 5000):
             rows = []
             part = batch.slice(lo, 5000)
-            for doc, at, data in zip(*[part.column(c).to_pylist() for c in ("doc", "at", "bytes")]):
-                for t in range(at >> 16 & 31):
-                    rows.append((data[t : t + LENGTH], doc, at & 0xFFFF, ((at >> 26) + t) << 27 | 1))
-            columns = zip(zip(*rows), (pa.binary(), pa.int64(), pa.int64(), pa.int64()))
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in columns], ["string", "doc", "mark", "place"])
+            for gram, run, doc, at, data in zip(*[part.column(c).to_pylist() for c in ("gram", "run", "doc", "at", "bytes")]):
+                rows += [(data[t : t + LENGTH], gram, run, doc, 1 << t) for t in range(at >> 16 & 31)]
+            columns = zip(zip(*rows), [pa.binary()] + [pa.int64()] * 4)
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in columns], ["string", "gram", "run", "doc", "bit"])
 
 
 def marked_places(docs: DataFrame, crowd_size: int = CROWD) -> DataFrame:
@@ -324,33 +320,30 @@ def marked_places(docs: DataFrame, crowd_size: int = CROWD) -> DataFrame:
         runs = stage(rows.mapInArrow(_runs, RUNS).join(known, "gram", "left_semi"))
         least = stage(runs.groupBy("gram", "run").agg(F.min("doc").alias("first"), F.min_by("at", "doc").alias("at")))
         several = stage(least.groupBy("gram").agg(F.count("*").alias("n")).where("n > 1"))
-        copies = runs.join(least.select("gram", "run", "first"), ["gram", "run"]).where("doc > first")
-        starts = F.shiftright(F.col("at"), 16).bitwiseAND(F.lit(31)).cast("int")
-        full = F.call_function("shiftleft", F.lit(1).cast("long"), starts) - 1
-        place = F.shiftleft(F.shiftright(F.col("at"), 26), 27).bitwiseOR(full)
-        copied = stage(copies.select("doc", F.col("at").bitwiseAND(F.lit(0xFFFF)).alias("mark"), place.alias("place")))
         crowd = (F.col("n") > crowd_size).alias("crowd")
-        listed = least.join(several, "gram").select("first", "gram", "at", crowd)
+        listed = least.join(several, "gram").select("first", "gram", "run", "at", crowd)
         listed = listed.groupBy(F.col("first"), F.col("at").bitwiseAND(F.lit(0xFFFF)).alias("of"))
-        listed = stage(listed.agg(F.collect_list(F.struct("gram", "at", "crowd")).alias("found")))
+        listed = stage(listed.agg(F.collect_list(F.struct("gram", "run", "at", "crowd")).alias("found")))
         texts = rows.join(listed, (F.col("doc_id") == F.col("first")) & (F.col("mark") == F.col("of")))
-        texts = texts.select("doc_id", "text", "found").mapInArrow(_contexts, CONTEXTS)
-        contexts = stage(texts)
+        contexts = stage(texts.select("doc_id", "text", "found").mapInArrow(_contexts, CONTEXTS))
         calm = contexts.where(~F.col("crowd")).repartition("gram").sortWithinPartitions("gram")
-        sorted_ = stage(calm.mapInArrow(_sorted_groups, MARKS))
-        parts = [copied, sorted_]
+        masks = calm.mapInArrow(_sorted_groups, MASKS)
         crowded = contexts.where("crowd")
         if not crowded.isEmpty():
-            strings = crowded.mapInArrow(_strings, "string binary, doc long, mark long, place long")
+            strings = crowded.mapInArrow(_strings, "string binary, gram long, run long, doc long, bit long")
             smallest = stage(strings.groupBy("string").agg(F.min("doc").alias("first")))
-            again = strings.join(smallest, "string").where("doc > first").select("doc", "mark", "place")
-            parts.append(stage(again))
+            lost = strings.join(smallest, "string").where("doc > first")
+            masks = masks.unionByName(lost.groupBy("gram", "run").agg(F.bit_or("bit").alias("mask")))
+        # The first document of a run loses what the mask says wherever it has the run, the others all of it.
+        decided = stage(least.select("gram", "run", "first").join(stage(masks), ["gram", "run"], "left"))
+        starts = F.shiftright(F.col("at"), 16).bitwiseAND(F.lit(31)).cast("int")
+        full = F.call_function("shiftleft", F.lit(1).cast("long"), starts) - 1
+        mask = F.when(F.col("doc") > F.col("first"), full).otherwise(F.col("mask"))
+        place = F.shiftleft(F.shiftright(F.col("at"), 26), 27).bitwiseOR(mask)
+        marks = runs.join(decided, ["gram", "run"]).where((F.col("doc") > F.col("first")) | F.col("mask").isNotNull())
+        return stage(marks.select("doc", F.col("at").bitwiseAND(F.lit(0xFFFF)).alias("mark"), place.alias("place")))
     finally:
         spark.conf.set(tidy, before)
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out
 
 
 def spans_of(places):
