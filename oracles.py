@@ -31,7 +31,9 @@ def compose(sql: str) -> str:
             chosen.add(n)
             todo.extend(_needs(CTES[n]))
     order = [n for n in CTES if n in chosen]
-    head = ",\n".join(f"{n} AS ({CTES[n]})" for n in order)
+    # Steps that several later ones read are computed once.
+    once = {n for n in ("cands", "candx", "ents", "entp", "touch", "cellx", "prior", "outs", "priced", "costs", "finished", "imm", "atlas", "acell", "ptr")}
+    head = ",\n".join(f"{n} AS {'MATERIALIZED ' if n in once else ''}({CTES[n]})" for n in order)
     body = sql.strip()
     head, body = (re.sub(r'(?<![".])\bat\b(?!")', '"at"', x) for x in (head, body))
     head, body = (re.sub(r'\.at\b', '."at"', x) for x in (head, body))
@@ -305,21 +307,22 @@ SELECT x.instrument, '1d' AS timeframe, CAST(sum(n) AS BIGINT) AS rows, CAST(sum
 FROM x JOIN (SELECT instrument, count(DISTINCT pb) = 1 AS a, count(DISTINCT vs) = 1 AS b FROM line_bars GROUP BY 1) m
 USING (instrument) GROUP BY x.instrument""")
 query("universe_audit", f"""
+WITH span AS (SELECT min(t) // 86400 * 86400 AS lo, (max(t) // 86400 + 1) * 86400 AS hi FROM bars)
 SELECT b.instrument, bars, distinct_bars, bad_prices, coalesce(long_gaps, 0) AS long_gaps,
-       coalesce(max_gap_s, 0) AS max_gap_s, coalesce(gap_total_s, 0) AS gap_total_s, 720 AS expected_bars,
-       720 - distinct_bars AS missing_bars, bars - distinct_bars AS duplicate_bars,
-       {r('distinct_bars / 720::DOUBLE')} AS coverage, 30 - days AS absent_days
-FROM (SELECT instrument, count(*) AS bars, count(DISTINCT t) AS distinct_bars,
+       coalesce(max_gap_s, 0) AS max_gap_s, coalesce(gap_total_s, 0) AS gap_total_s, (hi - lo) // 3600 AS expected_bars,
+       (hi - lo) // 3600 - distinct_bars AS missing_bars, bars - distinct_bars AS duplicate_bars,
+       {r('distinct_bars / ((hi - lo) / 3600)::DOUBLE')} AS coverage, (hi - lo) // 86400 - days AS absent_days
+FROM span, (SELECT instrument, count(*) AS bars, count(DISTINCT t) AS distinct_bars,
              count(*) FILTER (high < low OR low <= 0) AS bad_prices, count(DISTINCT t // 86400) AS days
       FROM bars GROUP BY 1) b
 LEFT JOIN (SELECT instrument, count(*) FILTER (g >= 10800) AS long_gaps, max(g) AS max_gap_s, CAST(sum(g) AS BIGINT) AS gap_total_s
   FROM (SELECT instrument, t - lag(at) OVER (PARTITION BY instrument ORDER BY t) AS g FROM bars
-        UNION ALL SELECT instrument, min(t) - 1704067200 FROM bars GROUP BY 1
-        UNION ALL SELECT instrument, 1706659200 - max(at) FROM bars GROUP BY 1) WHERE g > 0 GROUP BY 1) h USING (instrument)""")
+        UNION ALL SELECT instrument, min(t) - (SELECT lo FROM span) FROM bars GROUP BY 1
+        UNION ALL SELECT instrument, (SELECT hi FROM span) - max(at) FROM bars GROUP BY 1) WHERE g > 0 GROUP BY 1) h USING (instrument)""")
 query("absent_days", """
 SELECT p.k AS instrument, strftime(d, '%Y-%m-%d') AS day
 FROM (SELECT DISTINCT o_orderpriority AS k FROM orders) p,
-     (SELECT unnest(generate_series(DATE '1995-01-01', DATE '1999-12-31', INTERVAL 1 DAY)) AS d)
+     (SELECT unnest(generate_series((SELECT min(CAST(o_orderdate AS DATE)) FROM orders), (SELECT max(CAST(o_orderdate AS DATE)) FROM orders), INTERVAL 1 DAY)) AS d)
 WHERE NOT EXISTS (SELECT 1 FROM orders WHERE o_orderpriority = p.k AND CAST(o_orderdate AS DATE) = CAST(d AS DATE))""")
 query("calendar_partition", """
 SELECT k AS instrument, count(*) AS calendar_days, CAST(sum(p) AS BIGINT) AS present_days, CAST(sum(a) AS BIGINT) AS absent_days,
@@ -328,7 +331,7 @@ SELECT k AS instrument, count(*) AS calendar_days, CAST(sum(p) AS BIGINT) AS pre
 FROM (SELECT s.k, d, CASE WHEN o.day IS NULL THEN 0 ELSE 1 END AS p,
              CASE WHEN o.day IS NOT NULL AND day(d) = 31 THEN 1 ELSE 0 END AS a
       FROM (SELECT DISTINCT o_orderstatus AS k FROM orders) s
-      CROSS JOIN (SELECT CAST(unnest(generate_series(DATE '1995-01-01', DATE '1999-12-31', INTERVAL 1 DAY)) AS DATE) AS d)
+      CROSS JOIN (SELECT CAST(unnest(generate_series((SELECT min(CAST(o_orderdate AS DATE)) FROM orders), (SELECT max(CAST(o_orderdate AS DATE)) FROM orders), INTERVAL 1 DAY)) AS DATE) AS d)
       LEFT JOIN (SELECT DISTINCT o_orderstatus AS k, CAST(o_orderdate AS DATE) AS day FROM orders) o ON o.k = s.k AND o.day = d)
 GROUP BY 1""")
 cte("ub", "SELECT DISTINCT split_part(instrument, '.', 2) AS universe, split_part(instrument, '.', 1) AS member, t FROM bars")
@@ -674,6 +677,7 @@ SELECT *, CASE WHEN complete THEN direction * (adv - entry_price) / pip END AS p
        CASE WHEN complete THEN greatest(a0, xa, coalesce(fa, 0)) END AS mae_bound, CASE WHEN complete THEN greatest(f0, xf, coalesce(ff, 0)) END AS mfe_bound,
        CASE WHEN status = 'executed' THEN CASE WHEN xa > a0 THEN tk ELSE ta0 END END AS time_to_mae,
        CASE WHEN status = 'executed' THEN CASE WHEN xf > f0 THEN tk ELSE tf0 END END AS time_to_mfe,
+       0.75::DOUBLE AS signal_threshold, 'none' AS filter_family, 'none-v1' AS filter_spec_id,
        coalesce(exit_reason = 'ambiguous', false) AS ambiguous, CASE WHEN complete THEN coalesce(tk, stop) END AS holding
 FROM (SELECT *, CASE WHEN complete THEN CASE WHEN tk IS NULL THEN 'time_stop' WHEN tpk = slk THEN 'ambiguous' WHEN tpk = tk THEN 'tp' ELSE 'sl' END END AS exit_reason,
   CASE WHEN slk = tk THEN slp WHEN tpk = tk THEN tpp ELSE dc END AS adv, CASE WHEN tpk = tk THEN tpp WHEN slk = tk THEN slp ELSE dc END AS fav,
@@ -688,7 +692,8 @@ FROM (SELECT *, CASE WHEN complete THEN CASE WHEN tk IS NULL THEN 'time_stop' WH
 _oc = ["pips_adverse", "pips_favorable", "bp_adverse", "fraction_adverse", "mae", "mfe", "mae_bound", "mfe_bound"]
 query("barrier_outcomes", "SELECT candidate_event_id, entry_mode, tp, sl, stop, status, complete, exit_reason, holding, "
       + ", ".join(f"{r(c)} AS {c}" for c in _oc) + ", time_to_mae, time_to_mfe FROM outs")
-CONFIG = "instrument, benchmark_family, signal_timeframe, direction, entry_mode, tp, sl, stop"
+CONFIG = ("instrument, benchmark_family, signal_timeframe, session, direction, lookback, "
+          "signal_threshold, filter_family, filter_spec_id, entry_mode, tp, sl, stop")
 N = "count(*) FILTER (complete)"
 
 
@@ -711,12 +716,15 @@ for k, x in (("pips_adverse", "pips_adverse"), ("bp_adverse", "bp_adverse"), ("m
     _om += [f"{r(nearest(x, p))} AS {k}_{n}" for n, p in QS]
 OUTQ = """(SELECT *, CASE WHEN complete THEN mae / pip END AS q_mae, CASE WHEN complete THEN mfe / pip END AS q_mfe,
  CASE WHEN complete THEN wait END AS q_wait, CASE WHEN complete THEN r_at_entry END AS q_r, CASE WHEN complete THEN pre_entry_adverse END AS q_pre FROM outs)"""
-query("outcome_matrix", f"SELECT {CONFIG}, " + ", ".join(_om) + f" FROM {OUTQ} GROUP BY 1, 2, 3, 4, 5, 6, 7, 8")
+query("outcome_matrix", f"SELECT {CONFIG}, " + ", ".join(_om) + f" FROM {OUTQ} GROUP BY ALL")
 cte("odist", f"""
 SELECT {CONFIG}, unnest(['gross_pips', 'mae_pips', 'mfe_pips', 'holding']) AS metric, unnest([pips_adverse, mae / pip, mfe / pip, holding::DOUBLE]) AS x
 FROM outs WHERE complete""")
 query("outcome_distributions", f"SELECT {CONFIG}, metric, sample_count, unnest(['p10','p25','median','p75','p90','p95']) AS quantile, unnest(v) AS value FROM (SELECT {CONFIG}, metric, count(x) AS sample_count, ["
-      + ", ".join(r(nearest("x", p)) for _, p in QS) + "] AS v FROM odist GROUP BY 1, 2, 3, 4, 5, 6, 7, 8, 9)")
+      + ", ".join(r(nearest("x", p)) for _, p in QS) + "] AS v FROM odist GROUP BY ALL)")
+query("trade_validation", """
+SELECT instrument, CASE WHEN NOT complete THEN 'incomplete' WHEN NOT (isfinite(pips_adverse) AND isfinite(pips_favorable)) THEN 'not_finite' ELSE 'valid' END AS verdict,
+ count(*) AS rows FROM outs GROUP BY 1, 2""")
 query("run_totals", """
 SELECT instrument, count(DISTINCT candidate_event_id) AS candidates, count(*) FILTER (status = 'no_entry') AS no_entry,
  count(*) FILTER (status = 'passed') AS passed, count(*) FILTER (status = 'executed') AS executed,
@@ -727,7 +735,7 @@ cte("costs", f"""
 SELECT instrument, session, st AS statistic, sl.s AS slippage, v / {PIP} AS spread,
        CASE WHEN split_part(instrument, '.', 1) IN ('purchase', 'signup') THEN CASE WHEN session = 'asia' THEN 0.6::DOUBLE ELSE 0.5::DOUBLE END ELSE 0.07::DOUBLE END AS commission
 FROM (SELECT instrument, session, unnest(['mean', 'p75', 'p90', 'p95']) AS st, unnest([mean, p75, p90, p95]) AS v FROM spreads),
-     (VALUES (0::DOUBLE), (0.1::DOUBLE), (0.2::DOUBLE), (0.5::DOUBLE)) sl(s)""")
+     (VALUES (0::DOUBLE), (0.1::DOUBLE), (0.25::DOUBLE), (0.5::DOUBLE)) sl(s)""")
 
 
 def net(g):
@@ -735,36 +743,53 @@ def net(g):
     return f"CASE WHEN converted AND {v} > 0 THEN {v} * 0.993::DOUBLE WHEN converted AND {v} < 0 THEN {v} * 1.007::DOUBLE ELSE {v} END - commission"
 
 
+cte("costless", """
+SELECT DISTINCT o.instrument FROM (SELECT DISTINCT instrument, coalesce(session, 'overall') AS session FROM outs WHERE complete) o
+LEFT JOIN (SELECT DISTINCT instrument, session FROM costs) k ON k.instrument = o.instrument AND k.session = o.session WHERE k.session IS NULL""")
 cte("priced", f"""
 SELECT *, {net('pips_adverse')} AS net_adverse, {net('pips_favorable')} AS net_favorable
-FROM (SELECT o.*, c.statistic, c.slippage, c.spread, c.commission FROM outs o JOIN costs c ON c.instrument = o.instrument AND c.session = coalesce(o.session, 'overall')
-      WHERE o.complete)""")
+FROM (SELECT o.*, CASE WHEN x.instrument IS NULL THEN 'covered' ELSE 'blocked' END AS cost_status, c.statistic, c.slippage, c.spread, c.commission
+      FROM outs o LEFT JOIN costless x ON x.instrument = o.instrument
+      LEFT JOIN costs c ON x.instrument IS NULL AND c.instrument = o.instrument AND c.session = coalesce(o.session, 'overall') WHERE o.complete)""")
 query("cost_coverage", """
 SELECT instrument, CASE WHEN instrument IN (SELECT c.instrument FROM cands c LEFT JOIN
    (SELECT DISTINCT instrument, session FROM costs WHERE NOT (session = 'asia' AND instrument LIKE 'signup%')) k
    ON k.instrument = c.instrument AND k.session = coalesce(c.session, 'overall') WHERE k.session IS NULL) THEN 'blocked' ELSE 'covered' END AS cost_status,
    count(*) AS candidates FROM cands GROUP BY 1, 2""")
 query("priced_scenarios", f"""
-SELECT instrument, session, statistic, slippage, count(*) AS rows, {r('sum(net_adverse)')} AS net_adverse, {r('sum(net_favorable)')} AS net_favorable,
+SELECT instrument, session, statistic, slippage, cost_status, count(*) AS rows, {r('sum(net_adverse)')} AS net_adverse, {r('sum(net_favorable)')} AS net_favorable,
        {r('avg(spread + slippage + commission)')} AS modeled_cost, {r('max(spread)')} AS spread, {r('max(commission)')} AS commission
-FROM priced WHERE entry_mode = 'immediate' GROUP BY 1, 2, 3, 4""")
-CC = "instrument, benchmark_family, session, entry_mode, tp, sl, stop, statistic, slippage"
+FROM priced WHERE entry_mode = 'immediate' GROUP BY 1, 2, 3, 4, 5""")
+CC = CONFIG + ", statistic, slippage"
 cte("ccells", f"""
 SELECT {CC}, count(*) AS trades, avg(net_adverse) AS mean_net, avg(net_favorable) AS mean_net_favorable,
  avg(CASE WHEN net_adverse > 0 THEN 1::DOUBLE ELSE 0::DOUBLE END) AS win_fraction, avg(CASE WHEN net_adverse < 0 THEN 1::DOUBLE ELSE 0::DOUBLE END) AS loss_fraction,
  avg(CASE WHEN net_adverse = 0 THEN 1::DOUBLE ELSE 0::DOUBLE END) AS zero_fraction,
  coalesce(sum(CASE WHEN net_adverse > 0 THEN net_adverse END), 0) AS gains, coalesce(-sum(CASE WHEN net_adverse < 0 THEN net_adverse END), 0) AS losses,
  avg(pips_adverse) AS mean_gross, avg(spread + slippage + commission) AS mean_cost, max(spread + commission) AS fixed0, """
-    + ", ".join(f"{nearest('net_adverse', p)} AS {n}" for n, p in QS[:5]) + " FROM priced GROUP BY 1, 2, 3, 4, 5, 6, 7, 8, 9")
+    + ", ".join(f"{nearest('net_adverse', p)} AS {n}" for n, p in QS[:5]) + " FROM priced GROUP BY ALL")
 PF = "CASE WHEN losses > 0 THEN " + r('gains / losses') + " WHEN gains > 0 THEN 'inf'::DOUBLE ELSE 0::DOUBLE END"
 query("cost_cells", f"SELECT {CC}, trades, " + ", ".join(f"{r(c)} AS {c}" for c in (
     "mean_net", "mean_net_favorable", "win_fraction", "loss_fraction", "zero_fraction", "mean_gross", "mean_cost", *[n for n, _ in QS[:5]]))
       + f", {PF} AS profit_factor, {r('mean_gross - fixed0 - slippage')} AS headroom FROM ccells")
 query("regime_breadth", f"""
-SELECT instrument, benchmark_family, session, statistic, slippage, count(*) AS cells, count(*) FILTER (mean_net > 0) AS net_positive,
+SELECT instrument, signal_timeframe, session, direction, entry_mode, statistic, slippage, count(*) AS cells, count(*) FILTER (mean_net > 0) AS net_positive,
  {r('count(*) FILTER (mean_net > 0) / count(*)::DOUBLE')} AS net_positive_fraction, count(*) FILTER (mean_gross > 0) AS gross_positive,
  {r('coalesce(count(*) FILTER (mean_gross > 0 AND mean_net > 0) / nullif(count(*) FILTER (mean_gross > 0), 0)::DOUBLE, 0)')} AS surviving_fraction
-FROM ccells GROUP BY 1, 2, 3, 4, 5""")
+FROM ccells GROUP BY 1, 2, 3, 4, 5, 6, 7""")
+BEK = "instrument, session, entry_mode, tp, statistic"
+query("break_even", f"""
+WITH t AS (SELECT {BEK}, pips_adverse - spread AS x, commission AS cm, converted FROM priced WHERE slippage = 0 AND cost_status = 'covered'),
+ g AS (SELECT {BEK}, count(*) AS n, sum(x) AS sx, max(cm) AS cm, bool_or(converted) AS cv, sum(CASE WHEN x > 0 THEN x * 0.993::DOUBLE ELSE x * 1.007::DOUBLE END) AS v0 FROM t GROUP BY ALL),
+ k AS (SELECT {BEK}, x, count(*) OVER w AS nl, sum(x) OVER w AS xl FROM t WHERE converted
+       WINDOW w AS (PARTITION BY {BEK} ORDER BY x RANGE BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)),
+ s AS (SELECT {", ".join("g." + c for c in BEK.split(", "))}, max(k.nl) AS nl, arg_max(k.xl, k.nl) AS xl FROM g JOIN k
+       ON {" AND ".join(f"k.{c} IS NOT DISTINCT FROM g.{c}" for c in BEK.split(", "))}
+       WHERE 0.993::DOUBLE * (g.sx - k.xl - (g.n - k.nl) * k.x) + 1.007::DOUBLE * (k.xl - k.nl * k.x) > g.cm * g.n GROUP BY ALL),
+ v AS (SELECT g.*, coalesce(s.nl, 0) AS nl, coalesce(s.xl, 0) AS xl, CASE WHEN cv THEN v0 / n - cm ELSE sx / n - cm END AS mean0
+       FROM g LEFT JOIN s ON {" AND ".join(f"s.{c} IS NOT DISTINCT FROM g.{c}" for c in BEK.split(", "))})
+SELECT {BEK}, {r('b')} AS break_even_slippage FROM (SELECT *, CASE WHEN mean0 <= 0 THEN 0 WHEN cv
+ THEN (0.993::DOUBLE * (sx - xl) + 1.007::DOUBLE * xl - cm * n) / (0.993::DOUBLE * (n - nl) + 1.007::DOUBLE * nl) ELSE mean0 END AS b FROM v)""")
 
 # ================================================================ families
 SCOPE = "signal_timeframe = '2h' AND session = 'london' AND direction = -1"
@@ -783,7 +808,8 @@ FROM (SELECT {keys}, max(CASE WHEN benchmark_family = 'band' THEN 1 ELSE 0 END)
 
 query("family_overlap", _overlap("instrument, lookback, at", "strict-specification", "CAST(lookback AS VARCHAR)")
       + " UNION ALL " + _overlap("instrument, at", "execution-level", "'all'"))
-cte("imm", "SELECT * FROM outs WHERE complete AND entry_mode = 'immediate'")
+cte("finished", "SELECT * FROM outs WHERE complete")
+cte("imm", "SELECT * FROM finished WHERE entry_mode = 'immediate'")
 cte("classed", f"""
 SELECT t.*, unnest(CASE WHEN benchmark_family = 'band' THEN ['band-standalone', CASE WHEN v THEN 'intersection' ELSE 'band-only' END]
                    ELSE [CASE WHEN b THEN 'intersection' ELSE 'vwap-only' END] END) AS event_class
@@ -839,14 +865,16 @@ query("clock_sets", " UNION ALL ".join(
         ("band", "SELECT * FROM cb"), ("vwap", "SELECT * FROM cv"), ("union", "SELECT * FROM cb UNION SELECT * FROM cv"),
         ("both", "SELECT * FROM cb INTERSECT SELECT * FROM cv"), ("band_only", "SELECT * FROM cb EXCEPT SELECT * FROM cv"),
         ("vwap_only", "SELECT * FROM cv EXCEPT SELECT * FROM cb"))))
+SETK = ["instrument", "signal_timeframe", "session", "direction", "benchmark_family", "lookback", "signal_threshold", "entry_mode", "filter_family", "filter_spec_id"]
+EXITK = ["tp", "sl", "stop"]
 cte("atlas", f"""
-SELECT candidate_event_id, instrument, benchmark_family, signal_timeframe, session, direction, lookback, at, tp, sl, stop, 'gross' AS scenario, pips_adverse AS value FROM imm
+SELECT candidate_event_id, at, {", ".join(SETK + EXITK)}, 'gross' AS scenario, pips_adverse AS value FROM finished
 UNION ALL
-SELECT candidate_event_id, instrument, benchmark_family, signal_timeframe, session, direction, lookback, at, tp, sl, stop,
-       CASE statistic WHEN 'mean' THEN 'mean+0.0' WHEN 'p75' THEN 'p75+0.1' WHEN 'p90' THEN 'p90+0.2' ELSE 'p95+0.5' END, net_adverse
-FROM priced WHERE entry_mode = 'immediate' AND ((statistic = 'mean' AND slippage = 0) OR (statistic = 'p75' AND slippage = 0.1::DOUBLE)
-  OR (statistic = 'p90' AND slippage = 0.2::DOUBLE) OR (statistic = 'p95' AND slippage = 0.5::DOUBLE))""")
-ATK = ["instrument", "benchmark_family", "session", "tp", "sl", "stop", "scenario"]
+SELECT candidate_event_id, at, {", ".join(SETK + EXITK)},
+       CASE statistic WHEN 'mean' THEN 'mean+0.00' WHEN 'p75' THEN 'p75+0.10' WHEN 'p90' THEN 'p90+0.25' ELSE 'p95+0.50' END, net_adverse
+FROM priced WHERE (statistic = 'mean' AND slippage = 0) OR (statistic = 'p75' AND slippage = 0.1::DOUBLE)
+  OR (statistic = 'p90' AND slippage = 0.25::DOUBLE) OR (statistic = 'p95' AND slippage = 0.5::DOUBLE)""")
+ATK = [*SETK, *EXITK, "scenario"]
 query("atlas_cells", f"""
 SELECT b.* EXCLUDE (gains, losses), {PF} AS profit_factor, m.* EXCLUDE ({", ".join(ATK)}), CAST(s.max_losing_streak AS BIGINT) AS max_losing_streak
 FROM (SELECT {", ".join(ATK)}, count(*) AS trades, {r('count(*) / 12::DOUBLE')} AS trades_per_month, count(DISTINCT candidate_event_id) AS candidates,
@@ -861,17 +889,17 @@ JOIN ({streak('atlas', ATK, 'value')}) s ON {on('s', 'b', ATK)}""")
 cte("acell", f"SELECT {', '.join(ATK)}, avg(value) AS expectancy, count(*) AS trades FROM atlas GROUP BY ALL")
 query("setup_families", f"""
 SELECT c.*, t.candidates, t.opportunities FROM (
- SELECT instrument, benchmark_family, session, scenario, count(*) AS exit_cells, count(*) FILTER (expectancy > 0) AS positive_cells,
+ SELECT {", ".join(SETK)}, scenario, count(*) AS exit_cells, count(*) FILTER (expectancy > 0) AS positive_cells,
   {r('count(*) FILTER (expectancy > 0) / count(*)::DOUBLE')} AS positive_fraction, {r('min(expectancy)')} AS min_expectancy, {r('max(expectancy)')} AS max_expectancy,
-  {r('median(expectancy)')} AS median_expectancy FROM acell GROUP BY 1, 2, 3, 4) c
-JOIN (SELECT instrument, benchmark_family, session, count(DISTINCT candidate_event_id) AS candidates, count(DISTINCT (instrument, signal_timeframe, at, direction)) AS opportunities
-      FROM imm GROUP BY 1, 2, 3) t ON {on('t', 'c', ['instrument', 'benchmark_family', 'session'])}""")
+  {r('median(expectancy)')} AS median_expectancy FROM acell GROUP BY {", ".join(SETK)}, scenario) c
+JOIN (SELECT {", ".join(SETK)}, count(DISTINCT candidate_event_id) AS candidates, count(DISTINCT (instrument, signal_timeframe, at, direction)) AS opportunities
+      FROM finished GROUP BY {", ".join(SETK)}) t ON {on('t', 'c', SETK)}""")
 query("execution_families", """
-SELECT instrument, session, direction, count(DISTINCT (instrument, signal_timeframe, at, direction)) AS opportunities,
- count(DISTINCT (benchmark_family, lookback, signal_timeframe)) AS memberships,
+SELECT instrument, signal_timeframe, session, direction, entry_mode, count(DISTINCT (instrument, signal_timeframe, at, direction)) AS opportunities,
+ count(DISTINCT (benchmark_family, lookback)) AS memberships,
  array_to_string(list_sort(list(DISTINCT benchmark_family)), '|') AS variants, array_to_string(list_sort(list(DISTINCT CAST(lookback AS VARCHAR))), '|') AS lookbacks
-FROM imm GROUP BY 1, 2, 3""")
-HYK = ["benchmark_family", "session", "tp", "sl", "stop"]
+FROM finished GROUP BY 1, 2, 3, 4, 5""")
+HYK = [*SETK[1:], *EXITK]
 cte("hyp", f"""
 SELECT *, printf('H%04d', dense_rank() OVER (ORDER BY {", ".join(k + " NULLS FIRST" for k in HYK)})) AS hypothesis_id FROM acell""")
 query("hypotheses", f"""
@@ -879,12 +907,12 @@ SELECT {", ".join(HYK)}, scenario, count(DISTINCT instrument) AS instruments_tes
 FROM hyp GROUP BY ALL""")
 query("hypothesis_support", f"SELECT hypothesis_id, scenario, instrument, {r('expectancy')} AS expectancy FROM hyp")
 query("reference_overlap", f"""
-WITH ex AS (SELECT DISTINCT instrument, benchmark_family, session, signal_timeframe, at, direction FROM imm),
- rf AS (SELECT DISTINCT instrument, signal_timeframe, at, direction FROM imm WHERE {SCOPE} AND benchmark_family <> 'band')
-SELECT instrument, benchmark_family, session, opportunities, intersection, {r('intersection / opportunities::DOUBLE')} AS overlap_rate,
+WITH ex AS (SELECT DISTINCT {", ".join(SETK)}, at FROM finished),
+ rf AS (SELECT DISTINCT instrument, signal_timeframe, at, direction FROM finished WHERE {SCOPE} AND benchmark_family <> 'band')
+SELECT {", ".join(SETK)}, opportunities, intersection, {r('intersection / opportunities::DOUBLE')} AS overlap_rate,
  opportunities - intersection AS unique_to_setup, (SELECT count(*) FROM rf) - intersection AS reference_only
-FROM (SELECT e.instrument, e.benchmark_family, e.session, count(*) AS opportunities, count(f.at) AS intersection FROM ex e LEFT JOIN rf f
- ON f.instrument = e.instrument AND f.signal_timeframe = e.signal_timeframe AND f.at = e.at AND f.direction = e.direction GROUP BY 1, 2, 3)""")
+FROM (SELECT {", ".join("e." + k for k in SETK)}, count(*) AS opportunities, count(f.at) AS intersection FROM ex e LEFT JOIN rf f
+ ON f.instrument = e.instrument AND f.signal_timeframe = e.signal_timeframe AND f.at = e.at AND f.direction = e.direction GROUP BY {", ".join("e." + k for k in SETK)})""")
 
 # ================================================================ process
 PRC = "instrument, benchmark_family, signal_timeframe, session, lookback"
@@ -1045,11 +1073,12 @@ def scope(src, keys):
         a += [f"{r(f'avg({m}_pips)')} AS mean_{m}_pips", f"{r(f'median({m}_pips)')} AS {m}_pips_median"]
     a += [f"{r('CASE WHEN median(mae_pips) > 0 THEN median(mfe_pips) / median(mae_pips) END')} AS mfe_to_mae"]
     return f"""
-SELECT b.*, mo.txt AS month_counts, qu.txt AS quarter_counts, ins.txt AS instrument_counts, len(string_split(mo.txt, ',')) AS active_months,
+SELECT b.*, mo.txt AS month_counts, qu.txt AS quarter_counts, ins.instruments, ins.adequate_instruments, ins.positive_instruments, len(string_split(mo.txt, ',')) AS active_months,
  {r('ins.top / b.events::DOUBLE')} AS max_instrument_share, {r('qu.top / b.events::DOUBLE')} AS max_quarter_share
 FROM (SELECT {", ".join(keys)}, {", ".join(a)} FROM {src} GROUP BY {", ".join(keys)}) b
 JOIN {text_map(src, keys, MONTH)} mo ON {on('mo', 'b', keys)} JOIN {text_map(src, keys, QUARTER)} qu ON {on('qu', 'b', keys)}
-JOIN {text_map(src, keys, 'instrument')} ins ON {on('ins', 'b', keys)}"""
+JOIN (SELECT {", ".join(keys)}, max(n) AS top, count(*) AS instruments, count(*) FILTER (n >= 10) AS adequate_instruments, count(*) FILTER (m > 0) AS positive_instruments
+      FROM (SELECT {", ".join(keys)}, instrument AS ikey, count(*) AS n, avg(pips_h8) AS m FROM {src} GROUP BY ALL) GROUP BY ALL) ins ON {on('ins', 'b', keys)}"""
 
 
 cte("fbcell", "SELECT *, instrument AS cell_instrument FROM fbo")
@@ -1069,15 +1098,22 @@ _ov = ["count(*) AS events"]
 for w in (0, 7200, 14400, 28800):
     _ov += [f"count(*) FILTER (g <= {w}) AS overlap_w{w}", f"{r(f'count(*) FILTER (g <= {w}) / count(*)::DOUBLE')} AS overlap_rate_w{w}",
             f"count(*) - count(*) FILTER (g <= {w}) AS unique_w{w}"]
+cte("fbnear", f"SELECT * FROM {near('(SELECT DISTINCT anchor_family, instrument, at, direction FROM fbo)')}")
+cte("fball", f"SELECT * FROM {near('(SELECT DISTINCT instrument, at, direction FROM fbo)')}")
 query("breakout_overlap", f"""
-SELECT anchor_family, {", ".join(_ov)} FROM {near("(SELECT DISTINCT anchor_family, instrument, at, direction FROM fbo)")} GROUP BY 1
-UNION ALL SELECT 'ALL', {", ".join(_ov)} FROM {near("(SELECT DISTINCT instrument, at, direction FROM fbo)")}""")
+SELECT anchor_family, 'ALL' AS scope_instrument, {", ".join(_ov)} FROM fbnear GROUP BY 1
+UNION ALL SELECT anchor_family, instrument, {", ".join(_ov)} FROM fbnear GROUP BY 1, 2
+UNION ALL SELECT 'ALL', instrument, {", ".join(_ov)} FROM fball GROUP BY 2
+UNION ALL SELECT 'ALL', 'ALL', {", ".join(_ov)} FROM fball HAVING count(*) > 0""")
 query("breakout_decision", f"""
-SELECT 'family' AS scope, events, n AS n_h8, {r('m')} AS mean_h8, {r('md')} AS pips_h8_median,
+SELECT *, CASE WHEN unique_rate IS NULL OR decision = 'INCONCLUSIVE' THEN 'INSUFFICIENT EVIDENCE' WHEN unique_rate >= 0.5 AND decision = 'PASS' THEN 'INDEPENDENT CANDIDATE'
+  WHEN unique_rate >= 0.5 THEN 'PARTIALLY ORTHOGONAL' ELSE 'LIKELY REFERENCE FILTER/TIMING LAYER' END AS independence
+FROM (
+SELECT 'family' AS scope, (SELECT {r('(count(*) - count(*) FILTER (g <= 28800)) / count(*)::DOUBLE')} FROM fball) AS unique_rate, events, n AS n_h8, {r('m')} AS mean_h8, {r('md')} AS pips_h8_median,
  CASE WHEN events >= 50 AND n >= 50 AND m > 0 AND md >= 0 AND (SELECT count(*) FROM (SELECT 1 FROM fbu GROUP BY instrument HAVING count(*) >= 10)) >= 2
    AND (SELECT count(*) FROM (SELECT 1 FROM fbu GROUP BY instrument HAVING avg(pips_h8) > 0)) >= 2
    AND (SELECT max(c) FROM (SELECT count(*) AS c FROM fbu GROUP BY instrument)) / events::DOUBLE <= 0.5 THEN 'PASS' WHEN events >= 50 AND n >= 50 THEN 'KILL' ELSE 'INCONCLUSIVE' END AS decision
-FROM (SELECT count(*) AS events, count(pips_h8) AS n, avg(pips_h8) AS m, median(pips_h8) AS md FROM fbu)""")
+FROM (SELECT count(*) AS events, count(pips_h8) AS n, avg(pips_h8) AS m, median(pips_h8) AS md FROM fbu) WHERE events > 0)""")
 
 # ================================================================ trend exhaustion
 cte("tf0", """
@@ -1201,7 +1237,7 @@ FROM (SELECT r.family, r.rep, s.pips, s.target, row_number() OVER (PARTITION BY
       FROM reps r JOIN scored s ON s.family = r.family AND s.fold = r.fold) GROUP BY 1, 2""")
 query("fold_bootstrap", "SELECT family, " + ", ".join(
     f"{r(f'quantile_cont({c}, {p})')} AS {c}_{n}" for c in ("top_pips", "top_target", "top_minus_bottom") for n, p in (("lo", .025), ("hi", .975))) + " FROM boot GROUP BY 1")
-cte("cal", "SELECT d, row_number() OVER (ORDER BY d) - 1 AS source_day FROM (SELECT CAST(unnest(generate_series(DATE '2024-01-01', DATE '2024-01-31', INTERVAL 1 DAY)) AS DATE) AS d) WHERE isodow(d) <= 5")
+cte("cal", "SELECT d, row_number() OVER (ORDER BY d) - 1 AS source_day FROM (SELECT CAST(unnest(generate_series(DATE '2024-01-01', DATE '2024-12-31', INTERVAL 1 DAY)) AS DATE) AS d) WHERE isodow(d) <= 5")
 
 
 def dbl(c):
@@ -1216,13 +1252,14 @@ FROM (SELECT *, abs(p0 + direction * r_at_entry * abs(d0) - (p0 - direction * sl
       FROM priced WHERE entry_mode = 'immediate' AND sl IS NOT NULL AND benchmark_family <> 'band' AND statistic = 'mean' AND slippage = 0.1::DOUBLE)
 JOIN cal ON cal.d = CAST(make_timestamp(at * 1000000) AS DATE) WHERE stop_pips > 0 AND gap > 0""")
 query("priced_trades", "SELECT candidate_event_id, instrument, session, policy, source_day, entry_s, exit_s, " + ", ".join(f"{r(c)} AS {c}" for c in ("pips_adverse", "net_adverse", "stop_pips", "r")) + " FROM ptr")
+cte("pday", "SELECT policy, source_day, count(*) AS n, sum(r) AS s, min(entry_s) AS lo, max(exit_s) AS hi FROM ptr GROUP BY 1, 2")
 cte("picks", f"""
-SELECT p.p AS path, b.b * 5 + o.o AS day, ({drawn('23', 11, 'p.p', 'b.b')} + o.o) % 23 AS source_day FROM range(40) p(p), range(4) b(b), range(5) o(o)""")
+SELECT p.p AS path, b.b * 5 + o.o AS day, ({drawn('262', 11, 'p.p', 'b.b')} + o.o) % 262 AS source_day FROM range(2000) p(p), range(4) b(b), range(5) o(o)""")
 query("bootstrap_picks", "SELECT path, day, source_day, source_day IN (SELECT source_day FROM ptr) AS has_trades FROM picks")
 query("rebased_trades", f"""
-SELECT path, policy, count(*) AS trades, {r('sum(r)')} AS total_r, min(entry_s + (day - picks.source_day) * 86400) AS first_s, max(exit_s + (day - picks.source_day) * 86400) AS last_s
-FROM ptr JOIN picks ON picks.source_day = ptr.source_day GROUP BY 1, 2""")
-cte("ptot", "SELECT policy, path, sum(r) AS total_r FROM ptr JOIN picks ON picks.source_day = ptr.source_day GROUP BY 1, 2")
+SELECT path, policy, CAST(sum(n) AS BIGINT) AS trades, {r('sum(s)')} AS total_r, min(lo + (day - picks.source_day) * 86400) AS first_s, max(hi + (day - picks.source_day) * 86400) AS last_s
+FROM pday JOIN picks ON picks.source_day = pday.source_day GROUP BY 1, 2""")
+cte("ptot", "SELECT policy, path, sum(s) AS total_r FROM pday JOIN picks ON picks.source_day = pday.source_day GROUP BY 1, 2")
 query("bootstrap_distribution", f"""
 SELECT policy, count(*) AS paths, {r('avg(total_r)')} AS mean_r, {r('avg(CASE WHEN total_r > 0 THEN 1::DOUBLE ELSE 0::DOUBLE END)')} AS positive_share, """
       + ", ".join(f"{r(nearest('total_r', p))} AS {n}" for n, p in (("p05", .05), ("p25", .25), ("median", .5), ("p75", .75), ("p95", .95))) + " FROM ptot GROUP BY 1")

@@ -11,7 +11,7 @@ SF = "/root/testdata/sf0.001"
 
 def test_every_statement_has_a_query():
     assert set(oracles.QUERIES) <= set(registry())
-    assert set(registry()) - set(oracles.QUERIES) == {"break_even", "residual_shocks", "walk_forward_models"}
+    assert set(registry()) - set(oracles.QUERIES) == {"residual_shocks", "walk_forward_models"}
 
 
 @pytest.mark.parametrize("name", ["bar_ingest", "resample_bars", "band_features", "structural_levels", "spread_profile"])

@@ -7,6 +7,7 @@ partitions a window by the series key alone.  Bounded look-back goes through :fu
 """
 
 from functools import reduce
+from os.path import commonprefix
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
@@ -72,6 +73,17 @@ def carry_last(df: DataFrame, keys, order, axis: Column, width: int, value: str,
     )
 
 
+def carry_max(df: DataFrame, keys, order, axis: Column, width: int, value: str, out: str) -> DataFrame:
+    """``out`` = largest ``value`` strictly before the row, over the whole series."""
+    order = [order] if isinstance(order, str) else list(order)
+    placed = df.withColumn(CHUNK, F.floor(axis / width).cast("long"))
+    before = Window.partitionBy(*keys, CHUNK).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+    across = Window.partitionBy(*keys).orderBy(CHUNK).rowsBetween(Window.unboundedPreceding, -1)
+    chunks = placed.groupBy(*keys, CHUNK).agg(F.max(value).alias("_most")).withColumn("_carry", F.max("_most").over(across))
+    local = placed.withColumn("_local", F.max(value).over(before))
+    return _attach(local, chunks, keys, ["_carry"]).withColumn(out, F.greatest("_local", "_carry")).drop("_local", "_carry", CHUNK)
+
+
 def running_sum(df: DataFrame, keys, order, axis: Column, width: int, value: Column, out: str) -> DataFrame:
     """Inclusive prefix sum of ``value`` over the whole series, chunk by chunk."""
     order = [order] if isinstance(order, str) else list(order)
@@ -101,14 +113,27 @@ def value_bin(x: Column, per_log_unit: int = 256) -> Column:
     return F.when(x == 0, F.lit(0)).otherwise(F.signum(x) * magnitude).cast("long")
 
 
+def tie_part(df: DataFrame, tie: str | None) -> Column:
+    """An order-preserving part of a text tie key: two characters after what all keys share."""
+    if tie is None or dict(df.dtypes)[tie] != "string":
+        return F.lit("")
+    r = df.agg(F.min(tie).alias("a"), F.max(tie).alias("b")).first()
+    shared = len(commonprefix([r["a"] or "", r["b"] or ""]))
+    return F.coalesce(F.substring(F.col(tie), shared + 1, 2), F.lit(""))
+
+
 def ranked(df: DataFrame, keys, value: str, tie: str | None, out: str = "rank") -> DataFrame:
     """Global 1-based row number by (value, tie) within ``keys``, plus the group size ``n``.
 
-    The group is split by :func:`value_bin`; only bin counts cross the whole group.
+    Rows are ordered inside (value, part of the tie key) only, so neither a spread-out group nor a
+    value that most rows share is one task; counts alone cross a :func:`value_bin`, and bins a group.
     """
-    placed = df.withColumn("_bin", value_bin(F.col(value)))
+    keys = list(keys)
+    placed = df.withColumns({"_bin": value_bin(F.col(value)), "_part": tie_part(df, tie)})
+    within = Window.partitionBy(*keys, "_bin").orderBy(value, "_part").rowsBetween(Window.unboundedPreceding, -1)
+    cells = placed.groupBy(*keys, "_bin", value, "_part").agg(F.count("*").alias("_rows"))
+    cells = cells.withColumn("_inside", F.coalesce(F.sum("_rows").over(within), F.lit(0)))
     across = Window.partitionBy(*keys).orderBy("_bin").rowsBetween(Window.unboundedPreceding, -1)
-    whole = Window.partitionBy(*keys)
     bins = (
         placed.groupBy(*keys, "_bin")
         .agg(F.count("*").alias("_rows"))
@@ -116,17 +141,19 @@ def ranked(df: DataFrame, keys, value: str, tie: str | None, out: str = "rank")
             *keys,
             "_bin",
             F.coalesce(F.sum("_rows").over(across), F.lit(0)).alias("_before"),
-            F.sum("_rows").over(whole).alias("n"),
+            F.sum("_rows").over(Window.partitionBy(*keys)).alias("n"),
         )
     )
-    inside = Window.partitionBy(*keys, "_bin").orderBy(value, *([tie] if tie else []))
+    group = [*keys, "_bin"]
+    cells = cells.alias("l").join(bins.alias("r"), same_keys(group)).select("l.*", "r._before", "r.n")
+    order = Window.partitionBy(*keys, value, "_part").orderBy(*([tie] if tie else [value]))
     return (
-        placed.withColumn("_local", F.row_number().over(inside))
+        placed.withColumn("_local", F.row_number().over(order))
         .alias("l")
-        .join(bins.alias("r"), same_keys([*keys, "_bin"]))
-        .select("l.*", "r._before", "r.n")
-        .withColumn(out, (F.col("_local") + F.col("_before")).cast("long"))
-        .drop("_bin", "_local", "_before")
+        .join(cells.alias("r"), same_keys([*keys, "_bin", value, "_part"]))
+        .select("l.*", "r._inside", "r._before", "r.n")
+        .withColumn(out, (F.col("_local") + F.col("_inside") + F.col("_before")).cast("long"))
+        .drop("_bin", "_part", "_local", "_inside", "_before")
     )
 
 

@@ -10,8 +10,8 @@ from tidewindow.operators.joins import lookup_cost
 
 # Fixed values of the scenario matrix.
 STATISTICS = ("mean", "p75", "p90", "p95")
-SLIPPAGES = (0.0, 0.1, 0.2, 0.5)
-HEADLINE = (("mean", 0.0), ("p75", 0.1), ("p90", 0.2), ("p95", 0.5))
+SLIPPAGES = (0.0, 0.1, 0.25, 0.5)
+HEADLINE = (("mean", 0.0), ("p75", 0.1), ("p90", 0.25), ("p95", 0.5))
 
 
 def spread_profile(ticks: DataFrame, bucket_s: int, quantiles=None) -> DataFrame:
@@ -61,8 +61,12 @@ def block_uncovered(rows: DataFrame, costs: DataFrame) -> DataFrame:
 
 
 def priced(trades: DataFrame, costs: DataFrame) -> DataFrame:
-    """Complete trades x scenarios with adverse-first and favourable-first net pips."""
-    rows = lookup_cost(trades, costs, F.col("session"))
+    """Complete trades x scenarios with adverse-first and favourable-first net pips.
+
+    No trade is lost: an instrument that lacks a cost row for any session it trades in is blocked,
+    and its trades come out once, with ``cost_status`` blocked and no scenario.
+    """
+    rows = lookup_cost(block_uncovered(trades, costs), costs, F.col("session"), F.col("cost_status") == "covered")
     c = F.col
     return rows.withColumns(
         {

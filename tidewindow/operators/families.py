@@ -71,7 +71,7 @@ def headline_values(trades: DataFrame, costs: DataFrame, headline) -> DataFrame:
     for statistic, slippage in headline:
         chosen = chosen | ((F.col("statistic") == statistic) & (F.col("slippage") == slippage))
     net = priced(trades, costs.where(chosen)).select(
-        *trades.columns, F.concat_ws("+", "statistic", F.format_string("%.1f", "slippage")).alias("scenario"),
+        *trades.columns, F.concat_ws("+", "statistic", F.format_string("%.2f", "slippage")).alias("scenario"),
         F.col("net_adverse").alias("value"),
     )
     return gross.unionByName(net)
@@ -105,19 +105,33 @@ def execution_families(trades: DataFrame, family, execution, setup) -> DataFrame
     )
 
 
-def hypotheses(cells: DataFrame, keys) -> DataFrame:
-    """A hypothesis across instruments: how many tested, how many positive; stable ids."""
+def clock_sets(candidates: DataFrame, left: str, right: str) -> DataFrame:
+    """(instrument, set, clocks) of two families' clocks: one shuffle, no set is built."""
+    flag = lambda f: F.max((F.col("benchmark_family") == f).cast("int"))
+    clocks = candidates.where(F.col("benchmark_family").isin(left, right)).groupBy("instrument", "at").agg(
+        flag(left).alias("_l"), flag(right).alias("_r")
+    )
+    a, b = F.col("_l") == 1, F.col("_r") == 1
+    parts = {left: a, right: b, "union": a | b, "both": a & b, f"{left}_only": a & ~b, f"{right}_only": b & ~a}
+    sums = clocks.groupBy("instrument").agg(*[F.count_if(x).alias(n) for n, x in parts.items()])
+    items = F.array(*[F.struct(F.lit(n).alias("set"), F.col(n).alias("clocks")) for n in parts])
+    return sums.select("instrument", F.inline(items)).where("clocks > 0")
+
+
+def hypotheses(cells: DataFrame, keys) -> tuple[DataFrame, DataFrame]:
+    """(A hypothesis across instruments: how many tested, how many positive; its support as one
+    row per instrument), both with stable ids."""
     rows = cells.groupBy(*keys, "scenario").agg(
         F.count_distinct("instrument").alias("instruments_tested"),
         F.count_if(F.col("expectancy") > 0).alias("instruments_positive"),
-        F.map_from_entries(F.array_sort(F.collect_list(F.struct("instrument", "expectancy")))).alias("support"),
     )
     # The number of hypotheses is the size of the parameter grid, so one ordered numbering is safe.
     ids = rows.select(*keys).distinct().withColumn(
         "hypothesis_id",
         F.format_string("H%04d", F.row_number().over(Window.orderBy(*[F.col(k).asc_nulls_first() for k in keys]))),
     )
-    return ST.attach(rows, ids, keys)
+    support = ST.attach(cells, ids, keys).select("hypothesis_id", "scenario", "instrument", "expectancy")
+    return ST.attach(rows, ids, keys), support
 
 
 def role_overlap(trades: DataFrame, setup, execution, reference: DataFrame) -> DataFrame:
@@ -153,11 +167,10 @@ def overlap_windows(events: DataFrame, keys, windows_s, gap: str = "nearest_s")
     return events.groupBy(*keys).agg(*aggs)
 
 
-def stage_decision(rows: DataFrame, min_events: int, min_instrument_events: int, max_instrument: float, max_quarter: float, horizon: int) -> DataFrame:
-    """PASS / KILL / INCONCLUSIVE from a summary row (maps of counts and expectancies)."""
+def stage_decision(rows: DataFrame, min_events: int, max_instrument: float, max_quarter: float, horizon: int) -> DataFrame:
+    """PASS / KILL / INCONCLUSIVE from a summary row."""
     c = F.col
-    big = F.size(F.filter(F.map_values("instrument_counts"), lambda n: n >= min_instrument_events))
-    good = F.size(F.filter(F.map_values("instrument_expectancy"), lambda m: m > 0))
+    big, good = c("adequate_instruments"), c("positive_instruments")
     adequate = (c("events") >= min_events) & (c(f"n_h{horizon}") >= min_events)
     evidence = (
         adequate

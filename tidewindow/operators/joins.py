@@ -71,17 +71,14 @@ def nearest_clock(events: DataFrame, clocks: DataFrame, keys, at: str, reach: in
     return events.alias("l").join(gaps.alias("r"), same_keys([*k, at]), "left").select("l.*", f"r.{out}")
 
 
-def lookup_cost(rows: DataFrame, costs: DataFrame, session: Column, limit_rows: int = 100_000) -> DataFrame:
-    """Join a cost dimension; broadcast only when its row count is proven small."""
-    side = costs
-    if costs.limit(limit_rows + 1).count() <= limit_rows:
-        side = F.broadcast(costs)
-    cond = (F.col("l.instrument") == F.col("r.instrument")) & (F.col("l._session") == F.col("r.session"))
+def lookup_cost(rows: DataFrame, costs: DataFrame, session: Column, allowed: Column) -> DataFrame:
+    """Left join of a cost dimension where ``allowed``; the session's size threshold picks the join."""
+    cond = F.col("l._allowed") & (F.col("l.instrument") == F.col("r.instrument")) & (F.col("l._session") == F.col("r.session"))
     extra = [c for c in costs.columns if c not in ("instrument", "session")]
     return (
-        rows.withColumn("_session", F.coalesce(session, F.lit("overall")))
+        rows.withColumns({"_session": F.coalesce(session, F.lit("overall")), "_allowed": allowed})
         .alias("l")
-        .join(side.alias("r"), cond)
+        .join(costs.alias("r"), cond, "left")
         .select("l.*", *[F.col(f"r.{c}") for c in extra])
-        .drop("_session")
+        .drop("_session", "_allowed")
     )

@@ -6,7 +6,7 @@ from itertools import combinations
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from tidewindow.functions.scalars import seconds
-from tidewindow.operators.chunks import carry_last, core_only, halo, same_keys
+from tidewindow.operators.chunks import carry_last, carry_max, same_keys
 from tidewindow.schema import PRICE_BASES, VOLUME_SEMANTICS
 
 
@@ -32,6 +32,25 @@ def check_rows(bars: DataFrame) -> DataFrame:
     return bars.withColumn("violations", found)
 
 
+def check_trades(trades: DataFrame, expected: Column) -> DataFrame:
+    """Adds ``verdict``: valid, or the first rule of the trade contract that a row breaks."""
+    c = F.col
+    finite = lambda x: c(x).isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))
+    verdict = (
+        F.when(~F.coalesce(expected, F.lit(False)), "unexpected_instrument")
+        .when(F.coalesce(c("candidate_event_id"), F.lit("")) == "", "missing_identity")
+        .when(~F.coalesce(c("complete"), F.lit(False)), "incomplete")
+        .when(~(finite("pips_adverse") & finite("pips_favorable")), "not_finite")
+        .otherwise("valid")
+    )
+    return trades.withColumn("verdict", verdict)
+
+
+def other_instrument(rows: DataFrame, declared: str) -> DataFrame:
+    """Rows of a part that do not carry the instrument it was declared for."""
+    return rows.where(~F.col("instrument").eqNullSafe(F.lit(declared)))
+
+
 def split_valid(bars: DataFrame) -> tuple[DataFrame, DataFrame]:
     checked = check_rows(bars)
     good = F.size("violations") == 0
@@ -41,8 +60,8 @@ def split_valid(bars: DataFrame) -> tuple[DataFrame, DataFrame]:
 def dataset_report(bars: DataFrame, step_s: int) -> DataFrame:
     """Counts of structural faults per series.
 
-    Duplicate rows and intervals come from grouping; overlap and gaps need only the previous
-    distinct interval, found per day-sized chunk with a one-interval margin.
+    Duplicate rows and intervals come from grouping; an overlap is an interval that opens before
+    the latest close of any earlier one, carried over the whole series chunk by chunk.
     """
     keys = ["instrument", "timeframe"]
     interval = [*keys, "open_time", "close_time"]
@@ -52,11 +71,7 @@ def dataset_report(bars: DataFrame, step_s: int) -> DataFrame:
         F.sum("_same").alias("_rows"), F.sum(F.col("_same") - 1).alias("_copies"), F.count("*").alias("_variants")
     )
     lo, hi = seconds(F.col("open_time")), seconds(F.col("close_time"))
-    width = step_s * 64
-    longest = 4 * step_s
-    placed = halo(spans.withColumns({"_lo": lo, "_hi": hi}), F.col("_lo"), width, back=longest)
-    before = Window.partitionBy(*keys, "_chunk").orderBy("_lo", "_hi").rowsBetween(Window.unboundedPreceding, -1)
-    placed = core_only(placed.withColumn("_reach", F.max("_hi").over(before)))
+    placed = carry_max(spans.withColumns({"_lo": lo, "_hi": hi}), keys, ["_lo", "_hi"], F.col("_lo"), step_s * 64, "_hi", "_reach")
     structure = placed.groupBy(*keys).agg(
         F.sum("_rows").alias("rows"),
         F.sum("_copies").alias("duplicate_rows"),
@@ -134,6 +149,12 @@ def calendar(spark, start: str, end: str) -> DataFrame:
     )
 
 
+def day_range(rows: DataFrame, day: str = "day") -> tuple[str, str]:
+    """First and last day of a table, as text: one row of two dates."""
+    r = rows.agg(F.min(day).cast("string").alias("a"), F.max(day).cast("string").alias("b")).first()
+    return (r["a"], r["b"]) if r["a"] else ("1970-01-01", "1970-01-01")
+
+
 def absent_days(rows: DataFrame, key: str, start: str, end: str) -> DataFrame:
     """Calendar days in [start, end] without a row, per key."""
     present = rows.select(key, "day").distinct()

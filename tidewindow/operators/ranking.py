@@ -181,17 +181,20 @@ def _spline_columns(df: DataFrame, knots) -> tuple[DataFrame, list[str]]:
     for c, ks in knots.items():
         if not ks:
             continue
-        scaled = (F.col(c) - ks[0]) / (ks[-1] - ks[0])
+        # Outside the knots a predictor stays at the edge: a cubic must not run away.
+        held = F.least(F.greatest(F.col(c), F.lit(ks[0])), F.lit(ks[-1]))
+        scaled = (held - ks[0]) / (ks[-1] - ks[0])
         for p in (1, 2, 3):
             cells[f"_s_{c}_{p}"] = F.pow(scaled, F.lit(float(p)))
         for i, k in enumerate(ks[1:-1]):
-            hinge = F.greatest(F.lit(0.0), (F.col(c) - k) / (ks[-1] - ks[0]))
+            hinge = F.greatest(F.lit(0.0), (held - k) / (ks[-1] - ks[0]))
             cells[f"_s_{c}_k{i}"] = F.pow(hinge, F.lit(3.0))
     return df.withColumns(cells), list(cells)
 
 
 def _preparation(numeric, categorical):
-    """Median impute, mode-style index with unknowns kept, one-hot, standardise numerics."""
+    """Median impute, standardise numerics, one-hot; a category not seen in training is all zeros
+    (the indexer's bucket for it is the one the encoder drops)."""
     filled = [f"_i_{c}" for c in numeric]
     return [
         Imputer(strategy="median", inputCols=list(numeric), outputCols=filled),
@@ -203,14 +206,27 @@ def _preparation(numeric, categorical):
     ]
 
 
-def _quantile_model(train: DataFrame, target: str, q: float, steps: int = 8):
-    """Linear quantile fit by reweighted least squares on the smoothed check loss."""
+def _modes(train: DataFrame, categorical) -> dict:
+    """The most frequent value of each category, ``none`` where there is no value: one row."""
+    r = train.agg(*[F.mode(c, True).alias(c) for c in categorical]).first().asDict()
+    return {c: "none" if v is None else v for c, v in r.items()}
+
+
+def _quantile_model(train: DataFrame, target: str, q: float, tolerance: float = 1e-3, most: int = 40):
+    """Linear quantile fit by reweighted least squares on the smoothed check loss.
+
+    Steps end when no coefficient moves by more than ``tolerance`` of the largest.
+    """
     rows = train.withColumn("_w", F.lit(1.0))
-    model = None
-    for _ in range(steps):
+    model = last = None
+    for _ in range(most):
         model = LinearRegression(
             featuresCol="features", labelCol=target, weightCol="_w", regParam=0.01, elasticNetParam=0.0, predictionCol="_fit"
         ).fit(rows)
+        now = [*model.coefficients.toArray().tolist(), model.intercept]
+        if last is not None and max(abs(a - b) for a, b in zip(now, last)) <= tolerance * max(1e-9, *[abs(a) for a in now]):
+            break
+        last = now
         gap = F.col(target) - F.col("_fit")
         side = F.when(gap >= 0, F.lit(q)).otherwise(F.lit(1.0 - q))
         rows = model.transform(train).withColumn("_w", side / F.greatest(F.abs(gap), F.lit(1e-3))).drop("_fit")
@@ -218,15 +234,19 @@ def _quantile_model(train: DataFrame, target: str, q: float, steps: int = 8):
 
 
 def walk_forward(
-    rows: DataFrame, numeric, categorical, target: str, fold: str, test_folds, keep, quantile_steps: int = 8
+    rows: DataFrame, numeric, categorical, target: str, fold: str, test_folds, keep
 ) -> DataFrame:
-    """Out-of-sample scores of the model families; every fit sees earlier folds only."""
-    rows = rows.fillna("none", subset=list(categorical))
+    """Out-of-sample scores of the model families; every fit sees earlier folds only.
+
+    A fold without rows has nothing to score; one without earlier rows cannot be scored.
+    """
     out = None
     for test in test_folds:
         train, held = rows.where(F.col(fold) < test), rows.where(F.col(fold) == test)
         if train.isEmpty() or held.isEmpty():
             continue
+        fill = _modes(train, categorical)
+        train, held = train.fillna(fill), held.fillna(fill)
         live = [c for c, n in train.agg(*[F.count(c).alias(c) for c in numeric]).first().asDict().items() if n]
         prepared = Pipeline(stages=_preparation(live, categorical)).fit(train)
         fit_rows, test_rows = prepared.transform(train).cache(), prepared.transform(held)
@@ -235,7 +255,7 @@ def walk_forward(
         scored.append(huber.fit(fit_rows).transform(test_rows).select(*keep, fold, "score").withColumn("family", F.lit("huber")))
         quantile = test_rows.select(*keep, fold, "features")
         for q in (25, 50, 75):
-            model = _quantile_model(fit_rows, target, q / 100.0, quantile_steps).setPredictionCol(f"_q{q}")
+            model = _quantile_model(fit_rows, target, q / 100.0).setPredictionCol(f"_q{q}")
             quantile = model.transform(quantile)
         middle = F.array_sort(F.array("_q25", "_q50", "_q75"))[1]
         scored.append(quantile.select(*keep, fold, middle.alias("score")).withColumn("family", F.lit("quantile")))
@@ -245,11 +265,14 @@ def walk_forward(
         hot = [f"_h_{c}" for c in categorical]
         spline = Pipeline(
             stages=[
-                VectorAssembler(inputCols=[*names, *hot], outputCol="_basis"),
+                VectorAssembler(inputCols=names, outputCol="_raw_basis"),
+                StandardScaler(inputCol="_raw_basis", outputCol="_scaled_basis", withMean=True, withStd=True),
+                VectorAssembler(inputCols=["_scaled_basis", *hot], outputCol="_basis"),
                 LinearRegression(featuresCol="_basis", labelCol=target, regParam=0.1, elasticNetParam=0.0, predictionCol="score"),
             ]
         ).fit(basis_train)
         scored.append(spline.transform(basis_test).select(*keep, fold, "score").withColumn("family", F.lit("additive_splines")))
+        fit_rows.unpersist()
         for part in scored:
             out = part if out is None else out.unionByName(part)
     return out

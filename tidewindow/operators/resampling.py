@@ -37,6 +37,21 @@ def rebased_trades(trades: DataFrame, picks: DataFrame) -> DataFrame:
     )
 
 
+def rebased_summary(trades: DataFrame, picks: DataFrame, keys, value: str) -> DataFrame:
+    """Trades, total, first entry and last exit of the rebased trades, per (keys, path).
+
+    Days are summarised once and then picked: a trade is never copied per path.
+    """
+    per_day = trades.groupBy(*keys, "source_day").agg(
+        F.count("*").alias("n"), F.sum(value).alias("s"), F.min("entry_s").alias("lo"), F.max("exit_s").alias("hi")
+    )
+    shift = (F.col("day") - F.col("source_day")) * 86400
+    rows = per_day.join(picks, "source_day")
+    return rows.groupBy("path", *keys).agg(
+        F.sum("n").alias("trades"), F.sum("s").alias("total_r"), F.min(F.col("lo") + shift).alias("first_s"), F.max(F.col("hi") + shift).alias("last_s")
+    )
+
+
 def daily_totals(trades: DataFrame, picks: DataFrame, keys, value: str) -> DataFrame:
     """Sum of ``value`` per (keys, path, synthetic day) without expanding trades per path.
 
@@ -51,9 +66,8 @@ def month_block_bootstrap(
 ) -> DataFrame:
     """Top and bottom ``share`` means of each value, per replicate of whole blocks.
 
-    Rows are never copied per replicate.  Blocks are counted into order-preserving score bins;
-    a replicate weights the bins, finds the two bins where its cuts fall, and only the rows of
-    those bins are looked at one by one.
+    Blocks are counted into order-preserving score bins; a replicate weights the bins and finds the
+    two bins where its cuts fall, and only the rows of those bins are looked at, per replicate.
     """
     keys, spark = list(keys), rows.sparkSession
     blocks = rows.select(*keys, block).distinct()
@@ -99,13 +113,14 @@ def month_block_bootstrap(
     whole = bins.groupBy(*keys, "replicate").agg(*sums)
     edge = bins.where(partial).select(*keys, "replicate", "_bin", "_from", "_cut", "_all")
     inside = Window.partitionBy(*keys, "replicate", "_bin").orderBy(score, tie).rowsBetween(Window.unboundedPreceding, 0)
+    # Only rows of a bin that some replicate cuts meet that replicate, and only then its weights.
     edge_rows = (
         placed.alias("l")
-        .join(weights.alias("w"), [F.col(f"l.{k}").eqNullSafe(F.col(f"w.{k}")) for k in [*keys, block]])
-        .select("l.*", "w.replicate", "w._m")
+        .join(edge.alias("r"), same_keys([*keys, "_bin"]))
+        .select("l.*", "r.replicate", "r._from", "r._cut", "r._all")
         .alias("l")
-        .join(edge.alias("r"), same_keys([*keys, "replicate", "_bin"]))
-        .select("l.*", "r._from", "r._cut", "r._all")
+        .join(weights.alias("r"), same_keys([*keys, "replicate", block]))
+        .select("l.*", "r._m")
     )
     edge_rows = edge_rows.withColumn("_hi", F.col("_from") + F.sum("_m").over(inside)).withColumn("_lo", F.col("_hi") - F.col("_m"))
     bottom = F.greatest(F.lit(0), F.least("_hi", "_cut") - F.col("_lo"))

@@ -242,17 +242,19 @@ def entry_waits(entries: DataFrame, keys, by) -> DataFrame:
     return ST.attach(base, quants, group)
 
 
-def run_totals(outcomes: DataFrame, keys=()) -> DataFrame:
+def run_totals(entries: DataFrame, outcomes: DataFrame, keys=()) -> DataFrame:
+    """Totals of a run: candidates are counted on the entries, before these become grid cells."""
     c = F.col
     live = c("status") == "executed"
-    return outcomes.groupBy(*keys).agg(
-        F.count_distinct("candidate_event_id").alias("candidates"),
+    cells = outcomes.groupBy(*keys).agg(
         F.count_if(c("status") == "no_entry").alias("no_entry"),
         F.count_if(c("status") == "passed").alias("passed"),
         F.count_if(live).alias("executed"),
         F.count_if(live & ~c("complete")).alias("incomplete"),
         F.count_if(c("ambiguous")).alias("ambiguous"),
     )
+    candidates = entries.groupBy(*keys).agg(F.count_distinct("candidate_event_id").alias("candidates"))
+    return ST.attach(cells, candidates, keys)
 
 
 def cost_cells(priced: DataFrame, keys) -> DataFrame:
@@ -314,11 +316,16 @@ def class_metrics(rows: DataFrame, keys, value: str, width: int, months_in_year:
 
 
 def cell_metrics(rows: DataFrame, keys, value: str, width: int) -> DataFrame:
-    """Exact-cell metrics over a full calendar year: months without trades count as zero."""
+    """Exact-cell metrics over full calendar years: months without trades count as zero.
+
+    Months are kept apart by year; a cell's years are those it trades in.
+    """
     x = F.col(value)
-    month = F.month(F.timestamp_seconds("at"))
+    year = F.year(F.timestamp_seconds("at"))
+    month = F.month(F.timestamp_seconds("at")) + year * 12
     monthly = rows.groupBy(*keys, month.alias("_m")).agg(F.sum(x).alias("_sum"), F.count("*").alias("_n"))
-    spine = rows.select(*keys).distinct().withColumn("_m", F.explode(F.sequence(F.lit(1), F.lit(12))))
+    spine = rows.select(*keys, year.alias("_y")).distinct()
+    spine = spine.select(*keys, F.explode(F.sequence(F.col("_y") * 12 + 1, F.col("_y") * 12 + 12)).alias("_m"))
     filled = ST.attach(spine, monthly, [*keys, "_m"]).withColumn("_v", F.coalesce("_sum", F.lit(0.0)))
     by_month = filled.groupBy(*keys).agg(
         F.count_if(F.col("_sum") > 0).alias("positive_months"),
@@ -331,7 +338,7 @@ def cell_metrics(rows: DataFrame, keys, value: str, width: int) -> DataFrame:
     )
     base = rows.groupBy(*keys).agg(
         F.count("*").alias("trades"),
-        (F.count("*") / 12).alias("trades_per_month"),
+        (F.count("*") / (12 * F.count_distinct(year))).alias("trades_per_month"),
         F.count_distinct("candidate_event_id").alias("candidates"),
         F.avg(x).alias("expectancy"),
         F.sum(x).alias("total"),
@@ -389,7 +396,7 @@ def unique_opportunities(rows: DataFrame, keys, order, agree) -> DataFrame:
     return out.where(F.when(F.col("_clash"), fail).otherwise(F.lit(True))).select("_row.*")
 
 
-def scope_summary(rows: DataFrame, scope, horizons, step_value: str = "pips_h") -> DataFrame:
+def scope_summary(rows: DataFrame, scope, horizons, step_value: str = "pips_h", min_instrument_events: int = 10) -> DataFrame:
     """Stage summary of a scope: counts by period and instrument, concentration, returns."""
     dated = rows.withColumns(
         {
@@ -420,15 +427,25 @@ def scope_summary(rows: DataFrame, scope, horizons, step_value: str = "pips_h")
     )
     out = ST.attach(out, quants, scope)
     out = ST.attach(out, ST.quantile_columns(dated, scope, ["mfe_pips", "mae_pips"], {"median": 0.5}), scope)
-    for key, name in (("_month", "month"), ("_quarter", "quarter"), ("instrument", "instrument")):
+    # Months and quarters are as many as the calendar has; instruments grow with the data, so
+    # they are counted and never gathered.
+    for key, name in (("_month", "month"), ("_quarter", "quarter")):
         out = ST.attach(out, ST.key_counts(dated, scope, key, f"{name}_counts"), scope)
         out = ST.attach(out, ST.key_means(dated, scope, key, main, f"{name}_expectancy"), scope)
+    per = dated.groupBy(*scope, F.col("instrument").alias("_key")).agg(F.count("*").alias("_n"), F.avg(main).alias("_m"))
+    spread = per.groupBy(*scope).agg(
+        F.max("_n").alias("_top_instrument"),
+        F.count("*").alias("instruments"),
+        F.count_if(F.col("_n") >= min_instrument_events).alias("adequate_instruments"),
+        F.count_if(F.col("_m") > 0).alias("positive_instruments"),
+    )
+    out = ST.attach(out, spread, scope)
     c = F.col
     return out.withColumns(
         {
-            "max_instrument_share": c("_top_instrument_counts") / c("events"),
+            "max_instrument_share": c("_top_instrument") / c("events"),
             "max_quarter_share": c("_top_quarter_counts") / c("events"),
             "active_months": F.size("month_counts"),
             "mfe_to_mae": F.when(c("mae_pips_median") > 0, c("mfe_pips_median") / c("mae_pips_median")),
         }
-    ).drop("_top_month_counts", "_top_quarter_counts", "_top_instrument_counts")
+    ).drop("_top_month_counts", "_top_quarter_counts", "_top_instrument")

@@ -1,5 +1,9 @@
 """Registered queries, grouped by study."""
 
+# What the studies expect of a session.  The JIT never compiles methods above 8000 bytecodes; wide
+# projections are better off without whole-stage code than interpreted inside one huge method.
+SESSION = {"spark.sql.session.timeZone": "UTC", "spark.sql.codegen.hugeMethodLimit": "8000"}
+
 
 def registry():
     from importlib import import_module

@@ -8,8 +8,13 @@ from tidewindow.plans.study import tidy
 from tidewindow.sources.staging import stage
 
 EXIT = ["tp", "sl", "stop"]
-CELL = ["instrument", "benchmark_family", "session", *EXIT, "scenario"]
-SETUP = ["instrument", "benchmark_family", "session"]
+SETUP = [
+    "instrument", "signal_timeframe", "session", "direction", "benchmark_family", "lookback", "signal_threshold",
+    "entry_mode", "filter_family", "filter_spec_id",
+]
+CELL = [*SETUP, *EXIT, "scenario"]
+HYPOTHESIS = [*[k for k in SETUP if k != "instrument"], *EXIT]
+FAMILY = ["instrument", "signal_timeframe", "session", "direction", "entry_mode"]
 EXECUTION = ["instrument", "signal_timeframe", "at", "direction"]
 
 
@@ -18,16 +23,19 @@ def scoped(df):
     return df.where((F.col("signal_timeframe") == "2h") & (F.col("session") == "london") & (F.col("direction") == -1))
 
 
-def immediate_trades(spark, sf):
-    rows = ST.outcomes(spark, sf).where(F.col("complete") & (F.col("entry_mode") == "immediate"))
+def complete_trades(spark, sf):
+    rows = ST.outcomes(spark, sf).where("complete")
     return stage(
         rows.select(
-            "candidate_event_id", "instrument", "benchmark_family", "signal_timeframe", "session", "direction",
-            "lookback", "at", *EXIT, "pips_adverse", "pips_favorable", "mae_pips", "mfe_pips", "converted",
+            "candidate_event_id", *SETUP, "at", *EXIT, "pips_adverse", "pips_favorable", "mae_pips", "mfe_pips", "converted",
         )
     )
 
 
+def immediate_trades(spark, sf):
+    return complete_trades(spark, sf).where("entry_mode = 'immediate'")
+
+
 def family_overlap(spark, sf):
     return tidy(FA.overlap_table(scoped(ST.candidates(spark, sf))))
 
@@ -51,23 +59,12 @@ def outcome_correlation(spark, sf):
 
 
 def clock_sets(spark, sf):
-    """Clocks per family: union, intersection and differences as set operations."""
-    c = ST.candidates(spark, sf)
-    band = c.where("benchmark_family = 'band'").select("instrument", "at").distinct()
-    vwap = c.where("benchmark_family = 'vwap'").select("instrument", "at").distinct()
-    parts = {
-        "band": band, "vwap": vwap, "union": band.union(vwap).distinct(), "both": band.intersect(vwap),
-        "band_only": band.exceptAll(vwap), "vwap_only": vwap.subtract(band),
-    }
-    out = None
-    for name, df in parts.items():
-        part = df.groupBy("instrument").agg(F.count("*").alias("clocks")).withColumn("set", F.lit(name))
-        out = part if out is None else out.unionByName(part)
-    return tidy(out)
+    """Clocks per family: union, intersection and differences, from one flag per clock and family."""
+    return tidy(FA.clock_sets(ST.candidates(spark, sf), "band", "vwap"))
 
 
 def _atlas_values(spark, sf):
-    trades = immediate_trades(spark, sf)
+    trades = complete_trades(spark, sf)
     return trades, FA.headline_values(trades, stage(GR.cost_dimension(spark, sf)), CO.HEADLINE)
 
 
@@ -86,26 +83,26 @@ def setup_families(spark, sf):
 
 
 def execution_families(spark, sf):
-    trades = immediate_trades(spark, sf)
-    return tidy(FA.execution_families(trades, ["instrument", "session", "direction"], EXECUTION, ["benchmark_family", "lookback", "signal_timeframe"]))
+    trades = complete_trades(spark, sf)
+    return tidy(FA.execution_families(trades, FAMILY, EXECUTION, ["benchmark_family", "lookback"]))
 
 
 def hypotheses(spark, sf):
     _, values = _atlas_values(spark, sf)
-    rows = FA.hypotheses(stage(_expectancies(values)), ["benchmark_family", "session", *EXIT])
-    return tidy(rows.drop("support"))
+    rows, _ = FA.hypotheses(stage(_expectancies(values)), HYPOTHESIS)
+    return tidy(rows)
 
 
 def hypothesis_support(spark, sf):
     """Cross-instrument support of each hypothesis, one row per instrument."""
     _, values = _atlas_values(spark, sf)
-    rows = FA.hypotheses(stage(_expectancies(values)), ["benchmark_family", "session", *EXIT])
-    return tidy(rows.select("hypothesis_id", "scenario", F.explode("support").alias("instrument", "expectancy")))
+    _, support = FA.hypotheses(stage(_expectancies(values)), HYPOTHESIS)
+    return tidy(support)
 
 
 def reference_overlap(spark, sf):
     """Overlap of every setup with the scoped anchored-family executions."""
-    trades = immediate_trades(spark, sf)
+    trades = complete_trades(spark, sf)
     ref = scoped(trades).where(F.col("benchmark_family") != "band")
     return tidy(FA.role_overlap(trades, SETUP, EXECUTION, ref))
 

@@ -1,5 +1,7 @@
 """Registered queries: ingest, quality, sessions, resampling and scalar columns."""
 
+from datetime import date, timedelta
+
 from pyspark.sql import functions as F
 
 from tidewindow.functions import sessions as S
@@ -7,6 +9,7 @@ from tidewindow.operators import observations as OB, quality as Q, resample as R
 from tidewindow.plans import study as ST
 from tidewindow.plans.study import tidy
 from tidewindow.sources import driver as D
+from tidewindow.sources.staging import stage
 
 
 def epoch(name, out=None):
@@ -157,15 +160,18 @@ def dataset_contract(spark, sf):
 
 
 def universe_audit(spark, sf):
-    b = D.bars(spark, sf)
-    return tidy(Q.universe_audit(b, D.BASE_S, "2024-01-01", "2024-01-31", 3 * D.BASE_S, ST.WIDTH))
+    """Coverage of the days that the ticks span, first day to the day after the last."""
+    b = stage(D.bars(spark, sf))
+    first, last = Q.day_range(b.select(F.to_date("open_time").alias("day")))
+    end = str(date.fromisoformat(last) + timedelta(days=1))
+    return tidy(Q.universe_audit(b, D.BASE_S, first, end, 3 * D.BASE_S, ST.WIDTH))
 
 
 def absent_days(spark, sf):
     """Calendar days without orders, per priority class (spine anti join)."""
     o = D.table(spark, sf, "orders")
     rows = o.select(F.col("o_orderpriority").alias("instrument"), F.to_date("o_orderdate").alias("day"))
-    out = Q.absent_days(rows, "instrument", "1995-01-01", "1999-12-31")
+    out = Q.absent_days(rows, "instrument", *Q.day_range(rows))
     return out.select("instrument", F.date_format("day", "yyyy-MM-dd").alias("day"))
 
 
@@ -174,7 +180,7 @@ def calendar_partition(spark, sf):
     o = D.table(spark, sf, "orders")
     rows = o.select(F.col("o_orderstatus").alias("instrument"), F.to_date("o_orderdate").alias("day"))
     declared = rows.where(F.day("day") == 31).select("instrument", "day").distinct()
-    return tidy(Q.calendar_partition(rows, declared, "instrument", "1995-01-01", "1999-12-31"))
+    return tidy(Q.calendar_partition(rows, declared, "instrument", *Q.day_range(rows)))
 
 
 def _clocks(spark, sf):
@@ -262,7 +268,7 @@ def orphan_rows(spark, sf):
 
 
 def expected_counts(spark, sf):
-    """Observed event counts per type against a declared expectation (here: users x 66)."""
+    """Observed event counts per type against a declared expectation (here: users x 13)."""
     e = D.table(spark, sf, "events")
     got = e.groupBy("event_type").agg(F.count("*").alias("n"))
     want = e.groupBy("event_type").agg((F.count_distinct("user_id") * 13).alias("n"))

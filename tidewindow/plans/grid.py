@@ -2,15 +2,15 @@
 
 from pyspark.sql import functions as F
 
-from tidewindow.operators import costs as CO, summaries as SU
+from tidewindow.operators import costs as CO, quality as Q, summaries as SU
 from tidewindow.plans import study as ST
 from tidewindow.plans.study import tidy
 from tidewindow.sources import driver as D
 from tidewindow.sources.staging import stage
 
 REGIME = ["instrument", "benchmark_family", "signal_timeframe", "session", "direction", "lookback"]
-CELL = [*REGIME, "entry_mode", "tp", "sl", "stop"]
-CONFIG = ["instrument", "benchmark_family", "signal_timeframe", "direction", "entry_mode", "tp", "sl", "stop"]
+# A trade configuration has thirteen keys; leaving any out counts a trade several times.
+CONFIG = [*REGIME, "signal_threshold", "filter_family", "filter_spec_id", "entry_mode", "tp", "sl", "stop"]
 
 
 def entry_rules(spark, sf):
@@ -69,7 +69,14 @@ def outcome_distributions(spark, sf):
 
 
 def run_totals(spark, sf):
-    return tidy(SU.run_totals(ST.outcomes(spark, sf), ["instrument"]))
+    entries = stage(ST.entries(spark, sf))
+    return tidy(SU.run_totals(entries, ST.grid(entries), ["instrument"]))
+
+
+def trade_validation(spark, sf):
+    """Every grid cell of a candidate by the trade contract: why a row is no priceable trade."""
+    rows = Q.check_trades(ST.outcomes(spark, sf), D.member().isin(*D.MEMBERS))
+    return tidy(rows.groupBy("instrument", "verdict").agg(F.count("*").alias("rows")))
 
 
 def cost_dimension(spark, sf):
@@ -83,7 +90,7 @@ def cost_dimension(spark, sf):
 
 def _priced(spark, sf):
     trades = ST.outcomes(spark, sf).where("complete").select(
-        *CELL, "candidate_event_id", "at", "pips_adverse", "pips_favorable", "converted"
+        *CONFIG, "candidate_event_id", "at", "pips_adverse", "pips_favorable", "converted"
     )
     return CO.priced(stage(trades), stage(cost_dimension(spark, sf)))
 
@@ -100,37 +107,37 @@ def priced_scenarios(spark, sf):
     """Net result of every complete immediate trade under every cost scenario, summarised."""
     rows = _priced(spark, sf).where("entry_mode = 'immediate'")
     return tidy(
-        rows.groupBy("instrument", "session", "statistic", "slippage").agg(
+        rows.groupBy("instrument", "session", "statistic", "slippage", "cost_status").agg(
             F.count("*").alias("rows"), F.sum("net_adverse").alias("net_adverse"), F.sum("net_favorable").alias("net_favorable"),
             F.avg("modeled_cost").alias("modeled_cost"), F.max("spread").alias("spread"), F.max("commission").alias("commission"),
         )
     )
 
 
-COST_CELL = ["instrument", "benchmark_family", "session", "entry_mode", "tp", "sl", "stop"]
+def cost_cells(spark, sf):
+    return tidy(SU.cost_cells(_priced(spark, sf), CONFIG))
 
 
-def cost_cells(spark, sf):
-    return tidy(SU.cost_cells(_priced(spark, sf), COST_CELL))
+BREADTH = ["instrument", "signal_timeframe", "session", "direction", "entry_mode"]
 
 
 def break_even(spark, sf):
-    """Break-even slippage per group, with the currency conversion kink."""
-    rows = _priced(spark, sf).where("slippage = 0")
+    """Break-even slippage per group, with the currency conversion kink; blocked trades have none."""
+    rows = _priced(spark, sf).where("slippage = 0 and cost_status = 'covered'")
     keys = ["instrument", "session", "entry_mode", "tp", "statistic"]
     return tidy(CO.break_even(stage(rows), keys, "pips_adverse", "spread", "commission", "converted"))
 
 
 def regime_breadth(spark, sf):
-    cells = stage(SU.cost_cells(_priced(spark, sf), COST_CELL))
-    return tidy(SU.breadth(cells, ["instrument", "benchmark_family", "session", "statistic", "slippage"]))
+    cells = stage(SU.cost_cells(_priced(spark, sf), CONFIG))
+    return tidy(SU.breadth(cells, [*BREADTH, "statistic", "slippage"]))
 
 
 QUERIES = {
     f.__name__: f
     for f in (
         entry_rules, barrier_race, race_report, first_passage_report, hazard_report, entry_wait_report,
-        barrier_outcomes, outcome_matrix, outcome_distributions, run_totals, cost_coverage, priced_scenarios,
+        barrier_outcomes, outcome_matrix, outcome_distributions, run_totals, trade_validation, cost_coverage, priced_scenarios,
         cost_cells, break_even, regime_breadth,
     )
 }

@@ -1,6 +1,8 @@
 """Registered queries: quality ranking of exhaustion events and bootstraps of priced trades."""
 
-from pyspark.sql import Window, functions as F
+from datetime import date, timedelta
+
+from pyspark.sql import functions as F
 
 from tidewindow.functions.scalars import policy_key
 from tidewindow.operators import costs as CO, ranking as RK, resampling as BS, stats as SS
@@ -10,7 +12,7 @@ from tidewindow.sources.staging import stage
 
 START_S = 1704067200  # 2024-01-01 00:00 UTC
 FOLD_S = 3 * 86400
-TEST_FOLDS = (5, 6, 7, 8, 9, 10)
+FIRST_TEST_FOLD = 5
 NUMERIC = (
     "normalized_displacement", "efficiency", "extension_atr", "retained_atr", "upper_wick_atr", "lower_wick_atr",
     "body_atr", "range_atr", "wick_body_ratio", "from_open", "to_close",
@@ -97,7 +99,9 @@ def walk_forward_models(spark, sf):
     """Huber, quantile and spline families fitted on earlier folds only, then evaluated."""
     rows = stage(_quality(spark, sf))
     keep = ["event_id", "instrument", "direction", "target", "pips", "mfe_pips", "mae_pips"]
-    scored = RK.walk_forward(rows, NUMERIC, CATEGORICAL, "target", "fold", TEST_FOLDS, keep, 4)
+    last = rows.agg(F.max("fold")).first()[0] or 0
+    folds = range(FIRST_TEST_FOLD, last + 1)
+    scored = RK.walk_forward(rows, NUMERIC, CATEGORICAL, "target", "fold", folds, keep)
     if scored is None:
         empty = rows.select(*keep, "fold").limit(0)
         scored = empty.withColumns({"score": F.lit(None).cast("double"), "family": F.lit(None).cast("string")})
@@ -105,23 +109,29 @@ def walk_forward_models(spark, sf):
 
 
 # ------------------------------------------------------------------ priced trades
-PATHS, HORIZON, BLOCK, SEED = 40, 20, 5, 11
+PATHS, HORIZON, BLOCK, SEED = 2000, 20, 5, 11
 
 
-def _calendar(spark):
-    """Mon-Fri days of January 2024 with their index (a fixed, small calendar)."""
-    days = spark.range(1).select(
-        F.explode(F.sequence(F.lit("2024-01-01").cast("date"), F.lit("2024-01-31").cast("date"))).alias("day")
-    )
-    days = days.where(F.weekday("day") < 5)
-    return days.withColumn("source_day", (F.row_number().over(Window.orderBy("day")) - 1).cast("long"))
+def weekdays(first_year: int, last_year: int) -> list[date]:
+    """Monday-Friday days of whole years: the research calendar."""
+    day, out = date(first_year, 1, 1), []
+    while day.year <= last_year:
+        if day.weekday() < 5:
+            out.append(day)
+        day += timedelta(days=1)
+    return out
 
 
-CALENDAR_DAYS = 23
+def _calendar(spark, rows):
+    """(days with their index, how many): the weekdays of every year that the rows touch."""
+    r = rows.agg(F.min(F.year("day")).alias("a"), F.max(F.year("day")).alias("b")).first()
+    days = weekdays(r["a"], r["b"]) if r["a"] else []
+    return spark.createDataFrame([(d, i) for i, d in enumerate(days)], "day date, source_day long"), len(days)
 
 
 def _priced_trades(spark, sf):
-    """Immediate trades with a stop, priced at mean spread, with entry-to-stop risk and R."""
+    """(Immediate trades with a stop, priced at mean spread, with entry-to-stop risk and R; the
+    number of calendar days).  Trades on a weekend have no calendar day and stay out."""
     c = F.col
     rows = ST.outcomes(spark, sf).where(
         c("complete") & (c("entry_mode") == "immediate") & c("sl").isNotNull() & (c("benchmark_family") != "band")
@@ -139,41 +149,38 @@ def _priced_trades(spark, sf):
             "day": F.to_date(F.timestamp_seconds("at")),
         }
     ).where((c("stop_pips") > 0) & (c("direction") * (entry - stop) > 0))
-    rows = rows.withColumn("r", c("net_adverse") / c("stop_pips"))
-    # The calendar is fixed and tiny; the inner join is also the weekday filter.
-    rows = rows.join(F.broadcast(_calendar(spark)), "day")
-    return rows.select(
+    rows = stage(rows.withColumn("r", c("net_adverse") / c("stop_pips")))
+    calendar, days = _calendar(spark, rows)
+    return rows.join(calendar, "day").select(
         "candidate_event_id", "instrument", "session", "policy", "source_day", "entry_s", "exit_s",
         "pips_adverse", "net_adverse", "stop_pips", "r",
-    )
+    ), days
 
 
 def priced_trades(spark, sf):
-    rows = _priced_trades(spark, sf)
+    rows, _ = _priced_trades(spark, sf)
     return tidy(rows)
 
 
 def bootstrap_picks(spark, sf):
     """Circular day-block picks over the days that hold trades of the given tables."""
-    days = _priced_trades(spark, sf).select("source_day").distinct()
-    picks = BS.block_picks(spark, PATHS, HORIZON, BLOCK, CALENDAR_DAYS, SEED)
+    rows, count = _priced_trades(spark, sf)
+    days = rows.select("source_day").distinct()
+    picks = BS.block_picks(spark, PATHS, HORIZON, BLOCK, count, SEED)
     return tidy(picks.join(days.withColumn("has_trades", F.lit(True)), "source_day", "left").fillna(False, ["has_trades"]))
 
 
 def rebased_trades(spark, sf):
     """Rebased trade tables of all paths, summarised per path and policy."""
-    picks = BS.block_picks(spark, PATHS, HORIZON, BLOCK, CALENDAR_DAYS, SEED)
-    rows = BS.rebased_trades(_priced_trades(spark, sf), picks)
-    return tidy(
-        rows.groupBy("path", "policy").agg(
-            F.count("*").alias("trades"), F.sum("r").alias("total_r"), F.min("entry_s").alias("first_s"), F.max("exit_s").alias("last_s")
-        )
-    )
+    trades, count = _priced_trades(spark, sf)
+    picks = BS.block_picks(spark, PATHS, HORIZON, BLOCK, count, SEED)
+    return tidy(BS.rebased_summary(trades, picks, ["policy"], "r"))
 
 
 def _path_totals(spark, sf):
-    picks = BS.block_picks(spark, PATHS, HORIZON, BLOCK, CALENDAR_DAYS, SEED)
-    days = BS.daily_totals(_priced_trades(spark, sf), picks, ["policy"], "r")
+    trades, count = _priced_trades(spark, sf)
+    picks = BS.block_picks(spark, PATHS, HORIZON, BLOCK, count, SEED)
+    days = BS.daily_totals(trades, picks, ["policy"], "r")
     return stage(days.groupBy("policy", "path").agg(F.sum("total").alias("total_r"), F.sum("trades").alias("trades")))
 
 

@@ -1,10 +1,12 @@
 """Registered queries: structural levels, failed breakouts and trend exhaustion."""
 
-from pyspark.sql import functions as F
+from functools import reduce
+
+from pyspark.sql import DataFrame, functions as F
 
 from tidewindow.functions import sessions as S
 from tidewindow.functions.scalars import identity_hash
-from tidewindow.operators import families as FA, features as FE, joins as JO, levels as LV, paths as PA, summaries as SU
+from tidewindow.operators import families as FA, features as FE, joins as JO, levels as LV, paths as PA, stats as SS, summaries as SU
 from tidewindow.plans import study as ST
 from tidewindow.plans.study import tidy
 from tidewindow.sources import driver as D
@@ -80,22 +82,41 @@ def breakout_summary(spark, sf):
     return tidy(_flat(out))
 
 
-def breakout_overlap(spark, sf):
-    """Unique breakouts near a reference clock of the same instrument, by window and anchor."""
+def _overlap(spark, sf):
     rows = _breakout_observations(spark, sf)
     clocks = ST.candidates(spark, sf).where("benchmark_family <> 'band' and direction = -1").select("instrument", "at")
     near = JO.nearest_clock(rows, clocks, ["instrument"], "at", max(WINDOWS_S), "nearest_s")
     every = near.select("anchor_family", "instrument", "at", "direction", "nearest_s").distinct()
     total = near.select("instrument", "at", "direction", "nearest_s").distinct()
-    by_anchor = FA.overlap_windows(every, ["anchor_family"], WINDOWS_S)
-    overall = FA.overlap_windows(total.withColumn("anchor_family", F.lit("ALL")), ["anchor_family"], WINDOWS_S)
-    return tidy(by_anchor.unionByName(overall))
+    scopes = []
+    for part in (every, total.withColumn("anchor_family", F.lit("ALL"))):
+        for instrument in (F.lit("ALL"), F.col("instrument")):
+            scoped = part.withColumn("scope_instrument", instrument)
+            scopes.append(FA.overlap_windows(scoped, ["anchor_family", "scope_instrument"], WINDOWS_S))
+    return reduce(DataFrame.unionByName, scopes)
+
+
+def breakout_overlap(spark, sf):
+    """Unique breakouts near a reference clock, by window, anchor and instrument, and over all."""
+    return tidy(_overlap(spark, sf))
 
 
 def breakout_decision(spark, sf):
     rows = SU.scope_summary(_unique(_breakout_observations(spark, sf)).withColumn("scope", F.lit("family")), ["scope"], HORIZONS)
-    out = FA.stage_decision(rows, 50, 10, 0.5, 1.0, HORIZONS[-1])
-    return tidy(out.select("scope", "events", f"n_h{HORIZONS[-1]}", f"mean_h{HORIZONS[-1]}", f"pips_h{HORIZONS[-1]}_median", "decision"))
+    out = FA.stage_decision(rows, 50, 0.5, 1.0, HORIZONS[-1])
+    # How much of the study is not already in the reference clocks of the same instrument.
+    overlap = _overlap(spark, sf).where("anchor_family = 'ALL' and scope_instrument = 'ALL'").select(
+        F.lit("family").alias("scope"), (F.col(f"unique_w{WINDOWS_S[-1]}") / F.col("events")).alias("unique_rate")
+    )
+    out = FA.independence(
+        SS.attach(out, overlap, ["scope"]), F.col("unique_rate"), F.col("decision") != "INCONCLUSIVE", F.col("decision") == "PASS"
+    )
+    return tidy(
+        out.select(
+            "scope", "events", f"n_h{HORIZONS[-1]}", f"mean_h{HORIZONS[-1]}", f"pips_h{HORIZONS[-1]}_median", "decision",
+            "unique_rate", "independence",
+        )
+    )
 
 
 def trend_features(spark, sf):

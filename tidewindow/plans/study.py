@@ -120,15 +120,21 @@ def entries(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def outcomes(spark: SparkSession, sf: str) -> DataFrame:
-    rows = OC.barrier_outcomes(entries(spark, sf), STOPS)
-    return rows.withColumns({"filter_family": F.lit("none"), "filter_spec_id": F.lit("none-v1")})
+    return grid(entries(spark, sf))
+
+
+def grid(entered: DataFrame) -> DataFrame:
+    rows = OC.barrier_outcomes(entered, STOPS)
+    return rows.withColumns(
+        {"signal_threshold": F.lit(THRESHOLD), "filter_family": F.lit("none"), "filter_spec_id": F.lit("none-v1")}
+    )
 
 
 def staged_outcomes(spark: SparkSession, sf: str) -> DataFrame:
     """Only what the reports read: the grid multiplies every column it carries."""
     rows = outcomes(spark, sf).select(
-        "instrument", "benchmark_family", "signal_timeframe", "session", "direction", "lookback", "entry_mode", "tp",
-        "sl", "stop", "candidate_event_id", "status", "complete", "exit_reason", "ambiguous", "holding", "wait",
+        "instrument", "benchmark_family", "signal_timeframe", "session", "direction", "lookback", "signal_threshold",
+        "filter_family", "filter_spec_id", "entry_mode", "tp", "sl", "stop", "candidate_event_id", "status", "complete", "exit_reason", "ambiguous", "holding", "wait",
         "r_at_entry", "pre_entry_adverse", "pips_adverse", "pips_favorable", "bp_adverse", "mae_pips", "mfe_pips",
     )
     return stage(rows)

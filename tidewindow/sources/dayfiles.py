@@ -11,6 +11,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from tidewindow.operators.quality import split_valid
+from tidewindow.sources.staging import stage
 
 # Fixed value: record layout (seconds of day, open, close, low, high, volume; big-endian).
 RECORD = np.dtype([("s", ">i4"), ("o", ">i4"), ("c", ">i4"), ("l", ">i4"), ("h", ">i4"), ("v", ">f4")])
@@ -18,7 +19,10 @@ DECODED = "path string, instrument string, day date, n int, s int, o int, h int,
 
 
 def day_files(spark: SparkSession, pattern: str) -> DataFrame:
-    """Binary files under ``.../<instrument>/<yyyy-mm-dd>.<ext>`` with their SHA-256."""
+    """Binary files under ``.../<instrument>/<yyyy-mm-dd>.<ext>`` with their SHA-256.
+
+    Spark's file sources skip files of no bytes: :func:`declared_days` names those as lacking.
+    """
     files = spark.read.format("binaryFile").load(pattern)
     return files.select(
         "path",
@@ -36,7 +40,9 @@ def _decode(batches):
             error, rows = None, np.zeros(0, RECORD)
             try:
                 raw = lzma.decompress(bytes(content)) if len(content) else b""
-                if len(raw) % RECORD.itemsize:
+                if not raw:
+                    error = "empty_file"
+                elif len(raw) % RECORD.itemsize:
                     error = "partial_record"
                 else:
                     rows = np.frombuffer(raw, RECORD)
@@ -53,8 +59,11 @@ def _decode(batches):
 
 
 def decode_days(files: DataFrame, scale: Column, step_s: int = 60) -> tuple[DataFrame, DataFrame]:
-    """(bars, quarantine).  A file with any bad record is rejected as a whole."""
-    raw = files.select("path", "instrument", "day", "content").mapInPandas(_decode, DECODED)
+    """(bars, quarantine).  A file with any bad record, or without one, is rejected as a whole.
+
+    Both results read the decoded rows, so these are written once and no file is decoded again.
+    """
+    raw = stage(files.select("path", "instrument", "day", "content").mapInPandas(_decode, DECODED))
     c = F.col
     # One day of one file at most: the partition is bounded by the records of a day.
     order = Window.partitionBy("path").orderBy("n")

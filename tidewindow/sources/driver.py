@@ -18,21 +18,9 @@ CONVERTED = ("purchase", "signup")
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    spark.conf.set("spark.sql.session.timeZone", "UTC")
-    # The JIT never compiles methods above 8000 bytecodes; wide projections are better off
-    # without whole-stage code than interpreted inside one huge method.
-    spark.conf.set("spark.sql.codegen.hugeMethodLimit", "8000")
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def instrument_dimension(spark: SparkSession) -> DataFrame:
-    """Five rows: precision, integer price scale, pip and conversion flag per event type."""
-    rows = [(k, p, 10**p, 10.0 ** (1 - p), k in CONVERTED) for k, p in PRECISION.items()]
-    return spark.createDataFrame(
-        rows, "event_type string, precision int, price_scale long, pip double, converted boolean"
-    )
-
-
 def by_type(column: Column, values: dict) -> Column:
     """Five-way lookup as an expression: no join for a dimension of fixed size."""
     kind = F.substring_index(column, ".", 1)
