@@ -32,7 +32,7 @@ LENGTH = 50
 GRAM = 24
 REACH = LENGTH - GRAM + 1  # starts that can share a minimiser: at most 27, which fits the masks below
 CROWD = 2000
-CHUNK = 1 << 23
+CHUNK = 1 << 21
 TABLE = np.random.default_rng(7).integers(1, 2**63, 256, np.uint64)  # a number for every byte value
 BASES = (0xD6E8FEB86659FD93, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB)
 # at: start << 26 | minimiser's offset << 21 | starts << 16 | mark of the text
