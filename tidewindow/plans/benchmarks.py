@@ -43,42 +43,55 @@ def _vwap_columns(rows):
     )
 
 
-def _benchmark(spark, sf, features, group, contexts=None):
+def _benchmark(obs, research, features, group, contexts=None):
     """Signals of every threshold joined to labels, summarised by direction incl. all."""
-    obs = labelled(spark, sf)
     keys = ["instrument", "timeframe", *group, "lookback"]
     # Four consumers (statistics, medians, grid, months) share one pass over the bars.
     narrow = features(obs).select(*keys, "active", "z", *[f"ret_{h}" for h in ST.HORIZONS_S])
     long = OB.melt_labels(stage(narrow), ST.HORIZONS_S, [*keys, "active", "z"])
-    months = SU.active_months(ST.research_observations(spark, sf), ["instrument", "timeframe"])
+    months = SU.active_months(research, ["instrument", "timeframe"])
     return SU.benchmark_summary(long, keys, ST.THRESHOLDS, months, contexts)
 
 
+def _vwap(obs, research):
+    return _benchmark(obs, research, lambda rows: FE.vwap_features(rows, ST.LOOKBACKS, ST.BARS), ["anchor"])
+
+
+def _band(obs, research):
+    sessions = (None, "asia", "london", "new_york")
+    features = lambda rows: ST.with_contexts(FE.band_features(rows, ST.LOOKBACKS, ST.BARS))
+    return _benchmark(obs, research, features, ["context"], ("context", sessions))
+
+
+def _fine_vwap(obs, research, fine):
+    return _benchmark(obs, research, lambda rows: FE.fine_vwap_features(fine, rows, ST.LOOKBACKS, ST.BARS), ["anchor"])
+
+
 def vwap_benchmark(spark, sf):
     """Session-anchored deviations against exact-clock returns."""
-    return tidy(_benchmark(spark, sf, lambda obs: FE.vwap_features(obs, ST.LOOKBACKS, ST.BARS), ["anchor"]))
+    return tidy(_vwap(labelled(spark, sf), ST.research_observations(spark, sf)))
 
 
 def band_benchmark(spark, sf):
     """Rolling bands against exact-clock returns, overall and per overlapping session."""
-    sessions = (None, "asia", "london", "new_york")
-    features = lambda obs: ST.with_contexts(FE.band_features(obs, ST.LOOKBACKS, ST.BARS))
-    return tidy(_benchmark(spark, sf, features, ["context"], ("context", sessions)))
+    return tidy(_band(labelled(spark, sf), ST.research_observations(spark, sf)))
 
 
 def fine_vwap_benchmark(spark, sf):
-    fine = ST.observations(spark, sf)
-    features = lambda obs: FE.fine_vwap_features(fine, obs, ST.LOOKBACKS, ST.BARS)
-    return tidy(_benchmark(spark, sf, features, ["anchor"]))
+    return tidy(_fine_vwap(labelled(spark, sf), ST.research_observations(spark, sf), ST.observations(spark, sf)))
 
 
 def replication_inventory(spark, sf):
-    """Rows and signals per family, timeframe and session over the three benchmarks."""
-    parts = (
-        vwap_benchmark(spark, sf).select(F.lit("vwap").alias("family"), "timeframe", F.col("anchor").alias("session"), "direction", "signal_count"),
-        fine_vwap_benchmark(spark, sf).select(F.lit("vwap-fine").alias("family"), "timeframe", F.col("anchor").alias("session"), "direction", "signal_count"),
-        band_benchmark(spark, sf).select(F.lit("band").alias("family"), "timeframe", F.col("context").alias("session"), "direction", "signal_count"),
-    )
+    """Rows and signals per family, timeframe and session; the three benchmarks share their bars."""
+    obs, research, fine = (stage(x) for x in (labelled(spark, sf), ST.research_observations(spark, sf), ST.observations(spark, sf)))
+    parts = [
+        rows.select(F.lit(family).alias("family"), "timeframe", F.col(session).alias("session"), "direction", "signal_count")
+        for family, session, rows in (
+            ("vwap", "anchor", _vwap(obs, research)),
+            ("vwap-fine", "anchor", _fine_vwap(obs, research, fine)),
+            ("band", "context", _band(obs, research)),
+        )
+    ]
     rows = parts[0].unionByName(parts[1]).unionByName(parts[2])
     return tidy(
         rows.groupBy("family", "timeframe", "session").agg(
