@@ -202,10 +202,11 @@ def dedup_decisions(docs: DataFrame) -> DataFrame:
 def drop_copies(docs: DataFrame) -> DataFrame:
     """The documents that stay, with their columns.
 
-    Only texts that occur more than once are joined, so texts are not shuffled while those are few.
+    Documents meet the list of repeated texts in a join by digest: one shuffle of the texts, the same
+    at every size.
     """
     index = stage(build_index(_entries(docs, F.lit(0))).where("group_size > 1").drop("keep_row", "group_size"))
-    index = index.select(F.col("digest").alias("_digest"), F.col("keep_id").alias("_keep"), F.col("same").alias("_same"))
+    index = index.select(F.col("digest").alias("_digest"), F.col("keep_id").alias("_keep"), F.col("same").alias("_same")).hint("merge")
     digest = F.unhex(sha256_of(F.col("text")))
     rows = docs.withColumn("_of", digest).join(index, F.col("_of") == F.col("_digest"), "left")
     stays = F.col("_keep").isNull() | (F.coalesce(F.col("doc_id"), F.lit(NO_ID)) == F.col("_keep"))
