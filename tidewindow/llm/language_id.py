@@ -19,6 +19,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
+from tidewindow.llm.tokens import slices
+
 ORDER = 3
 PER_LANGUAGE = 1500
 GRAMS = 200_000
@@ -136,25 +138,40 @@ def find(table, keys):
 
 
 class Scorer:
-    """A worker's view of the model: two direct tables replace the search for the longest grams."""
+    """A worker's view of the model: two direct tables replace the search for the longest grams.
+
+    Bytes are numbered as far as the known grams use them (0: never), which keeps the tables small.
+    """
 
     def __init__(self, model: Model):
         self.model = model
-        contexts = model.escapes[ORDER][0]
-        self.context = np.zeros(1 << 24, np.int32)
-        self.context[contexts] = np.arange(1, len(contexts) + 1)
-        keys = model.keys[ORDER]
-        self.row = np.zeros(256 * (len(contexts) + 1), np.int32)
-        self.row[self.context[keys >> 8].astype(np.int64) * 256 + (keys & 255)] = np.arange(1, len(keys) + 1)
+        contexts, keys = model.escapes[ORDER][0], model.keys[ORDER]
+        used = np.unique(np.concatenate([keys >> 8 * i & 255 for i in range(ORDER + 1)]))
+        self.code = np.zeros(256, np.int64)
+        self.code[used] = np.arange(1, len(used) + 1)
+        self.base = len(used) + 1
+        self.context = np.zeros(self.base**ORDER, np.int32)
+        self.context[self._number(contexts)] = np.arange(1, len(contexts) + 1)
+        self.row = np.zeros(self.base * (len(contexts) + 1), np.int32)
+        self.row[self._place(keys)] = np.arange(1, len(keys) + 1)
         self.bits = [np.append(np.float32(0), model.bits[ORDER][:, i]) for i in range(len(model.langs))]
 
-    def lengths(self, data, starts, ends, chunk: int = 1 << 20):
+    def _number(self, contexts):
+        out = self.code[contexts >> 16 & 255]
+        for shift in (8, 0):
+            out = out * self.base + self.code[contexts >> shift & 255]
+        return out
+
+    def _place(self, grams):
+        return self.context[self._number(grams >> 8)] * np.int64(self.base) + self.code[grams & 255]
+
+    def lengths(self, data, starts, ends, chunk: int = 1 << 18):
         """Code length in bits of every text, rows x languages."""
         out = np.zeros((len(starts), len(self.model.langs)))
         grams = grams_of(data)
         for lo in range(0, len(data), chunk):
             part = grams[lo : lo + chunk]
-            at = self.row[self.context[part >> np.uint32(8)].astype(np.int64) * 256 + (part & np.uint32(255))]
+            at = self.row[self._place(part)]
             first, last = np.searchsorted(ends, lo, "right"), np.searchsorted(starts, lo + len(part), "left")
             a = np.clip(starts[first:last] - lo, 0, len(part))
             b = np.clip(ends[first:last] - lo, 0, len(part))
@@ -190,8 +207,7 @@ def _predictor(shared, kept):
         model = shared.value
         scorer = Scorer(model) if model.langs else None
         for batch in batches:
-            for lo in range(0, batch.num_rows, 1000):
-                part = batch.slice(lo, 1000)
+            for part in slices(batch, most=1 << 20):
                 n = part.num_rows
                 lang, score = np.full(n, UNKNOWN, object), np.zeros(n)
                 if scorer is not None:

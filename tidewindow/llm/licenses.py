@@ -13,15 +13,13 @@ empty table gives no rows.  Texts are cut nowhere; batches are read in bounded s
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute
 from pyspark.sql import DataFrame
 
-from tidewindow.llm.tokens import Vocabulary, Words
+from tidewindow.llm.tokens import Vocabulary, Words, slices
 
 LEAST = 4
 GAP = 8
 ENOUGH = 20
-SLICE_BYTES = 4 << 20
 # Base phrases and their labels.
 BASE = {"mit license": "mit", "apache license": "apache", "general public license": "gpl"}
 # Opening notices of public licenses.
@@ -193,16 +191,6 @@ class Scanner:
         return out
 
 
-def slices(batch, column: str = "text", most: int = SLICE_BYTES):
-    """A record batch in parts of bounded text (a single text may be longer)."""
-    sizes = np.asarray(pa.compute.binary_length(batch.column(column)).fill_null(0), np.int64)
-    part = np.cumsum(sizes) // most
-    cuts = [0, *(np.flatnonzero(np.diff(part)) + 1).tolist(), batch.num_rows]
-    for a, b in zip(cuts, cuts[1:]):
-        if b > a:
-            yield batch.slice(a, b - a)
-
-
 def _scan(batches):
     scanner = Scanner()
     names = [x.split()[0] for x in SCHEMA.split(", ")]

@@ -25,7 +25,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from tidewindow.llm.licenses import slices
+from tidewindow.llm.tokens import slices
 from tidewindow.sources.staging import stage
 
 LENGTH = 50

@@ -2,6 +2,7 @@
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
@@ -26,6 +27,16 @@ def text_bytes(column):
     return out, bounds
 
 
+def slices(batch, column: str = "text", most: int = 4 << 20):
+    """A record batch in parts of bounded text (a single text may be longer)."""
+    sizes = np.asarray(pc.binary_length(batch.column(column)).fill_null(0), np.int64)
+    part = np.cumsum(sizes) // most
+    cuts = [0, *(np.flatnonzero(np.diff(part)) + 1).tolist(), batch.num_rows]
+    for a, b in zip(cuts, cuts[1:]):
+        if b > a:
+            yield batch.slice(a, b - a)
+
+
 class Words:
     """starts, sizes and text number of all words; key() packs their first bytes exactly."""
 

@@ -20,8 +20,7 @@ import pyarrow.compute
 from pyspark.sql import DataFrame, functions as F
 
 from tidewindow.llm.language_id import find, held_out
-from tidewindow.llm.licenses import slices
-from tidewindow.llm.tokens import KEY_BYTES, Words
+from tidewindow.llm.tokens import KEY_BYTES, Words, slices
 from tidewindow.sources.staging import stage
 
 PER_LABEL = 4000
