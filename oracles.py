@@ -1081,10 +1081,22 @@ JOIN (SELECT {", ".join(keys)}, max(n) AS top, count(*) AS instruments, count(*)
       FROM (SELECT {", ".join(keys)}, instrument AS ikey, count(*) AS n, avg(pips_h8) AS m FROM {src} GROUP BY ALL) GROUP BY ALL) ins ON {on('ins', 'b', keys)}"""
 
 
+_zero = ["events", "clocks", "complete_paths", "instruments", "adequate_instruments", "positive_instruments", "active_months", "n_h1", "n_h2", "n_h4", "n_h8"]
+
+
+def dense(axes, cells):
+    keys = [*axes, "cell_instrument"]
+    grid = ", ".join(f"(SELECT unnest([{', '.join(v)}]) AS {k})" for k, v in axes.items())
+    zero = ", ".join(f"coalesce({c}, 0) AS {c}" for c in _zero)
+    return (f"SELECT * REPLACE ({zero}) FROM (SELECT g.*, c.* EXCLUDE ({', '.join(keys)}) FROM (SELECT {', '.join(keys)} FROM "
+            f"(SELECT DISTINCT instrument AS cell_instrument FROM bars), {grid}) g LEFT JOIN ({cells}) c ON {on('c', 'g', keys)})")
+
+
 cte("fbcell", "SELECT *, instrument AS cell_instrument FROM fbo")
 cte("fbfam", "SELECT *, 'family' AS scope FROM fbu")
 query("breakout_summary", f"""
-SELECT *, 'cell' AS scope FROM ({scope('fbcell', ['anchor_family', 'minimum_depth', 'cell_instrument'])})
+SELECT *, 'cell' AS scope FROM ({dense({'anchor_family': ["'previous-day'", "'asia-session'", "'london-opening'"], 'minimum_depth': ["0::DOUBLE", "0.05::DOUBLE", "0.1::DOUBLE"]},
+                                         scope('fbcell', ['anchor_family', 'minimum_depth', 'cell_instrument']))})
 UNION ALL BY NAME SELECT *, 'depth' AS scope FROM ({scope('fbud', ['minimum_depth'])})
 UNION ALL BY NAME SELECT * FROM ({scope('fbfam', ['scope'])})""")
 cte("refclk", "SELECT DISTINCT instrument, at FROM cands WHERE benchmark_family <> 'band' AND direction = -1")
@@ -1152,7 +1164,7 @@ SELECT event_id, instrument, at, threshold, direction, {r('normalized_displaceme
 observed("teo", "tey")
 cte("tecell", "SELECT *, instrument AS cell_instrument FROM teo")
 query("exhaustion_summary", f"""
-SELECT *, 'instrument' AS scope FROM ({scope('tecell', ['threshold', 'cell_instrument'])})
+SELECT *, 'instrument' AS scope FROM ({dense({'threshold': ["0.4::DOUBLE", "0.6::DOUBLE", "0.8::DOUBLE"]}, scope('tecell', ['threshold', 'cell_instrument']))})
 UNION ALL BY NAME SELECT *, 'threshold' AS scope FROM ({scope('teo', ['threshold'])})""")
 query("exhaustion_expectancy", f"""
 SELECT threshold, kind, key, count(*) AS events, {r('avg(pips_h8)')} AS expectancy FROM (

@@ -26,7 +26,11 @@ def observe(bars: DataFrame, major=S.MAJOR_SESSIONS) -> DataFrame:
 
 
 def as_of(bars: DataFrame, instant: Column) -> DataFrame:
-    """Only what was known at ``instant``; the predicate reaches the scan."""
+    """Only what was known at ``instant``.
+
+    ``available_at`` is computed when bars come from ticks, so the filter stays above the scan: pass
+    the instant to the source as well (``bars(..., until=)``) to prune it.
+    """
     return bars.where(F.col("available_at") <= instant)
 
 

@@ -71,7 +71,8 @@ def tick_decode(spark, sf):
 
 def point_in_time_view(spark, sf):
     """Bars known on 2024-01-15 00:00 UTC, per instrument."""
-    seen = OB.as_of(D.bars(spark, sf), F.lit("2024-01-15 00:00:00").cast("timestamp"))
+    instant = "2024-01-15 00:00:00"
+    seen = OB.as_of(D.bars(spark, sf, until=instant), F.lit(instant).cast("timestamp"))
     return tidy(
         seen.groupBy("instrument").agg(F.count("*").alias("bars"), F.max(F.unix_seconds("available_at")).alias("last_s"))
     )

@@ -19,6 +19,19 @@ PATH = 8
 THRESHOLDS = (0.4, 0.6, 0.8)
 PRIMARY = 0.6
 WINDOWS_S = (0, 7200, 14400, 28800)
+ANCHORS = ("previous-day", "asia-session", "london-opening")
+COUNTS = (
+    "events", "clocks", "complete_paths", "instruments", "adequate_instruments", "positive_instruments", "active_months",
+    *[f"n_h{h}" for h in HORIZONS],
+)
+
+
+def _dense(spark, sf, cells, **axes):
+    """Every instrument with every combination of the axes: a cell without events shows zero."""
+    grid = D.ticks(spark, sf).select(F.col("instrument").alias("cell_instrument")).distinct()
+    for name, values in axes.items():
+        grid = grid.withColumn(name, F.explode(F.array(*[F.lit(v) for v in values])))
+    return SS.dense(grid, cells, [*axes, "cell_instrument"], COUNTS)
 
 
 def _levels(bars):
@@ -72,6 +85,7 @@ def breakout_summary(spark, sf):
     rows = _breakout_observations(spark, sf)
     none = lambda df, *names: df.withColumns({n: F.lit(None).cast("string") for n in names})
     cell = SU.scope_summary(rows.withColumn("cell_instrument", F.col("instrument")), ["anchor_family", "minimum_depth", "cell_instrument"], HORIZONS)
+    cell = _dense(spark, sf, cell, anchor_family=ANCHORS, minimum_depth=DEPTHS)
     depth = SU.scope_summary(_unique(rows, ["minimum_depth"]), ["minimum_depth"], HORIZONS)
     family = SU.scope_summary(_unique(rows).withColumn("scope", F.lit("family")), ["scope"], HORIZONS)
     out = (
@@ -166,6 +180,7 @@ def exhaustion_observations(spark, sf):
 def exhaustion_summary(spark, sf):
     rows = exhaustion_observations(spark, sf)
     cell = SU.scope_summary(rows.withColumn("cell_instrument", F.col("instrument")), ["threshold", "cell_instrument"], HORIZONS)
+    cell = _dense(spark, sf, cell, threshold=THRESHOLDS)
     whole = SU.scope_summary(rows, ["threshold"], HORIZONS).withColumn("cell_instrument", F.lit(None).cast("string"))
     out = cell.withColumn("scope", F.lit("instrument")).unionByName(whole.withColumn("scope", F.lit("threshold")))
     return tidy(_flat(out))

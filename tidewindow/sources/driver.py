@@ -35,9 +35,14 @@ def converted(column="instrument"):
     return F.substring_index(F.col(column), ".", 1).isin(*CONVERTED)
 
 
-def ticks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """instrument, ts, tick id, integer ticks, price, weight, bid/ask spread in price units."""
+def ticks(spark: SparkSession, sf_dir: str, until: str | None = None) -> DataFrame:
+    """instrument, ts, tick id, integer ticks, price, weight, bid/ask spread in price units.
+
+    ``until`` (exclusive, UTC) is compared with the stored column, so the scan is pruned by it.
+    """
     e = table(spark, sf_dir, "events")
+    if until is not None:
+        e = e.where(F.col("ts") < F.lit(until).cast(e.schema["ts"].dataType))
     scale = by_type(F.col("event_type"), {k: 10**p for k, p in PRECISION.items()})
     k = F.get_json_object("props", "$.k").cast("int")
     rows = e.select(
@@ -52,9 +57,12 @@ def ticks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.withColumn("price", decode_price(F.col("ticks"), F.col("price_scale")))
 
 
-def bars(spark: SparkSession, sf_dir: str, step_s: int = BASE_S, label: str = BASE) -> DataFrame:
-    """Tick bars.  First and last price merge map-side (min_by/max_by), so a hot hour is safe."""
-    t = ticks(spark, sf_dir)
+def bars(spark: SparkSession, sf_dir: str, step_s: int = BASE_S, label: str = BASE, until: str | None = None) -> DataFrame:
+    """Tick bars.  First and last price merge map-side (min_by/max_by), so a hot hour is safe.
+
+    With ``until``, a bar that closes later holds only its earlier ticks.
+    """
+    t = ticks(spark, sf_dir, until)
     window = F.floor(F.unix_seconds("ts") / step_s) * step_s
     first, last = F.struct("ts", "tick_id"), F.struct("ts", "tick_id")
     grouped = t.groupBy("instrument", window.alias("_w")).agg(
