@@ -108,6 +108,13 @@ class Model:
             self.escapes.append((contexts, escape.astype(np.float32)))
             lower = self._cost_at(order)
 
+    @classmethod
+    def of(cls, fields: dict) -> "Model":
+        """A trained model from its fields: plain arrays, which is what executors are sent."""
+        model = cls.__new__(cls)
+        vars(model).update(fields)
+        return model
+
     def _cost_at(self, order):
         return lambda keys: self.cost(keys, order)
 
@@ -204,7 +211,7 @@ def train(docs: DataFrame, per_language: int = PER_LANGUAGE, grams: int = GRAMS)
 
 def _predictor(shared, kept):
     def predict(batches):
-        model = shared.value
+        model = Model.of(shared.value)
         scorer = Scorer(model) if model.langs else None
         for batch in batches:
             for part in slices(batch, most=1 << 20):
@@ -231,7 +238,7 @@ def has_letter(text) -> Column:
 
 def predict(docs: DataFrame, model: Model, *columns: str) -> DataFrame:
     """The named columns, then _lang and _score, for every document."""
-    shared = docs.sparkSession.sparkContext.broadcast(model)
+    shared = docs.sparkSession.sparkContext.broadcast(vars(model))
     rows = docs.withColumn("_letters", has_letter(F.col("text"))).select(*dict.fromkeys([*columns, "text", "_letters"]))
     fields = [rows.schema[c] for c in dict.fromkeys(columns)]
     schema = T.StructType([*fields, T.StructField("_lang", T.StringType()), T.StructField("_score", T.DoubleType())])

@@ -181,7 +181,7 @@ def train(docs: DataFrame, labels: DataFrame, per_label: int = PER_LABEL, featur
 
 def _score(shared):
     def score(batches):
-        model = shared.value
+        model = Model(**shared.value)
         for batch in batches:
             for part in slices(batch):
                 found = model.document_scores(Bags(part.column("text"), model.keys))
@@ -191,13 +191,13 @@ def _score(shared):
 
 
 def predict(docs: DataFrame, model: Model) -> DataFrame:
-    shared = docs.sparkSession.sparkContext.broadcast(model)
+    shared = docs.sparkSession.sparkContext.broadcast(vars(model))
     return docs.select("doc_id", "text").mapInArrow(_score(shared), "doc_id long, score double")
 
 
 def _locate(shared, least):
     def locate(batches):
-        model = shared.value
+        model = Model(**shared.value)
         for batch in batches:
             for part in slices(batch):
                 bags = Bags(part.column("text"), model.keys)
@@ -221,7 +221,7 @@ def _locate(shared, least):
 
 def offending_sentences(docs: DataFrame, model: Model, least: float = 0.5) -> DataFrame:
     """doc_id, byte span, sentence and score of every sentence at ``least`` or more."""
-    shared = docs.sparkSession.sparkContext.broadcast(model)
+    shared = docs.sparkSession.sparkContext.broadcast(vars(model))
     schema = "doc_id long, start long, end long, sentence string, score double"
     return docs.select("doc_id", "text").mapInArrow(_locate(shared, least), schema)
 
