@@ -212,10 +212,11 @@ def _modes(train: DataFrame, categorical) -> dict:
     return {c: "none" if v is None else v for c, v in r.items()}
 
 
-def _quantile_model(train: DataFrame, target: str, q: float, tolerance: float = 1e-3, most: int = 40):
+def _quantile_model(train: DataFrame, target: str, q: float, tolerance: float = 1e-2, most: int = 6):
     """Linear quantile fit by reweighted least squares on the smoothed check loss.
 
-    Steps end when no coefficient moves by more than ``tolerance`` of the largest.
+    Steps end when no coefficient moves by more than ``tolerance`` of the largest, at the latest
+    after ``most``: every step is a distributed fit.
     """
     rows = train.withColumn("_w", F.lit(1.0))
     model = last = None
