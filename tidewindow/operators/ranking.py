@@ -1,12 +1,19 @@
 """Ranking studies: rank buckets, top shares, walk-forward models and their evaluation."""
 
+import math
+from typing import NamedTuple
+
+import numpy as np
+import pyarrow as pa
 from pyspark.ml import Pipeline
 from pyspark.ml.feature import Imputer, OneHotEncoder, StandardScaler, StringIndexer, VectorAssembler
+from pyspark.ml.functions import vector_to_array
 from pyspark.ml.regression import LinearRegression
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from tidewindow.operators import stats as ST
 from tidewindow.operators.chunks import ranked, same_keys, value_bin
+from tidewindow.sources.staging import stage
 
 
 def split_bucket(rank: Column, n: Column, parts: int) -> Column:
@@ -212,26 +219,81 @@ def _modes(train: DataFrame, categorical) -> dict:
     return {c: "none" if v is None else v for c, v in r.items()}
 
 
-def _quantile_model(train: DataFrame, target: str, q: float, tolerance: float = 1e-2, most: int = 6):
-    """Linear quantile fit by reweighted least squares on the smoothed check loss.
+class LinearFit(NamedTuple):
+    coefficients: np.ndarray
+    intercept: float
+
+    def score(self, features) -> Column:
+        weights = F.array(*[F.lit(float(a)) for a in self.coefficients])
+        products = F.zip_with(vector_to_array(F.col(features)), weights, lambda x, a: x * a)
+        return F.aggregate(products, F.lit(float(self.intercept)), lambda total, x: total + x)
+
+
+def _moments(fits):
+    """Weighted moments of the columns (features, 1, target), one row per task: without weights, then per fit."""
+
+    def moments(batches):
+        total = None
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            x = batch.column("x").flatten().to_numpy(zero_copy_only=False).reshape(batch.num_rows, -1)
+            y = batch.column("y").to_numpy(zero_copy_only=False)
+            rows = np.column_stack([x, np.ones(len(y)), y])
+            gaps = [np.abs(y - rows[:, :-1] @ fit) for fit in fits]
+            sums = np.array([(rows / np.maximum(gap, 1e-3)[:, None]).T @ rows for gap in gaps] or [rows.T @ rows])
+            total = sums if total is None else total + sums
+        if total is not None:
+            yield pa.RecordBatch.from_arrays([pa.array([total.tobytes()], pa.binary())], ["moments"])
 
-    Steps end when no coefficient moves by more than ``tolerance`` of the largest, at the latest
-    after ``most``: every step is a distributed fit.
+    return moments
+
+
+def _quantile_models(train: DataFrame, target: str, quantiles, tolerance: float = 1e-3, most: int = 1000) -> list[LinearFit]:
+    """Linear quantile fits: mean smoothed check loss plus 0.01 / 2 times the squared standardised coefficients.
+
+    Every reweighted step solves a quadratic bound of the loss |r| / 2 + (q - 1/2) r, so the loss never
+    grows.  A step is one pass for all quantiles that are not settled.  A fit is settled when no
+    coefficient moves by more than ``tolerance`` of the largest; one that is not after ``most`` steps
+    is an error.
     """
-    rows = train.withColumn("_w", F.lit(1.0))
-    model = last = None
+    rows = stage(train.select(vector_to_array("features").alias("x"), F.col(target).cast("double").alias("y")))
+
+    def passed(fits):
+        parts = rows.mapInArrow(_moments(fits), "moments binary").rdd.map(lambda r: np.frombuffer(r[0]))
+        total = parts.treeReduce(np.add)
+        side = math.isqrt(len(total) // max(1, len(fits)))
+        return total.reshape(-1, side, side)
+
+    plain = passed([])[0]
+    n = plain[-2, -2]
+    mean, square = plain[-2, :-1] / n, np.diag(plain)[:-1] / n
+    spread = square - mean**2
+    # A constant column has no coefficient; the intercept is not penalised.
+    live = np.flatnonzero(np.append(spread[:-1] > 1e-12 * np.maximum(1.0, square[:-1]), True))
+    penalty = np.diag(np.append(spread[:-1], 0.0)[live] * 0.01)
+
+    def solved(moments, tilt):
+        fit = np.zeros(len(mean))
+        left, right = moments[:-1, :-1][np.ix_(live, live)] / (2 * n), moments[:-1, -1][live] / (2 * n)
+        fit[live] = np.linalg.solve(left + penalty, right + tilt * mean[live])
+        return fit
+
+    fits, open_ = [solved(plain, 0.0)] * len(quantiles), list(range(len(quantiles)))
     for _ in range(most):
-        model = LinearRegression(
-            featuresCol="features", labelCol=target, weightCol="_w", regParam=0.01, elasticNetParam=0.0, predictionCol="_fit"
-        ).fit(rows)
-        now = [*model.coefficients.toArray().tolist(), model.intercept]
-        if last is not None and max(abs(a - b) for a, b in zip(now, last)) <= tolerance * max(1e-9, *[abs(a) for a in now]):
-            break
-        last = now
-        gap = F.col(target) - F.col("_fit")
-        side = F.when(gap >= 0, F.lit(q)).otherwise(F.lit(1.0 - q))
-        rows = model.transform(train).withColumn("_w", side / F.greatest(F.abs(gap), F.lit(1e-3))).drop("_fit")
-    return model
+        unsettled = []
+        for i, moments in zip(open_, passed([fits[i] for i in open_])):
+            last, fits[i] = fits[i], solved(moments, quantiles[i] - 0.5)
+            if np.abs(fits[i] - last).max() > tolerance * max(1e-9, np.abs(fits[i]).max()):
+                unsettled.append(i)
+        open_ = unsettled
+        if not open_:
+            return [LinearFit(fit[:-1], float(fit[-1])) for fit in fits]
+    raise ValueError(f"quantile fits {[quantiles[i] for i in open_]} have not settled after {most} steps")
+
+
+def _quantile_model(train: DataFrame, target: str, q: float, **limits) -> LinearFit:
+    return _quantile_models(train, target, [q], **limits)[0]
 
 
 def walk_forward(
@@ -254,10 +316,9 @@ def walk_forward(
         scored = []
         huber = LinearRegression(featuresCol="features", labelCol=target, loss="huber", epsilon=1.35, regParam=0.01, predictionCol="score")
         scored.append(huber.fit(fit_rows).transform(test_rows).select(*keep, fold, "score").withColumn("family", F.lit("huber")))
-        quantile = test_rows.select(*keep, fold, "features")
-        for q in (25, 50, 75):
-            model = _quantile_model(fit_rows, target, q / 100.0).setPredictionCol(f"_q{q}")
-            quantile = model.transform(quantile)
+        models = _quantile_models(fit_rows, target, (0.25, 0.50, 0.75))
+        scores = {f"_q{q}": model.score("features") for q, model in zip((25, 50, 75), models)}
+        quantile = test_rows.select(*keep, fold, "features").withColumns(scores)
         middle = F.array_sort(F.array("_q25", "_q50", "_q75"))[1]
         scored.append(quantile.select(*keep, fold, middle.alias("score")).withColumn("family", F.lit("quantile")))
         knots = _knots(fit_rows, [f"_i_{c}" for c in live], 5)
