@@ -279,6 +279,15 @@ def test_licenses_against_a_loop(documents):
     assert labels[10, 8] == ""
 
 
+def test_every_template_yields_its_label(documents):
+    names = list(licenses.TEMPLATES)
+    rows = [(i, f"Zzz 2020. {licenses.TEMPLATES[n]}. qqq") for i, n in enumerate(names)] + [(99, "all rights, or rights reserved")]
+    got = {r.doc_id: r for r in licenses.scan_licenses(documents(rows)).collect()}
+    for i, name in enumerate(names):
+        assert licenses.LABELS.get(name, name) in got[i].labels.split(",") and got[i].score == 1
+    assert got[names.index("reserved")].labels == "reserved" and (got[99].labels, got[99].score) == ("", 0)
+
+
 def test_automaton_matching_statistics():
     texts = [[1, 2, 3, 1, 2, 4], [2, 3, 5, 1], [7, 1, 2]]
     automaton = licenses.Automaton(texts)

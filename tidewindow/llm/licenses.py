@@ -2,10 +2,11 @@
 
 The automaton knows every run of words of the templates.  Reading a document gives, at each word,
 the longest run of template words that ends there (matching statistics).  Base phrases are read
-from the automaton's suffix links.  Maximal runs of ``LEAST`` words or more are chained, in template
-order and with gaps of at most ``GAP`` words, into covered spans; a template whose chain covers half
-of it, or ``ENOUGH`` words, adds its label.  score is the largest covered share of any template or
-phrase.  The templates are fixed and small; the work is one pass over each document's words.
+from the automaton's suffix links.  Maximal runs of ``LEAST`` words or more, or of all words of a
+shorter template, are chained, in template order and with gaps of at most ``GAP`` words, into covered
+spans; a template whose chain covers half of it, or ``ENOUGH`` words, adds its label.  score is the
+largest covered share of any template or phrase.  The templates are fixed and small; the work is one
+pass over each document's words.
 
 Defined cases: null text is empty: no words, no labels, score 0; rows repeated score alike; an
 empty table gives no rows.  Texts are cut nowhere; batches are read in bounded slices.
@@ -111,6 +112,8 @@ class Scanner:
         number = {w: i for i, w in enumerate(self.vocabulary.words)}
         self.texts = [[number[w] for w in words] for words in texts.values()]
         self.labels = [None] * len(base) + [LABELS.get(n, n) for n in templates]
+        self.least = [min(LEAST, len(words)) for words in self.texts]
+        self.shortest = min(n for n, label in zip(self.least, self.labels) if label is not None)
         self.automaton = Automaton(self.texts)
         # The phrases that end wherever a state's longest word run ends, by suffix links.
         own = {}
@@ -130,17 +133,17 @@ class Scanner:
         for i, word in enumerate(words):
             before, held = state, length
             state, length = automaton.step(state, length, word)
-            if held >= LEAST and length <= held:
+            if held >= self.shortest and length <= held:
                 self._match(before, held, at + i - 1, matches)
             for size, label in self.phrases[state]:
                 if length >= size:
                     base.append((at + i - size + 1, label))
-        if length >= LEAST:
+        if length >= self.shortest:
             self._match(state, length, at + len(words) - 1, matches)
 
     def _match(self, state, length, end, matches):
         for number, place in self.automaton.ends[state].items():
-            if self.labels[number] is not None:
+            if self.labels[number] is not None and length >= self.least[number]:
                 matches.setdefault(number, []).append((end - length + 1, place - length + 1, length))
 
     def covered(self, number, matches) -> int:
