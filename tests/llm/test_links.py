@@ -204,6 +204,15 @@ def test_top_k_of_few_and_none(spark):
     assert topk.top_k(spark.createDataFrame([(0, [1.0])], schema), topk.F.col("vec_id") == 0).count() == 0
 
 
+@pytest.mark.parametrize("copies", (2, 12))
+def test_top_k_of_a_repeated_query(spark, copies):
+    rows = [(0, [100.0])] * copies + [(i, [float(i)]) for i in range(1, 31)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
+    got = topk.top_k(df, topk.F.col("vec_id") == 0, pivots=1)  # one annulus
+    want = Counter({(0, r, 31 - r, (31 - r) * 100 * 1024**2): copies for r in range(1, 11)})
+    assert Counter(map(tuple, got.collect())) == want
+
+
 PAGES = "page_id long, url string, html string, kept string, bytes long"
 
 

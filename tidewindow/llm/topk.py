@@ -178,11 +178,12 @@ def _search(pivots, top: float, k: int):
                 if not len(ids):
                     continue
                 s = scores_of(q[places], x)
-                n = min(k + 1, len(ids))
+                n = min(k, len(ids))
                 found = []
                 for j, place in enumerate(places.tolist()):
                     mine = s[j]
-                    least = np.partition(mine, len(mine) - n)[len(mine) - n]  # one more than k: the query may be among them
+                    mine[ids == qids[place]] = np.iinfo(np.int64).min  # the query's own rows take no place among the k
+                    least = np.partition(mine, len(mine) - n)[len(mine) - n]
                     at = np.flatnonzero(mine >= least)
                     at = at[ids[at] != qids[place]]
                     if floor is not None:
