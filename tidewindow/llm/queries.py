@@ -1,8 +1,11 @@
-"""The registered queries of the ten operators, and their DuckDB statements where SQL can express them."""
+"""The registered queries of the operators, and their DuckDB statements where SQL can express them."""
 
 from pyspark.sql import functions as F
 
-from tidewindow.llm import exact_dedup, language_id, licenses, mixing, packing, simhash, suffix_dedup, topk, toxicity, warc
+from tidewindow.llm import (
+    collocations, conversation_repair, exact_dedup, fingerprints, language_id, licenses, mixing, packing, simhash, suffix_dedup,
+    topk, toxicity, warc,
+)
 
 
 def _documents(spark, sf_dir):
@@ -52,11 +55,23 @@ def op10_toxicity(spark, sf_dir):
     return toxicity.score_toxicity(_documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
 
 
+def op11_conversation_repair(spark, sf_dir):
+    return conversation_repair.repair(spark.read.parquet(f"{sf_dir}/conversations.parquet"))
+
+
+def op12_fingerprints(spark, sf_dir):
+    return fingerprints.fingerprints(_documents(spark, sf_dir))
+
+
+def op13_collocations(spark, sf_dir):
+    return collocations.collocations(_documents(spark, sf_dir))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
         op1_mixing, op2_exact_dedup, op3_language_id, op4_packing, op5_simhash, op6_licenses, op7_suffix_dedup, op8_topk, op9_warc,
-        op10_toxicity,
+        op10_toxicity, op11_conversation_repair, op12_fingerprints, op13_collocations,
     )
 }
 
@@ -87,4 +102,30 @@ SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, score
 FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM s) WHERE rank <= 10
 """
 
-ORACLES = {"op8_topk": TOPK_SQL, "op2_exact_dedup": EXACT_DEDUP_SQL, "op9_warc": WARC_SQL}
+COLLOCATIONS_SQL = r"""
+WITH d AS (SELECT coalesce(lang, 'und') AS lang,
+    translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS text FROM documents),
+p AS (SELECT lang, unnest(string_split_regex(text, '[.,;:!?\x0A-\x0D]')) AS piece FROM d),
+w AS (SELECT lang, list_filter(string_split_regex(piece, '[\x20\x09]+'), lambda x: x <> '') AS ws FROM p),
+s AS (SELECT lang, ws, unnest(range(1, len(ws) + 1)) AS i FROM w),
+g AS (SELECT lang, ws, i, unnest(range(1, least(5, len(ws) - i + 1) + 1)) AS m FROM s),
+counts AS (SELECT lang, m, array_to_string(ws[i:i + m - 1], ' ') AS phrase, count(*) AS f FROM g GROUP BY ALL),
+totals AS (SELECT lang, CAST(sum(f) AS BIGINT) AS n FROM counts WHERE m = 1 GROUP BY lang),
+f AS (SELECT lang, m, phrase, f, string_split(phrase, ' ') AS ws FROM counts WHERE f >= 100),
+c AS (SELECT lang, m, phrase, f AS a, ws FROM f WHERE m > 1),
+cuts AS (SELECT c.*, k, array_to_string(ws[1:k], ' ') AS p1, array_to_string(ws[k + 1:], ' ') AS p2
+  FROM (SELECT *, unnest(range(1, m)) AS k FROM c) c),
+scores AS (SELECT cuts.lang, cuts.phrase, cuts.m, a, x.f AS l, y.f AS r, n, k,
+    CAST((1000::HUGEINT * a * n) // (x.f::HUGEINT * y.f) AS BIGINT) AS score
+  FROM cuts JOIN f x ON x.lang = cuts.lang AND x.phrase = p1 JOIN f y ON y.lang = cuts.lang AND y.phrase = p2
+  JOIN totals t ON t.lang = cuts.lang),
+best AS (SELECT * FROM scores QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, k) = 1),
+inner_phrases AS (SELECT DISTINCT lang, f, array_to_string(ws[i:i + z - 1], ' ') AS phrase
+  FROM (SELECT *, unnest(range(1, m - z + 2)) AS i FROM (SELECT *, unnest(range(2, m)) AS z FROM f WHERE m > 2))),
+kept AS (SELECT * FROM best b WHERE NOT EXISTS (SELECT 1 FROM inner_phrases i
+  WHERE i.lang = b.lang AND i.phrase = b.phrase AND 100 * i.f >= 100 * b.a))
+SELECT lang, rank, phrase, a, l, r, n, score FROM (SELECT *,
+  row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank FROM kept) WHERE rank <= 2000
+"""
+
+ORACLES = {"op8_topk": TOPK_SQL, "op2_exact_dedup": EXACT_DEDUP_SQL, "op9_warc": WARC_SQL, "op13_collocations": COLLOCATIONS_SQL}
