@@ -90,26 +90,26 @@ def text_form(a: Column) -> Column:
     return F.array_join(F.transform(a, lambda h: F.lower(F.lpad(F.hex(h), 16, "0"))), "")
 
 
+KEY = ("none", "id")  # whether the row has no id, and the id: in this order null ids come last
+
+
 def _following(ids: DataFrame) -> DataFrame:
-    """``ids`` (doc_id, mark, cut) with the id before it in cyclic order and that one's cut.
+    """``ids`` (none, id, cut) with the id before it in cyclic order and that one's cut.
 
     Ids are dealt in order into parts; a window runs inside each part, and the parts' ends meet
     in a table of one row per part.
     """
-    parts = stage(ids.repartitionByRange(F.col("doc_id").asc_nulls_last()).withColumn("part", F.spark_partition_id()))
-    order = F.col("doc_id").asc_nulls_last()
-    row = F.struct("doc_id", "cut").alias("row")
-    inside = Window.partitionBy("part").orderBy(order)
-    rows = parts.withColumn("before", F.lag(F.struct("doc_id", "cut")).over(inside))
-    sort_key = F.struct(F.col("doc_id").isNull(), "doc_id")
-    ends = parts.groupBy("part").agg(F.max_by(row, sort_key).alias("last"))
+    parts = stage(ids.repartitionByRange(*KEY).withColumn("part", F.spark_partition_id()))
+    row = F.struct(*KEY, "cut")
+    rows = parts.withColumn("before", F.lag(row).over(Window.partitionBy("part").orderBy(*KEY)))
+    ends = parts.groupBy("part").agg(F.max(row).alias("last"))
     along, whole = Window.orderBy("part"), Window.partitionBy()
     ends = ends.select(
         F.col("part").alias("_part"), F.coalesce(F.lag("last").over(along), F.max_by("last", "part").over(whole)).alias("end")
     )
     before = F.coalesce("before", "end")
     return rows.join(ends, F.col("part") == F.col("_part")).select(
-        F.col("doc_id").alias("_id"), F.col("mark").alias("_mark"), before["doc_id"].alias("before_id"), before["cut"].alias("cut")
+        *KEY, before["none"].alias("before_none"), before["id"].alias("before_id"), before["cut"].alias("cut")
     )
 
 
@@ -117,16 +117,19 @@ def with_next(docs: DataFrame, size: int = SIZE, words: int = WORDS) -> DataFram
     """doc_id, text, sketch, and of the next document by id its opening ``head`` and ``next_sketch``.
 
     Only openings travel to the rows before them, as long as the longest text of that id asks for.
+    Both joins deal the texts by id, so that Spark shuffles them once; sketches are made after it.
     """
-    rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
+    own = F.coalesce("doc_id", F.lit(0).cast("long")).alias("id")
+    rows = docs.select(F.col("doc_id").isNull().alias("none"), own, F.coalesce("text", F.lit("")).alias("text"))
     quarter = F.floor(F.length("text") / 4).cast("int")
-    ids = rows.groupBy("doc_id").agg(F.min(F.xxhash64("text")).alias("mark"), F.max(quarter).alias("cut"))
-    wanted = stage(_following(ids))
-    rows = rows.withColumn("sketch", sketch(F.col("text"), size, words))
-    match = rows["doc_id"].eqNullSafe(F.col("_id")) & (F.xxhash64(rows["text"]) == F.col("_mark"))
-    opening = F.struct(F.expr("left(text, cut)").alias("head"), F.col("sketch").alias("next_sketch"))
-    heads = rows.join(wanted, match).groupBy("before_id").agg(F.max(opening).alias("next"))
-    return rows.join(heads, rows["doc_id"].eqNullSafe(F.col("before_id"))).select("doc_id", "text", "sketch", "next.*")
+    wanted = stage(_following(rows.groupBy(*KEY).agg(F.max(quarter).alias("cut"))))
+    opening = F.struct(F.xxhash64("text"), F.expr("left(text, cut)").alias("head"), sketch(F.col("text"), size, words).alias("next_sketch"))
+    before = [F.col(f"before_{c}").alias(c) for c in KEY]
+    heads = rows.join(wanted, list(KEY)).groupBy(*before).agg(F.min(opening).alias("next"))
+    doc_id = F.when(~F.col("none"), F.col("id")).alias("doc_id")
+    return rows.join(heads, list(KEY)).select(
+        doc_id, "text", sketch(F.col("text"), size, words).alias("sketch"), "next.head", "next.next_sketch"
+    )
 
 
 def fingerprints(docs: DataFrame, size: int = SIZE, words: int = WORDS) -> DataFrame:
