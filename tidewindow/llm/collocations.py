@@ -5,10 +5,11 @@ passages give equal chunks wherever they stand.  A chunk carries the ``LONGEST -
 a phrase belongs to the chunk that holds its first word, and overlaps are counted once.  Distinct
 chunks and their frequencies are the dictionary; phrases of n words are counted inside distinct
 chunks, weighted, and only where both phrases of n - 1 words within may be frequent.  That test is a
-bit table of fixed size whose false positives cost rows but change no count.
+bit table of fixed size whose false positives cost rows but change no count.  From three words on
+the dictionary is one of runs: the stretches of chunks whose pairs may all be frequent.
 
-Memory of a task: one text (its bytes and one piece's words, long pieces in blocks) and ``HELD``
-counts at a time.
+Memory of a task: one text (its bytes and one piece's words, long pieces in blocks), ``HELD`` chunks
+while parsing, and about 100 bytes a word for the ``TEXT`` bytes of chunks that are counted together.
 
 Defined cases: null text is empty; null lang counts as ``und``, as does the lang of that name; a
 text without words counts nothing; repeated rows count each; an empty table gives no rows; other
@@ -16,13 +17,14 @@ columns are not read.
 """
 
 import re
-from collections import Counter, defaultdict
+from collections import Counter
 from functools import partial
 from itertools import islice
 from zlib import crc32
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame, Window, functions as F
 
@@ -36,8 +38,10 @@ TRIGGER = 32
 BLOCK = 1 << 14  # words of a long piece that are cut together
 LONG = 1 << 20  # bytes from which a piece is read word by word
 HELD = 1 << 18
+TEXT = 1 << 23
 BITS = 26
-SEED = 42
+FACTOR, MIX = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93)
+CHUNKS = "lang binary, chunk binary, own long, freq long"
 
 PIECE = re.compile(rb"[^.,;:!?\n-\r]+")
 WORD = re.compile(rb"[^ \t]+")
@@ -101,95 +105,141 @@ def dictionary(docs: DataFrame, longest: int = LONGEST, trigger: int = TRIGGER)
         F.coalesce("lang", F.lit("und")).cast("binary").alias("lang"),
         F.coalesce("text", F.lit("")).cast("binary").alias("text"),
     )
-    parsed = rows.mapInArrow(partial(_parse, longest=longest, trigger=trigger), "lang binary, chunk binary, own long, freq long")
+    parsed = rows.mapInArrow(partial(_parse, longest=longest, trigger=trigger), CHUNKS)
     return parsed.groupBy("lang", "chunk", "own").agg(F.sum("freq").alias("freq"))
 
 
-class MayBeFrequent:
-    """A one-hash bit table of phrases: no frequent phrase is missed, whatever their number."""
+class Words:
+    """The words of a block of chunks as numbers, with a rolling hash of every phrase."""
+
+    def __init__(self, lang, chunk):
+        lists = pc.split_pattern(chunk, " ")
+        encoded = lists.flatten().dictionary_encode()
+        self.lang, self.vocabulary, self.codes = lang, encoded.dictionary, encoded.indices.to_numpy()
+        ends = np.cumsum(pc.list_value_length(lists).to_numpy(zero_copy_only=False), dtype=np.int64)
+        self.size = np.diff(ends, prepend=0)
+        self.row = np.repeat(np.arange(len(chunk)), self.size)
+        self.at = np.arange(len(self.codes)) - np.repeat(ends - self.size, self.size)
+        self.left = self.size[self.row] - self.at
+        known = np.fromiter(map(xxhash.xxh64_intdigest, self.vocabulary.to_pylist()), np.uint64, len(self.vocabulary))
+        langs = lang.dictionary_encode()
+        salts = np.fromiter(map(xxhash.xxh64_intdigest, langs.dictionary.to_pylist()), np.uint64, len(langs.dictionary))
+        self.lang_codes = langs.indices.to_numpy()
+        self.salt = salts[self.lang_codes][self.row]
+        self.one = known[self.codes]
+
+    def hashes(self, n: int):
+        """Of the n words from each place on; of no meaning where fewer are left."""
+        h = self.one.copy()
+        for j in range(1, n):
+            h[:-j] = h[:-j] * FACTOR + self.one[j:]
+        return (h ^ self.salt) * MIX
+
+    def may_be_frequent(self, n: int, table):
+        bit = self.hashes(n) >> np.uint64(64 - BITS)
+        return ((table[bit >> np.uint64(6)] >> (bit & np.uint64(63))) & np.uint64(1)).astype(bool) & (self.left >= n)
+
+    def phrases(self, places, n: int):
+        parts = [self.vocabulary.take(pa.array(self.codes[places + j])) for j in range(n)]
+        return parts[0] if n == 1 else pc.binary_join_element_wise(*parts, b" ")
+
+    def same(self, a, b, n: int):
+        alike = self.lang_codes[self.row[a]] == self.lang_codes[self.row[b]]
+        for j in range(n):
+            alike &= self.codes[a + j] == self.codes[b + j]
+        return alike
+
+
+def tally(block, n: int, table=None):
+    """(lang, gram, f) of the block's phrases of n words that start at a chunk's own words, where
+    ``table`` allows both phrases of n - 1 words within."""
+    words = Words(block["lang"], block["chunk"])
+    own = block["own"].to_numpy()
+    fine = (words.at < own[words.row]) & (words.left >= n)
+    if n > 1:
+        inner = words.may_be_frequent(n - 1, table)
+        fine[:-1] &= inner[:-1] & inner[1:]
+    places = np.flatnonzero(fine)
+    keys = words.hashes(n)[places]
+    order = np.argsort(keys, kind="stable")
+    places, keys = places[order], keys[order]
+    first = np.flatnonzero(np.append(True, keys[1:] != keys[:-1])) if len(keys) else np.empty(0, np.int64)
+    spread = np.diff(first, append=len(keys))
+    if not words.same(places, np.repeat(places[first], spread), n).all():  # two phrases of one hash: each place alone
+        first = np.arange(len(places))
+    counts = np.add.reduceat(block["freq"].to_numpy()[words.row[places]], first) if len(places) else np.empty(0, np.int64)
+    kept = places[first]
+    return _batch({
+        "lang": words.lang.take(pa.array(words.row[kept])), "gram": words.phrases(kept, n), "f": pa.array(counts, pa.int64()),
+    })
+
+
+def runs(block, table):
+    """(lang, chunk, own, freq) of the stretches of three words or more whose pairs ``table`` allows."""
+    words = Words(block["lang"], block["chunk"])
+    pairs = words.may_be_frequent(2, table)
+    edge = np.diff(pairs.astype(np.int8), prepend=0, append=0)
+    start, last = np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)  # last: the run's final word
+    own = block["own"].to_numpy()[words.row[start]] - words.at[start]
+    kept = (last - start >= 2) & (own > 0)
+    start, size, own = start[kept], (last - start + 1)[kept], own[kept]
+    ends = np.cumsum(size, dtype=np.int64)
+    places = np.arange(ends[-1] if len(ends) else 0) + np.repeat(start - (ends - size), size)
+    lists = pa.LargeListArray.from_arrays(np.append(0, ends), words.vocabulary.take(pa.array(words.codes[places])))
+    return _batch({
+        "lang": words.lang.take(pa.array(words.row[start])), "chunk": pc.binary_join(lists, b" "),
+        "own": pa.array(np.minimum(own, size)), "freq": block["freq"].take(pa.array(words.row[start])),
+    })
+
+
+def _blocks_of(batches):
+    """Batches joined until they hold ``TEXT`` bytes of chunks."""
+    held, size = [], 0
+
+    def joined():
+        return pa.Table.from_batches(held).combine_chunks().to_batches()[0]
+
+    for batch in batches:
+        if batch.num_rows:
+            held.append(batch)
+            size += batch.nbytes
+        if size >= TEXT:
+            yield joined()
+            held, size = [], 0
+    if held:
+        yield joined()
 
-    def __init__(self, words: np.ndarray):
-        self.table, self.seeds, self.known = words, {}, {}
 
-    def __call__(self, lang: bytes, gram: bytes) -> bool:
-        seed = self.seeds.get(lang)
-        if seed is None:
-            seed = self.seeds[lang] = xxhash.xxh64_intdigest(lang, seed=SEED)
-        bit = xxhash.xxh64_intdigest(gram, seed=seed) & ((1 << BITS) - 1)
-        return bool(int(self.table[bit >> 6]) >> (bit & 63) & 1)
+def _count(batches, n, table):
+    for block in _blocks_of(batches):
+        yield tally(block, n, table and table.value)
 
-    def memo(self, lang: bytes):
-        """Single words repeat so often that looking up the answer is cheaper than the hash."""
-        known = self.known.setdefault(lang, {})
 
-        def ask(gram):
-            answer = known.get(gram)
-            if answer is None:
-                if len(known) >= HELD:
-                    known.clear()
-                answer = known[gram] = self(lang, gram)
-            return answer
+def _runs(batches, table):
+    for block in _blocks_of(batches):
+        yield runs(block, table.value)
 
-        return ask
+
+def _bits(batches, n):
+    for batch in batches:
+        if batch.num_rows:
+            words = Words(batch["lang"], batch["gram"])
+            bit = words.hashes(n)[words.at == 0] >> np.uint64(64 - BITS)
+            yield _batch({
+                "word": pa.array((bit >> np.uint64(6)).astype(np.int64)),
+                "bits": pa.array((np.uint64(1) << (bit & np.uint64(63))).view(np.int64)),
+            })
 
 
-def bit_table(frequent: DataFrame) -> np.ndarray:
+def bit_table(frequent: DataFrame, n: int) -> np.ndarray:
     """At most 2**BITS bits come to the driver, by 64-bit words that the executors have combined."""
-    bit = F.xxhash64("lang", "gram").bitwiseAND(F.lit((1 << BITS) - 1))
-    one = F.call_function("shiftleft", F.lit(1).cast("long"), bit.bitwiseAND(F.lit(63)).cast("int"))
-    rows = frequent.groupBy(F.shiftright(bit, 6).alias("word")).agg(F.bit_or(one).alias("bits")).toArrow()
+    rows = frequent.select("lang", "gram").mapInArrow(partial(_bits, n=n), "word long, bits long")
+    rows = rows.groupBy("word").agg(F.bit_or("bits").alias("bits")).toArrow()
     table = np.zeros(1 << (BITS - 6), np.uint64)
     table[rows["word"].to_numpy()] = rows["bits"].to_numpy().view(np.uint64)
     return table
 
 
-def grams_of(chunk: bytes, own: int, n: int, frequent=None):
-    """The phrases of n words that start at one of the chunk's own words, where ``frequent`` allows
-    both phrases of n - 1 words within."""
-    words = chunk.split(b" ")
-    if n == 1:
-        return words[:own]
-    if len(words) < n:
-        return []
-    if n == 2:
-        fine = [frequent(w) for w in words]
-        return [words[i] + b" " + words[i + 1] for i in range(min(own, len(words) - 1)) if fine[i] and fine[i + 1]]
-    ends, end = [], -1
-    for w in words:
-        end += len(w) + 1
-        ends.append(end)
-    starts = [0] + [e + 1 for e in ends]
-    last = min(own, len(words) - n + 1)
-    fine = [frequent(chunk[starts[i] : ends[i + n - 2]]) for i in range(last + 1)]
-    return [chunk[starts[i] : ends[i + n - 1]] for i in range(last) if fine[i] and fine[i + 1]]
-
-
-def _count(batches, n, table):
-    frequent = None if table is None else MayBeFrequent(table.value)
-    held, size = defaultdict(Counter), 0
-
-    def flush():
-        for lang, counts in held.items():
-            yield _batch({
-                "lang": pa.array([lang] * len(counts), pa.binary()), "gram": pa.array(list(counts), pa.binary()),
-                "f": pa.array(counts.values(), pa.int64()),
-            })
-        held.clear()
-
-    for batch in batches:
-        columns = (batch.column(c).to_pylist() for c in ("lang", "chunk", "own", "freq"))
-        for lang, chunk, own, freq in zip(*columns):
-            counts = held[lang]
-            before = len(counts)
-            for gram in grams_of(chunk, own, n, frequent and frequent.memo(lang)):
-                counts[gram] += freq
-            size += len(counts) - before
-            if size >= HELD:
-                yield from flush()
-                size = 0
-    yield from flush()
-
-
 def frequent_phrases(parse: DataFrame, least: int = LEAST, longest: int = LONGEST) -> DataFrame:
     """(lang, gram, words, f) of all phrases of 1 to ``longest`` words with f >= ``least``.
 
@@ -199,11 +249,14 @@ def frequent_phrases(parse: DataFrame, least: int = LEAST, longest: int = LONGES
     sc = parse.sparkSession.sparkContext
     levels, table = [], None
     for n in range(1, longest + 1):
+        if n == 3:
+            found = parse.mapInArrow(partial(_runs, table=table), CHUNKS)
+            parse = stage(found.groupBy("lang", "chunk", "own").agg(F.sum("freq").alias("freq")))
         rows = parse.mapInArrow(partial(_count, n=n, table=table), "lang binary, gram binary, f long")
         found = rows.groupBy("lang", "gram").agg(F.sum("f").alias("f")).where(F.col("f") >= least)
         found = stage(found.select("lang", "gram", F.lit(n).alias("words"), "f"))
         levels.append(found)
-        bits = bit_table(found)
+        bits = bit_table(found, n)
         if not bits.any():
             break
         table = sc.broadcast(bits)
