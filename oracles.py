@@ -32,7 +32,7 @@ def compose(sql: str) -> str:
             todo.extend(_needs(CTES[n]))
     order = [n for n in CTES if n in chosen]
     # Steps that several later ones read are computed once.
-    once = {n for n in ("cands", "candx", "ents", "entp", "touch", "cellx", "prior", "outs", "priced", "costs", "finished", "imm", "atlas", "acell", "ptr")}
+    once = {n for n in ("cands", "candx", "ents", "entp", "touch", "cellx", "prior", "outs", "priced", "costs", "finished", "imm", "atlas", "acell", "ptr", "ptx")}
     head = ",\n".join(f"{n} AS {'MATERIALIZED ' if n in once else ''}({CTES[n]})" for n in order)
     body = sql.strip()
     head, body = (re.sub(r'(?<![".])\bat\b(?!")', '"at"', x) for x in (head, body))
@@ -101,13 +101,13 @@ cte("win", """
 SELECT b.instrument, g.tf_s, (b.t // g.tf_s) * g.tf_s AS t, arg_min(open, b.t) AS open, max(high) AS high,
        min(low) AS low, arg_max(close, b.t) AS close, sum(volume) AS volume, count(*) AS observed,
        g.tf_s // 3600 AS expected
-FROM bars b, (VALUES (7200), (14400)) g(tf_s) GROUP BY b.instrument, g.tf_s, (b.t // g.tf_s) * g.tf_s""")
+FROM bars b, (VALUES (7200), (14400), (28800)) g(tf_s) GROUP BY b.instrument, g.tf_s, (b.t // g.tf_s) * g.tf_s""")
 OBS = """
 SELECT *, NOT (volume = 0 AND open = high AND high = low AND low = close) AS active,
        {sess} AS sess, {tf} AS timeframe FROM {src}"""
 cte("obs", OBS.format(sess=session_list("t"), tf="'1h'", src="bars"))
 cte("robs", OBS.format(
-    sess=session_list("t"), tf="CASE tf_s WHEN 7200 THEN '2h' ELSE '4h' END",
+    sess=session_list("t"), tf="CASE tf_s WHEN 7200 THEN '2h' WHEN 14400 THEN '4h' ELSE '8h' END",
     src="(SELECT instrument, tf_s, t, t + tf_s AS at, open, high, low, close, volume FROM win WHERE observed = expected)"))
 
 # ---------------------------------------------------------------- labels and features
@@ -214,7 +214,7 @@ cte("signals", """
 SELECT * EXCLUDE (active, close), close AS p0, close - e0 AS d0,
        CASE WHEN split_part(instrument, '.', 1) IN ('click', 'view') THEN 0.1::DOUBLE ELSE 0.01::DOUBLE END AS pip
 FROM (SELECT s.*, th.threshold, CASE WHEN z < -threshold THEN 1 WHEN z > threshold THEN -1 END AS direction
-      FROM states s, (VALUES (0.75::DOUBLE), (1.25::DOUBLE)) th(threshold) WHERE active)
+      FROM states s, (VALUES (1::DOUBLE), (1.5::DOUBLE), (2::DOUBLE), (2.5::DOUBLE)) th(threshold) WHERE active)
 WHERE direction IS NOT NULL""")
 
 # ================================================================ foundation
@@ -225,11 +225,11 @@ query("resample_bars", f"""
 SELECT instrument, timeframe, t AS open_s, at AS available_s, {r('open')} AS open, {r('high')} AS high,
        {r('low')} AS low, {r('close')} AS close, volume FROM robs""")
 query("resample_incomplete", """
-SELECT instrument, CASE tf_s WHEN 7200 THEN '2h' ELSE '4h' END AS timeframe, t AS open_s, expected, observed
+SELECT instrument, CASE tf_s WHEN 7200 THEN '2h' WHEN 14400 THEN '4h' ELSE '8h' END AS timeframe, t AS open_s, expected, observed
 FROM win WHERE observed <> expected""")
 query("resample_conservation", """
 SELECT w.*, b.n AS source_rows, w.accounted_rows = b.n AS conserved FROM (
- SELECT instrument, CASE tf_s WHEN 7200 THEN '2h' ELSE '4h' END AS timeframe,
+ SELECT instrument, CASE tf_s WHEN 7200 THEN '2h' WHEN 14400 THEN '4h' ELSE '8h' END AS timeframe,
        count(*) FILTER (observed = expected) AS complete_windows,
        count(*) FILTER (observed <> expected) AS incomplete_windows,
        CAST(sum(CASE WHEN observed = expected THEN expected ELSE observed END) AS BIGINT) AS accounted_rows
@@ -437,7 +437,7 @@ SELECT f.*, l.horizon_s, d.d AS direction, th.th AS threshold,
        CASE WHEN f.z < -th.th THEN 1 WHEN f.z > th.th THEN -1 END AS side,
        CASE WHEN f.z < -th.th THEN 1 WHEN f.z > th.th THEN -1 END * l.ret AS signed
 FROM {features} f
-CROSS JOIN (VALUES (0.75::DOUBLE), (1.25::DOUBLE)) th(th) CROSS JOIN (VALUES ('all'), ('long'), ('short')) d(d)
+CROSS JOIN (VALUES (1::DOUBLE), (1.5::DOUBLE), (2::DOUBLE), (2.5::DOUBLE)) th(th) CROSS JOIN (VALUES ('all'), ('long'), ('short')) d(d)
 JOIN labels_long l ON l.instrument = f.instrument AND l.tf_s = f.tf_s AND l.t = f.t
 WHERE f.active AND f.z IS NOT NULL AND (f.z < -th.th OR f.z > th.th)
   AND (d.d = 'all' OR (d.d = 'long' AND f.z < -th.th) OR (d.d = 'short' AND f.z > th.th))""")
@@ -448,7 +448,7 @@ SELECT g.instrument, g.timeframe, g.{group}, g.lookback, g.threshold, CAST(g.hor
        avg(CASE WHEN s.signed > 0 THEN 1::DOUBLE WHEN s.signed IS NOT NULL THEN 0::DOUBLE END) AS win_rate,
        CASE WHEN count(s.signed) >= 2 THEN stddev_samp(s.signed) END AS stddev, any_value(m.months) AS months
 FROM (SELECT g0.*, th.th AS threshold, d.d AS direction, h.h AS horizon_s FROM ({grid}) g0
-      CROSS JOIN (VALUES (0.75::DOUBLE), (1.25::DOUBLE)) th(th) CROSS JOIN (VALUES ('all'), ('long'), ('short')) d(d)
+      CROSS JOIN (VALUES (1::DOUBLE), (1.5::DOUBLE), (2::DOUBLE), (2.5::DOUBLE)) th(th) CROSS JOIN (VALUES ('all'), ('long'), ('short')) d(d)
       CROSS JOIN (VALUES (7200), (14400), (28800), (86400)) h(h)) g
 LEFT JOIN sg_{name} s ON s.instrument = g.instrument AND s.tf_s = g.tf_s AND s.lookback = g.lookback
      AND s.{group} IS NOT DISTINCT FROM g.{group} AND s.threshold = g.threshold AND s.direction = g.direction
@@ -757,9 +757,9 @@ SELECT instrument, CASE WHEN instrument IN (SELECT c.instrument FROM cands c LEF
    ON k.instrument = c.instrument AND k.session = coalesce(c.session, 'overall') WHERE k.session IS NULL) THEN 'blocked' ELSE 'covered' END AS cost_status,
    count(*) AS candidates FROM cands GROUP BY 1, 2""")
 query("priced_scenarios", f"""
-SELECT instrument, session, statistic, slippage, cost_status, count(*) AS rows, {r('sum(net_adverse)')} AS net_adverse, {r('sum(net_favorable)')} AS net_favorable,
+SELECT instrument, session, entry_mode, statistic, slippage, cost_status, count(*) AS rows, {r('sum(net_adverse)')} AS net_adverse, {r('sum(net_favorable)')} AS net_favorable,
        {r('avg(spread + slippage + commission)')} AS modeled_cost, {r('max(spread)')} AS spread, {r('max(commission)')} AS commission
-FROM priced WHERE entry_mode = 'immediate' GROUP BY 1, 2, 3, 4, 5""")
+FROM priced GROUP BY 1, 2, 3, 4, 5, 6""")
 CC = CONFIG + ", statistic, slippage"
 cte("ccells", f"""
 SELECT {CC}, count(*) AS trades, avg(net_adverse) AS mean_net, avg(net_favorable) AS mean_net_favorable,
@@ -920,8 +920,8 @@ cte("resid", f"SELECT {PRC}, at, any_value(close) AS p0, any_value(e0) AS e0, an
 query("residual_rows", f"SELECT {PRC}, count(*) AS rows, {r('avg(dev)')} AS mean_deviation, max(at) AS last_s FROM resid GROUP BY 1, 2, 3, 4, 5")
 cte("trans", f"""
 SELECT *, count(x) OVER (PARTITION BY {PRC} ORDER BY at ROWS UNBOUNDED PRECEDING) AS transitions
-FROM (SELECT *, CASE signal_timeframe WHEN '2h' THEN 7200 ELSE 14400 END AS tf,
-             CASE WHEN at - lag(at) OVER q = CASE signal_timeframe WHEN '2h' THEN 7200 ELSE 14400 END THEN lag(dev) OVER q END AS x
+FROM (SELECT *, CASE signal_timeframe WHEN '2h' THEN 7200 WHEN '4h' THEN 14400 ELSE 28800 END AS tf,
+             CASE WHEN at - lag(at) OVER q = CASE signal_timeframe WHEN '2h' THEN 7200 WHEN '4h' THEN 14400 ELSE 28800 END THEN lag(dev) OVER q END AS x
       FROM resid WINDOW q AS (PARTITION BY {PRC} ORDER BY at))""")
 cte("pairs", f"SELECT {PRC}, transitions AS rk, x, dev AS y FROM trans WHERE x IS NOT NULL")
 cte("fits", f"""
@@ -1093,6 +1093,7 @@ def dense(axes, cells):
 
 
 cte("fbcell", "SELECT *, instrument AS cell_instrument FROM fbo")
+cte("fbd", "SELECT DISTINCT ON (instrument, at, direction, minimum_depth) * FROM fbo ORDER BY instrument, at, direction, minimum_depth, anchor_family, level_id")
 cte("fbfam", "SELECT *, 'family' AS scope FROM fbu")
 query("breakout_summary", f"""
 SELECT *, 'cell' AS scope FROM ({dense({'anchor_family': ["'previous-day'", "'asia-session'", "'london-opening'"], 'minimum_depth': ["0::DOUBLE", "0.05::DOUBLE", "0.1::DOUBLE"]},
@@ -1122,9 +1123,12 @@ SELECT *, CASE WHEN unique_rate IS NULL OR decision = 'INCONCLUSIVE' THEN 'INSUF
   WHEN unique_rate >= 0.5 THEN 'PARTIALLY ORTHOGONAL' ELSE 'LIKELY REFERENCE FILTER/TIMING LAYER' END AS independence
 FROM (
 SELECT 'family' AS scope, (SELECT {r('(count(*) - count(*) FILTER (g <= 28800)) / count(*)::DOUBLE')} FROM fball) AS unique_rate, events, n AS n_h8, {r('m')} AS mean_h8, {r('md')} AS pips_h8_median,
- CASE WHEN events >= 50 AND n >= 50 AND m > 0 AND md >= 0 AND (SELECT count(*) FROM (SELECT 1 FROM fbu GROUP BY instrument HAVING count(*) >= 10)) >= 2
+ CASE WHEN events >= 100 AND n >= 100 AND m > 0 AND md >= 0 AND (SELECT count(*) FROM (SELECT 1 FROM fbu GROUP BY instrument HAVING count(*) >= 20)) >= 2
    AND (SELECT count(*) FROM (SELECT 1 FROM fbu GROUP BY instrument HAVING avg(pips_h8) > 0)) >= 2
-   AND (SELECT max(c) FROM (SELECT count(*) AS c FROM fbu GROUP BY instrument)) / events::DOUBLE <= 0.5 THEN 'PASS' WHEN events >= 50 AND n >= 50 THEN 'KILL' ELSE 'INCONCLUSIVE' END AS decision
+   AND (SELECT max(c) FROM (SELECT count(*) AS c FROM fbu GROUP BY instrument)) / events::DOUBLE <= 0.6
+   AND (SELECT max(c) FROM (SELECT count(*) AS c FROM (SELECT {QUARTER} AS q FROM fbu) GROUP BY q)) / events::DOUBLE <= 0.5
+   AND (SELECT count(*) FROM (SELECT 1 FROM fbd GROUP BY minimum_depth HAVING avg(pips_h8) > 0)) = 3
+  THEN 'PASS' WHEN events >= 100 AND n >= 100 THEN 'KILL' ELSE 'INCONCLUSIVE' END AS decision
 FROM (SELECT count(*) AS events, count(pips_h8) AS n, avg(pips_h8) AS m, median(pips_h8) AS md FROM fbu) WHERE events > 0)""")
 
 # ================================================================ trend exhaustion
@@ -1162,6 +1166,7 @@ query("trend_exhaustion", f"""
 SELECT event_id, instrument, at, threshold, direction, {r('normalized_displacement')} AS normalized_displacement, {r('efficiency')} AS efficiency, {r('extension')} AS extension,
  {r('retained')} AS retained, session_label, from_open, to_close FROM tey""")
 observed("teo", "tey")
+cte("tep", "SELECT * FROM teo WHERE threshold = 0.6")
 cte("tecell", "SELECT *, instrument AS cell_instrument FROM teo")
 query("exhaustion_summary", f"""
 SELECT *, 'instrument' AS scope FROM ({dense({'threshold': ["0.4::DOUBLE", "0.6::DOUBLE", "0.8::DOUBLE"]}, scope('tecell', ['threshold', 'cell_instrument']))})
@@ -1170,6 +1175,18 @@ query("exhaustion_expectancy", f"""
 SELECT threshold, kind, key, count(*) AS events, {r('avg(pips_h8)')} AS expectancy FROM (
  SELECT threshold, pips_h8, 'instrument' AS kind, instrument AS key FROM teo UNION ALL SELECT threshold, pips_h8, 'month', {MONTH} FROM teo
  UNION ALL SELECT threshold, pips_h8, 'quarter', {QUARTER} FROM teo) GROUP BY 1, 2, 3""")
+query("exhaustion_decision", f"""
+SELECT threshold, events, n AS n_h8, {r('m')} AS mean_h8, {r('md')} AS pips_h8_median, plateau,
+ CASE WHEN events >= 100 AND n >= 100 AND m > 0 AND md >= 0 AND plateau
+   AND (SELECT count(*) FROM (SELECT 1 FROM tep GROUP BY instrument HAVING count(*) >= 20)) >= 2
+   AND (SELECT count(*) FROM (SELECT 1 FROM tep GROUP BY instrument HAVING avg(pips_h8) > 0)) >= 2
+   AND (SELECT max(c) FROM (SELECT count(*) AS c FROM tep GROUP BY instrument)) / events::DOUBLE <= 0.6
+   AND (SELECT max(c) FROM (SELECT count(*) AS c FROM (SELECT {QUARTER} AS q FROM tep) GROUP BY q)) / events::DOUBLE <= 0.5
+  THEN 'PASS' WHEN events >= 100 AND n >= 100 THEN 'KILL' ELSE 'INCONCLUSIVE' END AS decision
+FROM (SELECT threshold, count(*) AS events, count(pips_h8) AS n, avg(pips_h8) AS m, median(pips_h8) AS md FROM tep GROUP BY 1),
+ (SELECT coalesce(p > 0 AND w >= 0.5 * p, false) AS plateau FROM (
+  SELECT max(CASE WHEN threshold = 0.6 THEN m END) AS p, min(CASE WHEN threshold <> 0.6 THEN coalesce(m, '-inf'::DOUBLE) END) AS w
+  FROM (SELECT threshold, avg(pips_h8) AS m FROM teo GROUP BY 1)))""")
 query("exhaustion_overlap", f"SELECT instrument, {', '.join(_ov)} FROM {near('(SELECT * FROM teo WHERE threshold = 0.6)')} GROUP BY 1")
 query("exhaustion_plateau", f"""
 SELECT {r('p')} AS primary_mean, {r('w')} AS weakest_neighbour, coalesce(p > 0 AND w >= 0.5 * p, false) AS plateau
@@ -1197,9 +1214,9 @@ query("predictor_quintiles", f"""
 SELECT predictor, bucket, {OSUM} FROM (SELECT *, ntile(5) OVER (PARTITION BY predictor ORDER BY x, event_id) AS bucket FROM qlong WHERE x IS NOT NULL) GROUP BY 1, 2""")
 query("category_outcomes", f"""
 SELECT category, value, {OSUM} FROM (SELECT *, unnest(['instrument', 'side', 'session_label']) AS category, unnest([instrument, side, coalesce(session_label, 'none')]) AS value FROM qual) GROUP BY 1, 2""")
-cte("scored", """
-SELECT event_id, instrument, direction, fold, target, pips, 'displacement' AS family, normalized_displacement AS score FROM qual
-UNION ALL SELECT event_id, instrument, direction, fold, target, pips, 'extension', round(extension_atr, 1) FROM qual""")
+cte("scored", f"""
+SELECT event_id, instrument, direction, fold, {QUARTER} AS quarter, coalesce(session_label, 'none') AS session_label, target, pips, 'displacement' AS family, normalized_displacement AS score FROM qual
+UNION ALL SELECT event_id, instrument, direction, fold, {QUARTER}, coalesce(session_label, 'none'), target, pips, 'extension', round(extension_atr, 1) FROM qual""")
 cte("rk", """
 SELECT *, rn > n - ceil(n * 0.2::DOUBLE) AS t20, rn > n - ceil(n * 0.1::DOUBLE) AS t10 FROM (
  SELECT *, row_number() OVER w AS rn, ntile(5) OVER w AS bucket, count(*) OVER (PARTITION BY family) AS n,
@@ -1213,24 +1230,25 @@ def share(col):
 
 
 cte("ev0", """
-SELECT family, count(*) AS n, avg(target) AS baseline, count(*) FILTER (t20) AS top20_n, avg(target) FILTER (t20) AS top20_mean, avg(pips) FILTER (t20) AS top20_pips,
+SELECT family, count(*) AS n, avg(target) AS baseline, count(*) FILTER (t20) AS top20_n, avg(target) FILTER (t20) AS top20_mean, avg(pips) FILTER (t20) AS top20_pips, median(pips) FILTER (t20) AS top20_median,
  coalesce(sum(pips) FILTER (t20 AND pips > 0), 0) / nullif(-sum(pips) FILTER (t20 AND pips < 0), 0) AS top20_profit_factor, count(*) FILTER (t10) AS top10_n,
  avg(target) FILTER (t10) AS top10_mean, """ + ", ".join(f"avg(target) FILTER (bucket = {q}) AS q{q}" for q in range(1, 6)) + ", corr(rs, rt) AS spearman FROM rk GROUP BY 1")
 cte("ev", f"""
 SELECT *, top20_mean - baseline AS top20_lift, top10_mean - baseline AS top10_lift, q5 - q1 AS top_minus_bottom,
  CAST(q1 <= q2 AS INTEGER) + CAST(q2 <= q3 AS INTEGER) + CAST(q3 <= q4 AS INTEGER) + CAST(q4 <= q5 AS INTEGER) AS ordered_pairs,
- {share('instrument')} AS max_instrument_share, {share('direction')} AS max_direction_share, {share('fold')} AS max_fold_share FROM ev0 e""")
-query("ranking_evaluation", "SELECT family, n, top20_n, top10_n, ordered_pairs, " + ", ".join(f"{r(c)} AS {c}" for c in (
-    "baseline", "top20_mean", "top20_pips", "top20_profit_factor", "top10_mean", "q1", "q2", "q3", "q4", "q5", "spearman", "top20_lift", "top10_lift", "top_minus_bottom",
-    "max_instrument_share", "max_direction_share", "max_fold_share")) + " FROM ev")
+ {share('instrument')} AS max_instrument_share, {share('direction')} AS max_direction_share, {share('fold')} AS max_fold_share, {share('quarter')} AS max_quarter_share, {share('session_label')} AS max_session_label_share,
+ (SELECT count(*) FROM (SELECT 1 FROM rk z WHERE z.family = e.family AND z.t20 GROUP BY z.instrument HAVING avg(z.pips) > 0)) AS top20_positive_instruments FROM ev0 e""")
+query("ranking_evaluation", "SELECT family, n, top20_n, top10_n, ordered_pairs, top20_positive_instruments, " + ", ".join(f"{r(c)} AS {c}" for c in (
+    "baseline", "top20_mean", "top20_pips", "top20_median", "top20_profit_factor", "top10_mean", "q1", "q2", "q3", "q4", "q5", "spearman", "top20_lift", "top10_lift", "top_minus_bottom",
+    "max_instrument_share", "max_direction_share", "max_fold_share", "max_quarter_share", "max_session_label_share")) + " FROM ev")
 query("ranking_decision", """
 WITH v AS (SELECT *, CASE family WHEN 'displacement' THEN 1 ELSE 2 END AS o, coalesce(top20_lift, '-inf'::DOUBLE) AS li, coalesce(spearman, '-inf'::DOUBLE) AS rh,
- coalesce(n >= 10 AND top20_n >= 2 AND top20_pips > 0 AND top20_profit_factor >= 1.2 AND top20_lift >= 0.05 AND spearman >= 0.05 AND ordered_pairs >= 3
-  AND max_instrument_share <= 0.4 AND max_fold_share <= 0.3, false) AS ok FROM ev),
+ coalesce(n >= 1000 AND top20_n >= 200 AND top20_pips > 0 AND top20_median >= 0 AND top20_positive_instruments >= 3 AND top20_profit_factor >= 1.2 AND top20_lift >= 0.05 AND spearman >= 0.05 AND ordered_pairs >= 3
+  AND max_instrument_share <= 0.4 AND max_fold_share <= 0.3 AND max_quarter_share <= 0.6, false) AS ok FROM ev),
  ld AS (SELECT * FROM v ORDER BY li DESC, rh DESC, o LIMIT 1)
 SELECT (SELECT count(*) FROM v WHERE ok) AS passing,
  coalesce((SELECT v.family FROM v, ld WHERE v.li >= ld.li - 0.02 AND v.rh >= ld.rh - 0.01 ORDER BY v.o LIMIT 1), (SELECT family FROM ld)) AS selected,
- CASE WHEN (SELECT bool_or(n < 10 OR top20_n < 2) FROM v) THEN 'INCONCLUSIVE' WHEN (SELECT count(*) FROM v WHERE ok) >= 2 THEN 'PROMOTE_TO_FROZEN_CANDIDATE' ELSE 'PARK' END AS decision""")
+ CASE WHEN (SELECT bool_or(n < 1000 OR top20_n < 200) FROM v) THEN 'INCONCLUSIVE' WHEN (SELECT count(*) FROM v WHERE ok) >= 2 THEN 'PROMOTE_TO_FROZEN_CANDIDATE' ELSE 'PARK' END AS decision""")
 
 
 def drawn(n, seed, a, b):
@@ -1240,7 +1258,7 @@ def drawn(n, seed, a, b):
 
 cte("blk", "SELECT family, fold, row_number() OVER (PARTITION BY family ORDER BY fold) - 1 AS i, count(*) OVER (PARTITION BY family) AS k FROM (SELECT DISTINCT family, fold FROM scored)")
 cte("reps", f"""
-SELECT s.family, s.rep, f.fold FROM (SELECT b.family, g.rep, {drawn('b.k', 20, 'g.rep', 'b.i')} AS pick FROM blk b, range(200) g(rep)) s
+SELECT s.family, s.rep, f.fold FROM (SELECT b.family, g.rep, {drawn('b.k', 20, 'g.rep', 'b.i')} AS pick FROM blk b, range(2000) g(rep)) s
 JOIN blk f ON f.family = s.family AND f.i = s.pick""")
 cte("boot", """
 SELECT family, rep, avg(pips) FILTER (rn > n - ceil(n * 0.2::DOUBLE)) AS top_pips, avg(target) FILTER (rn > n - ceil(n * 0.2::DOUBLE)) AS top_target,
@@ -1256,21 +1274,25 @@ def dbl(c):
     return f"CASE WHEN {c} = 1 THEN '1.0' ELSE CAST({c} AS VARCHAR) END"
 
 
+cte("ptx", f"""
+SELECT *, CASE WHEN cost_status <> 'covered' THEN 'no_cost' WHEN sl IS NULL THEN 'no_stop' WHEN NOT (stop_pips > 0 AND gap > 0) THEN 'no_risk'
+  WHEN isodow(make_timestamp(at * 1000000)) > 5 THEN 'weekend' ELSE 'taken' END AS admission
+FROM (SELECT *, abs(p0 + direction * r_at_entry * abs(d0) - (p0 - direction * sl * abs(d0))) / pip AS stop_pips,
+             direction * (p0 + direction * r_at_entry * abs(d0) - (p0 - direction * sl * abs(d0))) AS gap
+      FROM priced WHERE entry_mode = 'immediate' AND benchmark_family <> 'band' AND (cost_status <> 'covered' OR (statistic = 'mean' AND slippage = 0.1::DOUBLE)))""")
+query("trade_admission", "SELECT instrument, benchmark_family, admission, count(*) AS trades FROM ptx GROUP BY 1, 2, 3")
 cte("ptr", f"""
 SELECT candidate_event_id, instrument, session, 'benchmark_family=' || benchmark_family || '|lookback=' || lookback || '|tp=' || {dbl('tp')} || '|sl=' || {dbl('sl')} || '|stop=' || stop AS policy,
  source_day, at + wait * 3600 AS entry_s, at + (wait + holding) * 3600 AS exit_s, pips_adverse, net_adverse, stop_pips, net_adverse / stop_pips AS r
-FROM (SELECT *, abs(p0 + direction * r_at_entry * abs(d0) - (p0 - direction * sl * abs(d0))) / pip AS stop_pips,
-             direction * (p0 + direction * r_at_entry * abs(d0) - (p0 - direction * sl * abs(d0))) AS gap
-      FROM priced WHERE entry_mode = 'immediate' AND sl IS NOT NULL AND benchmark_family <> 'band' AND statistic = 'mean' AND slippage = 0.1::DOUBLE)
-JOIN cal ON cal.d = CAST(make_timestamp(at * 1000000) AS DATE) WHERE stop_pips > 0 AND gap > 0""")
+FROM ptx JOIN cal ON cal.d = CAST(make_timestamp(at * 1000000) AS DATE) WHERE admission = 'taken'""")
 query("priced_trades", "SELECT candidate_event_id, instrument, session, policy, source_day, entry_s, exit_s, " + ", ".join(f"{r(c)} AS {c}" for c in ("pips_adverse", "net_adverse", "stop_pips", "r")) + " FROM ptr")
 cte("pday", "SELECT policy, source_day, count(*) AS n, sum(r) AS s, min(entry_s) AS lo, max(exit_s) AS hi FROM ptr GROUP BY 1, 2")
 cte("picks", f"""
-SELECT p.p AS path, b.b * 5 + o.o AS day, ({drawn('262', 11, 'p.p', 'b.b')} + o.o) % 262 AS source_day FROM range(2000) p(p), range(4) b(b), range(5) o(o)""")
-query("bootstrap_picks", "SELECT path, day, source_day, source_day IN (SELECT source_day FROM ptr) AS has_trades FROM picks")
+SELECT p.p AS path, b.b * 5 + o.o AS day, ({drawn('262', 11, 'p.p', 'b.b')} + o.o) % 262 AS source_day FROM range(50000) p(p), range(4) b(b), range(5) o(o)""")
+query("bootstrap_picks", "SELECT path, day, source_day, source_day IN (SELECT source_day FROM ptr) AS has_trades FROM picks WHERE path < 2000")
 query("rebased_trades", f"""
 SELECT path, policy, CAST(sum(n) AS BIGINT) AS trades, {r('sum(s)')} AS total_r, min(lo + (day - picks.source_day) * 86400) AS first_s, max(hi + (day - picks.source_day) * 86400) AS last_s
-FROM pday JOIN picks ON picks.source_day = pday.source_day GROUP BY 1, 2""")
+FROM pday JOIN picks ON picks.source_day = pday.source_day WHERE path < 2000 GROUP BY 1, 2""")
 cte("ptot", "SELECT policy, path, sum(s) AS total_r FROM pday JOIN picks ON picks.source_day = pday.source_day GROUP BY 1, 2")
 query("bootstrap_distribution", f"""
 SELECT policy, count(*) AS paths, {r('avg(total_r)')} AS mean_r, {r('avg(CASE WHEN total_r > 0 THEN 1::DOUBLE ELSE 0::DOUBLE END)')} AS positive_share, """

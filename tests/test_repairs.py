@@ -194,3 +194,42 @@ def test_quantile_fits_run_until_they_settle(spark):
         assert abs(np.mean(y < wide @ got) - q) < 0.05
     with pytest.raises(ValueError, match="not settled"):
         RK._quantile_models(df, "y", quantiles, most=6)
+
+
+SUMMARY = dict(
+    events=100, n_h4=100, adequate_instruments=2, positive_instruments=2, mean_h4=0.1, pips_h4_median=0.0, max_instrument_share=0.6,
+    max_quarter_share=0.5, robust=True,
+)
+
+
+@pytest.mark.parametrize(
+    "change, decision",
+    [
+        ({}, "PASS"), ({"events": 99}, "INCONCLUSIVE"), ({"n_h4": 99}, "INCONCLUSIVE"), ({"adequate_instruments": 1}, "KILL"),
+        ({"positive_instruments": 1}, "KILL"), ({"mean_h4": 0.0}, "KILL"), ({"mean_h4": None}, "KILL"), ({"pips_h4_median": -0.1}, "KILL"),
+        ({"pips_h4_median": None}, "KILL"), ({"max_instrument_share": 0.61}, "KILL"), ({"max_quarter_share": 0.51}, "KILL"),
+        ({"robust": False}, "KILL"), ({"robust": None}, "KILL"),
+    ],
+)
+def test_each_condition_of_a_study_decision(spark, change, decision):
+    row = SUMMARY | change
+    schema = "events long, n_h4 long, adequate_instruments long, positive_instruments long, mean_h4 double, pips_h4_median double, max_instrument_share double, max_quarter_share double, robust boolean"
+    rows = spark.createDataFrame([tuple(row[c.split()[0]] for c in schema.split(", "))], schema)
+    assert FA.stage_decision(rows, 4, F.col("robust")).first()["decision"] == decision
+
+
+REPORT = dict(
+    n=1000, top20_n=200, top20_pips=0.1, top20_median=0.0, top20_profit_factor=1.2, top20_lift=0.05, spearman=0.05, ordered_pairs=3,
+    top20_positive_instruments=3, max_instrument_share=0.4, max_fold_share=0.3, max_quarter_share=0.6,
+)
+BREAKS = dict(
+    n=999, top20_n=199, top20_pips=0.0, top20_median=-0.1, top20_profit_factor=1.19, top20_lift=0.049, spearman=None, ordered_pairs=2,
+    top20_positive_instruments=2, max_instrument_share=0.41, max_fold_share=0.31, max_quarter_share=0.61,
+)
+
+
+def test_each_condition_of_a_promotion(spark):
+    rows = [dict(REPORT, family="all")] + [dict(REPORT, family=k) | {k: v} for k, v in BREAKS.items()]
+    schema = ", ".join(f"{k} {'double' if isinstance(v, float) else 'long'}" for k, v in REPORT.items()) + ", family string"
+    df = spark.createDataFrame([tuple(r[c.split()[0]] for c in schema.split(", ")) for r in rows], schema)
+    assert [r.family for r in df.where(RK.passes()).collect()] == ["all"]

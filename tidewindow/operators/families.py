@@ -167,19 +167,29 @@ def overlap_windows(events: DataFrame, keys, windows_s, gap: str = "nearest_s")
     return events.groupBy(*keys).agg(*aggs)
 
 
-def stage_decision(rows: DataFrame, min_events: int, max_instrument: float, max_quarter: float, horizon: int) -> DataFrame:
-    """PASS / KILL / INCONCLUSIVE from a summary row."""
+# Fixed values of the study decisions.
+MIN_EVENTS, MIN_INSTRUMENT_EVENTS, MIN_INSTRUMENTS = 100, 20, 2
+MAX_INSTRUMENT_SHARE, MAX_QUARTER_SHARE = 0.60, 0.50
+
+
+def stage_decision(rows: DataFrame, horizon: int, robust: Column) -> DataFrame:
+    """PASS / KILL / INCONCLUSIVE from a summary row.
+
+    ``robust`` is the study's own last condition: every depth positive, or a plateau of thresholds.
+    The summary counts as adequate the instruments with MIN_INSTRUMENT_EVENTS events.
+    """
     c = F.col
     big, good = c("adequate_instruments"), c("positive_instruments")
-    adequate = (c("events") >= min_events) & (c(f"n_h{horizon}") >= min_events)
+    adequate = (c("events") >= MIN_EVENTS) & (c(f"n_h{horizon}") >= MIN_EVENTS)
     evidence = (
         adequate
-        & (big >= 2)
-        & (good >= 2)
+        & (big >= MIN_INSTRUMENTS)
+        & (good >= MIN_INSTRUMENTS)
         & (c(f"mean_h{horizon}") > 0)
         & (c(f"pips_h{horizon}_median") >= 0)
-        & (c("max_instrument_share") <= max_instrument)
-        & (c("max_quarter_share") <= max_quarter)
+        & (c("max_instrument_share") <= MAX_INSTRUMENT_SHARE)
+        & (c("max_quarter_share") <= MAX_QUARTER_SHARE)
+        & robust
     )
     return rows.withColumn(
         "decision",

@@ -92,10 +92,13 @@ def evaluate(predictions: DataFrame, keys, score: str, tie: str, target: str, pi
     base = ST.attach(base, spearman(predictions, keys, score, target), keys)
     shares = None
     top = rows.where("_t20")
-    for name in ("instrument", "direction", "fold"):
+    for name in ("instrument", "direction", "fold", "quarter", "session_label"):
         counts = top.groupBy(*keys, name).agg(F.count("*").alias("_n"))
         part = counts.groupBy(*keys).agg((F.max("_n") / F.sum("_n")).alias(f"max_{name}_share"))
         shares = part if shares is None else ST.attach(shares, part, keys)
+    per = top.groupBy(*keys, "instrument").agg(F.avg(pips).alias("_m"))
+    shares = ST.attach(shares, per.groupBy(*keys).agg(F.count_if(F.col("_m") > 0).alias("top20_positive_instruments")), keys)
+    shares = ST.attach(shares, ST.quantiles(top, keys, pips, {"top20_median": 0.5}), keys)
     order = sum(
         [F.coalesce((F.col(f"q{i}") <= F.col(f"q{i + 1}")).cast("int"), F.lit(0)) for i in range(1, 5)], F.lit(0)
     )
@@ -116,12 +119,15 @@ def passes(min_n: int = 1000, min_top: int = 200) -> Column:
         (c("n") >= min_n)
         & (c("top20_n") >= min_top)
         & (c("top20_pips") > 0)
+        & (c("top20_median") >= 0)
         & (c("top20_profit_factor") >= 1.20)
         & (c("top20_lift") >= 0.05)
         & (c("spearman") >= 0.05)
         & (c("ordered_pairs") >= 3)
+        & (c("top20_positive_instruments") >= 3)
         & (c("max_instrument_share") <= 0.40)
         & (c("max_fold_share") <= 0.30)
+        & (c("max_quarter_share") <= 0.60)
     )
     return F.coalesce(rule, F.lit(False))
 

@@ -104,10 +104,10 @@ def cost_coverage(spark, sf):
 
 
 def priced_scenarios(spark, sf):
-    """Net result of every complete immediate trade under every cost scenario, summarised."""
-    rows = _priced(spark, sf).where("entry_mode = 'immediate'")
+    """Net result of every complete trade under every cost scenario, summarised."""
+    rows = _priced(spark, sf)
     return tidy(
-        rows.groupBy("instrument", "session", "statistic", "slippage", "cost_status").agg(
+        rows.groupBy("instrument", "session", "entry_mode", "statistic", "slippage", "cost_status").agg(
             F.count("*").alias("rows"), F.sum("net_adverse").alias("net_adverse"), F.sum("net_favorable").alias("net_favorable"),
             F.avg("modeled_cost").alias("modeled_cost"), F.max("spread").alias("spread"), F.max("commission").alias("commission"),
         )

@@ -19,7 +19,7 @@ NUMERIC = (
 )
 CATEGORICAL = ("instrument", "side", "session_label")
 MAIN = SR.HORIZONS[-1]
-REPLICATES = 200
+REPLICATES = 2000
 
 
 def _quality(spark, sf):
@@ -65,6 +65,15 @@ def category_outcomes(spark, sf):
     return tidy(RK.outcome_summary(long, ["category", "value"], "target", "pips"))
 
 
+KEEP = ("event_id", "instrument", "direction", "quarter", "session_label", "target", "pips", "mfe_pips", "mae_pips")
+
+
+def _periods(rows):
+    ts = F.timestamp_seconds("at")
+    quarter = F.concat(F.year(ts), F.lit("-Q"), F.quarter(ts))
+    return rows.withColumns({"quarter": quarter, "session_label": F.coalesce("session_label", F.lit("none"))})
+
+
 def _scores(spark, sf):
     """Two transparent scores as model families, so that every number can be checked."""
     rows = stage(_quality(spark, sf))
@@ -72,7 +81,7 @@ def _scores(spark, sf):
         F.struct(F.lit("displacement").alias("family"), F.col("normalized_displacement").alias("score")),
         F.struct(F.lit("extension").alias("family"), F.round("extension_atr", 1).alias("score")),
     )
-    return rows.select("event_id", "instrument", "direction", "fold", "target", "pips", "mfe_pips", "mae_pips", F.inline(scores))
+    return _periods(rows).select(*KEEP, "fold", F.inline(scores))
 
 
 def ranking_evaluation(spark, sf):
@@ -81,7 +90,7 @@ def ranking_evaluation(spark, sf):
 
 def ranking_decision(spark, sf):
     reports = stage(RK.evaluate(_scores(spark, sf), ["family"], "score", "event_id", "target", "pips"))
-    return tidy(RK.study_decision(reports, "family", ("displacement", "extension"), 10, 2))
+    return tidy(RK.study_decision(reports, "family", ("displacement", "extension")))
 
 
 def fold_bootstrap(spark, sf):
@@ -109,7 +118,8 @@ def walk_forward_models(spark, sf):
 
 
 # ------------------------------------------------------------------ priced trades
-PATHS, HORIZON, BLOCK, SEED = 2000, 20, 5, 11
+# Distributions run over all paths; the tables that list paths are for looking at and hold the first ones.
+PATHS, LISTED, HORIZON, BLOCK, SEED = 50000, 2000, 20, 5, 11
 
 
 def weekdays(first_year: int, last_year: int) -> list[date]:
@@ -129,13 +139,11 @@ def _calendar(spark, rows):
     return spark.createDataFrame([(d, i) for i, d in enumerate(days)], "day date, source_day long"), len(days)
 
 
-def _priced_trades(spark, sf):
-    """(Immediate trades with a stop, priced at mean spread, with entry-to-stop risk and R; the
-    number of calendar days).  Trades on a weekend have no calendar day and stay out."""
+def _admitted(spark, sf):
+    """Immediate trades of the anchored families, priced at mean spread, with entry-to-stop risk, R
+    and whether the bootstrap takes them: ``admission`` is taken, or the reason of the refusal."""
     c = F.col
-    rows = ST.outcomes(spark, sf).where(
-        c("complete") & (c("entry_mode") == "immediate") & c("sl").isNotNull() & (c("benchmark_family") != "band")
-    )
+    rows = ST.outcomes(spark, sf).where(c("complete") & (c("entry_mode") == "immediate") & (c("benchmark_family") != "band"))
     costs = stage(GR.cost_dimension(spark, sf)).where("statistic = 'mean' and slippage = 0.1")
     rows = CO.priced(rows, costs)
     entry = c("p0") + c("direction") * c("r_at_entry") * F.abs("d0")
@@ -148,8 +156,26 @@ def _priced_trades(spark, sf):
             "policy": policy_key("benchmark_family", "lookback", "tp", "sl", "stop"),
             "day": F.to_date(F.timestamp_seconds("at")),
         }
-    ).where((c("stop_pips") > 0) & (c("direction") * (entry - stop) > 0))
-    rows = stage(rows.withColumn("r", c("net_adverse") / c("stop_pips")))
+    )
+    at_risk = (c("stop_pips") > 0) & (c("direction") * (entry - stop) > 0)
+    admission = (
+        F.when(c("cost_status") != "covered", "no_cost")
+        .when(c("sl").isNull(), "no_stop")
+        .when(~F.coalesce(at_risk, F.lit(False)), "no_risk")
+        .when(F.weekday("day") >= 5, "weekend")
+        .otherwise("taken")
+    )
+    return stage(rows.withColumns({"r": F.try_divide("net_adverse", "stop_pips"), "admission": admission}))
+
+
+def trade_admission(spark, sf):
+    """Trades that the bootstrap takes, and those it refuses, by reason: none leaves uncounted."""
+    return tidy(_admitted(spark, sf).groupBy("instrument", "benchmark_family", "admission").agg(F.count("*").alias("trades")))
+
+
+def _priced_trades(spark, sf):
+    """(The trades taken, on their calendar days; the number of calendar days)."""
+    rows = _admitted(spark, sf).where("admission = 'taken'")
     calendar, days = _calendar(spark, rows)
     return rows.join(calendar, "day").select(
         "candidate_event_id", "instrument", "session", "policy", "source_day", "entry_s", "exit_s",
@@ -166,14 +192,14 @@ def bootstrap_picks(spark, sf):
     """Circular day-block picks over the days that hold trades of the given tables."""
     rows, count = _priced_trades(spark, sf)
     days = rows.select("source_day").distinct()
-    picks = BS.block_picks(spark, PATHS, HORIZON, BLOCK, count, SEED)
+    picks = BS.block_picks(spark, LISTED, HORIZON, BLOCK, count, SEED)
     return tidy(picks.join(days.withColumn("has_trades", F.lit(True)), "source_day", "left").fillna(False, ["has_trades"]))
 
 
 def rebased_trades(spark, sf):
     """Rebased trade tables of all paths, summarised per path and policy."""
     trades, count = _priced_trades(spark, sf)
-    picks = BS.block_picks(spark, PATHS, HORIZON, BLOCK, count, SEED)
+    picks = BS.block_picks(spark, LISTED, HORIZON, BLOCK, count, SEED)
     return tidy(BS.rebased_summary(trades, picks, ["policy"], "r"))
 
 
@@ -210,7 +236,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         quality_rows, predictor_quantiles, predictor_quintiles, category_outcomes, ranking_evaluation, ranking_decision,
-        fold_bootstrap, walk_forward_models, priced_trades, bootstrap_picks, rebased_trades, bootstrap_distribution,
+        fold_bootstrap, walk_forward_models, trade_admission, priced_trades, bootstrap_picks, rebased_trades, bootstrap_distribution,
         policy_summary,
     )
 }

@@ -116,8 +116,13 @@ def breakout_overlap(spark, sf):
 
 
 def breakout_decision(spark, sf):
-    rows = SU.scope_summary(_unique(_breakout_observations(spark, sf)).withColumn("scope", F.lit("family")), ["scope"], HORIZONS)
-    out = FA.stage_decision(rows, 50, 0.5, 1.0, HORIZONS[-1])
+    seen = _breakout_observations(spark, sf)
+    rows = SU.scope_summary(
+        _unique(seen).withColumn("scope", F.lit("family")), ["scope"], HORIZONS, min_instrument_events=FA.MIN_INSTRUMENT_EVENTS
+    )
+    means = _unique(seen, ["minimum_depth"]).groupBy("minimum_depth").agg(F.avg(f"pips_h{HORIZONS[-1]}").alias("mean"))
+    depths = means.agg((F.count_if(F.col("mean") > 0) == len(DEPTHS)).alias("depths_positive")).withColumn("scope", F.lit("family"))
+    out = FA.stage_decision(SS.attach(rows, depths, ["scope"]), HORIZONS[-1], F.col("depths_positive"))
     # How much of the study is not already in the reference clocks of the same instrument.
     overlap = _overlap(spark, sf).where("anchor_family = 'ALL' and scope_instrument = 'ALL'").select(
         F.lit("family").alias("scope"), (F.col(f"unique_w{WINDOWS_S[-1]}") / F.col("events")).alias("unique_rate")
@@ -216,10 +221,24 @@ def exhaustion_plateau(spark, sf):
     return tidy(FA.plateau_ok(means, "threshold", PRIMARY, "mean"))
 
 
+def exhaustion_decision(spark, sf):
+    """The study's verdict at its primary threshold."""
+    seen = exhaustion_observations(spark, sf)
+    rows = SU.scope_summary(
+        seen.where(F.col("threshold") == PRIMARY), ["threshold"], HORIZONS, min_instrument_events=FA.MIN_INSTRUMENT_EVENTS
+    )
+    means = seen.groupBy("threshold").agg(F.avg(f"pips_h{HORIZONS[-1]}").alias("mean"))
+    plateau = FA.plateau_ok(means, "threshold", PRIMARY, "mean").select(F.lit(PRIMARY).alias("threshold"), "plateau")
+    out = FA.stage_decision(SS.attach(rows, plateau, ["threshold"]), HORIZONS[-1], F.col("plateau"))
+    main = HORIZONS[-1]
+    return tidy(out.select("threshold", "events", f"n_h{main}", f"mean_h{main}", f"pips_h{main}_median", "plateau", "decision"))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
         structural_levels, failed_breakouts, breakout_summary, breakout_overlap, breakout_decision, trend_features,
         trend_exhaustion, exhaustion_summary, exhaustion_expectancy, exhaustion_overlap, exhaustion_plateau,
+        exhaustion_decision,
     )
 }

@@ -1,7 +1,9 @@
 """The shared study over the driver's tables: bars -> states -> candidates -> outcomes.
 
-All constants of the study are here.  The base bar (one hour) plays the fine step, two and
-four hours are the signal timeframes; minutes of a minute study become steps of one hour.
+All constants of the study are here.  The base bar (one hour) plays the fine step, two, four and
+eight hours are the signal timeframes; minutes of a minute study become steps of one hour.  Look-backs
+are short and the candidates' threshold is low because the tables' bars have many gaps: twenty
+bars in a row hardly ever occur, and the score of four values cannot pass 1.5.
 """
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
@@ -14,9 +16,9 @@ from tidewindow.sources.staging import stage
 STEP = D.BASE_S
 WIDTH = 7 * 86400  # chunk of an ordered series, in seconds
 BARS = 168  # chunk of an ordered series, in bars
-TIMEFRAMES = {"2h": 7200, "4h": 14400}
+TIMEFRAMES = {"2h": 7200, "4h": 14400, "8h": 28800}
 LOOKBACKS = (4, 8)
-THRESHOLDS = (0.75, 1.25)
+THRESHOLDS = (1.0, 1.5, 2.0, 2.5)
 THRESHOLD = 0.75
 HORIZONS_S = (7200, 14400, 28800, 86400)
 SERIES = ("instrument", "timeframe")
@@ -33,7 +35,7 @@ def observations(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def research_observations(spark: SparkSession, sf: str) -> DataFrame:
-    """Both signal timeframes from one pass over the base bars."""
+    """All signal timeframes from one pass over the base bars."""
     return OB.observe(RS.resample(D.bars(spark, sf), D.BASE, *TIMEFRAMES))
 
 
@@ -66,7 +68,7 @@ def with_contexts(rows: DataFrame) -> DataFrame:
 
 
 def states(spark: SparkSession, sf: str) -> DataFrame:
-    """All valid states of three families on both signal timeframes."""
+    """All valid states of three families on all signal timeframes."""
     fine, obs = staged_observations(spark, sf)
     valid = F.col("z").isNotNull()
     band = FE.band_features(obs, LOOKBACKS, BARS).where(valid)
