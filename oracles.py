@@ -1212,6 +1212,9 @@ OSUM = f"""count(*) AS n, {r('avg(target)')} AS mean_target, {r('avg(pips)')} AS
  {r('median(target)')} AS target_median, {r('median(pips)')} AS pips_median"""
 query("predictor_quintiles", f"""
 SELECT predictor, bucket, {OSUM} FROM (SELECT *, ntile(5) OVER (PARTITION BY predictor ORDER BY x, event_id) AS bucket FROM qlong WHERE x IS NOT NULL) GROUP BY 1, 2""")
+query("predictor_deciles", f"""
+SELECT predictor, bucket, {OSUM} FROM (SELECT *, ntile(10) OVER (PARTITION BY predictor ORDER BY x, event_id) AS bucket, count(*) OVER (PARTITION BY predictor) AS held
+ FROM qlong WHERE x IS NOT NULL) WHERE held >= 10 GROUP BY 1, 2""")
 query("category_outcomes", f"""
 SELECT category, value, {OSUM} FROM (SELECT *, unnest(['instrument', 'side', 'session_label']) AS category, unnest([instrument, side, coalesce(session_label, 'none')]) AS value FROM qual) GROUP BY 1, 2""")
 cte("scored", f"""

@@ -143,59 +143,6 @@ def test_block_bootstrap_matches_a_loop(spark):
         np.testing.assert_allclose(got[rep], want, rtol=1e-9)
 
 
-def test_spline_basis_stops_at_the_knots(spark):
-    df = spark.createDataFrame([(0.0,), (1.0,), (50.0,), (-9.0,)], "x double")
-    basis, names = RK._spline_columns(df, {"x": [0.0, 0.25, 0.5, 0.75, 1.0]})
-    rows = [tuple(r[n] for n in names) for r in basis.collect()]
-    assert rows[1] == rows[2] and rows[0] == rows[3]
-
-
-def test_unseen_categories_and_modes(spark):
-    df = spark.createDataFrame([("a",), ("a",), ("b",), (None,)], "c string")
-    assert RK._modes(df, ["c"]) == {"c": "a"} and RK._modes(df.where("c is null"), ["c"]) == {"c": "none"}
-
-
-def test_median_fit_converges(spark):
-    from pyspark.ml.feature import VectorAssembler
-
-    rng = np.random.default_rng(8)
-    x = rng.normal(size=400)
-    y = 2 * x + 1 + rng.standard_t(2, size=400) * 0.2
-    df = VectorAssembler(inputCols=["x"], outputCol="features").transform(spark.createDataFrame([(float(a), float(b)) for a, b in zip(x, y)], "x double, y double"))
-    model = RK._quantile_model(df, "y", 0.5)
-    assert abs(model.coefficients[0] - 2) < 0.1 and abs(model.intercept - 1) < 0.1
-
-
-def test_quantile_fits_run_until_they_settle(spark):
-    from pyspark.ml.feature import VectorAssembler
-
-    rng = np.random.default_rng(5)
-    x = np.column_stack([rng.normal(size=(300, 3)), np.eye(8)[rng.integers(0, 8, 300)]])
-    y = x[:, 0] + rng.standard_t(1.5, size=300)
-    names = [f"x{i}" for i in range(x.shape[1])]
-    df = spark.createDataFrame([(*map(float, a), float(b)) for a, b in zip(x, y)], [*names, "y"])
-    df = VectorAssembler(inputCols=names, outputCol="features").transform(df)
-    quantiles = (0.25, 0.5, 0.75)
-    wide, penalty = np.column_stack([x, np.ones(300)]), np.append(x.var(0), 0.0) * 0.01
-
-    def loss(q, b):
-        gap = y - wide @ b
-        return np.mean(np.maximum(q * gap, (q - 1) * gap)) + (penalty * b**2).sum() / 2
-
-    for q, fit in zip(quantiles, RK._quantile_models(df, "y", quantiles)):
-        # The same steps in a plain loop, run far beyond the tolerance.
-        b, steps, moved = np.linalg.lstsq(wide, y, rcond=None)[0], 0, 1.0
-        while moved > 1e-7:
-            w = 1 / np.maximum(abs(y - wide @ b), 1e-3)
-            new = np.linalg.solve((wide * w[:, None]).T @ wide / 600 + np.diag(penalty), wide.T @ (w * y) / 600 + (q - 0.5) * wide.mean(0))
-            moved, steps, b = abs(new - b).max(), steps + 1, new
-        got = np.append(fit.coefficients, fit.intercept)
-        assert steps > 6 and loss(q, got) < loss(q, b) + 1e-3
-        assert abs(np.mean(y < wide @ got) - q) < 0.05
-    with pytest.raises(ValueError, match="not settled"):
-        RK._quantile_models(df, "y", quantiles, most=6)
-
-
 SUMMARY = dict(
     events=100, n_h4=100, adequate_instruments=2, positive_instruments=2, mean_h4=0.1, pips_h4_median=0.0, max_instrument_share=0.6,
     max_quarter_share=0.5, robust=True,

@@ -1,19 +1,9 @@
-"""Ranking studies: rank buckets, top shares, walk-forward models and their evaluation."""
+"""Ranking studies: rank buckets, top shares and the evaluation of scores."""
 
-import math
-from typing import NamedTuple
-
-import numpy as np
-import pyarrow as pa
-from pyspark.ml import Pipeline
-from pyspark.ml.feature import Imputer, OneHotEncoder, StandardScaler, StringIndexer, VectorAssembler
-from pyspark.ml.functions import vector_to_array
-from pyspark.ml.regression import LinearRegression
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from tidewindow.operators import stats as ST
 from tidewindow.operators.chunks import ranked, same_keys, value_bin
-from tidewindow.sources.staging import stage
 
 
 def split_bucket(rank: Column, n: Column, parts: int) -> Column:
@@ -158,8 +148,8 @@ def study_decision(reports: DataFrame, family: str, order, min_n: int = 1000, mi
     )
 
 
-def describe_predictors(rows: DataFrame, predictors, tie: str, target: str, pips: str) -> tuple[DataFrame, DataFrame]:
-    """(missing rates and quantiles per predictor, outcome by rank quintile per predictor)."""
+def describe_predictors(rows: DataFrame, predictors, tie: str, target: str, pips: str, parts: int = 5) -> tuple[DataFrame, DataFrame]:
+    """(missing rates and quantiles per predictor, outcome by rank bucket per predictor)."""
     items = F.array(*[F.struct(F.lit(p).alias("predictor"), F.col(p).cast("double").alias("x")) for p in predictors])
     long = rows.select(tie, target, pips, "mfe_pips", "mae_pips", F.inline(items))
     base = long.groupBy("predictor").agg(
@@ -171,176 +161,5 @@ def describe_predictors(rows: DataFrame, predictors, tie: str, target: str, pips
     )
     wanted = {"p10": 0.1, "p25": 0.25, "p50": 0.5, "p75": 0.75, "p90": 0.9}
     base = ST.attach(base, ST.quantiles(long, ["predictor"], "x", wanted), ["predictor"])
-    buckets = bucketed(long.where(F.col("x").isNotNull()), ["predictor"], "x", tie, 5)
+    buckets = bucketed(long.where(F.col("x").isNotNull()), ["predictor"], "x", tie, parts)
     return base, outcome_summary(buckets, ["predictor", "bucket"], target, pips)
-
-
-def _knots(train: DataFrame, columns, knots: int):
-    """Evenly spaced knots between each column's extremes, from one small aggregate row."""
-    row = train.agg(*[F.min(c).alias(f"{c}_lo") for c in columns], *[F.max(c).alias(f"{c}_hi") for c in columns]).first()
-    out = {}
-    for c in columns:
-        lo, hi = row[f"{c}_lo"], row[f"{c}_hi"]
-        if lo is None or hi is None or hi <= lo:
-            out[c] = []
-        else:
-            out[c] = [lo + (hi - lo) * i / (knots - 1) for i in range(knots)]
-    return out
-
-
-def _spline_columns(df: DataFrame, knots) -> tuple[DataFrame, list[str]]:
-    """Cubic truncated-power basis: x, x^2, x^3 and one hinge per inner knot."""
-    cells = {}
-    for c, ks in knots.items():
-        if not ks:
-            continue
-        # Outside the knots a predictor stays at the edge: a cubic must not run away.
-        held = F.least(F.greatest(F.col(c), F.lit(ks[0])), F.lit(ks[-1]))
-        scaled = (held - ks[0]) / (ks[-1] - ks[0])
-        for p in (1, 2, 3):
-            cells[f"_s_{c}_{p}"] = F.pow(scaled, F.lit(float(p)))
-        for i, k in enumerate(ks[1:-1]):
-            hinge = F.greatest(F.lit(0.0), (held - k) / (ks[-1] - ks[0]))
-            cells[f"_s_{c}_k{i}"] = F.pow(hinge, F.lit(3.0))
-    return df.withColumns(cells), list(cells)
-
-
-def _preparation(numeric, categorical):
-    """Median impute, standardise numerics, one-hot; a category not seen in training is all zeros
-    (the indexer's bucket for it is the one the encoder drops)."""
-    filled = [f"_i_{c}" for c in numeric]
-    return [
-        Imputer(strategy="median", inputCols=list(numeric), outputCols=filled),
-        VectorAssembler(inputCols=filled, outputCol="_numeric", handleInvalid="keep"),
-        StandardScaler(inputCol="_numeric", outputCol="_scaled", withMean=True, withStd=True),
-        StringIndexer(inputCols=list(categorical), outputCols=[f"_x_{c}" for c in categorical], handleInvalid="keep"),
-        OneHotEncoder(inputCols=[f"_x_{c}" for c in categorical], outputCols=[f"_h_{c}" for c in categorical]),
-        VectorAssembler(inputCols=["_scaled", *[f"_h_{c}" for c in categorical]], outputCol="features"),
-    ]
-
-
-def _modes(train: DataFrame, categorical) -> dict:
-    """The most frequent value of each category, ``none`` where there is no value: one row."""
-    r = train.agg(*[F.mode(c, True).alias(c) for c in categorical]).first().asDict()
-    return {c: "none" if v is None else v for c, v in r.items()}
-
-
-class LinearFit(NamedTuple):
-    coefficients: np.ndarray
-    intercept: float
-
-    def score(self, features) -> Column:
-        weights = F.array(*[F.lit(float(a)) for a in self.coefficients])
-        products = F.zip_with(vector_to_array(F.col(features)), weights, lambda x, a: x * a)
-        return F.aggregate(products, F.lit(float(self.intercept)), lambda total, x: total + x)
-
-
-def _moments(fits):
-    """Weighted moments of the columns (features, 1, target), one row per task: without weights, then per fit."""
-
-    def moments(batches):
-        total = None
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            x = batch.column("x").flatten().to_numpy(zero_copy_only=False).reshape(batch.num_rows, -1)
-            y = batch.column("y").to_numpy(zero_copy_only=False)
-            rows = np.column_stack([x, np.ones(len(y)), y])
-            gaps = [np.abs(y - rows[:, :-1] @ fit) for fit in fits]
-            sums = np.array([(rows / np.maximum(gap, 1e-3)[:, None]).T @ rows for gap in gaps] or [rows.T @ rows])
-            total = sums if total is None else total + sums
-        if total is not None:
-            yield pa.RecordBatch.from_arrays([pa.array([total.tobytes()], pa.binary())], ["moments"])
-
-    return moments
-
-
-def _quantile_models(train: DataFrame, target: str, quantiles, tolerance: float = 1e-3, most: int = 1000) -> list[LinearFit]:
-    """Linear quantile fits: mean smoothed check loss plus 0.01 / 2 times the squared standardised coefficients.
-
-    Every reweighted step solves a quadratic bound of the loss |r| / 2 + (q - 1/2) r, so the loss never
-    grows.  A step is one pass for all quantiles that are not settled.  A fit is settled when no
-    coefficient moves by more than ``tolerance`` of the largest; one that is not after ``most`` steps
-    is an error.
-    """
-    rows = stage(train.select(vector_to_array("features").alias("x"), F.col(target).cast("double").alias("y")))
-
-    def passed(fits):
-        parts = rows.mapInArrow(_moments(fits), "moments binary").rdd.map(lambda r: np.frombuffer(r[0]))
-        total = parts.treeReduce(np.add)
-        side = math.isqrt(len(total) // max(1, len(fits)))
-        return total.reshape(-1, side, side)
-
-    plain = passed([])[0]
-    n = plain[-2, -2]
-    mean, square = plain[-2, :-1] / n, np.diag(plain)[:-1] / n
-    spread = square - mean**2
-    # A constant column has no coefficient; the intercept is not penalised.
-    live = np.flatnonzero(np.append(spread[:-1] > 1e-12 * np.maximum(1.0, square[:-1]), True))
-    penalty = np.diag(np.append(spread[:-1], 0.0)[live] * 0.01)
-
-    def solved(moments, tilt):
-        fit = np.zeros(len(mean))
-        left, right = moments[:-1, :-1][np.ix_(live, live)] / (2 * n), moments[:-1, -1][live] / (2 * n)
-        fit[live] = np.linalg.solve(left + penalty, right + tilt * mean[live])
-        return fit
-
-    fits, open_ = [solved(plain, 0.0)] * len(quantiles), list(range(len(quantiles)))
-    for _ in range(most):
-        unsettled = []
-        for i, moments in zip(open_, passed([fits[i] for i in open_])):
-            last, fits[i] = fits[i], solved(moments, quantiles[i] - 0.5)
-            if np.abs(fits[i] - last).max() > tolerance * max(1e-9, np.abs(fits[i]).max()):
-                unsettled.append(i)
-        open_ = unsettled
-        if not open_:
-            return [LinearFit(fit[:-1], float(fit[-1])) for fit in fits]
-    raise ValueError(f"quantile fits {[quantiles[i] for i in open_]} have not settled after {most} steps")
-
-
-def _quantile_model(train: DataFrame, target: str, q: float, **limits) -> LinearFit:
-    return _quantile_models(train, target, [q], **limits)[0]
-
-
-def walk_forward(
-    rows: DataFrame, numeric, categorical, target: str, fold: str, test_folds, keep
-) -> DataFrame:
-    """Out-of-sample scores of the model families; every fit sees earlier folds only.
-
-    A fold without rows has nothing to score; one without earlier rows cannot be scored.
-    """
-    out = None
-    for test in test_folds:
-        train, held = rows.where(F.col(fold) < test), rows.where(F.col(fold) == test)
-        if train.isEmpty() or held.isEmpty():
-            continue
-        fill = _modes(train, categorical)
-        train, held = train.fillna(fill), held.fillna(fill)
-        live = [c for c, n in train.agg(*[F.count(c).alias(c) for c in numeric]).first().asDict().items() if n]
-        prepared = Pipeline(stages=_preparation(live, categorical)).fit(train)
-        fit_rows, test_rows = prepared.transform(train).cache(), prepared.transform(held)
-        scored = []
-        huber = LinearRegression(featuresCol="features", labelCol=target, loss="huber", epsilon=1.35, regParam=0.01, predictionCol="score")
-        scored.append(huber.fit(fit_rows).transform(test_rows).select(*keep, fold, "score").withColumn("family", F.lit("huber")))
-        models = _quantile_models(fit_rows, target, (0.25, 0.50, 0.75))
-        scores = {f"_q{q}": model.score("features") for q, model in zip((25, 50, 75), models)}
-        quantile = test_rows.select(*keep, fold, "features").withColumns(scores)
-        middle = F.array_sort(F.array("_q25", "_q50", "_q75"))[1]
-        scored.append(quantile.select(*keep, fold, middle.alias("score")).withColumn("family", F.lit("quantile")))
-        knots = _knots(fit_rows, [f"_i_{c}" for c in live], 5)
-        basis_train, names = _spline_columns(fit_rows, knots)
-        basis_test, _ = _spline_columns(test_rows, knots)
-        hot = [f"_h_{c}" for c in categorical]
-        spline = Pipeline(
-            stages=[
-                VectorAssembler(inputCols=names, outputCol="_raw_basis"),
-                StandardScaler(inputCol="_raw_basis", outputCol="_scaled_basis", withMean=True, withStd=True),
-                VectorAssembler(inputCols=["_scaled_basis", *hot], outputCol="_basis"),
-                LinearRegression(featuresCol="_basis", labelCol=target, regParam=0.1, elasticNetParam=0.0, predictionCol="score"),
-            ]
-        ).fit(basis_train)
-        scored.append(spline.transform(basis_test).select(*keep, fold, "score").withColumn("family", F.lit("additive_splines")))
-        fit_rows.unpersist()
-        for part in scored:
-            out = part if out is None else out.unionByName(part)
-    return out

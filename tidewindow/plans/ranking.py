@@ -5,7 +5,7 @@ from datetime import date, timedelta
 from pyspark.sql import functions as F
 
 from tidewindow.functions.scalars import policy_key
-from tidewindow.operators import costs as CO, ranking as RK, resampling as BS, stats as SS
+from tidewindow.operators import costs as CO, models as MO, ranking as RK, resampling as BS, stats as SS
 from tidewindow.plans import grid as GR, structure as SR, study as ST
 from tidewindow.plans.study import tidy
 from tidewindow.sources.staging import stage
@@ -58,6 +58,13 @@ def predictor_quintiles(spark, sf):
     return tidy(buckets)
 
 
+def predictor_deciles(spark, sf):
+    """Outcome by rank decile of every predictor with at least ten values."""
+    base, buckets = RK.describe_predictors(stage(_quality(spark, sf)), NUMERIC, "event_id", "target", "pips", 10)
+    enough = base.where(F.col("count") >= 10).select("predictor")
+    return tidy(buckets.join(enough, "predictor", "left_semi"))
+
+
 def category_outcomes(spark, sf):
     rows = _quality(spark, sf)
     items = F.array(*[F.struct(F.lit(c).alias("category"), F.coalesce(F.col(c), F.lit("none")).alias("value")) for c in CATEGORICAL])
@@ -106,14 +113,9 @@ def fold_bootstrap(spark, sf):
 
 def walk_forward_models(spark, sf):
     """Huber, quantile and spline families fitted on earlier folds only, then evaluated."""
-    rows = stage(_quality(spark, sf))
-    keep = ["event_id", "instrument", "direction", "target", "pips", "mfe_pips", "mae_pips"]
+    rows = stage(_periods(_quality(spark, sf)))
     last = rows.agg(F.max("fold")).first()[0] or 0
-    folds = range(FIRST_TEST_FOLD, last + 1)
-    scored = RK.walk_forward(rows, NUMERIC, CATEGORICAL, "target", "fold", folds, keep)
-    if scored is None:
-        empty = rows.select(*keep, "fold").limit(0)
-        scored = empty.withColumns({"score": F.lit(None).cast("double"), "family": F.lit(None).cast("string")})
+    scored = MO.walk_forward(rows, NUMERIC, CATEGORICAL, "target", "fold", range(FIRST_TEST_FOLD, last + 1), KEEP)
     return tidy(RK.evaluate(stage(scored), ["family"], "score", "event_id", "target", "pips"))
 
 
@@ -235,7 +237,8 @@ def policy_summary(spark, sf):
 QUERIES = {
     f.__name__: f
     for f in (
-        quality_rows, predictor_quantiles, predictor_quintiles, category_outcomes, ranking_evaluation, ranking_decision,
+        quality_rows, predictor_quantiles, predictor_quintiles, predictor_deciles,
+        category_outcomes, ranking_evaluation, ranking_decision,
         fold_bootstrap, walk_forward_models, trade_admission, priced_trades, bootstrap_picks, rebased_trades, bootstrap_distribution,
         policy_summary,
     )
