@@ -8,8 +8,9 @@ from collections import Counter, defaultdict
 import numpy as np
 import pytest
 import xxhash
+from pyspark.sql import functions as F
 
-from tidewindow.llm import components, simhash, suffix_dedup, topk, warc
+from tidewindow.llm import components, mixing, simhash, suffix_dedup, topk, warc
 from tidewindow.llm.queries import ORACLES, QUERIES
 
 import checks
@@ -81,15 +82,49 @@ def test_simhash_against_all_pairs(documents, mixed_rows, block):
 
 
 def test_one_document_of_each_component_stays(documents, mixed_rows):
-    docs = documents(near_rows(mixed_rows))
+    """Also where ids are null or stand on several texts, and where rows are repeated whole."""
+    base = [f"k{i}" for i in range(300)]
+    near = [" ".join([*base[:i], "other", *base[i + 1 :]]) for i in (5, 90, 200)]
+    far = [" ".join([*(f"z{j}" for j in range(300))][:i] + ["changed"]) for i in (290, 299)]
+    rows = near_rows(mixed_rows) + [(None, t, "en", "n") for t in near] + [(7000, t, "en", "n") for t in far] + [(7000, far[1], "en", "n")]
+    docs = documents(rows)
     kept = simhash.one_per_component(docs)
     assert kept.columns == docs.columns
-    named = {(r.doc_id, r.component_id) for r in simhash.near_components(docs).collect()}
-    assert {r.doc_id for r in kept.collect()} == {d for d, c in named if d is None or d == c}
+    prints = sorted({bits_of(t) for _, t, *_ in rows})
+    root = roots(prints, [(a, b) for i, a in enumerate(prints) for b in prints[i + 1 :] if (a ^ b).bit_count() <= 4])
+    ids, stay = defaultdict(list), Counter()
+    for doc, text, *_ in rows:
+        ids[root[bits_of(text)]].append(doc)
+    for r in kept.collect():
+        of = root[bits_of(r.text)]
+        stay[of] += 1
+        assert r.doc_id == min((d for d in ids[of] if d is not None), default=None)
+    assert stay == Counter(dict.fromkeys(root.values(), 1)) and any(set(v) == {None} for v in ids.values())
     empty = documents([])
     assert simhash.one_per_component(empty).count() == simhash.near_components(empty).count() == 0
 
 
+INSIDE = "_source _rate _copy _of _digest _keep _same _drop _mark _letters _lang _score _text _best _id other0".split()
+
+
+def test_stages_leave_columns_of_any_name_alone(spark, documents, mixed_rows):
+    import corpus_pipeline
+
+    docs = documents([r[:4] for r in mixed_rows] + [(20 + i, f"These are the words of text number {i}, plainly.", "en", "a") for i in range(9)])
+    docs = docs.select("doc_id", "text", "lang", "source", *[F.concat(F.lit(f"{c}:"), F.coalesce("text", F.lit("-"))).alias(c) for c in INSIDE])
+    for name, function in corpus_pipeline.STAGES[:-1]:
+        out = function(spark, docs, SF)
+        rows = out.collect()
+        assert out.columns == docs.columns and rows, name
+        assert all(r[c] == f"{c}:{'-' if r.text is None else r.text}" for r in rows for c in INSIDE), name
+
+
+def test_both_mixes_draw_alike_without_ids(documents):
+    docs = documents([(None, f"text {i} " + "word " * (9 + i % 4), "en", f"s{i % 5}") for i in range(120)])
+    taken = mixing.mix(docs).select(F.sum(mixing.words_in(F.col("text")))).first()[0]
+    assert taken == mixing.mix_sizes(docs).agg(F.sum("taken")).first()[0] > 0
+
+
 def test_forest_joins_each_group_s_near_rows():
     rng = np.random.default_rng(6)
     base = rng.integers(0, 2**63, 30, np.uint64)

@@ -14,6 +14,7 @@ from array import array
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
+from tidewindow.llm.columns import columns_kept
 from tidewindow.sources.staging import stage
 
 SLOTS = 4
@@ -199,6 +200,7 @@ def dedup_decisions(docs: DataFrame) -> DataFrame:
     )
 
 
+@columns_kept
 def drop_copies(docs: DataFrame) -> DataFrame:
     """The documents that stay, with their columns.
 

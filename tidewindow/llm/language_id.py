@@ -19,6 +19,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
+from tidewindow.llm.columns import columns_kept
 from tidewindow.llm.tokens import slices
 
 ORDER = 3
@@ -252,6 +253,7 @@ def identify(docs: DataFrame, per_language: int = PER_LANGUAGE) -> DataFrame:
     return rows.select("doc_id", held_out(3, 1).alias("held_out"), F.col("_lang").alias("lang_pred"), F.col("_score").alias("score"))
 
 
+@columns_kept
 def keep_identified(docs: DataFrame, per_language: int = PER_LANGUAGE) -> DataFrame:
     """The documents in some language: those that are predicted ``und`` go.  Same columns as ``docs``.
 

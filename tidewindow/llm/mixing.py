@@ -2,12 +2,13 @@
 
 Defined cases: null text has size 0 and is never worth a word, but is repeated like any other row;
 null sources are one source, ordered last; a source without words has target 0 and no copies;
-identical rows draw alike, and a null doc_id draws by its text; an empty table gives no rows.
+identical rows draw alike, and a null doc_id draws by the hash of its text; an empty table gives no rows.
 Other columns of the documents pass through untouched, whatever their names.
 """
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from tidewindow.llm.columns import columns_kept
 from tidewindow.sources.staging import stage
 
 WORD = r"[^\x20\x09-\x0D]+"
@@ -48,9 +49,9 @@ def source_targets(sizes: DataFrame, weights=WEIGHTS, most: int = MOST) -> DataF
     )
 
 
-def copies_of(rate, doc_id, text, seed: int = SEED) -> Column:
+def copies_of(rate, doc_id, mark, seed: int = SEED) -> Column:
     """floor(rate) plus one with the probability of its fraction; the same row always draws the same."""
-    bits = F.xxhash64(F.lit(seed), doc_id, F.when(doc_id.isNull(), text))
+    bits = F.xxhash64(F.lit(seed), doc_id, F.when(doc_id.isNull(), mark))
     draw = bits.bitwiseAND(F.lit((1 << 53) - 1)) / F.lit(float(1 << 53))
     return (F.floor(rate) + (draw < rate - F.floor(rate)).cast("long")).cast("int")
 
@@ -61,11 +62,12 @@ def with_rates(rows: DataFrame, source: str, targets: DataFrame) -> DataFrame:
     return rows.join(targets, rows[source].eqNullSafe(targets["_source"]), "left").drop("_source")
 
 
+@columns_kept
 def mix(docs: DataFrame, weights=WEIGHTS, most: int = MOST, seed: int = SEED) -> DataFrame:
     """The documents, each as often as the mix takes it; same columns as ``docs``."""
     sizes = docs.select(F.col("source").alias("_source"), words_in(F.col("text")).alias("_size"))
     targets = stage(source_targets(sizes, weights, most).select("_source", F.col("rate").alias("_rate")))
-    copies = copies_of(F.col("_rate"), F.col("doc_id"), F.col("text"), seed)
+    copies = copies_of(F.col("_rate"), F.col("doc_id"), F.xxhash64("text"), seed)
     return (
         with_rates(docs, "source", targets)
         .withColumn("_copy", F.explode(F.array_repeat(F.lit(0), copies)))

@@ -19,6 +19,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, functions as F
 
+from tidewindow.llm.columns import columns_kept
 from tidewindow.llm.components import components
 from tidewindow.sources.staging import stage
 
@@ -174,12 +175,36 @@ def hex_digits(fp):
     return F.lower(F.lpad(F.hex(fp), 16, "0"))
 
 
+def _without_ids(docs: DataFrame, rows: DataFrame, block: int) -> DataFrame | None:
+    """The rows that go from components without any id, as (doc_id, mark); there the least text hash stays."""
+    lost = rows.where("component_id IS NULL").select(F.col("mark").alias("_of")).distinct()
+    if lost.isEmpty():
+        return None
+    mark = F.xxhash64("text")
+    alone = docs.where(F.col("doc_id").isNull()).join(lost, mark == F.col("_of"), "left_semi").select(mark.alias("doc_id"), "text")
+    return near_components(alone, block).where("mark != component_id").select(F.lit(None).cast("long").alias("doc_id"), "mark")
+
+
+@columns_kept
 def one_per_component(docs: DataFrame, block: int = BLOCK) -> DataFrame:
-    """The documents whose id is their component's smallest; same columns as ``docs``.
+    """One document of each component, that of its smallest id; same columns as ``docs``.
 
-    What goes is looked up by id and text, so texts are not shuffled while that list is small; rows
-    repeated whole under the smallest id all stay (exact dedup removes equal texts).
+    Of different texts under that id, or where no text has an id, the one of the least text hash
+    stays; rows repeated whole stay once.  What goes is looked up by id and text hash, so texts are
+    not shuffled while that list is small.
     """
-    far = near_components(docs, block).where("doc_id != component_id")
-    drop = stage(far.select(F.col("doc_id").alias("_drop"), F.col("mark").alias("_mark")).distinct())
-    return docs.join(drop, (F.col("doc_id") == F.col("_drop")) & (F.xxhash64("text") == F.col("_mark")), "left_anti")
+    rows = stage(near_components(docs, block).select("doc_id", "mark", "component_id"))
+    best = rows.where("doc_id = component_id").groupBy(F.col("component_id").alias("_of")).agg(F.min("mark").alias("_best"))
+    named = rows.join(best, F.col("component_id") == F.col("_of"))
+    gone = named.where("NOT doc_id <=> component_id OR mark != _best").select("doc_id", "mark")
+    unnamed = _without_ids(docs, rows, block)
+    gone = gone if unnamed is None else gone.unionByName(unnamed)
+    drop = stage(gone.select(F.col("doc_id").alias("_drop"), F.col("mark").alias("_mark")).distinct())
+    kept = docs.join(drop, F.expr("doc_id <=> _drop AND xxhash64(text) = _mark"), "left_anti")
+    twice = rows.groupBy("doc_id", "mark").count().where("count > 1").select(F.col("doc_id").alias("_id"), F.col("mark").alias("_mark"))
+    twice = stage(twice.join(drop, F.expr("_id <=> _drop") & (twice["_mark"] == drop["_mark"]), "left_anti"))
+    if twice.isEmpty():
+        return kept
+    same = F.expr("doc_id <=> _id AND xxhash64(text) = _mark")
+    again = kept.join(twice, same, "left_semi").withColumn("_text", F.xxhash64("text")).dropDuplicates(["doc_id", "_text"]).drop("_text")
+    return kept.join(twice, same, "left_anti").unionByName(again)
