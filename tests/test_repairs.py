@@ -8,7 +8,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from tidewindow.operators import chunks as CH, costs as CO, families as FA, quality as Q, ranking as RK, resampling as BS, summaries as SU
+from tidewindow.operators import chunks as CH, costs as CO, families as FA, joins as JO, quality as Q, ranking as RK, resampling as BS, summaries as SU
 from tidewindow.plans import grid as GR, ranking as PR
 from tidewindow.schema import BAR
 from tidewindow.sources import dayfiles as DF, files as FI
@@ -180,3 +180,19 @@ def test_each_condition_of_a_promotion(spark):
     schema = ", ".join(f"{k} {'double' if isinstance(v, float) else 'long'}" for k, v in REPORT.items()) + ", family string"
     df = spark.createDataFrame([tuple(r[c.split()[0]] for c in schema.split(", ")) for r in rows], schema)
     assert [r.family for r in df.where(RK.passes()).collect()] == ["all"]
+
+
+def test_guarded_join_of_none_one_and_two_partners(spark):
+    facts = spark.createDataFrame([("a", 1, 5.0), ("a", 1, 6.0), ("b", None, 7.0)], "id string, k int, x double")
+    partner = lambda *rows: spark.createDataFrame(rows, "id string, k int, at long")
+    whole = partner(("a", 1, 10), ("b", None, 20), ("c", 3, 30))
+    rows = JO.guarded_join(facts, whole, ["id", "k"])
+    assert rows.columns == ["id", "k", "x", "at"]
+    assert sorted(tuple(r) for r in rows.collect()) == [("a", 1, 5.0, 10), ("a", 1, 6.0, 10), ("b", None, 7.0, 20)]
+    for held, unique, message in (
+        (partner(("a", 1, 10)), False, "no partner"),
+        (whole.union(partner(("a", 1, 11))), False, "more than one partner"),
+        (whole, True, "a fact twice"),
+    ):
+        with pytest.raises(Exception, match=message):
+            JO.guarded_join(facts, held, ["id", "k"], unique).count()

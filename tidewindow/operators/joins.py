@@ -82,3 +82,31 @@ def lookup_cost(rows: DataFrame, costs: DataFrame, session: Column, allowed: Col
         .select("l.*", *[F.col(f"r.{c}") for c in extra])
         .drop("_session", "_allowed")
     )
+
+
+def guarded_join(facts: DataFrame, partners: DataFrame, keys, facts_unique: bool = False) -> DataFrame:
+    """``facts`` with the columns of their one partner; a fact without a partner, or a key with
+    two, is an error that names the key.
+
+    One shuffle: both sides travel as one tagged table, a window counts partners and facts per key,
+    and the row that breaks the rule raises where it lies.  Facts of a key may be many; partners
+    are one row a key.
+    """
+    keys = list(keys)
+    extra = [c for c in partners.columns if c not in keys]
+    fact = facts.select(*keys, F.struct(*facts.columns).alias("_fact"))
+    partner = partners.select(*keys, F.struct(*extra).alias("_partner"))
+    both = fact.unionByName(partner, allowMissingColumns=True)
+    group = Window.partitionBy(*keys)
+    text = F.to_json(F.struct(*keys))
+    stop = lambda what: F.raise_error(F.concat(F.lit(f"{what}: "), text))
+    found = F.count("_partner").over(group)
+    bad = F.when(found > 1, stop("more than one partner")).when(
+        F.col("_fact").isNotNull() & (found == 0), stop("no partner")
+    )
+    if facts_unique:
+        bad = bad.when(F.count("_fact").over(group) > 1, stop("a fact twice"))
+    rows = both.withColumn("_only", F.max("_partner").over(group)).withColumn("_bad", bad.cast("string"))
+    # The check is part of the filter, so that no plan leaves it out.
+    rows = rows.where(F.col("_fact").isNotNull() & F.col("_bad").isNull())
+    return rows.select("_fact.*", *[F.col(f"_only.{c}").alias(c) for c in extra])
