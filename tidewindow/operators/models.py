@@ -29,8 +29,8 @@ KNOTS, DEGREE = 5, 3
 
 GAP = 1e-5
 GAIN = 2e-6
-TOLERANCE = 1e-6
-STEPS = 400
+TOLERANCE = 1e-5
+STEPS = 1000
 SWEEPS = 60
 FEW = 32
 LEVELS = 1000  # values of a category; more of them cannot be dense columns
