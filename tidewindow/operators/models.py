@@ -28,8 +28,8 @@ QUANTILES = {"q25": 0.25, "q50": 0.50, "q75": 0.75}
 KNOTS, DEGREE = 5, 3
 
 GAP = 1e-5
-GAIN = 2e-6
-TOLERANCE = 1e-5
+GAIN = 1e-5
+TOLERANCE = 1e-4
 STEPS = 1000
 SWEEPS = 60
 FEW = 32
