@@ -970,6 +970,10 @@ SELECT variant, instrument, n, {r('mean')} AS mean, {r('win_rate')} AS win_rate,
 FROM (SELECT variant, coalesce(instrument, 'ALL') AS instrument, count(*) AS n, avg(pips_adverse) AS mean, avg(CASE WHEN pips_adverse > 0 THEN 1::DOUBLE ELSE 0::DOUBLE END) AS win_rate,
  sum(CASE WHEN pips_adverse > 0 THEN pips_adverse ELSE 0 END) AS gains, -sum(CASE WHEN pips_adverse < 0 THEN pips_adverse ELSE 0 END) AS losses, avg(mfe_pips) AS mean_mfe, avg(mae_pips) AS mean_mae,
  median(pips_adverse) AS med FROM replay GROUP BY GROUPING SETS ((variant, instrument), (variant)))""")
+query("gated_outcomes", f"""
+SELECT o.instrument, 'ornstein-uhlenbeck' AS filter_family, 'ou-v1' AS filter_spec_id, o.entry_mode, o.tp, o.sl, o.stop, count(*) AS candidates,
+ count(*) FILTER (o.complete) AS complete_trades, count(*) FILTER (o.status = 'passed') AS passed, {r('avg(o.pips_adverse)')} AS mean_pips
+FROM outs o JOIN gated g USING (candidate_event_id) WHERE g.eligible GROUP BY ALL""")
 cte("shk", """
 SELECT *, last_value(kind IGNORE NULLS) OVER (PARTITION BY instrument, tf_s, lookback ORDER BY at ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS prev
 FROM (SELECT *, CASE WHEN abs(z) >= 1.5 THEN 'H' WHEN abs(z) < 0.5 THEN 'L' END AS kind FROM bandf WHERE z IS NOT NULL)""")

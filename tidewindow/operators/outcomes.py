@@ -158,6 +158,53 @@ def _clock(stop: int) -> Column:
     return F.struct(bar["close"].alias("close"), F.get("_run", seen).alias("upto"))
 
 
+def outcome_counts(entries: DataFrame, stops, tps=TP_FRACTIONS, sls=SL_FRACTIONS) -> DataFrame:
+    """Per entry, how many of its grid cells are no_entry, passed, executed, incomplete, ambiguous.
+
+    A cell's flags need only first touches and whether the deadline's bar exists, so no excursion
+    is walked and no cell becomes a row: the grid is folded inside the row.
+    """
+    c = F.col
+    wait, longest = c("wait"), max(stops)
+    own = lambda hit: first_step("path", lambda x: (x["m"] > wait) & (x["m"] <= wait + longest) & hit(x)) - wait
+    tag = lambda v: f"{round(v * 100)}"
+    reached = lambda v: lambda x: _fav(x) >= v
+    lost = lambda v: lambda x: _adv(x) <= -v
+    steps = {f"_tp{tag(v)}": own(reached(v)) for v in tps}
+    steps |= {f"_sl{tag(v)}": own(lost(v)) for v in sls if v is not None}
+    steps |= {f"_at{v}": F.array_contains(F.transform("path", lambda x: x["m"]), wait + v) for v in stops}
+    keep = [x for x in entries.columns if x != "path"]
+    rows = entries.withColumns(steps).select(*keep, *steps)
+    none = F.lit(None).cast("int")
+    cells = F.array(
+        *[
+            F.struct(
+                F.lit(float(tp)).alias("tp"),
+                F.when(c(f"_tp{tag(tp)}") <= stop, c(f"_tp{tag(tp)}")).alias("up"),
+                (none if sl is None else F.when(c(f"_sl{tag(sl)}") <= stop, c(f"_sl{tag(sl)}"))).alias("down"),
+                c(f"_at{stop}").alias("closed"),
+            )
+            for tp in tps
+            for sl in sls
+            for stop in stops
+        ]
+    )
+    n = len(tps) * len(sls) * len(stops)
+    count = lambda hit: F.size(F.filter("_cells", hit))
+    passed = lambda x: c("r_at_entry") >= x["tp"]
+    live = lambda x: F.coalesce(~passed(x), F.lit(True))
+    done = lambda x: x["up"].isNotNull() | x["down"].isNotNull() | x["closed"]
+    when = lambda hit: F.when(c("executed"), count(hit)).otherwise(0)
+    counts = {
+        "no_entry": F.when(c("executed"), 0).otherwise(n),
+        "passed": when(passed),
+        "executed_cells": when(live),
+        "incomplete": when(lambda x: live(x) & ~done(x)),
+        "ambiguous": when(lambda x: live(x) & (x["up"] == x["down"])),
+    }
+    return rows.withColumn("_cells", cells).select(*keep, *[v.alias(k) for k, v in counts.items()])
+
+
 def barrier_outcomes(entries: DataFrame, stops, tps=TP_FRACTIONS, sls=SL_FRACTIONS) -> DataFrame:
     """Outcome of every grid cell for every entry.
 

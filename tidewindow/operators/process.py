@@ -109,7 +109,7 @@ def align(candidates: DataFrame, states: DataFrame, keys=PROCESS, how: str = "le
     return candidates.alias("l").join(states.alias("r"), cond, how).select("l.*", *[F.col(f"r.{c}") for c in extra])
 
 
-def gate(aligned: DataFrame, scope: Column, min_score: float, half_life_cap: float | None) -> DataFrame:
+def gate(aligned: DataFrame, scope: Column, min_score: float, half_life_cap: float | None, spec_id: str = "ou-v1") -> DataFrame:
     """Adds eligible and the first reason against, in the fixed order of the checks."""
     c = F.col
     directional = c("score") * -c("direction")
@@ -129,20 +129,10 @@ def gate(aligned: DataFrame, scope: Column, min_score: float, half_life_cap: flo
         {
             "eligible": c("eligibility_reason") == "eligible",
             "filter_family": F.lit("ornstein-uhlenbeck"),
+            "filter_spec_id": F.lit(spec_id),
             "filter_metadata": F.create_map(
                 F.lit("ou_status"), F.coalesce("status", F.lit("missing")),
                 F.lit("eligibility_reason"), c("eligibility_reason"),
             ),
         }
     )
-
-
-def accept_all(events: DataFrame) -> DataFrame:
-    """The default gate: every event is eligible."""
-    return events.withColumns(
-        {
-            "eligible": F.lit(True),
-            "filter_family": F.lit("none"),
-            "filter_metadata": F.create_map().cast("map<string,string>"),
-        }
-    )

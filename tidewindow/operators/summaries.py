@@ -242,19 +242,16 @@ def entry_waits(entries: DataFrame, keys, by) -> DataFrame:
     return ST.attach(base, quants, group)
 
 
-def run_totals(entries: DataFrame, outcomes: DataFrame, keys=()) -> DataFrame:
-    """Totals of a run: candidates are counted on the entries, before these become grid cells."""
-    c = F.col
-    live = c("status") == "executed"
-    cells = outcomes.groupBy(*keys).agg(
-        F.count_if(c("status") == "no_entry").alias("no_entry"),
-        F.count_if(c("status") == "passed").alias("passed"),
-        F.count_if(live).alias("executed"),
-        F.count_if(live & ~c("complete")).alias("incomplete"),
-        F.count_if(c("ambiguous")).alias("ambiguous"),
+def run_totals(counts: DataFrame, keys=()) -> DataFrame:
+    """Totals of a run from the cell counts of its entries (``outcome_counts``), in one pass."""
+    return counts.groupBy(*keys).agg(
+        F.count_distinct("candidate_event_id").alias("candidates"),
+        F.sum("no_entry").alias("no_entry"),
+        F.sum("passed").alias("passed"),
+        F.sum("executed_cells").alias("executed"),
+        F.sum("incomplete").alias("incomplete"),
+        F.sum("ambiguous").alias("ambiguous"),
     )
-    candidates = entries.groupBy(*keys).agg(F.count_distinct("candidate_event_id").alias("candidates"))
-    return ST.attach(cells, candidates, keys)
 
 
 def cost_cells(priced: DataFrame, keys) -> DataFrame:

@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from tidewindow.operators import costs as CO, quality as Q, summaries as SU
+from tidewindow.operators import costs as CO, outcomes as OC, quality as Q, summaries as SU
 from tidewindow.plans import study as ST
 from tidewindow.plans.study import tidy
 from tidewindow.sources import driver as D
@@ -69,8 +69,7 @@ def outcome_distributions(spark, sf):
 
 
 def run_totals(spark, sf):
-    entries = stage(ST.entries(spark, sf))
-    return tidy(SU.run_totals(entries, ST.grid(entries), ["instrument"]))
+    return tidy(SU.run_totals(OC.outcome_counts(ST.entries(spark, sf), ST.STOPS), ["instrument"]))
 
 
 def trade_validation(spark, sf):

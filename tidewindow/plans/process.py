@@ -90,6 +90,21 @@ def replay_comparison(spark, sf):
     return tidy(SS.attach(merged, base, ["instrument"]).withColumn("retention", F.try_divide("n", "_base")).drop("_base"))
 
 
+def gated_outcomes(spark, sf):
+    """Every grid cell of the candidates that the process gate admits; the others never meet a bar."""
+    sides = _sides(spark, sf)
+    events = PR.align(ST.candidates(spark, sf, sides), _fits(sides))
+    gate = lambda rows: PR.gate(rows, _scope(), MIN_SCORE, HALF_LIFE_CAP)
+    rows = ST.outcomes(spark, sf, gate, events)
+    keys = ["instrument", "filter_family", "filter_spec_id", "entry_mode", "tp", "sl", "stop"]
+    return tidy(
+        rows.groupBy(*keys).agg(
+            F.count("*").alias("candidates"), F.count_if("complete").alias("complete_trades"),
+            F.count_if(F.col("status") == "passed").alias("passed"), F.avg("pips_adverse").alias("mean_pips"),
+        )
+    )
+
+
 def residual_shocks(spark, sf):
     """Rolling principal-component residuals of each universe's panel, with shock episodes."""
     panel = PN.synchronized_panel(D.bars(spark, sf), D.universe(), D.member(), D.MEMBERS)
@@ -108,6 +123,7 @@ def band_shocks(spark, sf):
 QUERIES = {
     f.__name__: f
     for f in (
-        residual_rows, process_states, candidate_alignment, gate_decisions, replay_comparison, residual_shocks, band_shocks,
+        residual_rows, process_states, candidate_alignment, gate_decisions, replay_comparison, gated_outcomes,
+        residual_shocks, band_shocks,
     )
 }

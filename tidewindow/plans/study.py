@@ -8,7 +8,7 @@ bars in a row hardly ever occur, and the score of four values cannot pass 1.5.
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from tidewindow.operators import events as EV, features as FE, observations as OB
+from tidewindow.operators import eligibility as EL, events as EV, features as FE, observations as OB
 from tidewindow.operators import outcomes as OC, paths as PA, resample as RS
 from tidewindow.sources import driver as D
 from tidewindow.sources.staging import stage
@@ -112,24 +112,22 @@ def diagnosed(spark: SparkSession, sf: str) -> DataFrame:
     return PA.path_diagnostics(paths, STEPS, SNAPSHOTS, PAST)
 
 
-def candidate_paths(spark: SparkSession, sf: str) -> DataFrame:
-    """Candidates with the bars they may ever need: waiting time plus the longest stop."""
-    return PA.attach_paths(candidates(spark, sf), D.bars(spark, sf), "at", STEP, EXTENSION + max(STOPS))
+def candidate_paths(spark: SparkSession, sf: str, gate: EL.Gate = EL.accept_all, events: DataFrame | None = None) -> DataFrame:
+    """Admitted candidates with the bars they may ever need: waiting time plus the longest stop."""
+    events = EL.admitted(candidates(spark, sf) if events is None else events, gate)
+    return PA.attach_paths(events, D.bars(spark, sf), "at", STEP, EXTENSION + max(STOPS))
 
 
-def entries(spark: SparkSession, sf: str) -> DataFrame:
-    return OC.with_entries(candidate_paths(spark, sf), RECLAIM, EXTENSION)
+def entries(spark: SparkSession, sf: str, gate: EL.Gate = EL.accept_all, events: DataFrame | None = None) -> DataFrame:
+    return OC.with_entries(candidate_paths(spark, sf, gate, events), RECLAIM, EXTENSION)
 
 
-def outcomes(spark: SparkSession, sf: str) -> DataFrame:
-    return grid(entries(spark, sf))
+def outcomes(spark: SparkSession, sf: str, gate: EL.Gate = EL.accept_all, events: DataFrame | None = None) -> DataFrame:
+    return grid(entries(spark, sf, gate, events))
 
 
 def grid(entered: DataFrame) -> DataFrame:
-    rows = OC.barrier_outcomes(entered, STOPS)
-    return rows.withColumns(
-        {"signal_threshold": F.lit(THRESHOLD), "filter_family": F.lit("none"), "filter_spec_id": F.lit("none-v1")}
-    )
+    return OC.barrier_outcomes(entered, STOPS).withColumn("signal_threshold", F.lit(THRESHOLD))
 
 
 def staged_outcomes(spark: SparkSession, sf: str) -> DataFrame:
