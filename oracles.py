@@ -914,6 +914,41 @@ SELECT {", ".join(SETK)}, opportunities, intersection, {r('intersection / opport
 FROM (SELECT {", ".join("e." + k for k in SETK)}, count(*) AS opportunities, count(f.at) AS intersection FROM ex e LEFT JOIN rf f
  ON f.instrument = e.instrument AND f.signal_timeframe = e.signal_timeframe AND f.at = e.at AND f.direction = e.direction GROUP BY {", ".join("e." + k for k in SETK)})""")
 
+# ================================================================ corpus
+LANES = ", ".join(f"sum(('0x' || substr(h, {1 + 15 * i}, 15))::BIGINT) AS l{i}" for i in range(4))
+WHOLE = "sha256(concat_ws('|', children::VARCHAR, coalesce(l0, 0)::VARCHAR, coalesce(l1, 0)::VARCHAR, coalesce(l2, 0)::VARCHAR, coalesce(l3, 0)::VARCHAR))"
+TICKTEXT = " || ".join(f"length(x.{c}) || ':' || x.{c}" for c in ("a", "b", "c"))
+BELOW = "string_agg(period || '=' || sha256, '|' ORDER BY period)"
+
+
+def nodes(tag, where):
+    cte(f"cday{tag}", f"""
+SELECT series, period, children, {WHOLE} AS sha256 FROM (SELECT series, period, count(*) AS children, {LANES} FROM (
+ SELECT instrument AS series, strftime(ts, '%Y-%m-%d') AS period, sha256({TICKTEXT}) AS h
+ FROM (SELECT *, event_id::VARCHAR AS a, epoch_us(ts)::VARCHAR AS b, ticks::VARCHAR AS c FROM ticks WHERE {where}) x) GROUP BY 1, 2)""")
+    cte(f"cmon{tag}", f"SELECT series, substr(period, 1, 7) AS period, count(*) AS children, sha256({BELOW}) AS sha256 FROM cday{tag} GROUP BY 1, 2")
+    cte(f"cyear{tag}", f"SELECT series, substr(period, 1, 4) AS period, count(*) AS children, sha256({BELOW}) AS sha256 FROM cmon{tag} GROUP BY 1, 2")
+    cte(f"cser{tag}", f"SELECT series, NULL::VARCHAR AS period, count(*) AS children, sha256({BELOW}) AS sha256 FROM cyear{tag} GROUP BY 1")
+    cte(f"croot{tag}", f"SELECT NULL::VARCHAR AS series, NULL::VARCHAR AS period, children, {WHOLE} AS sha256 FROM (SELECT count(*) AS children, {LANES} FROM (SELECT sha256(series || '=' || sha256) AS h FROM cser{tag}))")
+
+
+nodes("now", "true")
+nodes("old", "ts < TIMESTAMP '2024-01-15 12:00:00'")
+query("corpus_identity", " UNION ALL ".join(
+    f"SELECT '{level}' AS level, series, period, children, sha256 FROM c{t}now"
+    for level, t in (("day", "day"), ("month", "mon"), ("year", "year"), ("series", "ser"), ("corpus", "root"))))
+cte("cdiff", """
+SELECT coalesce(n.series, o.series) AS series, CASE WHEN o.sha256 IS NULL THEN 'added' WHEN n.sha256 IS NULL THEN 'missing' WHEN n.sha256 <> o.sha256 THEN 'changed' END AS verdict
+FROM cdaynow n FULL JOIN cdayold o ON o.series = n.series AND o.period = n.period""")
+_cd = ", ".join(f"count(*) FILTER (verdict = '{v}') AS {v}_days" for v in ("added", "missing", "changed"))
+query("corpus_recheck", f"""
+SELECT 'series' AS level, s.series, d.added_days, d.missing_days, d.changed_days, s.sha256, true AS verified FROM csernow s JOIN (SELECT series, {_cd} FROM cdiff GROUP BY 1) d USING (series)
+UNION ALL SELECT 'corpus', NULL, d.added_days, d.missing_days, d.changed_days, r.sha256, true FROM crootnow r, (SELECT {_cd} FROM cdiff) d""")
+query("declared_parts", """
+SELECT part AS declared, count(*) AS rows, count(*) FILTER (instrument <> part) AS mixed_rows, max(CASE WHEN instrument <> part THEN instrument END) AS example,
+ CASE WHEN count(*) FILTER (instrument <> part) > 0 THEN 'mixed' ELSE 'clean' END AS verdict
+FROM (SELECT *, CASE WHEN raw_spread < 0 THEN split_part(instrument, '.', 1) || '.0' ELSE instrument END AS part FROM ticks) GROUP BY 1""")
+
 # ================================================================ process
 PRC = "instrument, benchmark_family, signal_timeframe, session, lookback"
 cte("resid", f"SELECT {PRC}, at, any_value(close) AS p0, any_value(e0) AS e0, any_value(close) - any_value(e0) AS dev FROM sides GROUP BY {PRC}, at")

@@ -9,7 +9,7 @@ def registry():
     from importlib import import_module
 
     out = {}
-    for module in ("foundation", "benchmarks", "pathways", "grid", "families", "process", "structure", "ranking"):
+    for module in ("foundation", "benchmarks", "pathways", "grid", "families", "process", "structure", "ranking", "corpus"):
         try:
             out |= import_module(f"tidewindow.plans.{module}").QUERIES
         except ModuleNotFoundError as error:
