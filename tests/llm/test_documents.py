@@ -299,8 +299,87 @@ def test_automaton_matching_statistics():
         for i, word in enumerate(read):
             state, length = automaton.step(state, length, word)
             assert length == max((n for n in range(1, 7) if tuple(read[max(0, i - n + 1) : i + 1]) in runs and n <= i + 1), default=0)
-            for number, end in automaton.ends[state].items():
-                assert length == 0 or texts[number][end - length + 1 : end + 1] == read[i - length + 1 : i + 1]
+            run = read[i - length + 1 : i + 1]
+            ends = {
+                (number, end) for number, t in enumerate(texts) for end in range(length - 1, len(t)) if t[end - length + 1 : end + 1] == run
+            }
+            found = {(number, end) for number, places in automaton.ends[state].items() for end in places}
+            assert length == 0 or found == ends
+
+
+def _best_chain(matches, gap):
+    """Most words of any chain, by trying every one."""
+
+    def extend(last):
+        s, p, n = last
+        after = [m for m in matches if s + n <= m[0] <= s + n + gap and p + n <= m[1] <= p + n + gap]
+        return n + max((extend(m) for m in after), default=0)
+
+    return max((extend(m) for m in matches), default=0)
+
+
+def test_license_chains_against_every_chain():
+    rng = np.random.default_rng(11)
+    words = [f"w{i}" for i in range(6)]
+    spans_seen = 0
+    for _ in range(60):
+        templates = {f"t{k}": " ".join(rng.choice(words, rng.integers(5, 14))) for k in range(3)}
+        scanner = licenses.Scanner({"mit license": "mit"}, templates)
+        text = []
+        for _ in range(4):
+            t = list(templates.values())[rng.integers(3)].split()
+            cut = int(rng.integers(0, len(t)))
+            text += t[:cut] + ["other"] * int(rng.integers(0, 3)) + t[cut:] + ["zzz"] * int(rng.integers(0, 12))
+        plain = [t.split() for t in templates.values()]
+        inside = lambda run: any(run == t[a : a + len(run)] for t in plain for a in range(len(t) - len(run) + 1))  # noqa: E731, B023
+        longest = [max((n for n in range(1, i + 2) if inside(text[i - n + 1 : i + 1])), default=0) for i in range(len(text))]
+        want = {}
+        for i, n in enumerate(longest):
+            if n and (i + 1 == len(text) or longest[i + 1] <= n):
+                run = text[i - n + 1 : i + 1]
+                for k, t in enumerate(plain):
+                    if n >= min(licenses.LEAST, len(t)):
+                        places = [a for a in range(len(t) - n + 1) if t[a : a + n] == run]
+                        want.setdefault(k + 1, set()).update((i - n + 1, a, n) for a in places)
+        _, found = scanner.matches(pa.array([" ".join(text)]))
+        got = {k: set(v) for k, v in found[0][1].items()} if found else {}
+        assert got == {k: v for k, v in want.items() if v}
+        for number, runs in got.items():
+            most, spans = scanner.chains(number, sorted(runs))
+            assert most == _best_chain(runs, licenses.GAP)
+            size = len(plain[number - 1])
+            enough = lambda n: 2 * n >= size or n >= licenses.ENOUGH  # noqa: E731, B023
+            assert all(enough(n) for *_, n in spans) and bool(spans) == enough(most)
+            assert not spans or max(n for *_, n in spans) == most
+            spans.sort()
+            assert all(b < a for (_, b, _), (a, _, _) in zip(spans, spans[1:]))
+            spans_seen += len(spans)
+    assert spans_seen > 100
+
+
+def test_license_spans_lie_where_the_notices_do(documents):
+    t = licenses.TEMPLATES
+    noisy = t["lgpl"].replace("gnu lesser general", "gnu lesser (general)").replace("warranty", "").replace("modify it", "modify it freely")
+    rows = [
+        (1, f"a b. {t['isc']} x y z {t['mpl']}"), (2, noisy), (3, f"{t['mit']} q r {t['mit']}"), (4, t["cc-by-sa"]), (5, "no notice"),
+        (6, None), (7, ("word " * 50 + t["bsd"] + " ") * 300), (None, t["cc-by"]),
+    ]
+    docs = documents([r + (None, None) for r in rows])
+    spans = {}
+    for r in licenses.find_spans(docs).collect():
+        if r.labels_text:
+            spans.setdefault(r.doc_id, []).append((r.template, r.first_word, r.last_word, r.covered_words))
+    n = {k: len(v.split()) for k, v in t.items()}
+    assert sorted(spans[1], key=lambda x: x[1]) == [
+        ("isc", 2, n["isc"] + 1, n["isc"]), ("mpl", n["isc"] + 5, n["isc"] + n["mpl"] + 4, n["mpl"])
+    ]
+    assert [s[0] for s in spans[2]] == ["lgpl"] and spans[2][0][3] == n["lgpl"]
+    assert [s[1:3] for s in spans[3]] == [(0, n["mit"] - 1), (n["mit"] + 2, 2 * n["mit"] + 1)]
+    assert {s[0] for s in spans[4]} == {"cc-by-sa"} and {s[0] for s in spans[None]} == {"cc-by"}
+    assert len(spans[7]) == 300 and not {5, 6} & set(spans)
+    labels = {r.doc_id: r.labels for r in licenses.scan_licenses(docs).collect()}
+    assert labels == {1: "isc,mpl", 2: "lgpl", 3: "mit", 4: "cc-by-sa", 5: "", 6: "", 7: "bsd", None: "cc-by"} | {2: labels[2]}
+    assert set(labels[2].split(",")) == {"gpl", "lgpl"} or labels[2] == "lgpl"
 
 
 def test_vocabulary_finds_words_exactly():
