@@ -248,6 +248,31 @@ def test_top_k_of_a_repeated_query(spark, copies):
     assert Counter(map(tuple, got.collect())) == want
 
 
+@pytest.mark.parametrize("size", (1e2, 1e5, 5e5))
+def test_top_k_of_large_components(spark, size):
+    rng = np.random.default_rng(7)
+    rows = [(i, (rng.normal(size=8) * size).tolist()) for i in range(300)] + [(900, [size] * 8), (901, [size] * 8)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = topk.top_k(df, topk.F.col("vec_id") % 100 == 0, pivots=7, block=32)
+    assert Counter(map(tuple, got.collect())) == loop_top(rows)
+
+
+def test_scores_beyond_a_long_are_refused(spark):
+    ask = lambda rows: topk.top_k(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), topk.F.col("vec_id") == 0)
+    with pytest.raises(Exception, match="does not fit a long"):
+        ask([(0, [1e14, 1.0]), (1, [1e14, 1.0])]).collect()
+    with pytest.raises(Exception, match="component times 1024 does not fit"):
+        ask([(0, [1e17]), (1, [1.0])]).collect()
+    # The query's own score is none, parts of a sum may wrap, and the very edge still fits.
+    rows = [(0, [1e9, 1e9]), (1, [1.0, 1.0]), (2, [1e9, -1e9])]
+    assert Counter(map(tuple, ask(rows).collect())) == loop_top(rows)
+    a, b = np.array([[2**62, 2**31]]), np.array([[-2, 0], [2, 0], [1, 2**31]])
+    topk.refuse_overflow(a, b[:1], np.zeros((1, 1), bool))
+    for row in (b[1:2], b[2:]):
+        with pytest.raises(OverflowError):
+            topk.refuse_overflow(a, row, np.zeros((1, 1), bool))
+
+
 PAGES = "page_id long, url string, html string, kept string, bytes long"
 
 

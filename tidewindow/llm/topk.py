@@ -13,8 +13,9 @@ all vectors share is as many blocks as it needs: ranges split equal distances by
 
 Defined cases: rows whose vector is null, or holds a null or non-finite component, and rows without
 a vec_id take no part; shorter vectors count as padded with zeros; repeated rows are candidates each,
-and a repeated query is answered each time; rows with the query's own id are its own; components
-beyond +-2^62 after scaling stop there; an empty table gives no rows.
+and a repeated query is answered each time; rows with the query's own id are its own; an empty table
+gives no rows.  A long cannot hold every score of huge components: a scaled component or the score of
+a compared pair beyond +-2^63 fails the job with an error that says so.
 """
 
 import numpy as np
@@ -30,8 +31,9 @@ PIVOTS = 64
 BLOCK = 4096
 QUERIES = 512
 FIRST = 2  # annuli of the first round
-SLACK = 1e-3  # rounding of distances; scores are integers
+SLACK, RELATIVE = 1e-3, 1e-6  # rounding of distances, the second of the largest norm; scores are integers
 EXACT = 2.0**53
+LONG = 2.0**63
 CLEAN = "vec_id long, vector binary, norm2 double"
 KEYED = "vec_id long, vector binary, pivot int, dist double"
 BLOCKS = "block long, pivot int, lo double, hi double, least long, ids binary, dists binary, vectors binary"
@@ -46,7 +48,10 @@ def _quantised(dim: int, scale: int):
             for vec_id, row in zip(batch.column("vec_id").to_pylist(), batch.column("embedding")):
                 x = np.zeros(dim)
                 x[: len(row)] = row.values.to_numpy(zero_copy_only=False)
-                v = np.clip(np.floor(scale * x), -(2.0**62), 2.0**62).astype("<i8")
+                scaled = np.floor(scale * x)
+                if np.abs(scaled).max(initial=0) >= LONG:
+                    raise OverflowError(f"vec_id {vec_id}: a component times {scale} does not fit a long")
+                v = scaled.astype("<i8")
                 ids.append(vec_id), vectors.append(v.tobytes()), norms.append(float((v.astype(float) ** 2).sum()))
             yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(vectors, pa.binary()), pa.array(norms, pa.float64())], ["vec_id", "vector", "norm2"])
 
@@ -69,12 +74,29 @@ def matrix(column) -> np.ndarray:
 
 def scores_of(queries: np.ndarray, vectors: np.ndarray) -> np.ndarray:
     """Exact integer inner products."""
-    most = lambda x: float(np.abs(x).max(initial=0))
+    most = lambda x: float(np.abs(x.astype(float)).max(initial=0))
     if most(queries) * most(vectors) * queries.shape[1] < EXACT:
         return (queries.astype(float) @ vectors.astype(float).T).astype(np.int64)
     return queries @ vectors.T
 
 
+def refuse_overflow(queries: np.ndarray, vectors: np.ndarray, own: np.ndarray) -> None:
+    """Fail where a score does not fit a long; ``own`` marks pairs that are not compared.
+
+    Products of longs wrap, so a score that fits is right even if a part of its sum did not.
+    Doubles settle nearly all pairs; those too near the edge for them are summed as Python integers.
+    """
+    most = lambda x: float(np.abs(x.astype(float)).max(initial=0))
+    if most(queries) * most(vectors) * queries.shape[1] < LONG / 2:
+        return
+    q, x = queries.astype(float), vectors.astype(float)
+    near = np.abs(q @ x.T) + (np.abs(q) @ np.abs(x).T) * queries.shape[1] * 1e-15 >= LONG
+    for i, j in np.argwhere(near & ~own).tolist():
+        score = sum(a * b for a, b in zip(queries[i].tolist(), vectors[j].tolist()))
+        if not -(2**63) <= score < 2**63:
+            raise OverflowError(f"the score {score} of a query and a vector does not fit a long")
+
+
 def distances(x: np.ndarray, extra: np.ndarray, pivots: np.ndarray) -> np.ndarray:
     """Distances of rows, with their added component, to the pivots (which have theirs)."""
     out = np.empty((len(x), len(pivots)))
@@ -177,6 +199,7 @@ def _search(pivots, top: float, k: int):
                     ids, x = ids[a:b], x[a:b]
                 if not len(ids):
                     continue
+                refuse_overflow(q[places], x, qids[places][:, None] == ids[None, :])
                 s = scores_of(q[places], x)
                 n = min(k, len(ids))
                 found = []
@@ -199,7 +222,8 @@ def _search(pivots, top: float, k: int):
 def radius(q, floor, top: float):
     """How far a vector of at least this score may be; infinite where no k-th score is known."""
     open_ = floor == np.iinfo(np.int64).min
-    far = np.sqrt(np.maximum(top + (q.astype(float) ** 2).sum(1) - 2 * np.where(open_, 0, floor).astype(float), 0)) + SLACK
+    far = np.sqrt(np.maximum(top + (q.astype(float) ** 2).sum(1) - 2 * np.where(open_, 0, floor).astype(float), 0))
+    far = far + SLACK + RELATIVE * np.sqrt(top)
     return np.where(open_, np.inf, far)
 
 
