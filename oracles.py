@@ -347,8 +347,13 @@ SELECT a.universe, a.member AS left_member, b.member AS right_member, count(*) A
 FROM ub a JOIN ub b ON a.universe = b.universe AND a.t = b.t AND a.member < b.member GROUP BY 1, 2, 3""")
 query("day_audit", f"""
 SELECT instrument, strftime(make_timestamp(t * 1000000), '%Y-%m-%d') AS day, count(*) AS bars, {r('min(low)')} AS min_low,
-       {r('max(high)')} AS max_high, min(volume) AS min_volume, max(volume) AS max_volume, sum(volume) AS total_volume
-FROM bars GROUP BY 1, 2""")
+       {r('max(high)')} AS max_high, min(volume) AS min_volume, max(volume) AS max_volume, sum(volume) AS total_volume,
+       any_value(gaps) AS gaps, """ + ", ".join(f"any_value(w{f}) AS windows_{f}, any_value(i{f}) AS incomplete_{f}" for f in (2, 4, 8)) + """
+FROM bars JOIN (SELECT instrument, t // 86400 AS d, count(*) FILTER (t - before > 3600) AS gaps FROM
+  (SELECT instrument, t, lag(t) OVER (PARTITION BY instrument, t // 86400 ORDER BY t) AS before FROM bars) GROUP BY 1, 2) g USING (instrument)
+""" + "".join(f"""JOIN (SELECT instrument, d, count(*) FILTER (n = {f}) AS w{f}, count(*) FILTER (n < {f}) AS i{f} FROM
+  (SELECT instrument, t // 86400 AS d, t // {f * 3600} AS w, count(*) AS n FROM bars GROUP BY 1, 2, 3) GROUP BY 1, 2) x{f} USING (instrument)
+""" for f in (2, 4, 8)) + "WHERE g.d = t // 86400 AND " + " AND ".join(f"x{f}.d = g.d" for f in (2, 4, 8)) + " GROUP BY 1, 2")
 query("plausibility", f"""
 SELECT instrument, {r('min(low)')} AS min_low, {r('max(high)')} AS max_high, count(*) FILTER (volume < 0) AS negative_volume,
        min(low) >= any_value(lo) AS above_floor, max(high) <= any_value(hi) AS below_ceiling
@@ -367,13 +372,15 @@ query("event_identity", """
 SELECT instrument, t AS open_s, 'bar-' || substr(sha256(concat_ws('|', instrument, '1h', CAST(t AS VARCHAR), 'bid')), 1, 24) AS bar_id
 FROM bars""")
 query("part_completeness", """
-WITH p AS (SELECT o_orderstatus AS run, o_custkey % 9 AS part, o_orderkey AS g FROM orders)
-SELECT run, groups, split_groups, rows, found_parts, undeclared_parts,
-       found_parts = 8 AND undeclared_parts = 0 AND split_groups = 0 AS complete
+WITH p AS (SELECT o_orderstatus AS run, o_custkey % 9 AS part, o_orderkey AS g, o_orderpriority AS src FROM orders)
+SELECT run, groups, split_groups, rows, found_parts, undeclared_parts, sources, declared_rows,
+       found_parts = 8 AND undeclared_parts = 0 AND split_groups = 0 AND sources = 1 AND coalesce(rows = declared_rows, false) AS complete
 FROM (SELECT run, count(*) AS groups, count(*) FILTER (n > 1) AS split_groups, CAST(sum(m) AS BIGINT) AS rows
       FROM (SELECT run, g, count(DISTINCT part) AS n, count(*) AS m FROM p GROUP BY 1, 2) GROUP BY 1)
 JOIN (SELECT run, count(DISTINCT part) FILTER (part < 8) AS found_parts, count(DISTINCT part) FILTER (part >= 8) AS undeclared_parts
-      FROM p GROUP BY 1) USING (run)""")
+      FROM p GROUP BY 1) USING (run)
+JOIN (SELECT run, count(DISTINCT coalesce(src, '-')) AS sources FROM p GROUP BY 1) USING (run)
+LEFT JOIN (SELECT o_orderstatus AS run, count(*) AS declared_rows FROM orders WHERE o_orderkey IN (SELECT l_orderkey FROM lineitem) GROUP BY 1) USING (run)""")
 query("duplicate_identity", """
 SELECT verdict, count(*) AS identities, CAST(sum(n) AS BIGINT) AS rows FROM (
  SELECT CASE WHEN count(*) = 1 THEN 'unique' WHEN count(DISTINCT (l_partkey, l_quantity)) = 1 THEN 'identical' ELSE 'conflict' END AS verdict,
@@ -769,28 +776,36 @@ SELECT {CC}, count(*) AS trades, avg(net_adverse) AS mean_net, avg(net_favorable
  avg(pips_adverse) AS mean_gross, avg(spread + slippage + commission) AS mean_cost, max(spread + commission) AS fixed0, """
     + ", ".join(f"{nearest('net_adverse', p)} AS {n}" for n, p in QS[:5]) + " FROM priced GROUP BY ALL")
 PF = "CASE WHEN losses > 0 THEN " + r('gains / losses') + " WHEN gains > 0 THEN 'inf'::DOUBLE ELSE 0::DOUBLE END"
-query("cost_cells", f"SELECT {CC}, trades, " + ", ".join(f"{r(c)} AS {c}" for c in (
+def even(keys):
+    """Slippage at which the mean net result crosses zero, per keys."""
+    return f"""
+WITH t AS (SELECT {keys}, pips_adverse - spread AS x, commission AS cm, converted FROM priced WHERE slippage = 0 AND cost_status = 'covered'),
+ g AS (SELECT {keys}, count(*) AS n, sum(x) AS sx, max(cm) AS cm, bool_or(converted) AS cv, sum(CASE WHEN x > 0 THEN x * 0.993::DOUBLE ELSE x * 1.007::DOUBLE END) AS v0 FROM t GROUP BY ALL),
+ k AS (SELECT {keys}, x, count(*) OVER w AS nl, sum(x) OVER w AS xl FROM t WHERE converted
+       WINDOW w AS (PARTITION BY {keys} ORDER BY x RANGE BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)),
+ s AS (SELECT {", ".join("g." + c for c in keys.split(", "))}, max(k.nl) AS nl, arg_max(k.xl, k.nl) AS xl FROM g JOIN k
+       ON {" AND ".join(f"k.{c} IS NOT DISTINCT FROM g.{c}" for c in keys.split(", "))}
+       WHERE 0.993::DOUBLE * (g.sx - k.xl - (g.n - k.nl) * k.x) + 1.007::DOUBLE * (k.xl - k.nl * k.x) > g.cm * g.n GROUP BY ALL),
+ v AS (SELECT g.*, coalesce(s.nl, 0) AS nl, coalesce(s.xl, 0) AS xl, CASE WHEN cv THEN v0 / n - cm ELSE sx / n - cm END AS mean0
+       FROM g LEFT JOIN s ON {" AND ".join(f"s.{c} IS NOT DISTINCT FROM g.{c}" for c in keys.split(", "))})
+SELECT {keys}, b FROM (SELECT *, CASE WHEN mean0 <= 0 THEN 0 WHEN cv
+ THEN (0.993::DOUBLE * (sx - xl) + 1.007::DOUBLE * xl - cm * n) / (0.993::DOUBLE * (n - nl) + 1.007::DOUBLE * nl) ELSE mean0 END AS b FROM v)"""
+
+
+BEK = "instrument, session, entry_mode, tp, statistic"
+query("break_even", f"SELECT {BEK}, {r('b')} AS break_even_slippage FROM ({even(BEK)})")
+
+query("cost_cells", f"SELECT {CC.replace(', ', ', c.').replace('instrument', 'c.instrument', 1)}, trades, " + ", ".join(f"{r(c)} AS {c}" for c in (
     "mean_net", "mean_net_favorable", "win_fraction", "loss_fraction", "zero_fraction", "mean_gross", "mean_cost", *[n for n, _ in QS[:5]]))
-      + f", {PF} AS profit_factor, {r('mean_gross - fixed0 - slippage')} AS headroom FROM ccells")
+      + f", {PF} AS profit_factor, {r('mean_gross - fixed0 - slippage')} AS headroom, {r('b')} AS break_even_slippage,"
+      + f" {r('CASE WHEN b IS NOT NULL THEN greatest(0::DOUBLE, b - slippage) END')} AS extra_slippage"
+      + f" FROM ccells c LEFT JOIN ({even(CONFIG + ', statistic')}) e ON "
+      + " AND ".join(f"e.{x} IS NOT DISTINCT FROM c.{x}" for x in (CONFIG + ", statistic").split(", ")))
 query("regime_breadth", f"""
 SELECT instrument, signal_timeframe, session, direction, entry_mode, statistic, slippage, count(*) AS cells, count(*) FILTER (mean_net > 0) AS net_positive,
  {r('count(*) FILTER (mean_net > 0) / count(*)::DOUBLE')} AS net_positive_fraction, count(*) FILTER (mean_gross > 0) AS gross_positive,
  {r('coalesce(count(*) FILTER (mean_gross > 0 AND mean_net > 0) / nullif(count(*) FILTER (mean_gross > 0), 0)::DOUBLE, 0)')} AS surviving_fraction
 FROM ccells GROUP BY 1, 2, 3, 4, 5, 6, 7""")
-BEK = "instrument, session, entry_mode, tp, statistic"
-query("break_even", f"""
-WITH t AS (SELECT {BEK}, pips_adverse - spread AS x, commission AS cm, converted FROM priced WHERE slippage = 0 AND cost_status = 'covered'),
- g AS (SELECT {BEK}, count(*) AS n, sum(x) AS sx, max(cm) AS cm, bool_or(converted) AS cv, sum(CASE WHEN x > 0 THEN x * 0.993::DOUBLE ELSE x * 1.007::DOUBLE END) AS v0 FROM t GROUP BY ALL),
- k AS (SELECT {BEK}, x, count(*) OVER w AS nl, sum(x) OVER w AS xl FROM t WHERE converted
-       WINDOW w AS (PARTITION BY {BEK} ORDER BY x RANGE BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)),
- s AS (SELECT {", ".join("g." + c for c in BEK.split(", "))}, max(k.nl) AS nl, arg_max(k.xl, k.nl) AS xl FROM g JOIN k
-       ON {" AND ".join(f"k.{c} IS NOT DISTINCT FROM g.{c}" for c in BEK.split(", "))}
-       WHERE 0.993::DOUBLE * (g.sx - k.xl - (g.n - k.nl) * k.x) + 1.007::DOUBLE * (k.xl - k.nl * k.x) > g.cm * g.n GROUP BY ALL),
- v AS (SELECT g.*, coalesce(s.nl, 0) AS nl, coalesce(s.xl, 0) AS xl, CASE WHEN cv THEN v0 / n - cm ELSE sx / n - cm END AS mean0
-       FROM g LEFT JOIN s ON {" AND ".join(f"s.{c} IS NOT DISTINCT FROM g.{c}" for c in BEK.split(", "))})
-SELECT {BEK}, {r('b')} AS break_even_slippage FROM (SELECT *, CASE WHEN mean0 <= 0 THEN 0 WHEN cv
- THEN (0.993::DOUBLE * (sx - xl) + 1.007::DOUBLE * xl - cm * n) / (0.993::DOUBLE * (n - nl) + 1.007::DOUBLE * nl) ELSE mean0 END AS b FROM v)""")
-
 # ================================================================ families
 SCOPE = "signal_timeframe = '2h' AND session = 'london' AND direction = -1"
 cte("scands", f"SELECT * FROM cands WHERE {SCOPE}")
@@ -847,10 +862,12 @@ JOIN (SELECT {", ".join(ECK)}, stddev_samp(v) AS sd, count(*) FILTER (v > 0) AS
   ON {on('m', 'b', ECK)}
 JOIN ({streak('classed', ECK, 'pips_adverse')}) s ON {on('s', 'b', ECK)}""")
 query("plateau_breadth", f"""
-SELECT instrument, event_class, benchmark_family, count(*) AS cells, count(*) FILTER (e > 0) AS net_positive,
- {r('count(*) FILTER (e > 0) / count(*)::DOUBLE')} AS net_positive_fraction, count(*) FILTER (e > 0) AS gross_positive,
- CASE WHEN count(*) FILTER (e > 0) > 0 THEN 1::DOUBLE ELSE 0::DOUBLE END AS surviving_fraction
-FROM (SELECT instrument, event_class, benchmark_family, lookback, tp, sl, stop, avg(pips_adverse) AS e FROM classed GROUP BY ALL) GROUP BY 1, 2, 3""")
+SELECT instrument, event_class, benchmark_family, statistic, slippage, count(*) AS cells, count(*) FILTER (e > 0) AS net_positive,
+ {r('count(*) FILTER (e > 0) / count(*)::DOUBLE')} AS net_positive_fraction, count(*) FILTER (g > 0) AS gross_positive,
+ {r('coalesce(count(*) FILTER (g > 0 AND e > 0) / nullif(count(*) FILTER (g > 0), 0)::DOUBLE, 0)')} AS surviving_fraction
+FROM (SELECT instrument, event_class, benchmark_family, statistic, slippage, lookback, tp, sl, stop, avg(pips_adverse) AS g, avg({net('pips_adverse')}) AS e
+      FROM (SELECT t.*, k.statistic, k.slippage, k.spread, k.commission FROM classed t
+            LEFT JOIN costs k ON k.instrument = t.instrument AND k.session = t.session) GROUP BY ALL) GROUP BY 1, 2, 3, 4, 5""")
 CORK = ["instrument", "signal_timeframe", "session", "direction", "lookback", "tp", "sl", "stop"]
 query("outcome_correlation", f"""
 SELECT {", ".join("b." + k for k in CORK)}, v.benchmark_family AS vwap_family, count(*) AS pairs,
@@ -949,6 +966,22 @@ SELECT part AS declared, count(*) AS rows, count(*) FILTER (instrument <> part)
  CASE WHEN count(*) FILTER (instrument <> part) > 0 THEN 'mixed' ELSE 'clean' END AS verdict
 FROM (SELECT *, CASE WHEN raw_spread < 0 THEN split_part(instrument, '.', 1) || '.0' ELSE instrument END AS part FROM ticks) GROUP BY 1""")
 
+_mday = lambda c: f"strftime(make_timestamp({c} * 86400000000), '%Y-%m-%d')"
+query("corpus_registry", f"""
+WITH m AS (SELECT instrument, split_part(instrument, '.', 1) AS k, count(*) AS n, min(s // 86400) AS a, max(s // 86400) AS b,
+                  min(CASE WHEN raw_spread >= 0 THEN s // 86400 END) AS qa, max(CASE WHEN raw_spread >= 0 THEN s // 86400 END) AS qb FROM ticks GROUP BY 1),
+ c AS (SELECT *, k = 'error' AS torn, CASE WHEN k IN ('click', 'view') THEN 100 ELSE 1000 END AS scale,
+              k <> 'error' AND qa <> a AS off_a, k <> 'error' AND qb <> b AS off_b FROM m),
+ u AS (SELECT DISTINCT v.k || '.' || CAST(user_id // 150 AS VARCHAR) AS instrument FROM events,
+       (VALUES ('click'), ('error'), ('purchase'), ('signup'), ('view')) v(k))
+SELECT instrument, CASE WHEN n IS NOT NULL THEN 2 END AS documents, CASE WHEN n IS NOT NULL THEN CAST(torn AS INT) END AS unreadable, scale,
+ CASE WHEN off_a IS NOT TRUE THEN {_mday('a')} END AS first_day, CASE WHEN off_b IS NOT TRUE THEN {_mday('b')} END AS last_day, n AS rows,
+ CASE WHEN n IS NOT NULL THEN '' END AS missing,
+ CASE WHEN n IS NOT NULL THEN concat_ws(',', CASE WHEN off_a THEN 'first_day' END, CASE WHEN off_b THEN 'last_day' END) END AS conflicts,
+ CASE WHEN n IS NOT NULL THEN CASE WHEN k = 'signup' THEN 'scale' ELSE '' END END AS mismatched,
+ CASE WHEN n IS NULL THEN 'absent' WHEN torn THEN 'unreadable' WHEN off_a OR off_b THEN 'conflict' WHEN k = 'signup' THEN 'mismatch' ELSE 'verified' END AS status
+FROM u LEFT JOIN c USING (instrument)""")
+
 # ================================================================ process
 PRC = "instrument, benchmark_family, signal_timeframe, session, lookback"
 cte("resid", f"SELECT {PRC}, at, any_value(close) AS p0, any_value(e0) AS e0, any_value(close) - any_value(e0) AS dev FROM sides GROUP BY {PRC}, at")

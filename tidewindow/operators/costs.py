@@ -145,3 +145,13 @@ def break_even(trades: DataFrame, keys, gross: str, spread: str, commission: str
     root = F.try_divide(0.993 * up_s + 1.007 * lo_s - F.col("_cm") * F.col("_n"), 0.993 * up_c + 1.007 * lo_c)
     value = F.when(F.col("_mean0") <= 0, F.lit(0.0)).when(F.col("_cv") == 1, root).otherwise(F.col("_mean0"))
     return out.select(*keys, value.alias("break_even_slippage"))
+
+
+def with_break_even(cells: DataFrame, trades: DataFrame, keys) -> DataFrame:
+    """Adds to cost cells (one row per ``keys`` and slippage) the total slippage at which the cell breaks even,
+    and what is left of it beyond the cell's own.  ``trades`` are covered and priced without slippage; a cell
+    that has none of them keeps NULL in both."""
+    even = break_even(trades, keys, "pips_adverse", "spread", "commission", "converted")
+    out = ST.attach(cells, even, list(keys))
+    extra = F.greatest(F.lit(0.0), F.col("break_even_slippage") - F.col("slippage"))
+    return out.withColumn("extra_slippage", F.when(F.col("break_even_slippage").isNotNull(), extra))

@@ -235,9 +235,15 @@ def sync_pairs(clocks: DataFrame, members) -> DataFrame:
     return wide.select("universe", F.inline(items))
 
 
-def day_audit(bars: DataFrame) -> DataFrame:
-    """One row per (instrument, day): counts, price range, volume range and total."""
-    return bars.groupBy("instrument", F.date_format("open_time", "yyyy-MM-dd").alias("day")).agg(
+def day_audit(bars: DataFrame, step_s: int, factors=()) -> DataFrame:
+    """One row per (instrument, day): counts, gaps between bars, price range, volume range and total, and
+    for each of ``factors`` the resampled windows that are whole and those that lack a bar.
+
+    A day is gathered as its distinct slots of ``step_s`` seconds, so it holds 86400 / step_s at most.
+    """
+    slot = F.floor(F.unix_seconds("open_time") / step_s)
+    days = bars.groupBy("instrument", F.date_format("open_time", "yyyy-MM-dd").alias("day")).agg(
+        F.array_sort(F.collect_set(slot)).alias("_slots"),
         F.count("*").alias("bars"),
         F.min("low").alias("min_low"),
         F.max("high").alias("max_high"),
@@ -245,6 +251,18 @@ def day_audit(bars: DataFrame) -> DataFrame:
         F.max("volume").alias("max_volume"),
         F.sum("volume").alias("total_volume"),
     )
+    jump = lambda s, i: (i > 0) & (s - F.get("_slots", i - 1) > 1)
+    counts = {"gaps": F.size(F.filter("_slots", jump))}
+    for f in factors:
+        counts |= dict(zip((f"windows_{f}", f"incomplete_{f}"), _windows(f)))
+    return days.withColumns(counts).drop("_slots")
+
+
+def _windows(factor: int) -> tuple[Column, Column]:
+    """Windows of ``factor`` slots that are whole, and those that are touched but not whole."""
+    full = lambda s, i: (s % factor == 0) & (F.get("_slots", i + (factor - 1)) == s + (factor - 1))
+    whole = F.size(F.filter("_slots", full))
+    return whole, F.size(F.array_distinct(F.transform("_slots", lambda s: F.floor(s / factor)))) - whole
 
 
 def reconcile(left: DataFrame, right: DataFrame, keys, columns) -> DataFrame:
@@ -280,8 +298,12 @@ def fingerprint(df: DataFrame) -> DataFrame:
     )
 
 
-def part_completeness(parts: DataFrame, declared: int) -> DataFrame:
-    """Per run: are the parts exactly 0..declared-1 and does each group sit in one part?"""
+def part_completeness(parts: DataFrame, declared: int, totals: DataFrame, source: str) -> DataFrame:
+    """Per run: are the parts exactly 0..declared-1, does each group sit in one part, do the rows add up
+    to the run's declared total, and do all of them name one ``source``?
+
+    ``totals`` (run, declared_rows) has one row a run; a run without a total is not complete.
+    """
     owners = parts.groupBy("run", "group_key").agg(F.count_distinct("part").alias("_owners"), F.count("*").alias("_rows"))
     groups = owners.groupBy("run").agg(
         F.count("*").alias("groups"), F.count_if(F.col("_owners") > 1).alias("split_groups"), F.sum("_rows").alias("rows")
@@ -290,10 +312,12 @@ def part_completeness(parts: DataFrame, declared: int) -> DataFrame:
         F.count_if((F.col("part") >= 0) & (F.col("part") < declared)).alias("found_parts"),
         F.count_if((F.col("part") < 0) | (F.col("part") >= declared)).alias("undeclared_parts"),
     )
-    return groups.join(index, "run").withColumn(
-        "complete",
-        (F.col("found_parts") == declared) & (F.col("undeclared_parts") == 0) & (F.col("split_groups") == 0),
-    )
+    # A row that names no source is a source of its own.
+    sources = parts.select("run", F.struct(source).alias("_source")).distinct().groupBy("run").agg(F.count("*").alias("sources"))
+    out = groups.join(index, "run").join(sources, "run").join(totals.select("run", "declared_rows"), "run", "left")
+    sound = (F.col("found_parts") == declared) & (F.col("undeclared_parts") == 0) & (F.col("split_groups") == 0)
+    told = F.coalesce(F.col("rows") == F.col("declared_rows"), F.lit(False))
+    return out.withColumn("complete", sound & told & (F.col("sources") == 1))
 
 
 def duplicate_identity(rows: DataFrame, identity, values) -> DataFrame:

@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from tidewindow.operators import identity as ID
+from tidewindow.operators import identity as ID, registry as RG
 from tidewindow.plans.study import tidy
 from tidewindow.sources import driver as D, parts as PT
 from tidewindow.sources.staging import stage
@@ -61,4 +61,46 @@ def declared_parts(spark, sf):
     return tidy(PT.part_report(rows, "instrument"))
 
 
-QUERIES = {f.__name__: f for f in (corpus_identity, corpus_recheck, declared_parts)}
+# Where the two shapes of a manifest keep a field.
+FIELDS = {
+    "scale": ("long", ("$.price.scale", "$.price_scale")),
+    "first_day": ("date", ("$.range.first", "$.requested_start_date")),
+    "last_day": ("date", ("$.range.last", "$.requested_end_date")),
+    "rows": ("long", ("$.rows",)),
+}
+
+
+def manifests(spark, sf):
+    """Two manifests a series, as JSON: the old shape knows the ticks with a spread of zero or more, the
+    new one all of them.  Old manifests of errors are torn."""
+    t = D.ticks(spark, sf).select("instrument", F.date_format("ts", "yyyy-MM-dd").alias("day"), "price_scale", "raw_spread")
+    quoted = F.when(F.col("raw_spread") >= 0, F.col("day"))
+    s = t.groupBy("instrument").agg(
+        F.max("price_scale").alias("scale"), F.count("*").alias("n"), F.min("day").alias("a"), F.max("day").alias("b"),
+        F.min(quoted).alias("qa"), F.max(quoted).alias("qb"),
+    )
+    old = F.to_json(F.struct(
+        F.struct("scale").alias("price"), F.struct(F.col("qa").alias("first"), F.col("qb").alias("last")).alias("range"),
+    ))
+    new = F.to_json(F.struct(
+        F.col("scale").cast("string").alias("price_scale"), F.col("a").alias("requested_start_date"),
+        F.col("b").alias("requested_end_date"), F.col("n").alias("rows"),
+    ))
+    torn = F.when(D.member() == "error", F.substring(old, 1, 20)).otherwise(old)
+    return s.select("instrument", F.explode(F.array(torn, new)).alias("manifest"))
+
+
+def corpus_registry(spark, sf):
+    """One entry per series from manifests of two shapes, against the declared universe: every event type
+    of every cohort, signups declared with two decimals."""
+    entries = RG.registry(manifests(spark, sf), "instrument", "manifest", FIELDS)
+    cohorts = D.table(spark, sf, "events").select(F.floor(F.col("user_id") / D.COHORT_USERS).alias("cohort")).distinct()
+    declared = {k: 100 if k == "signup" else 10**p for k, p in D.PRECISION.items()}
+    members = F.array(*[F.struct(F.lit(k).alias("k"), F.lit(s).cast("long").alias("scale")) for k, s in declared.items()])
+    universe = cohorts.select("cohort", F.inline(members)).select(F.concat_ws(".", "k", "cohort").alias("instrument"), "scale")
+    out = RG.validated(entries, universe, "instrument", ["rows"])
+    days = {c: F.date_format(c, "yyyy-MM-dd") for c in ("first_day", "last_day")}
+    return tidy(out.withColumns(days))
+
+
+QUERIES = {f.__name__: f for f in (corpus_identity, corpus_recheck, declared_parts, corpus_registry)}

@@ -46,9 +46,14 @@ def event_class_metrics(spark, sf):
 
 
 def plateau_breadth(spark, sf):
-    rows = FA.with_event_classes(scoped(immediate_trades(spark, sf)))
-    cells = rows.groupBy("instrument", "event_class", "benchmark_family", "lookback", *EXIT).agg(F.avg("pips_adverse").alias("expectancy"))
-    return tidy(SU.breadth(cells, ["instrument", "event_class", "benchmark_family"], "expectancy", "expectancy"))
+    """How many cells stay positive under every cost scenario, before and after costs."""
+    rows = stage(FA.with_event_classes(scoped(immediate_trades(spark, sf))))
+    priced = CO.priced(rows, stage(GR.cost_dimension(spark, sf)))
+    keys = ["instrument", "event_class", "benchmark_family", "statistic", "slippage"]
+    cells = priced.groupBy(*keys, "lookback", *EXIT).agg(
+        F.avg("pips_adverse").alias("mean_gross"), F.avg("net_adverse").alias("mean_net")
+    )
+    return tidy(SU.breadth(cells, keys))
 
 
 def outcome_correlation(spark, sf):

@@ -197,7 +197,7 @@ def sync_pairs(spark, sf):
 
 
 def day_audit(spark, sf):
-    return tidy(Q.day_audit(D.bars(spark, sf)))
+    return tidy(Q.day_audit(D.bars(spark, sf), D.BASE_S, (2, 4, 8)))
 
 
 def plausibility(spark, sf):
@@ -239,14 +239,17 @@ def event_identity(spark, sf):
 
 
 def part_completeness(spark, sf):
-    """Eight declared parts per order status: indexes, overlaps, totals."""
+    """Eight declared parts per order status: indexes, overlaps, totals by line items, provenance by priority."""
     o = D.table(spark, sf, "orders")
+    lines = D.table(spark, sf, "lineitem").groupBy(F.col("l_orderkey").alias("o_orderkey")).agg(F.lit(1).alias("_one"))
+    totals = lines.join(o, "o_orderkey").groupBy(F.col("o_orderstatus").alias("run")).agg(F.count("*").alias("declared_rows"))
     parts = o.select(
+        "o_orderpriority",
         F.col("o_orderstatus").alias("run"),
         F.pmod("o_custkey", F.lit(9)).alias("part"),
         F.col("o_orderkey").alias("group_key"),
     )
-    return tidy(Q.part_completeness(parts, 8))
+    return tidy(Q.part_completeness(parts, 8, totals, "o_orderpriority"))
 
 
 def duplicate_identity(spark, sf):

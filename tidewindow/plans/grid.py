@@ -114,7 +114,10 @@ def priced_scenarios(spark, sf):
 
 
 def cost_cells(spark, sf):
-    return tidy(SU.cost_cells(_priced(spark, sf), CONFIG))
+    """Net statistics of every cell, with the slippage it bears."""
+    rows = _priced(spark, sf)
+    plain = stage(rows.where("slippage = 0 and cost_status = 'covered'"))
+    return tidy(CO.with_break_even(stage(SU.cost_cells(rows, CONFIG)), plain, [*CONFIG, "statistic"]))
 
 
 BREADTH = ["instrument", "signal_timeframe", "session", "direction", "entry_mode"]

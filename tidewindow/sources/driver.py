@@ -27,6 +27,12 @@ def by_type(column: Column, values: dict) -> Column:
     return F.create_map(*[F.lit(x) for kv in values.items() for x in kv])[kind]
 
 
+def known(value: Column, name: Column) -> Column:
+    """``value``, or the job fails with the name that has none."""
+    stop = F.raise_error(F.concat(F.lit("unknown instrument: "), F.coalesce(name, F.lit("NULL"))))
+    return F.coalesce(value, stop.cast("int"))
+
+
 def pip(column="instrument"):
     return by_type(F.col(column), {k: 10.0 ** (1 - p) for k, p in PRECISION.items()})
 
@@ -43,7 +49,7 @@ def ticks(spark: SparkSession, sf_dir: str, until: str | None = None) -> DataFra
     e = table(spark, sf_dir, "events")
     if until is not None:
         e = e.where(F.col("ts") < F.lit(until).cast(e.schema["ts"].dataType))
-    scale = by_type(F.col("event_type"), {k: 10**p for k, p in PRECISION.items()})
+    scale = known(by_type(F.col("event_type"), {k: 10**p for k, p in PRECISION.items()}), F.col("event_type"))
     k = F.get_json_object("props", "$.k").cast("int")
     rows = e.select(
         F.concat("event_type", F.lit("."), F.floor(F.col("user_id") / COHORT_USERS)).alias("instrument"),
