@@ -461,6 +461,7 @@ LEFT JOIN sg_{name} s ON s.instrument = g.instrument AND s.tf_s = g.tf_s AND s.l
      AND s.{group} IS NOT DISTINCT FROM g.{group} AND s.threshold = g.threshold AND s.direction = g.direction
      AND s.horizon_s = g.horizon_s
 JOIN months m ON m.instrument = g.instrument AND m.tf_s = g.tf_s
+WHERE g.horizon_s >= g.tf_s AND g.horizon_s % g.tf_s = 0
 GROUP BY ALL""")
     query(f"{name}_benchmark", f"""
 SELECT instrument, timeframe, {group}, lookback, threshold, horizon_s, direction, signal_count, long_count, short_count,

@@ -13,10 +13,6 @@ def seconds(ts: Column) -> Column:
     return F.unix_seconds(ts)
 
 
-def from_seconds(s: Column) -> Column:
-    return F.timestamp_seconds(s)
-
-
 def timeframe_seconds(label: Column) -> Column:
     """``15m`` -> 900; anything that is not a fixed lower-case duration -> NULL."""
     amount = F.regexp_extract(label, r"^([1-9][0-9]*)[smhd]$", 1)
@@ -115,9 +111,10 @@ def identity_hash(prefix: str, *parts: Column) -> Column:
     return F.concat(F.lit(prefix), F.substring(F.sha2(text, 256), 1, 24))
 
 
-def compatible_horizons(horizons_s, tf_s: int):
-    """Horizons that can land on a bar of this timeframe."""
-    return tuple(h for h in horizons_s if h >= tf_s and h % tf_s == 0)
+def compatible_horizon(horizon_s: Column, timeframe: Column) -> Column:
+    """Whether a horizon can land on a bar of this timeframe; an unknown timeframe has none."""
+    tf = timeframe_seconds(timeframe)
+    return F.coalesce((horizon_s >= tf) & (horizon_s % tf == 0), F.lit(False))
 
 
 def all_of(*conditions: Column) -> Column:

@@ -64,9 +64,13 @@ def priced(trades: DataFrame, costs: DataFrame) -> DataFrame:
     """Complete trades x scenarios with adverse-first and favourable-first net pips.
 
     No trade is lost: an instrument that lacks a cost row for any session it trades in is blocked,
-    and its trades come out once, with ``cost_status`` blocked and no scenario.
+    and its trades come out once, with ``cost_status`` blocked and no scenario; so does a trade
+    whose result is no finite number, as refused.
     """
-    rows = lookup_cost(block_uncovered(trades, costs), costs, F.col("session"), F.col("cost_status") == "covered")
+    finite = lambda x: F.coalesce(F.abs(x) < float("inf"), F.lit(False))
+    status = F.when(finite("pips_adverse") & finite("pips_favorable"), F.col("cost_status")).otherwise("refused")
+    known = block_uncovered(trades, costs).withColumn("cost_status", status)
+    rows = lookup_cost(known, costs, F.col("session"), F.col("cost_status") == "covered")
     c = F.col
     return rows.withColumns(
         {

@@ -2,6 +2,7 @@
 
 from pyspark.sql import functions as F
 
+from tidewindow.functions.scalars import compatible_horizon
 from tidewindow.operators import features as FE, observations as OB, stats as SS, summaries as SU
 from tidewindow.plans import study as ST
 from tidewindow.plans.study import tidy
@@ -44,11 +45,13 @@ def _vwap_columns(rows):
 
 
 def _benchmark(obs, research, features, group, contexts=None):
-    """Signals of every threshold joined to labels, summarised by direction incl. all."""
+    """Signals of every threshold joined to the labels of horizons that their timeframe can meet,
+    summarised by direction incl. all."""
     keys = ["instrument", "timeframe", *group, "lookback"]
     # Four consumers (statistics, medians, grid, months) share one pass over the bars.
     narrow = features(obs).select(*keys, "active", "z", *[f"ret_{h}" for h in ST.HORIZONS_S])
     long = OB.melt_labels(stage(narrow), ST.HORIZONS_S, [*keys, "active", "z"])
+    long = long.where(compatible_horizon(F.col("horizon_s"), F.col("timeframe")))
     months = SU.active_months(research, ["instrument", "timeframe"])
     return SU.benchmark_summary(long, keys, ST.THRESHOLDS, months, contexts)
 
