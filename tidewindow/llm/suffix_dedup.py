@@ -346,16 +346,34 @@ def marked_places(docs: DataFrame, crowd_size: int = CROWD) -> DataFrame:
         spark.conf.set(tidy, before)
 
 
-def spans_of(places):
-    """Maximal removed stretches (starts, ends) from packed places."""
-    places = np.asarray(places, np.int64)
-    bits = places[:, None] >> np.arange(REACH) & 1
-    row, t = np.nonzero(bits)
-    start = np.unique((places[row] >> 27) + t)
-    if not len(start):
-        return start, start
-    gap = np.flatnonzero(start[1:] > start[:-1] + LENGTH)
-    return start[np.append(0, gap + 1)], start[np.append(gap, len(start) - 1)] + LENGTH
+def spans_of(places, at_once: int = 1 << 14):
+    """Maximal removed stretches (starts, ends) from packed places.
+
+    Runs are opened into their starts a slice at a time, so a text that is removed whole needs a few
+    longs per run, not per byte; a stretch that a slice leaves open goes on in the next.
+    """
+    places = np.unique(np.asarray(places, np.int64))
+    if len(places):  # one row a run
+        places = np.bitwise_or.reduceat(places, np.flatnonzero(np.diff(places >> 27, prepend=-1)))
+    spans: list = []
+    for lo in range(0, len(places), at_once):
+        part = places[lo : lo + at_once]
+        row, t = np.nonzero(part[:, None] >> np.arange(REACH) & 1)
+        start = np.unique((part[row] >> 27) + t)
+        if not len(start):
+            continue
+        gap = np.flatnonzero(start[1:] > start[:-1] + LENGTH)
+        a, b = start[np.append(0, gap + 1)], start[np.append(gap, len(start) - 1)] + LENGTH
+        if spans and a[0] <= spans[-1][1][-1]:
+            before = spans[-1]
+            a[0], b[0] = min(a[0], before[0][-1]), max(b[0], before[1][-1])
+            spans[-1] = (before[0][:-1], before[1][:-1])
+        spans.append((a, b))
+        if len(spans) > 1 and not len(spans[-2][0]):
+            del spans[-2]
+    if not spans:
+        return np.zeros(0, np.int64), np.zeros(0, np.int64)
+    return tuple(np.concatenate(c) for c in zip(*spans))
 
 
 def _cut(batches):
