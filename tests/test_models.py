@@ -155,3 +155,21 @@ def test_no_earlier_rows_no_scores(spark):
             MO.walk_forward(wide, ["a"], ["kind"], "y", "fold", range(3, 9), ["event_id"])
         finally:
             MO.LEVELS = old
+
+
+def test_a_category_of_many_levels_is_fitted_without_dense_columns(spark):
+    rows = [(e, f, a, b, s, f"i{i % 1501}", y) for i, (e, f, a, b, s, _, y) in enumerate(table(3100))]
+    df = spark.createDataFrame(rows, SCHEMA).repartition(3)
+    scored = MO.walk_forward(df, ["a", "b", "still"], ["kind"], "y", "fold", [8], ["event_id"])
+    got = {(r.family, r.event_id): r.score for r in scored.collect()}
+    x, hot, y, xt, _, ids = plain(rows, 8)
+    kinds = sorted({r[5] for r in rows if r[1] < 8})
+    hott = np.array([[float(r[5] == k) for k in kinds] for r in rows if r[1] == 8])
+    basis = lambda m: np.hstack([MO.spline_basis(m[:, i], x[:, i].min(), x[:, i].max()) for i in range(3)])
+    b, bt = basis(x), basis(xt)
+    s = np.where(b.std(0) > 1e-9, b.std(0), 1.0)
+    b, bt = (np.column_stack([(m - basis(x).mean(0)) / s, h]) for m, h in ((b, hot), (bt, hott)))
+    centre = b.mean(0)
+    w = np.linalg.solve((b - centre).T @ (b - centre) + MO.RIDGE * np.eye(b.shape[1]), (b - centre).T @ (y - y.mean()))
+    np.testing.assert_allclose([got["additive_splines", i] for i in ids], (bt - centre) @ w + y.mean(), atol=1e-6)
+    assert len(got) == 6 * len(ids) and np.isfinite(list(got.values())).all()
