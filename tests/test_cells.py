@@ -39,3 +39,8 @@ def test_scenario_cells_match_the_joined_form(spark):
         for name, value in row.items():
             g = got[k][name]
             assert g == value or (isinstance(value, float) and (math.isnan(value) and math.isnan(g) or abs(g - value) < 1e-9)), (k, name, g, value)
+
+
+def test_distributions_shuffle_no_grid_row(spark):
+    rows = ST.placed_outcomes(spark, SF)
+    assert shuffles_below_grid(SU.long_distributions(rows, GR.CONFIG)) == 0
