@@ -3,8 +3,8 @@
 import math
 import re
 
-from tidewindow.operators import costs as CO, summaries as SU
-from tidewindow.plans import grid as GR, study as ST
+from tidewindow.operators import costs as CO, families as FA, summaries as SU
+from tidewindow.plans import families as FM, grid as GR, study as ST
 
 SF = "/root/testdata/sf0.001"
 
@@ -44,3 +44,8 @@ def test_scenario_cells_match_the_joined_form(spark):
 def test_distributions_shuffle_no_grid_row(spark):
     rows = ST.placed_outcomes(spark, SF)
     assert shuffles_below_grid(SU.long_distributions(rows, GR.CONFIG)) == 0
+
+
+def test_atlas_cells_shuffle_no_grid_row(spark):
+    values = FA.placed_headline_values(GR._scenario_trades(spark, SF), CO.HEADLINE)
+    assert shuffles_below_grid(SU.cell_metrics(values, FM.CELL, "value", ST.WIDTH, ST.PLACE)) == 0
