@@ -11,6 +11,9 @@ from tidewindow.sources.staging import stage
 SETUP = ["instrument", "benchmark_family", "signal_timeframe", "session", "direction", "lookback", "threshold"]
 
 
+SETUP_PLACE = [k for k in ST.PLACE if k != "entry_mode"]
+
+
 def signal_grid(spark, sf):
     """Frozen signals of three families x two timeframes x lookbacks x thresholds x sessions."""
     rows = ST.frozen_signals(spark, sf)
@@ -64,7 +67,7 @@ def directional_paths(spark, sf):
 
 
 def path_matrix(spark, sf):
-    events = stage(ST.diagnosed(spark, sf).drop("path", "past"))
+    events = ST.placed(stage(ST.diagnosed(spark, sf).drop("path", "past")), SETUP_PLACE)
     return tidy(SU.path_matrix(events, SETUP, ST.SNAPSHOTS, ST.PAST))
 
 
