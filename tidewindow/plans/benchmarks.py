@@ -44,7 +44,7 @@ def _vwap_columns(rows):
     )
 
 
-def _benchmark(obs, research, features, group, contexts=None):
+def _benchmark(obs, research, features, group, contexts=None, medians=True):
     """Signals of every threshold joined to the labels of horizons that their timeframe can meet,
     summarised by direction incl. all."""
     keys = ["instrument", "timeframe", *group, "lookback"]
@@ -53,21 +53,21 @@ def _benchmark(obs, research, features, group, contexts=None):
     long = OB.melt_labels(stage(narrow), ST.HORIZONS_S, [*keys, "active", "z"])
     long = long.where(compatible_horizon(F.col("horizon_s"), F.col("timeframe")))
     months = SU.active_months(research, ["instrument", "timeframe"])
-    return SU.benchmark_summary(long, keys, ST.THRESHOLDS, months, contexts)
+    return SU.benchmark_summary(long, keys, ST.THRESHOLDS, months, contexts, medians)
 
 
-def _vwap(obs, research):
-    return _benchmark(obs, research, lambda rows: FE.vwap_features(rows, ST.LOOKBACKS, ST.BARS), ["anchor"])
+def _vwap(obs, research, medians=True):
+    return _benchmark(obs, research, lambda rows: FE.vwap_features(rows, ST.LOOKBACKS, ST.BARS), ["anchor"], medians=medians)
 
 
-def _band(obs, research):
+def _band(obs, research, medians=True):
     sessions = (None, "asia", "london", "new_york")
     features = lambda rows: ST.with_contexts(FE.band_features(rows, ST.LOOKBACKS, ST.BARS))
-    return _benchmark(obs, research, features, ["context"], ("context", sessions))
+    return _benchmark(obs, research, features, ["context"], ("context", sessions), medians)
 
 
-def _fine_vwap(obs, research, fine):
-    return _benchmark(obs, research, lambda rows: FE.fine_vwap_features(fine, rows, ST.LOOKBACKS, ST.BARS), ["anchor"])
+def _fine_vwap(obs, research, fine, medians=True):
+    return _benchmark(obs, research, lambda rows: FE.fine_vwap_features(fine, rows, ST.LOOKBACKS, ST.BARS), ["anchor"], medians=medians)
 
 
 def vwap_benchmark(spark, sf):
@@ -85,14 +85,14 @@ def fine_vwap_benchmark(spark, sf):
 
 
 def replication_inventory(spark, sf):
-    """Rows and signals per family, timeframe and session; the three benchmarks share their bars."""
+    """Rows and signals per family, timeframe and session; the three benchmarks share their bars and order no medians."""
     obs, research, fine = (stage(x) for x in (labelled(spark, sf), ST.research_observations(spark, sf), ST.observations(spark, sf)))
     parts = [
         rows.select(F.lit(family).alias("family"), "timeframe", F.col(session).alias("session"), "direction", "signal_count")
         for family, session, rows in (
-            ("vwap", "anchor", _vwap(obs, research)),
-            ("vwap-fine", "anchor", _fine_vwap(obs, research, fine)),
-            ("band", "context", _band(obs, research)),
+            ("vwap", "anchor", _vwap(obs, research, False)),
+            ("vwap-fine", "anchor", _fine_vwap(obs, research, fine, False)),
+            ("band", "context", _band(obs, research, False)),
         )
     ]
     rows = parts[0].unionByName(parts[1]).unionByName(parts[2])
