@@ -32,7 +32,8 @@ LENGTH = 50
 GRAM = 24
 REACH = LENGTH - GRAM + 1  # starts that can share a minimiser: at most 27, which fits the masks below
 CROWD = 2000
-CHUNK = 1 << 21
+CHUNK = 1 << 18  # bytes hashed at a time: some fifteen arrays of eight bytes a byte
+AT_ONCE = 16_000  # runs compared at a time
 TABLE = np.random.default_rng(7).integers(1, 2**63, 256, np.uint64)  # a number for every byte value
 BASES = (0xD6E8FEB86659FD93, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB)
 # at: start << 26 | minimiser's offset << 21 | starts << 16 | mark of the text
@@ -93,7 +94,7 @@ def runs_of(data, bounds):
         gram = _mixed(value(at, at + GRAM))
         # The smallest hash, and among equals the leftmost place: both depend on the string alone.
         place = (_least((gram & ~np.uint64((1 << 24) - 1)) | at.astype(np.uint64), REACH) & np.uint64((1 << 24) - 1)).astype(np.int64)
-        text = np.searchsorted(bounds, np.arange(lo, lo + len(place)), "right") - 1
+        text = np.repeat(np.arange(len(bounds) - 1), np.diff(np.clip(bounds, lo, lo + len(place))))
         whole = np.arange(lo, lo + len(place)) + LENGTH <= bounds[text + 1]
         new = whole.copy()
         new[1:] &= ~whole[:-1] | (place[1:] != place[:-1]) | (text[1:] != text[:-1])
@@ -141,23 +142,21 @@ def _runs(batches):
 def _contexts(batches):
     """The bytes of each listed run of a document."""
     for batch in batches:
-        rows: list = []
-        for doc, text, found in zip(batch.column("doc_id").to_pylist(), batch.column("text"), batch.column("found").to_pylist()):
-            data = text.as_py().encode()
-            for x in found:
-                start, n = x["at"] >> 26, x["at"] >> 16 & 31
-                rows.append((x["gram"], x["run"], doc, x["at"], x["crowd"], data[start : start + n + LENGTH - 1]))
-                if len(rows) == 50_000:
-                    yield _table(rows)
-                    rows = []
-        if rows:
-            yield _table(rows)
-
-
-def _table(rows):
-    kinds = [pa.int64()] * 4 + [pa.bool_(), pa.binary()]
-    names = ["gram", "run", "doc", "at", "crowd", "bytes"]
-    return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], names)
+        for part in slices(batch):
+            data, bounds = _laid(part.column("text"))
+            found = part.column("found")
+            gram, run, at, crowd = found.flatten().flatten()
+            row = np.repeat(np.arange(part.num_rows), found.value_lengths().to_numpy())
+            doc, at = part.column("doc_id").to_numpy()[row], at.to_numpy()
+            start, size = bounds[row] + (at >> 26), (at >> 16 & 31) + LENGTH - 1
+            for lo in range(0, len(at), AT_ONCE):
+                now = slice(lo, lo + AT_ONCE)
+                ends = np.cumsum(size[now])
+                taken = data[np.arange(ends[-1]) + np.repeat(start[now] - ends + size[now], size[now])]
+                offsets = pa.py_buffer(np.append(0, ends).astype(np.int32))
+                texts = pa.Array.from_buffers(pa.binary(), len(ends), [None, offsets, pa.py_buffer(taken)])
+                columns = [gram[now], run[now], pa.array(doc[now]), pa.array(at[now]), crowd[now], texts]
+                yield pa.RecordBatch.from_arrays(columns, ["gram", "run", "doc", "at", "crowd", "bytes"])
 
 
 class Suffixes:
@@ -269,8 +268,8 @@ def _lost(gram, doc, at, texts, base):
     return masks
 
 
-def _sorted_groups(batches, most: int = 100_000):
-    """Rows come sorted by gram; whole grams are compared together, many at a time."""
+def _sorted_groups(batches, most: int = AT_ONCE):
+    """Rows come sorted by gram; whole grams are compared together, about ``most`` rows at a time."""
     held = None
     for batch in batches:
         now = pa.Table.from_batches([batch])
@@ -378,7 +377,7 @@ def spans_of(places, at_once: int = 1 << 14):
 
 def _cut(batches):
     for batch in batches:
-        rows = []
+        rows, held = [], 0
         for doc, text, places in zip(batch.column("doc_id").to_pylist(), batch.column("text"), batch.column("places")):
             data = (text.as_py() or "").encode()
             kept, removed, spans = data, 0, 0
@@ -388,10 +387,18 @@ def _cut(batches):
                 kept = b"".join(data[i:j] for i, j in zip(cuts[::2], cuts[1::2]))
                 removed, spans = len(data) - len(kept), len(a)
             rows.append((doc, len(data), removed, spans, kept))
-        kinds = [pa.int64()] * 4 + [pa.binary()]
-        names = ["doc_id", "n_bytes", "n_removed", "n_spans", "kept"]
-        for lo in range(0, len(rows), 1000):
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows[lo : lo + 1000]), kinds)], names)
+            held += len(kept)
+            if len(rows) == 1000 or held > CHUNK:
+                yield _kept(rows)
+                rows, held = [], 0
+        if rows:
+            yield _kept(rows)
+
+
+def _kept(rows):
+    kinds = [pa.int64()] * 4 + [pa.binary()]
+    names = ["doc_id", "n_bytes", "n_removed", "n_spans", "kept"]
+    return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], names)
 
 
 def cut_repeats(docs: DataFrame, crowd_size: int = CROWD) -> DataFrame:
